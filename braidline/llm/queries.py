@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from . import exact_dedup as _dedup
+from . import packing as _packing
+from . import token_files as _token_files
 from .common import table
 
 
@@ -10,8 +14,21 @@ def op1_exact_dedup(spark, sf_dir):
     return _dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    folder, manifest = _token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return _token_files.token_digests(_token_files.read_token_files(spark, folder, manifest))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLES = {
