@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from . import byte_bpe as _bpe
 from . import exact_dedup as _dedup
+from . import language as _language
 from . import packing as _packing
 from . import token_files as _token_files
-from .common import table
+from . import toxicity as _toxicity
+from .common import fold_of, in_fold, table
 
 
 def op1_exact_dedup(spark, sf_dir):
     return _dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = _toxicity.train(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
+    scored = docs.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), _toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return _packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -25,10 +41,20 @@ def op8_token_files(spark, sf_dir):
     return _token_files.token_digests(_token_files.read_token_files(spark, folder, manifest))
 
 
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = _language.train(docs, fold_of("doc_id", 4) != 2)
+    found = docs.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), _language.predict(model, F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_toxicity": op4_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
