@@ -1,13 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's features are its distinct terms (runs of letters, lower case), by 32-bit
-hash. The score is logistic in bias + sum of term weights + sum over pairs of terms of
+A text's features are its distinct terms (runs of letters, lower case) and their stems
+(first four, five and six letters), by 32-bit hash. The score is logistic in bias + sum of term weights + sum over pairs of terms of
 the inner product of their factors; the pair part is computed in time linear in the
 terms. Pairs learn what single weights miss, such as an insult next to a group name.
 
 The fit uses a bounded sample of labelled rows (``max_rows``, by hash of the id, spread
-over the whole table); terms met in fewer than ``min_docs`` of them carry no weight.
-Scoring covers every row and the whole text.
+over the whole table). A term carries weight only where its log-likelihood ratio with
+the label exceeds twice the log of the number of terms, what chance alone would reach
+about once. Scoring covers every row and the whole text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+STEMS = (4, 5, 6)
 TERM = re.compile(r"[^\W\d_]+")
 KEEP_TERMS = 400_000
 
@@ -27,8 +29,10 @@ def terms(text: str | None) -> set[str]:
     return set(TERM.findall((text or "").lower()))
 
 
-def term_hash(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "replace"))
+def hashes(term: str) -> list[int]:
+    """The term's hash and those of its stems."""
+    stems = {f"{term[:n]}-" for n in STEMS if len(term) >= n}
+    return [zlib.crc32(x.encode("utf-8", "replace")) for x in (term, *sorted(stems))]
 
 
 class Machine:
@@ -36,33 +40,29 @@ class Machine:
 
     def __init__(self, hashes, weights, factors, bias: float):
         self.hashes, self.weights, self.factors, self.bias = hashes, weights, factors, bias
-        self.rows: dict[str, int] | None = None
+        self.rows: dict[str, tuple[int, ...]] | None = None
+        self.place: dict[int, int] | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "rows": None}
-
-    def _row(self, term: str) -> int:
-        import bisect
+        return {**self.__dict__, "rows": None, "place": None}
 
+    def _rows(self, term: str) -> tuple[int, ...]:
         if len(self.rows) >= KEEP_TERMS:
             self.rows.clear()
-        h = term_hash(term)
-        at = bisect.bisect_left(self.sorted, h)
-        row = self.rows[term] = at if at < len(self.sorted) and self.sorted[at] == h else -1
-        return row
+        found = self.rows[term] = tuple(r for h in hashes(term) if (r := self.place.get(h)) is not None)
+        return found
 
     def score(self, texts) -> list[float]:
         import numpy as np
 
         if self.rows is None:
-            self.rows, self.sorted = {}, self.hashes.tolist()
+            self.rows, self.place = {}, {h: i for i, h in enumerate(self.hashes.tolist())}
         out, get = [], self.rows.get
         for x in texts:
             at = set()
             for t in terms(x):
-                row = get(t)
-                at.add(self._row(t) if row is None else row)
-            at.discard(-1)
+                rows = get(t)
+                at.update(self._rows(t) if rows is None else rows)
             margin = self.bias
             if at:
                 at = np.fromiter(at, "i8", len(at))
@@ -73,16 +73,37 @@ class Machine:
         return out
 
 
-def fit(rows, *, rank: int = 4, min_docs: int = 3, epochs: int = 12, rate: float = 0.08, decay: float = 2e-4, seed: int = 7):
+def informative(rows, y, min_docs: int, max_terms: int):
+    """Hashes of the terms that tell the labels apart beyond chance, in order."""
+    import numpy as np
+
+    every, inverse = np.unique(np.concatenate([h for h, _ in rows]), return_inverse=True)
+    toxic = np.repeat(y, [len(h) for h, _ in rows])
+    n = np.bincount(inverse, minlength=len(every)).astype("f8")
+    a = np.bincount(inverse, toxic, minlength=len(every))
+    p = y.mean()
+
+    def part(k, expected):
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+    rest, rest_n = y.sum() - a, len(y) - n
+    ratio = 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(rest, rest_n * p) + part(rest_n - rest, rest_n * (1 - p)))
+    ratio[n < min_docs] = 0
+    keep = np.flatnonzero(ratio >= 2 * np.log(max(2, len(every))))
+    if len(keep) > max_terms:
+        keep = keep[np.argsort(-ratio[keep], kind="stable")[:max_terms]]
+    return every[np.sort(keep)]
+
+
+def fit(rows, *, rank: int = 4, min_docs: int = 3, max_terms: int = 16_384, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7):
     """A Machine from (hashes, label) rows; adaptive gradient steps on log loss."""
     import numpy as np
 
     rows = [(np.unique(np.frombuffer(h, "<u4")), int(y)) for h, y in rows]
     if not rows:
         return Machine(np.zeros(0, "u4"), np.zeros(0, "f4"), np.zeros((0, rank), "f4"), -30.0)
-    every, count = np.unique(np.concatenate([h for h, _ in rows]), return_counts=True)
-    hashes = every[count >= min_docs]
     y = np.array([v for _, v in rows], "f4")
+    hashes = informative(rows, y, min_docs, max_terms)
     p = min(max(y.mean(), 1e-4), 1 - 1e-4)
     rng = np.random.default_rng(seed)
     bias, w = float(np.log(p / (1 - p))), np.zeros(len(hashes), "f4")
@@ -147,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int =
     def hashed(text):
         import numpy as np
 
-        return text.map(lambda x: np.fromiter(map(term_hash, terms(x)), "<u4").tobytes())
+        return text.map(lambda x: np.array([h for t in terms(x) for h in hashes(t)], "<u4").tobytes())
 
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = picked.join(F.broadcast(chosen), "_id").select("_id", hashed("_text").alias("h"), "_label").collect()
