@@ -21,6 +21,7 @@ GRAM_BITS, WORD_BITS, ORDERS = 17, 18, 4
 CHAIN = 512
 KEEP_WORDS = 300_000
 UNKNOWN = "und"
+SLOTS = 64
 
 
 def word_features(words: list[bytes]):
@@ -199,9 +200,10 @@ def train(docs: DataFrame, usable: Column, *, per_lang: int = 800, max_langs: in
     among rows with an id, a language and at most ``max_chars`` characters."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), F.length(text_col).alias("_n"), F.col(id_col).alias(id_col))
     rows = rows.where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & (F.col("_n") > 0) & (F.col("_n") <= max_chars) & usable)
-    # each partition's best by hash alone are kept before any exchange
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")))
-    chosen = ranked.where(F.col("_r") <= per_lang).select("_id", "_lang").collect()
+    # a language's rows are dealt to SLOTS groups, each of which gives its share
+    hashed = F.xxhash64("_id")
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_lang", F.pmod(hashed, F.lit(SLOTS))).orderBy(hashed, "_id")))
+    chosen = ranked.where(F.col("_r") <= -(-per_lang // SLOTS)).select("_id", "_lang").collect()
     sizes = {}
     for r in chosen:
         sizes[r._lang] = sizes.get(r._lang, 0) + 1

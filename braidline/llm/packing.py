@@ -110,17 +110,19 @@ def token_pieces(docs: DataFrame, path: str, *, end_id: int, capacity: int, id_c
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches):
+        import numpy as np
+
         code = encoder(path)
-        end = end_id.to_bytes(4, "little")
+        end = np.array([end_id], code.dtype).tobytes()
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for i, j in chunks(texts):
                 keys = b.column(0).slice(i, j - i).to_pylist()
                 out = [
-                    (k, p, p * capacity, len(cut) // 4, zlib.crc32(cut))
-                    for k, ids in zip(keys, (x + end for x in code.encode(texts[i:j])))
-                    for p in range(-(-len(ids) // (4 * capacity)))
-                    for cut in (ids[4 * capacity * p : 4 * capacity * (p + 1)],)
+                    (k, p, p * capacity, len(cut), zlib.crc32(cut.tobytes()))
+                    for k, ids in zip(keys, (np.frombuffer(x + end, code.dtype).astype("<u4") for x in code.encode(texts[i:j])))
+                    for p in range(-(-len(ids) // capacity))
+                    for cut in (ids[capacity * p : capacity * (p + 1)],)
                 ]
                 yield pa.record_batch(
                     [pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -131,7 +133,7 @@ def token_pieces(docs: DataFrame, path: str, *, end_id: int, capacity: int, id_c
     return found.withColumn("piece", F.col("piece").cast("int"))
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_items: int = 16_384) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_items: int = 4096) -> DataFrame:
     """``pieces`` with sequence_id and offset; needs columns doc_id, piece, length.
     Lengths are 1 to ``capacity``."""
     n = pieces.count()

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from . import byte_bpe as _bpe
 from . import exact_dedup as _dedup
 from . import language as _language
+from . import neighbours as _neighbours
 from . import packing as _packing
 from . import token_files as _token_files
 from . import toxicity as _toxicity
+from . import warc as _warc
 from .common import fold_of, in_fold, table
 
 
@@ -30,6 +32,11 @@ def op4_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_warc(spark, sf_dir):
+    manifest = _warc.write_archives(table(spark, sf_dir, "pages"))
+    return _warc.read_archives(manifest, with_payload=False).drop("url")
+
+
 def op7_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return _packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -41,6 +48,10 @@ def op8_token_files(spark, sf_dir):
     return _token_files.token_digests(_token_files.read_token_files(spark, folder, manifest))
 
 
+def op9_multiprobe_ann(spark, sf_dir):
+    return _neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0)
+
+
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = _language.train(docs, fold_of("doc_id", 4) != 2)
@@ -52,11 +63,14 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op9_multiprobe_ann": op9_multiprobe_ann,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
     "op1_exact_dedup": _dedup.ORACLE,
+    "op5_warc": _warc.ORACLE,
 }

@@ -64,19 +64,21 @@ def unpack(control: bytes, data: bytes, n: int):
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens and ids (16-bit where the vocabulary allows) with the end id."""
+    """doc_id, n_tokens and ids with the end id; two bytes an id where the vocabulary
+    allows, as its ids cross the network once."""
 
     def run(batches):
         import numpy as np
 
         code = encoder(path)
-        end = np.array([end_id], "<u4").tobytes()
+        size = np.dtype(code.dtype).itemsize
+        end = np.array([end_id], code.dtype).tobytes()
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for i, j in chunks(texts):
                 ids = [x + end for x in code.encode(texts[i:j])]
                 yield pa.record_batch(
-                    [b.column(0).slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [b.column(0).slice(i, j - i), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "n_tokens", "ids"],
                 )
 
@@ -84,7 +86,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     return picked.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def id_ranks(tokens: DataFrame):
+def id_ranks(tokens: DataFrame, dtype: str):
     """All ids by descending count, ties to the smaller id. The counts are bounded by
     the vocabulary; each task sends one count an id it met."""
 
@@ -93,7 +95,7 @@ def id_ranks(tokens: DataFrame):
 
         total = np.zeros(0, "i8")
         for b in batches:
-            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
+            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype))
             if len(got) > len(total):
                 total = np.pad(total, (0, len(got) - len(total)))
             total[: len(got)] += got
@@ -109,14 +111,16 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 2, id_col: st
     count as empty; a null id sorts first. Rows with one id keep all their tokens."""
     spark = docs.sparkSession
     tokens = materialise(tokenised(docs, path, end_id, id_col, text_col), "tokens")
-    ranks = id_ranks(tokens)
+    dtype = encoder(path).dtype
+    size = int(dtype[-1])
+    ranks = id_ranks(tokens, dtype)
     folder = fresh_path(spark, "token-files")
     store, at = open_store(folder)
     store.create_dir(at, recursive=True)
     import numpy as np
 
     by_rank = np.array(ranks, "<u4")
-    with store.open_output_stream(f"{at}/ranks.bin") as out:
+    with store.open_output_stream(f"{at}/ranks.bin", compression=None) as out:
         out.write(by_rank.tobytes())
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, "<u4")
     rank_of[by_rank] = np.arange(len(by_rank))
@@ -130,23 +134,23 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 2, id_col: st
         part, ids, held, n_docs, n_tokens = TaskContext.get().partitionId(), [], 0, 0, 0
         url = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.blt"
         store, at = open_store(url)
-        with store.open_output_stream(at) as out:
+        with store.open_output_stream(at, compression=None) as out:
             out.write(MAGIC)
 
             def flush():
-                values = rank_of[np.frombuffer(b"".join(x for _, x in ids), "<u4")]
+                values = rank_of[np.frombuffer(b"".join(x for _, x in ids), dtype)]
                 control, data = pack(values)
                 out.write(struct.pack(HEAD, len(ids), 0, len(values), len(control), len(data)))
                 out.write(np.array([-(1 << 63) if k is None else k for k, _ in ids], "<i8").tobytes())
-                out.write(np.array([len(x) // 4 for _, x in ids], "<u4").tobytes())
+                out.write(np.array([len(x) // size for _, x in ids], "<u4").tobytes())
                 out.write(control)
                 out.write(data)
 
             for b in batches:
                 for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     ids.append((k, x))
-                    held += len(x) // 4
-                    n_docs, n_tokens = n_docs + 1, n_tokens + len(x) // 4
+                    held += len(x) // size
+                    n_docs, n_tokens = n_docs + 1, n_tokens + len(x) // size
                     if held >= BLOCK_VALUES:
                         flush()
                         ids, held = [], 0
@@ -177,7 +181,7 @@ def read_token_files(spark, folder: str, manifest) -> DataFrame:
                 if by_rank is None:
                     with store.open_input_stream(f"{at.rpartition('/')[0]}/ranks.bin") as f:
                         by_rank = np.frombuffer(f.read(), "<u4")
-                with store.open_input_stream(at) as f:
+                with store.open_input_stream(at, compression=None) as f:
                     if f.read(len(MAGIC)) != MAGIC:
                         raise ValueError(f"not a token file: {url}")
                     while head := f.read(struct.calcsize(HEAD)):

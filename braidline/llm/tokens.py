@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 #: Characters that Unicode calls white space.
 WS = "\t-\r \x85\xa0  -     　"
@@ -28,8 +29,8 @@ _WORD_ANY = re.compile(f"[^{WS}]+")
 
 #: Longer pieces are encoded each time and not kept.
 KEEP_CHARS = 48
-#: Pieces kept in a worker; beyond, it starts afresh.
-KEEP_PIECES = 600_000
+#: Pieces kept in a worker: so many of late use, and as many from before them.
+KEEP_PIECES = 450_000
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -44,7 +45,9 @@ class PieceEncoder:
             rules = json.load(f)
         self.words = "</w>" == rules["model"].get("end_of_word_suffix")
         self.plain, self.any = (_WORD_PLAIN, _WORD_ANY) if self.words else (_BYTE_PLAIN, _BYTE_ANY)
+        self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
@@ -52,16 +55,21 @@ class PieceEncoder:
         return self.any.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
+        """Each text's ids as little-endian unsigned integers of ``dtype``."""
         cut = [self.pieces(x) for x in texts]
         if len(self.kept) > KEEP_PIECES:
-            self.kept.clear()
-        new = [p for p in set().union(*cut) if p not in self.kept] if cut else []
+            self.before, self.kept = self.kept, {}
+        new = []
+        for p in set().union(*cut).difference(self.kept):
+            ids = self.before.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                self.kept[p] = ids
         if new:
             found = self.library.encode_batch_fast(new, add_special_tokens=False)
-            self.kept.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found))
+            code, pack = "H" if self.dtype == "<u2" else "I", struct.pack
+            self.kept.update((p, pack(f"<{len(i)}{code}", *i)) for p, i in zip(new, (e.ids for e in found)))
         get = self.kept.__getitem__
         out = [b"".join(map(get, x)) for x in cut]
         for p in new:

@@ -99,7 +99,7 @@ def fit(rows, *, rank: int = 4, min_docs: int = 3, max_terms: int = 16_384, epoc
     """A Machine from (hashes, label) rows; adaptive gradient steps on log loss."""
     import numpy as np
 
-    rows = [(np.unique(np.frombuffer(h, "<u4")), int(y)) for h, y in rows]
+    rows = [(np.frombuffer(h, "<u4"), int(y)) for h, y in rows]
     if not rows:
         return Machine(np.zeros(0, "u4"), np.zeros(0, "f4"), np.zeros((0, rank), "f4"), -30.0)
     y = np.array([v for _, v in rows], "f4")
@@ -150,7 +150,7 @@ def fit(rows, *, rank: int = 4, min_docs: int = 3, max_terms: int = 16_384, epoc
     return Machine(hashes, w, v, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int = 20_000, id_col="doc_id", text_col="text", label_col="toxic", **options) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int = 8_000, id_col="doc_id", text_col="text", label_col="toxic", **options) -> Machine:
     """Fit on at most ``max_rows`` labelled rows for which ``usable`` (on ``id_col``)
     holds. Null labels or ids are left out; an id labelled twice counts as toxic if any
     label says so; an id that occurs twice trains twice."""
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int =
     def hashed(text):
         import numpy as np
 
-        return text.map(lambda x: np.array([h for t in terms(x) for h in hashes(t)], "<u4").tobytes())
+        return text.map(lambda x: np.unique(np.array([h for t in terms(x) for h in hashes(t)], "<u4")).tobytes())
 
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = picked.join(F.broadcast(chosen), "_id").select("_id", hashed("_text").alias("h"), "_label").collect()
