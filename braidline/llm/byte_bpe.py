@@ -29,7 +29,9 @@ _EDGE = 65_535
 #: The map's two tables have these many places; primes, so that keys spread.
 PRIMES = (230_003, 285_007)
 #: A block of whole documents closes at so many characters.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
+#: Pieces a task keeps numbers for.
+KEEP_PIECES = 700_000
 #: Longer pieces (no white space for kilobytes) would take the square of their length
 #: in a fold that copies its state; a heap takes them in the Python stage.
 FOLD_BYTES = 2_048
@@ -66,33 +68,42 @@ def literals(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     of_id = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         of_id[rank] = token
-    schema = "first array<bigint>, second array<bigint>, bytes array<int>, tokens array<binary>"
-    return spark.createDataFrame([(first, second, [ranks[bytes([b])] for b in range(256)], of_id)], schema)
+    kinds = {"first": pa.int64(), "second": pa.int64(), "bytes": pa.int64(), "tokens": pa.binary()}
+    row = (first, second, [ranks[bytes([b])] for b in range(256)], of_id)
+    return spark.createDataFrame(pa.table({n: pa.array([x], pa.list_(t)) for (n, t), x in zip(kinds.items(), row)}))
 
 
 def _fold_sql() -> str:
-    """The fold over each of ``words`` (byte values)."""
-    first, second, of_byte, tokens = "first", "second", "bytes", "tokens"
+    """The fold over each of ``words`` (byte values). Columns and intermediate values
+    that a lambda uses often are bound to variables by folds over nothing."""
+    first, second, of_byte, tokens = "t1", "t2", "tb", "tt"
+
+    def bind(value: str, name: str, body: str) -> str:
+        return f"aggregate(array_repeat(0, 0), {value}, ({name}, _) -> {name}, {name} -> {body})"
 
     def rank(a: str, b: str) -> str:
-        pair = f"(shiftleft(cast({a} as bigint), 16) + {b})"
-        one, two = f"get({first}, cast({pair} % {PRIMES[0]} as int))", f"get({second}, cast({pair} % {PRIMES[1]} as int))"
-        hit = lambda x: f"shiftright({x}, 17) = {pair}"
-        return f"CASE WHEN {hit(one)} THEN cast({one} & 131071 as int) WHEN {hit(two)} THEN cast({two} & 131071 as int) ELSE {NONE} END"
-
-    start = f"concat(array({_EDGE}), transform(w, b -> get({of_byte}, b)), array({_EDGE}))"
-    begin = f"""transform(array({start}), ids -> struct(ids,
-        zip_with(slice(ids, 1, size(ids) - 1), slice(ids, 2, size(ids) - 1), (a, b) -> {rank('a', 'b')}) AS ranks))[0]"""
-    merged = f"""transform(array(struct(array_min(s.ranks) AS m, cast(array_position(s.ranks, array_min(s.ranks)) as int) AS p)), v -> struct(
-        concat(slice(s.ids, 1, v.p - 1), array(v.m), slice(s.ids, v.p + 2, size(s.ids))) AS ids,
-        concat(slice(s.ranks, 1, v.p - 2),
-               array({rank('get(s.ids, v.p - 2)', 'v.m')}, {rank('v.m', 'get(s.ids, v.p + 1)')}),
-               slice(s.ranks, v.p + 2, size(s.ranks))) AS ranks))[0]"""
-    ids = f"""aggregate(slice(w, 2, size(w)), {begin},
-        (s, x) -> IF(array_min(s.ranks) = {NONE}, s, {merged}),
-        s -> slice(s.ids, 2, size(s.ids) - 2))"""
-    return f"""transform(words, w -> transform(array({ids}), ids -> struct(ids,
-        aggregate(ids, cast('' as binary), (d, i) -> concat(d, get({tokens}, i))) AS decoded))[0])"""
+        at_second = bind(f"get({second}, cast(k % {PRIMES[1]} as int))", "y", f"IF(shiftright(y, 17) = k, y & 131071L, {NONE}L)")
+        at_first = bind(f"get({first}, cast(k % {PRIMES[0]} as int))", "x", f"IF(shiftright(x, 17) = k, x & 131071L, {at_second})")
+        return bind(f"{a} * 65536L + {b}", "k", at_first)
+
+    # an element is rank << 16 | id: the id, and the rank of its pair with the next one
+    start = f"concat(transform(w, b -> get({of_byte}, b)), array({_EDGE}L))"
+    paired = f"transform(i, (a, j) -> IF(j + 1 < size(i), {rank('a', 'get(i, j + 1)')}, {NONE}L) * 65536L + a)"
+    begin = bind(start, "i", paired)
+    lowest = "array_min(transform(s, (v, j) -> v - (v & 65535L) + j))"  # the leftmost such pair, as rank << 16 | place
+    right = f"{rank('m', '(get(s, q + 2) & 65535L)')} * 65536L + m"
+    left = f"{rank('u', 'm')} * 65536L + u"
+    merged = f"transform(filter(s, (v, j) -> j <> q + 1), (v, j) -> IF(j = q, {right}, IF(j + 1 = q, {bind('v & 65535L', 'u', left)}, v)))"
+    merged = bind("shiftright(l, 16)", "m", bind("cast(l & 65535L as int)", "q", merged))
+    step = bind(lowest, "l", f"IF(l >= {NONE << 16}L, s, {merged})")
+    folded = f"aggregate(slice(w, 2, size(w)), {begin}, (s, _) -> {step}, s -> transform(slice(s, 1, size(s) - 1), v -> cast(v & 65535L as int)))"
+    decoded = f"aggregate(ids, cast('' as binary), (d, i) -> concat(d, get({tokens}, i)))"
+    each = f"transform(words, w -> {bind(folded, 'ids', f'struct(ids, {decoded} AS decoded)')})"
+    # concat makes an object array of a table, whose elements are far quicker to get
+    tables = (("first", first, "bigint"), ("second", second, "bigint"), ("bytes", of_byte, "bigint"), ("tokens", tokens, "binary"))
+    for column, name, kind in tables:
+        each = bind(f"concat({column}, cast(array() as array<{kind}>))", name, each)
+    return each
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -125,56 +136,61 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _blocks(batches, pattern: str):
-    """Documents cut into pieces; a row a block."""
+    """Documents cut into pieces, a row a block. A piece is sent once: later blocks of
+    the task refer to its number, until KEEP_PIECES are known and numbers start afresh."""
     import numpy as np
     import regex
 
     exact = regex.compile(pattern)
-    keys, docs, number, size = [], [], {}, 0
+    keys, docs, number, new, size, fresh = [], [], {}, [], 0, True
 
     def row():
-        words = list(number)
-        flat = np.frombuffer(b"".join(w if len(w) <= FOLD_BYTES else b"" for w in words), "u1").astype("i4")
-        ends = np.cumsum([0] + [len(w) if len(w) <= FOLD_BYTES else 0 for w in words]).astype("i4")
+        words = [w.encode() for w in new]
+        base = len(number) - len(words)
+        short = [w if len(w) <= FOLD_BYTES else b"" for w in words]
+        flat = np.frombuffer(b"".join(short), "u1").astype("i4")
+        ends = np.cumsum([0] + [len(w) for w in short]).astype("i4")
+        long_words = [(base + i, w) for i, w in enumerate(words) if len(w) > FOLD_BYTES]
         return pa.record_batch(
             [
+                pa.array([fresh]),
                 pa.array([keys], pa.list_(pa.int64())),
                 pa.array([docs], pa.list_(pa.binary())),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))),
-                pa.array([[(i, w) for i, w in enumerate(words) if len(w) > FOLD_BYTES]], pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.binary())]))),
+                pa.array([long_words], pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.binary())]))),
             ],
-            ["keys", "docs", "words", "long_words"],
+            ["fresh", "keys", "docs", "words", "long_words"],
         )
 
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             text = text or ""
             cut = _BYTE_PLAIN.findall(text) if _PLAIN.fullmatch(text) else exact.findall(text)
-            for p in cut:
-                if p not in number:
-                    number[p] = len(number)
+            for p in set(cut).difference(number):
+                number[p] = len(number)
+                new.append(p)
             keys.append(key)
             docs.append(np.fromiter(map(number.__getitem__, cut), "<u4", len(cut)).tobytes())
             size += len(text)
             if size >= BLOCK_CHARS:
-                number = {p.encode(): i for p, i in number.items()}
                 yield row()
-                keys, docs, number, size = [], [], {}, 0
+                keys, docs, new, size, fresh = [], [], [], 0, False
+                if len(number) >= KEEP_PIECES:
+                    number, fresh = {}, True
     if keys:
-        number = {p.encode(): i for p, i in number.items()}
         yield row()
 
 
 def encode_blocks(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """keys, docs, long_words, pieces (ids and decoded bytes of each distinct piece)."""
+    """fresh, keys, docs, long_words, pieces (ids and decoded bytes of each new piece)."""
     spark = docs.sparkSession
     view = "braidline_bpe_ranks"
     literals(spark, read_ranks(path)).createOrReplaceTempView(view)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "keys array<long>, docs array<binary>, words array<array<int>>, long_words array<struct<at:int,piece:binary>>"
+    schema = "fresh boolean, keys array<long>, docs array<binary>, words array<array<int>>, long_words array<struct<at:int,piece:binary>>"
     blocks = picked.mapInArrow(lambda batches: _blocks(batches, pattern), schema)
     literal = [F.expr(f"(SELECT {c} FROM {view})").alias(c) for c in ("first", "second", "bytes", "tokens")]
-    return blocks.select("*", *literal).select("keys", "docs", "long_words", F.expr(_fold_sql()).alias("pieces"))
+    return blocks.select("*", *literal).select("fresh", "keys", "docs", "long_words", F.expr(_fold_sql()).alias("pieces"))
 
 
 def _documents(blocks: DataFrame, path: str, make, schema: str) -> DataFrame:
@@ -184,15 +200,18 @@ def _documents(blocks: DataFrame, path: str, make, schema: str) -> DataFrame:
         import numpy as np
 
         ranks = of_id = None
+        encoded, decoded = [], []
         for b in batches:
             for r in range(b.num_rows):
-                found = b.column(3).slice(r, 1).flatten()
+                if b.column(0)[r].as_py():
+                    encoded, decoded = [], []
+                found = b.column(4).slice(r, 1).flatten()
                 lists = found.field(0)
                 ids = np.asarray(lists.flatten()).astype("<u4").tobytes()
-                ends = (np.asarray(lists.offsets).astype("i8") - lists.offsets[0].as_py()) * 4
-                encoded = [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                decoded = found.field(1).to_pylist()
-                for x in b.column(2)[r].as_py():
+                ends = ((np.asarray(lists.offsets).astype("i8") - lists.offsets[0].as_py()) * 4).tolist()
+                encoded += [ids[i:j] for i, j in zip(ends[:-1], ends[1:])]
+                decoded += found.field(1).to_pylist()
+                for x in b.column(3)[r].as_py():
                     if ranks is None:
                         ranks = read_ranks(path)
                         of_id = {v: k for k, v in ranks.items()}
@@ -200,10 +219,10 @@ def _documents(blocks: DataFrame, path: str, make, schema: str) -> DataFrame:
                     encoded[x["at"]] = np.array(long_ids, "<u4").tobytes()
                     decoded[x["at"]] = b"".join(map(of_id.__getitem__, long_ids))
                 out = []
-                for doc in b.column(1)[r].as_py():
+                for doc in b.column(2)[r].as_py():
                     at = np.frombuffer(doc, "<u4").tolist()
                     out.append((b"".join(map(encoded.__getitem__, at)), b"".join(map(decoded.__getitem__, at))))
-                yield make(b.column(0)[r].as_py(), out)
+                yield make(b.column(1)[r].as_py(), out)
 
     return blocks.mapInArrow(run, schema)
 

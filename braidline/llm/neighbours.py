@@ -182,9 +182,10 @@ def nearest(
         import numpy as np
         import pyarrow as pa
 
-        names, empty = ["_key", "_cid", "_ids", "score"], [pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())]
+        names = ["_key", "_block", "_best"]
         if not asking.num_rows or not filed.num_rows:
-            return pa.table(empty, names)
+            item = pa.struct([("far", pa.float64()), ("cid", pa.int64()), ("ids", pa.list_(pa.int64()))])
+            return pa.table([pa.array([], t) for t in (pa.string(), pa.int32(), pa.list_(item))], names)
         v = np.array(filed.column("_v").combine_chunks().flatten()).reshape(filed.num_rows, -1)
         q = np.array(asking.column("_q").combine_chunks().flatten()).reshape(asking.num_rows, -1)
         places: dict = {}
@@ -196,7 +197,7 @@ def nearest(
             score = np.full((min(256, len(q) - lo), len(v)), -np.inf)
             by_bucket: dict = {}
             for i, probes in enumerate(asking.column("_probes").slice(lo, 256).to_pylist()):
-                for p in probes if probes is not None else [{"_t": t, "_b": b} for t, b in places]:
+                for p in probes if probes is not None else [{"_t": t, "_b": b} for t, b in places if t == 0]:
                     if (p["_t"], p["_b"]) in places:
                         by_bucket.setdefault((p["_t"], p["_b"]), []).append(i)
             for tb, who in by_bucket.items():
@@ -213,21 +214,30 @@ def nearest(
             i, j, exact = i[order], j[order], exact[order]
             first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
             rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-            keep = rank < 2 * k + 2  # a class may come from two tables
+            keep = rank < tables * (k + 1)  # a class may come from each table
             got_q.append(lo + i[keep]), got_v.append(j[keep]), got_s.append(exact[keep])
-        gq, gv = pa.array(np.concatenate(got_q)), pa.array(np.concatenate(got_v))
-        found = [asking.column("_key").take(gq), filed.column("_cid").take(gv), filed.column("_ids").take(gv), pa.array(np.concatenate(got_s))]
-        return pa.table(found, names)
+        who, gv = np.concatenate(got_q), pa.array(np.concatenate(got_v))
+        some = pa.StructArray.from_arrays([pa.array(-np.concatenate(got_s)), filed.column("_cid").combine_chunks().take(gv), filed.column("_ids").combine_chunks().take(gv)], ["far", "cid", "ids"])
+        asked = np.unique(who)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(who, asked), len(who)).astype("i4")), some)
+        block = filed.column("_block")[0].as_py()
+        return pa.table([asking.column("_key").combine_chunks().take(pa.array(asked)), pa.array([block] * len(asked), pa.int32()), lists], names)
 
-    found_schema = "_key string, _cid long, _ids array<long>, score double"
+    found_schema = "_key string, _block int, _best array<struct<far:double,cid:bigint,ids:array<bigint>>>"
 
     def lists(sent):
         found = sent.groupBy("_block").cogroup(filed.groupBy("_block")).applyInArrow(rerank, found_schema)
-        best = found.dropDuplicates(["_key", "_cid"]).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("score"), "_cid")))
-        return best.where(F.col("_r") <= k + 1).groupBy("_key").agg(F.collect_list(F.struct("score", "_ids")).alias("_best"))
+        # lists meet 32 at a time, so no merge holds more than that however many blocks
+        left = blocks
+        while True:
+            left = -(-left // 32)
+            found = found.withColumn("_block", F.floor(F.col("_block") / 32).cast("int")).groupBy("_key", "_block")
+            found = found.agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_best")))), 1, k + 1).alias("_best"))
+            if left <= 1:
+                return found.drop("_block")
 
     best = materialise(lists(sent), "ann-best")
-    enough = F.aggregate("_best", F.lit(0), lambda s, x: s + F.size(x["_ids"])) > k
+    enough = F.aggregate("_best", F.lit(0), lambda s, x: s + F.size(x["ids"])) > k
     everything = rows.count()
     short = askers.select("_key", "_v")
     if everything > k:
@@ -239,6 +249,6 @@ def nearest(
         again = lists(full.select("_key", "_block", no_probes.alias("_probes"), F.col("_v").alias("_q")))
         best = best.join(short, "_key", "left_anti").unionByName(again)
     pairs = asked.join(best, "_key").select(F.col("_id").alias("query_id"), F.explode("_best").alias("_c"))
-    pairs = pairs.select("query_id", F.explode("_c._ids").alias("vec_id"), F.col("_c.score").alias("score")).where(F.col("vec_id") != F.col("query_id"))
+    pairs = pairs.select("query_id", F.explode("_c.ids").alias("vec_id"), (-F.col("_c.far")).alias("score")).where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
