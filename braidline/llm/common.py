@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import fresh_path, materialise, shared_dir  # noqa: F401
+
 #: The white space that separates words: space, and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -17,30 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one
-    where a session (a local test) names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        got = spark.sparkContext.getCheckpointDir()
-        found = got if got else "file://" + tempfile.mkdtemp(prefix="braidline-")
-        if not got:
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/braidline/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. Cuts lineage; a lost
-    executor costs only the tasks it ran, as the files stay."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold_of(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

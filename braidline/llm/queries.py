@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe as _bpe
 from . import exact_dedup as _dedup
+from . import jaccard as _jaccard
 from . import language as _language
 from . import neighbours as _neighbours
 from . import packing as _packing
@@ -37,6 +38,10 @@ def op5_warc(spark, sf_dir):
     return _warc.read_archives(manifest, with_payload=False).drop("url")
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return _jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return _packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
     "op9_multiprobe_ann": op9_multiprobe_ann,
