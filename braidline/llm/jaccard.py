@@ -151,25 +151,36 @@ def required(n, num: int, den: int):
 
 
 class Searcher:
-    """T-occurrence search over sets; nodes are numbered by position."""
+    """T-occurrence search over sets (sorted arrays); a set's number is its position.
+    The inverted lists lie behind one another in one array, by token."""
 
     def __init__(self, sets, num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
-        self.lists: dict[int, list[int]] = {}
-        for i, s in enumerate(sets):
-            for t in s:
-                self.lists.setdefault(t, []).append(i)
+        import numpy as np
+
+        self.sizes, self.num, self.den = [len(s) for s in sets], num, den
+        every = np.concatenate(sets) if sets else np.zeros(0, "i8")
+        order = np.argsort(every, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets), dtype="i4"), self.sizes)[order]
+        self.tokens, begins = np.unique(every[order], return_index=True)
+        self.begins = np.append(begins, len(every))
 
     def search(self, query, skip=lambda i: False) -> list[int]:
         """Positions whose similarity with ``query`` suffices; ``skip`` leaves some out."""
+        import numpy as np
+
         n, num, den = len(query), self.num, self.den
         least = max(1, required(n, num, den))
-        lists = sorted((self.lists[t] for t in query if t in self.lists), key=len)
-        if len(lists) < least:
+        if not len(self.tokens) or not n:
             return []
-        longest = len(lists[-1])
-        n_long = min(int(least / (MU * max(1, longest).bit_length() + 1)), least - 1)
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        at = np.searchsorted(self.tokens, query)
+        at = at[(at < len(self.tokens)) & (self.tokens[np.minimum(at, len(self.tokens) - 1)] == query)]
+        if len(at) < least:
+            return []
+        lengths = self.begins[at + 1] - self.begins[at]
+        order = np.argsort(lengths, kind="stable")
+        lists = [self.owners[i : i + k] for i, k in zip(self.begins[at[order]].tolist(), lengths[order].tolist())]
+        n_long = min(int(least / (MU * int(lengths.max()).bit_length() + 1)), least - 1)
+        short, long = [x.tolist() for x in lists[: len(lists) - n_long]], [x.tolist() for x in lists[len(lists) - n_long :]]
         found, last, times = [], -1, 0
         for i in heapq.merge(*short):
             if i == last:
@@ -185,7 +196,7 @@ class Searcher:
     def _probe(self, i, times, n, long, found, skip):
         if skip(i):
             return
-        m, num, den = len(self.sets[i]), self.num, self.den
+        m, num, den = self.sizes[i], self.num, self.den
         need = -(-num * (n + m) // (den + num))
         for at, x in enumerate(long):
             if times >= need or times + len(long) - at < need:
@@ -248,17 +259,14 @@ def components(nodes: list[int], sets, num: int, den: int) -> list[int]:
 
 
 def _sets_of(texts):
-    keys, counts = shingle_sets(texts)
-    out, at = [], 0
-    keys = keys.tolist()
-    for n in counts.tolist():
-        out.append(keys[at : at + n])
-        at += n
-    return out
+    import numpy as np
+
+    keys, counts = zip(*(shingle_sets(texts[i:j]) for i, j in chunks(texts)))
+    return np.split(np.concatenate(keys).view("i8"), np.cumsum(np.concatenate(counts))[:-1])
 
 
 def jaccard_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, frequent: int = 200_000, shard_docs: int = 2_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, frequent: int = 2_000_000, shard_docs: int = 500
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id.
 
@@ -277,7 +285,7 @@ def jaccard_components(
     top = recur.orderBy(F.desc("times"), "token").limit(frequent).select("token", "times").toArrow()
     tokens, times = np.asarray(top.column(0)), np.asarray(top.column(1))
     order = np.argsort(tokens, kind="stable")
-    tokens, times = tokens[order], times[order]
+    tokens, times = tokens[order], times[order].astype("i4")
     salts = 64
 
     def postings(batches):
@@ -288,7 +296,7 @@ def jaccard_components(
             v = keys.view("i8")
             at = np.searchsorted(tokens, v)
             at[at == len(tokens)] = 0
-            weight = np.where(tokens[at] == v, times[at], 0) if len(tokens) else np.zeros(len(v), "i8")
+            weight = np.where(tokens[at] == v, times[at], 0) if len(tokens) else np.zeros(len(v), "i4")
             owner = np.repeat(np.arange(len(counts)), counts)
             order = np.lexsort((v, weight, owner))
             rank = np.arange(len(v)) - np.repeat(np.cumsum(counts) - counts, counts)

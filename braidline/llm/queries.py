@@ -9,6 +9,7 @@ from . import byte_bpe as _bpe
 from . import exact_dedup as _dedup
 from . import jaccard as _jaccard
 from . import language as _language
+from . import lattice_lm as _lattice_lm
 from . import neighbours as _neighbours
 from . import packing as _packing
 from . import token_files as _token_files
@@ -21,6 +22,11 @@ def op1_exact_dedup(spark, sf_dir):
     return _dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_lattice_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _lattice_lm.score_documents(docs, in_fold("doc_id", 10, 0), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return _bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -66,6 +72,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lattice_lm": op2_lattice_lm,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
