@@ -29,9 +29,9 @@ _EDGE = 65_535
 #: The map's two tables have these many places; primes, so that keys spread.
 PRIMES = (230_003, 285_007)
 #: A block of whole documents closes at so many characters.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 3_000_000
 #: Pieces a task keeps numbers for.
-KEEP_PIECES = 700_000
+KEEP_PIECES = 500_000
 #: Longer pieces (no white space for kilobytes) would take the square of their length
 #: in a fold that copies its state; a heap takes them in the Python stage.
 FOLD_BYTES = 2_048
@@ -90,13 +90,17 @@ def _fold_sql() -> str:
     start = f"concat(transform(w, b -> get({of_byte}, b)), array({_EDGE}L))"
     paired = f"transform(i, (a, j) -> IF(j + 1 < size(i), {rank('a', 'get(i, j + 1)')}, {NONE}L) * 65536L + a)"
     begin = bind(start, "i", paired)
-    lowest = "array_min(transform(s, (v, j) -> v - (v & 65535L) + j))"  # the leftmost such pair, as rank << 16 | place
-    right = f"{rank('m', '(get(s, q + 2) & 65535L)')} * 65536L + m"
+    # the state also has the leftmost lowest pair, as rank << 16 | place; settled pieces pass the other steps by
+    def state(s: str) -> str:
+        return f"struct({s} AS s, array_min(transform({s}, (v, j) -> v - (v & 65535L) + j)) AS l)"
+
+    begin = bind(begin, "s", state("s"))
+    right = f"{rank('m', '(get(t.s, q + 2) & 65535L)')} * 65536L + m"
     left = f"{rank('u', 'm')} * 65536L + u"
-    merged = f"transform(filter(s, (v, j) -> j <> q + 1), (v, j) -> IF(j = q, {right}, IF(j + 1 = q, {bind('v & 65535L', 'u', left)}, v)))"
-    merged = bind("shiftright(l, 16)", "m", bind("cast(l & 65535L as int)", "q", merged))
-    step = bind(lowest, "l", f"IF(l >= {NONE << 16}L, s, {merged})")
-    folded = f"aggregate(slice(w, 2, size(w)), {begin}, (s, _) -> {step}, s -> transform(slice(s, 1, size(s) - 1), v -> cast(v & 65535L as int)))"
+    merged = f"transform(filter(t.s, (v, j) -> j <> q + 1), (v, j) -> IF(j = q, {right}, IF(j + 1 = q, {bind('v & 65535L', 'u', left)}, v)))"
+    merged = bind("shiftright(t.l, 16)", "m", bind("cast(t.l & 65535L as int)", "q", bind(merged, "s", state("s"))))
+    step = f"IF(t.l >= {NONE << 16}L, t, {merged})"
+    folded = f"aggregate(slice(w, 2, size(w)), {begin}, (t, _) -> {step}, t -> transform(slice(t.s, 1, size(t.s) - 1), v -> cast(v & 65535L as int)))"
     decoded = f"aggregate(ids, cast('' as binary), (d, i) -> concat(d, get({tokens}, i)))"
     each = f"transform(words, w -> {bind(folded, 'ids', f'struct(ids, {decoded} AS decoded)')})"
     # concat makes an object array of a table, whose elements are far quicker to get
