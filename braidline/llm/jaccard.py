@@ -3,8 +3,11 @@
 A document's set holds hashes (64 bits) of its distinct five-word shingles. Equal sets
 form a class, of which only the smallest id goes on. Two sets with a Jaccard similarity
 of ``num``/``den`` or more share a token among the first n - ceil(n * num / den) + 1 of
-each, in any one order of all tokens; tokens that recur come last in that order, so
-that documents which merely share a passage do not meet. Documents that share such a
+each, in any one order of all tokens; tokens that recur come last in that order, the
+commoner the later, so that documents which merely share a passage do not meet. What
+recurs is counted over all documents: stretches of the table send their tokens in
+blobs, one a range of token keys, and a bitmap of fixed size over the keys (28 bits)
+tells recurring ones; keys that clash only change the order, never a link. Documents that share such a
 token are in one candidate cluster (components over one edge a document and token, to
 the token's smallest document); most are in none.
 
@@ -35,6 +38,8 @@ from .tokens import chunks
 
 WORDS = 5
 MU = 0.0085  # DivideSkip's weight of a probe against a merge step
+KEY_BITS = 28
+HEAVY = 24  # counts from which a token's documents are dealt out by salts
 _C1, _C2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _P, _Q = 0x100000001B3, 0x9E3779B97F4A7C15
 
@@ -108,20 +113,33 @@ def _read(batches):
             yield b.column(0).slice(i, j - i), texts[i:j]
 
 
-def _signatures(batches):
-    """A row a document (id, set size, 128-bit set hash), and a row a token that recurs
-    among the different sets of a stretch of the table, with its count."""
+def token_key(tokens):
     import numpy as np
 
-    held, seen, size = [], set(), 0
+    return (tokens.view("u8") >> np.uint64(64 - KEY_BITS)).astype("u4")
+
+
+def _signatures(batches, range_bits: int):
+    """A row a document (id, set size, 128-bit set hash), and for each stretch of the
+    table a row a range of token keys: the keys of its different sets, those that recur
+    in it twice, in order and as differences."""
+    import numpy as np
 
-    def recurring():
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        tokens, n = tokens[n > 1], n[n > 1]
-        none = pa.nulls(len(tokens), pa.int64())
-        return pa.record_batch([none, none, none, none, pa.array(tokens.view("i8")), pa.array(n)], names)
+    held, seen, size = [], set(), 0
+    names = ["id", "n", "h1", "h2", "part", "blob"]
+
+    def keys_seen():
+        keys, n = np.unique(token_key(np.concatenate(held)), return_counts=True)
+        keys = np.repeat(keys, np.minimum(n, 2))
+        cuts = np.searchsorted(keys, np.arange(1 << range_bits, dtype="u8") << np.uint64(KEY_BITS - range_bits))
+        parts, blobs = [], []
+        for part, some in enumerate(np.split(keys, cuts[1:])):
+            if len(some):
+                parts.append(part)
+                blobs.append(np.diff(some, prepend=np.uint32(part << (KEY_BITS - range_bits))).astype("<u4").tobytes())
+        none = pa.nulls(len(parts), pa.int64())
+        return pa.record_batch([none, none, none, none, pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names)
 
-    names = ["id", "n", "h1", "h2", "token", "times"]
     for ids, texts in _read(batches):
         keys, counts = shingle_sets(texts)
         ends = np.cumsum(counts)
@@ -131,18 +149,81 @@ def _signatures(batches):
         if some.any():
             sums[0, some] = np.add.reduceat(_mix(keys + np.uint64(_C1)), begin[some])
             sums[1, some] = np.add.reduceat(_mix(keys ^ np.uint64(_C2)), begin[some])
-        none = pa.nulls(len(counts), pa.int64())
-        yield pa.record_batch([ids, pa.array(counts), pa.array(sums[0].view("i8")), pa.array(sums[1].view("i8")), none, none], names)
+        n = len(counts)
+        yield pa.record_batch([ids, pa.array(counts), pa.array(sums[0].view("i8")), pa.array(sums[1].view("i8")), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
         for i, h in enumerate(sums[0].tolist()):
-            if h not in seen:
+            if counts[i] and h not in seen:
                 seen.add(h)
                 held.append(keys[begin[i] : ends[i]])
                 size += counts[i]
         if size > 2_000_000:
-            yield recurring()
+            yield keys_seen()
             held, seen, size = [], set(), 0
     if held:
-        yield recurring()
+        yield keys_seen()
+
+
+def _recurring(range_bits: int, most_heavy: int):
+    """For each range: its piece of the bitmap, and its keys of HEAVY and more counts."""
+
+    def run(key, rows):
+        import zlib
+
+        import numpy as np
+
+        part = key[0].as_py()
+        base = part << (KEY_BITS - range_bits)
+        keys = np.concatenate([np.cumsum(np.frombuffer(x, "<u4"), dtype="u4") + np.uint32(base) for x in rows.column("blob").to_pylist()])
+        keys, n = np.unique(keys, return_counts=True)
+        bits = np.zeros(1 << (KEY_BITS - range_bits), bool)
+        bits[keys[n > 1] - np.uint32(base)] = True
+        heavy = n >= HEAVY
+        order = np.argsort(-n[heavy], kind="stable")[:most_heavy]
+        lists = [np.ascontiguousarray(x[heavy][order]).astype("i8") for x in (keys, n)]
+        return pa.table({"part": [part], "bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], "heavy": pa.array([lists[0].tolist()], pa.list_(pa.int64())), "times": pa.array([lists[1].tolist()], pa.list_(pa.int64()))})
+
+    return run
+
+
+class Order:
+    """How late each token comes: 0 if it does not recur, else 1, else its count."""
+
+    def __init__(self, rows, range_bits: int):
+        import zlib
+
+        import numpy as np
+
+        size = 1 << (KEY_BITS - range_bits - 3)
+        self.bits = np.zeros(1 << (KEY_BITS - 3), "u1")
+        for r in rows:
+            self.bits[r.part * size : (r.part + 1) * size] = np.frombuffer(zlib.decompress(r.bits), "u1")
+        heavy = np.array([x for r in rows for x in r.heavy], "u4")
+        times = np.array([x for r in rows for x in r.times], "i4")
+        order = np.argsort(heavy)
+        self.heavy, self.times = heavy[order], times[order]
+
+    def __getstate__(self):
+        import zlib
+
+        return {"heavy": self.heavy, "times": self.times, "packed": zlib.compress(self.bits.tobytes(), 1)}
+
+    def __setstate__(self, state):
+        import zlib
+
+        import numpy as np
+
+        self.bits = np.frombuffer(zlib.decompress(state.pop("packed")), "u1")
+        self.__dict__.update(state)
+
+    def weights(self, tokens):
+        import numpy as np
+
+        keys = token_key(tokens)
+        out = (self.bits[keys >> np.uint32(3)] >> (keys & np.uint32(7)).astype("u1") & 1).astype("i4")
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, keys), len(self.heavy) - 1)
+            out = np.where(self.heavy[at] == keys, self.times[at], out)
+        return out
 
 
 def required(n, num: int, den: int):
@@ -266,7 +347,7 @@ def _sets_of(texts):
 
 
 def jaccard_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, frequent: int = 2_000_000, shard_docs: int = 500
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, shard_docs: int = 500
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id.
 
@@ -274,18 +355,16 @@ def jaccard_components(
     null component. Rows that share an id are one document. Empty tables give no rows;
     other columns are ignored."""
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    both = materialise(picked.mapInArrow(_signatures, "id long, n long, h1 long, h2 long, token long, times long"), "jaccard-sets")
-    signed = both.where(F.col("token").isNull()).select("id", "n", "h1", "h2")
+    range_bits = min(16, max(6, (docs.count() // 1000).bit_length()))
+    both = picked.mapInArrow(lambda b: _signatures(b, range_bits), "id long, n long, h1 long, h2 long, part long, blob binary")
+    both = materialise(both, "jaccard-sets")
+    signed = both.where(F.col("part").isNull()).select("id", "n", "h1", "h2")
     classes = signed.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     classes = materialise(classes, "jaccard-classes")
-    # an order of tokens costs speed only, never a link, so this much of it is enough
-    recur = both.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times"))
-    import numpy as np
-
-    top = recur.orderBy(F.desc("times"), "token").limit(frequent).select("token", "times").toArrow()
-    tokens, times = np.asarray(top.column(0)), np.asarray(top.column(1))
-    order = np.argsort(tokens, kind="stable")
-    tokens, times = tokens[order], times[order].astype("i4")
+    # bounded: a bitmap of 2 ** KEY_BITS bits, and 2 ** 18 keys at most
+    ranges = both.where(F.col("part").isNotNull()).select("part", "blob").groupBy("part")
+    ranges = ranges.applyInArrow(_recurring(range_bits, max(1, (1 << 18) >> range_bits)), "part long, bits binary, heavy array<long>, times array<long>")
+    order_of = Order(ranges.collect(), range_bits)
     salts = 64
 
     def postings(batches):
@@ -294,16 +373,14 @@ def jaccard_components(
         for ids, texts in _read(batches):
             keys, counts = shingle_sets(texts)
             v = keys.view("i8")
-            at = np.searchsorted(tokens, v)
-            at[at == len(tokens)] = 0
-            weight = np.where(tokens[at] == v, times[at], 0) if len(tokens) else np.zeros(len(v), "i4")
+            weight = order_of.weights(v)
             owner = np.repeat(np.arange(len(counts)), counts)
             order = np.lexsort((v, weight, owner))
             rank = np.arange(len(v)) - np.repeat(np.cumsum(counts) - counts, counts)
             keep = rank < np.repeat(counts - required(counts, num, den) + 1, counts)
             chosen = order[keep]
             node = np.asarray(ids)[owner[chosen]]
-            salt = np.where(weight[chosen] > 0, (node.view("u8") * np.uint64(_Q) >> np.uint64(58)).astype("i8") % salts + 1, 0)
+            salt = np.where(weight[chosen] >= HEAVY, (node.view("u8") * np.uint64(_Q) >> np.uint64(58)).astype("i8") % salts + 1, 0)
             yield pa.record_batch([pa.array(v[chosen]), pa.array(node), pa.array(salt)], ["token", "node", "salt"])
 
     reps = classes.select(F.col("rep").alias("id")).distinct()
