@@ -3,8 +3,10 @@
 A word's lattice has an arc for every piece of an existing vocabulary that spells part
 of it (bytes where no piece fits). The vocabulary's scores are ranks; a piece weighs
 1 / (rank + SHIFT), normalised apart for pieces that begin a word and those that go on,
-and after each piece the word stops with probability STOP. A forward recursion in log
-space sums all segmentations: the marginal P_lat(word), a distribution over all words.
+and after each piece the word stops with probability STOP. These weights are a prior of
+PRIOR pieces for one round of expectation maximisation over all training words met
+once, which stand for words not met at all. A forward recursion in log space then sums
+all segmentations: the marginal P_lat(word), a distribution over all words.
 
 Counts from the training documents go on top: P(w) = (c(w) + a P_lat(w)) / (N + a) with
 a the number of words met once; then, as a document keeps to one kind of text,
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .tokens import chunks
 
-STOP, SHIFT, P_END = 0.3, 10.0, 0.01
+STOP, SHIFT, P_END, PRIOR = 0.3, 10.0, 0.01, 1000.0
+SCALE = 30.0  # a letter's weight in the expectations, which cancels; it keeps them in range
 END = b" "  # no word holds a space
 MARK = "▁"
 BLOCK_WORDS, BLOCK_CHARS = 300_000, 16_000_000
@@ -61,10 +64,77 @@ class Lattice:
         low = 1 / (n + SHIFT) / total
         self.bytes = {b: math.log(self.bytes.get(b, low * total) / total) for b in range(256)}
         self.longest = max(map(len, [*begin, *follow]))
+        self.stop = math.log(STOP)
+        self.go = math.log(1 - STOP)
+
+    def expected(self, words, counts: dict) -> int:
+        """Adds each word's expected pieces to ``counts`` (piece, or byte, and whether it
+        begins the word); returns the number of words. Words of over a thousand letters
+        may leave the range of numbers and then add nothing."""
+        exp, n_words = math.exp, 0
+        begin = {p: exp(w) * SCALE ** len(p) for p, w in self.begin.items()}
+        follow = {p: exp(w + self.go) * SCALE ** len(p) for p, w in self.follow.items()}
+        raw = {b: exp(w + self.go) for b, w in self.bytes.items()}
+        stop, longest = exp(self.stop), self.longest
+        for word in words:
+            text = MARK + word
+            n = len(text)
+            ahead, arcs = [0.0] * (n + 1), []
+            ahead[0] = 1.0
+            for i in range(n):
+                a = ahead[i]
+                if not a:
+                    continue
+                get = (follow if i else begin).get
+                for j in range(i + 1, min(n, i + longest) + 1):
+                    piece = text[i:j]
+                    w = get(piece)
+                    if w is not None:
+                        ahead[j] += a * w
+                        arcs.append((i, j, piece, w))
+                if i:
+                    w = SCALE
+                    for b in text[i].encode("utf-8", "surrogatepass"):
+                        w *= raw[b]
+                    ahead[i + 1] += a * w
+                    arcs.append((i, i + 1, None, w))
+            total = ahead[n] * stop
+            if not 1e-280 < total < 1e280:
+                continue
+            n_words += 1
+            behind = [0.0] * (n + 1)
+            behind[n] = stop / total
+            for i, j, piece, w in reversed(arcs):
+                w *= behind[j]
+                behind[i] += w
+                w *= ahead[i]
+                if piece is not None:
+                    key = (piece, not i)
+                    counts[key] = counts.get(key, 0.0) + w
+                else:
+                    for b in text[i].encode("utf-8", "surrogatepass"):
+                        counts[(b, False)] = counts.get((b, False), 0.0) + w
+        return n_words
+
+    def adapted(self, counts: dict, n_words: float) -> "Lattice":
+        """A lattice with weights by ``counts`` on top of this one's as the prior."""
+        import copy
+
+        out = copy.copy(self)
+        n_begin = sum(x for (_, first), x in counts.items() if first)
+        n_follow = sum(x for (_, first), x in counts.items() if not first)
+
+        def fit(table, first, total):
+            return {p: math.log((counts.get((p, first), 0.0) + PRIOR * math.exp(w)) / (total + PRIOR)) for p, w in table.items()}
+
+        out.begin, out.follow, out.bytes = fit(self.begin, True, n_begin), fit(self.follow, False, n_follow), fit(self.bytes, False, n_follow)
+        stop = (n_words + PRIOR * STOP) / (n_begin + n_follow + PRIOR)
+        out.stop, out.go = math.log(stop), math.log(1 - stop)
+        return out
 
     def log_probability(self, word: str) -> float:
         text = MARK + word
-        n, go = len(text), math.log(1 - STOP)
+        n, go = len(text), self.go
         ahead: list[float | None] = [None] * (n + 1)
         ahead[0] = 0.0
         log1p, exp = math.log1p, math.exp
@@ -85,7 +155,7 @@ class Lattice:
                 raw = text[i].encode("utf-8", "surrogatepass")
                 new, old = a + sum(map(self.bytes.__getitem__, raw)) + go * (len(raw) - 1), ahead[i + 1]
                 ahead[i + 1] = new if old is None else max(old, new) + log1p(exp(-abs(old - new)))
-        return ahead[n] + math.log(STOP)
+        return ahead[n] + self.stop
 
     def word(self, raw: bytes) -> float:
         """log P_lat of a word or the end, as raw bytes."""
@@ -173,32 +243,51 @@ def score_documents(
     rows = materialise(rows, "lattice-blocks")
     words = rows.where(F.col("word").isNotNull()).select("block", "number", "word", *cols)
     by_word = Window.partitionBy("word")
-    met = words.select("word", "block", "number", *[F.sum(c).over(by_word).alias(c) for c in cols])
+    first = F.row_number().over(by_word.orderBy("block")) == 1
+    met = words.select("word", "block", "number", *[F.sum(c).over(by_word).alias(c) for c in cols], first.alias("first"))
+    met = materialise(met, "lattice-words")
+    every = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
+    ask = [F.sum(c).alias(f"n_{c}") for c in cols] + [F.sum((F.col(c) == 1).cast("long")).alias(f"once_{c}") for c in cols]
+    t = met.where("first").agg(F.sum((every > 0).cast("long")).alias("v"), F.sum((every == 1).cast("long")).alias("once"), *ask).first().asDict()
+    t = {k: v or 0 for k, v in t.items()}
+    n_class = [t[f"n_{c}"] for c in cols]
+    n, v, a = sum(n_class), t["v"], max(1, t["once"])
+    b_class = [max(1, t[f"once_{c}"]) for c in cols]
+    floor = n + 0.1 * (v + 1)
+
+    prior = lattice(path)
+    once = met.where(F.col("first") & (every == 1) & (F.col("word") != F.lit(END))).select("word")
+
+    def expect(batches):
+        counts, n = {}, 0
+        for b in batches:
+            n += lattice(path).expected((w.decode("utf-8", "replace") for w in b.column(0).to_pylist()), counts)
+        text, byte, begins, weight = [None], [None], [None], [float(n)]
+        for (piece, first), w in counts.items():
+            text.append(piece if isinstance(piece, str) else None)
+            byte.append(piece if isinstance(piece, int) else None)
+            begins.append(first)
+            weight.append(w)
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.float64()]
+        yield pa.record_batch([pa.array(x, k) for x, k in zip((text, byte, begins, weight), kinds)], ["piece", "byte", "begins", "weight"])
+
+    # at most two rows a piece of the vocabulary reach the driver
+    fitted = once.mapInArrow(expect, "piece string, byte long, begins boolean, weight double").groupBy("piece", "byte", "begins").agg(F.sum("weight").alias("weight")).collect()
+    n_once = sum(r.weight for r in fitted if r.begins is None)
+    model = prior.adapted({(r.byte if r.piece is None else r.piece, r.begins): r.weight for r in fitted if r.begins is not None}, n_once)
 
     def lattices(batches):
         last, value = None, 0.0
-        model = lattice(path)
         for b in batches:
-            first, spelled = [], []
+            spelled = []
             for w in b.column(0).to_pylist():
                 if w != last:
                     last, value = w, model.word(w)
-                    first.append(True)
-                else:
-                    first.append(False)
                 spelled.append(value)
-            yield pa.record_batch(b.columns[1:] + [pa.array(first), pa.array(spelled)], ["block", "number", *cols, "first", "spelled"])
+            yield pa.record_batch(b.columns[1:] + [pa.array(spelled)], ["block", "number", *cols, "spelled"])
 
-    totals_schema = "block string, number long, " + ", ".join(f"{c} long" for c in cols) + ", first boolean, spelled double"
-    met = materialise(met.mapInArrow(lattices, totals_schema), "lattice-words")
-    every = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
-    ask = [F.sum(c).alias(f"n_{c}") for c in cols] + [F.sum((F.col(c) == 1).cast("long")).alias(f"once_{c}") for c in cols]
-    t = met.where("first").agg(F.sum((every > 0).cast("long")).alias("v"), F.sum((every == 1).cast("long")).alias("once"), *ask).first().asDict()
-    t = {k: v or 0 for k, v in t.items()}
-    n_class = [t[f"n_{c}"] for c in cols]
-    n, v, a = sum(n_class), t["v"], max(1, t["once"])
-    b_class = [max(1, t[f"once_{c}"]) for c in cols]
-    floor = n + 0.1 * (v + 1)
+    spelled_schema = "block string, number long, " + ", ".join(f"{c} long" for c in cols) + ", spelled double"
+    spelled = met.drop("first").mapInArrow(lattices, spelled_schema)
 
     def score(key, docs, words):
         import numpy as np
@@ -228,7 +317,7 @@ def score_documents(
     out_names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     out_types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     documents = rows.where(F.col("word").isNull()).select("block", "doc_id", "held_out", "n_tokens", "at", "times")
-    scored = documents.groupBy("block").cogroup(met.drop("first").groupBy("block")).applyInArrow(
+    scored = documents.groupBy("block").cogroup(spelled.groupBy("block")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored
