@@ -29,9 +29,9 @@ _EDGE = 65_535
 #: The map's two tables have these many places; primes, so that keys spread.
 PRIMES = (230_003, 285_007)
 #: A block of whole documents closes at so many characters.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 1_500_000
 #: Pieces a task keeps numbers for.
-KEEP_PIECES = 500_000
+KEEP_PIECES = 750_000
 #: Longer pieces (no white space for kilobytes) would take the square of their length
 #: in a fold that copies its state; a heap takes them in the Python stage.
 FOLD_BYTES = 2_048
