@@ -347,7 +347,7 @@ def _sets_of(texts):
 
 
 def jaccard_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, shard_docs: int = 500
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, shard_docs: int = 2_000
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id.
 
