@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import core, graphs
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for part in (core, graphs):
+    QUERIES.update(part.QUERIES)
+    ORACLES.update(part.ORACLES)
