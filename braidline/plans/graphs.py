@@ -228,8 +228,8 @@ def gap_sizes(spark, sf_dir):
     return partition.gap_sizes(cells(spark, sf_dir))
 
 
-@query(f"""WITH {_CELLS}, f AS (SELECT i // 10 AS block, i * 10 + j AS at, n FROM cells), l AS (SELECT *, lag(n) OVER (PARTITION BY block ORDER BY at) AS p, lag(at) OVER (PARTITION BY block ORDER BY at) AS pa FROM f)
-SELECT block, round(sum(CASE WHEN at - pa = 1 THEN least(n, p) ELSE 0 END) / sum(n), 6) AS mins, round(sum(CASE WHEN at - pa = 1 THEN greatest(n, p) ELSE 0 END) / sum(n), 6) AS maxs FROM l GROUP BY block""")
+@query(f"""WITH {_CELLS}, f AS (SELECT i // 10 AS block, i * 10 + j AS spot, n FROM cells), l AS (SELECT *, lag(n) OVER (PARTITION BY block ORDER BY spot) AS p, lag(spot) OVER (PARTITION BY block ORDER BY spot) AS pa FROM f)
+SELECT block, round(sum(CASE WHEN spot - pa = 1 THEN least(n, p) ELSE 0 END) / sum(n), 6) AS mins, round(sum(CASE WHEN spot - pa = 1 THEN greatest(n, p) ELSE 0 END) / sum(n), 6) AS maxs FROM l GROUP BY block""")
 def adjacent_bins(spark, sf_dir):
     c = cells(spark, sf_dir).withColumn("block", F.floor(F.col("i") / 10).cast("long"))
     out = partition.adjacent_sums(c, ["block"], 10)
@@ -255,8 +255,8 @@ def mutual_top_links(spark, sf_dir):
 s AS (SELECT collection, slice, count(*) AS n FROM part_k GROUP BY ALL), base AS (SELECT collection, sum(n)::BIGINT AS node_count, avg(n) / (1 + coalesce(stddev_samp(n), 0)) AS compactness FROM s GROUP BY 1),
 g AS (SELECT collection, j - lag(j) OVER (PARTITION BY collection, i ORDER BY j) AS gap FROM cells), h AS (SELECT collection, gap, count(*) AS c FROM g WHERE gap IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, c / sum(c) OVER (PARTITION BY collection) AS p FROM h), e AS (SELECT collection, 1 - sum(p * ln(p)) AS gap_entropy, sum(gap * p) AS gap_size FROM p GROUP BY 1),
-f AS (SELECT collection, i * 10 + j AS at, n FROM cells), l AS (SELECT *, lag(n) OVER w AS pn, lag(at) OVER w AS pa FROM f WINDOW w AS (PARTITION BY collection ORDER BY at)),
-a AS (SELECT collection, 1 + sum(CASE WHEN at - pa = 1 THEN least(n, pn) ELSE 0 END) / sum(n) AS adjacents_min FROM l GROUP BY 1)
+f AS (SELECT collection, i * 10 + j AS spot, n FROM cells), l AS (SELECT *, lag(n) OVER w AS pn, lag(spot) OVER w AS pa FROM f WINDOW w AS (PARTITION BY collection ORDER BY spot)),
+a AS (SELECT collection, 1 + sum(CASE WHEN spot - pa = 1 THEN least(n, pn) ELSE 0 END) / sum(n) AS adjacents_min FROM l GROUP BY 1)
 SELECT collection, node_count, round(compactness, 6) AS compactness, round(node_count * compactness / gap_entropy / gap_size * adjacents_min, 4) AS rating FROM base JOIN e USING (collection) JOIN a USING (collection)""")
 def sequence_rating(spark, sf_dir):
     p = slices(spark, sf_dir)
@@ -355,15 +355,15 @@ def pattern_sliding_pairs(spark, sf_dir):
     return patterns.sliding_pairs(s, "pid", "t", "l", 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("""WITH p AS (SELECT l_orderkey % 40 AS song, l_linenumber AS t, l_suppkey % 12 AS y FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1992-06-01')), q AS (SELECT DISTINCT * FROM p)
+@query("""WITH p AS (SELECT l_orderkey % 400 AS song, l_linenumber AS t, l_suppkey % 12 AS y FROM lineitem WHERE l_quantity > 45), q AS (SELECT DISTINCT * FROM p)
 SELECT a.song, b.t - a.t AS dt, b.y - a.y AS dy, count(*) AS n, min(a.t) AS first FROM q a JOIN q b ON a.song = b.song AND (b.t > a.t OR (b.t = a.t AND b.y > a.y)) GROUP BY ALL HAVING count(*) >= 2""")
 def sia_vectors(spark, sf_dir):
     return align.difference_vectors(_points(spark, sf_dir), "song")
 
 
 def _points(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").where("l_shipdate < TIMESTAMP_NTZ '1992-06-01'")
-    return p.select((F.col("l_orderkey") % 40).alias("song"), F.col("l_linenumber").alias("t"), (F.col("l_suppkey") % 12).alias("y")).distinct()
+    p = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    return p.select((F.col("l_orderkey") % 400).alias("song"), F.col("l_linenumber").alias("t"), (F.col("l_suppkey") % 12).alias("y")).distinct()
 
 
 @query()

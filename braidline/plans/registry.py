@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, graphs
+from . import core, graphs, models
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (core, graphs):
+for part in (core, graphs, models):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
