@@ -21,13 +21,13 @@ def whole_files(spark: SparkSession, path: str, suffix: str | None = None) -> Da
 def repaired(text: Column) -> Column:
     """JSON whose strings hold bare quotes or lone backslashes: quotes that neither open
     nor close a string, and backslashes before no escape, are escaped."""
-    out = F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
-    return F.regexp_replace(out, r'(?<![\[{,:\\\s])"(?!\s*[,:}\]])', r'\\\\"')
+    out = F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\")
+    return F.regexp_replace(out, r'(?<![\[{,:]\s{0,8})(?<!\\)"(?!\s*[,:}\]])', r'\\"')
 
 
 def jams_events(files: DataFrame) -> DataFrame:
     """version, i, time, duration, value; files that are no JSON give no rows."""
-    parsed = F.coalesce(F.from_json("text", JAMS), F.from_json(repaired(F.col("text")), JAMS))
+    parsed = F.from_json(repaired(F.col("text")), JAMS)
     d = files.select("version", F.posexplode(parsed["annotations"][0]["data"]).alias("i", "e"))
     return d.select("version", F.col("i").cast("long").alias("i"), "e.time", "e.duration", "e.value")
 
@@ -70,7 +70,7 @@ def annotations(files: DataFrame) -> DataFrame:
     """version, i, start, labels of section annotations (time, comma-separated labels);
     apostrophes are left out."""
     lines = files.select("version", F.posexplode(F.split("text", r"\r?\n")).alias("i", "line")).where("line LIKE '%\t%'")
-    labels = F.transform(F.split(F.regexp_replace(F.split("line", "\t")[1], "'", ""), ","), F.trim)
+    labels = F.transform(F.split(F.regexp_replace(F.split("line", "\t")[1], "'", ""), ","), lambda x: F.trim(x))
     return lines.select("version", "i", F.split("line", "\t")[0].cast("double").alias("start"), labels.alias("labels"))
 
 
