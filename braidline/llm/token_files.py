@@ -64,45 +64,48 @@ def unpack(control: bytes, data: bytes, n: int):
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens and ids with the end id; two bytes an id where the vocabulary
-    allows, as its ids cross the network once."""
+    """doc_id, n_tokens and ids with the end id (two bytes an id where the vocabulary
+    allows, as its ids cross the network once); and a last row a task whose ``counts``
+    are the task's counts by id."""
 
     def run(batches):
         import numpy as np
 
         code = encoder(path)
         size = np.dtype(code.dtype).itemsize
-        end = np.array([end_id], code.dtype).tobytes()
+        end, names = np.array([end_id], code.dtype).tobytes(), ["doc_id", "n_tokens", "ids", "counts"]
+        total = np.zeros(max(end_id + 1, code.library.get_vocab_size()), "i8")
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for i, j in chunks(texts):
                 ids = [x + end for x in code.encode(texts[i:j])]
-                yield pa.record_batch(
-                    [b.column(0).slice(i, j - i), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+                total += np.bincount(np.frombuffer(b"".join(ids), code.dtype), minlength=len(total))
+                n = pa.array([len(x) // size for x in ids], pa.int64())
+                yield pa.record_batch([b.column(0).slice(i, j - i), n, pa.array(ids, pa.binary()), pa.nulls(j - i, pa.binary())], names)
+        none = pa.nulls(1, pa.int64())
+        yield pa.record_batch([none, none, pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
-def id_ranks(tokens: DataFrame, dtype: str):
+def id_ranks(tokens: DataFrame):
     """All ids by descending count, ties to the smaller id. The counts are bounded by
-    the vocabulary; each task sends one count an id it met."""
+    the vocabulary."""
 
     def count(batches):
         import numpy as np
 
-        total = np.zeros(0, "i8")
+        total = None
         for b in batches:
-            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype))
-            if len(got) > len(total):
-                total = np.pad(total, (0, len(got) - len(total)))
-            total[: len(got)] += got
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for x in b.column(0).to_pylist():
+                got = np.frombuffer(x, "<i8")
+                total = got.copy() if total is None else total + got
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+    counts = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return [r.id for r in counts.orderBy(F.desc("n"), "id").select("id").collect()]
 
 
@@ -113,7 +116,7 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 2, id_col: st
     tokens = materialise(tokenised(docs, path, end_id, id_col, text_col), "tokens")
     dtype = encoder(path).dtype
     size = int(dtype[-1])
-    ranks = id_ranks(tokens, dtype)
+    ranks = id_ranks(tokens)
     folder = fresh_path(spark, "token-files")
     store, at = open_store(folder)
     store.create_dir(at, recursive=True)
@@ -159,7 +162,7 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 2, id_col: st
         row = [[part], [url], [n_docs], [n_tokens]]
         yield pa.record_batch([pa.array(x) for x in row], ["part", "url", "n_docs", "n_tokens"])
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = tokens.where("counts IS NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     manifest = materialise(ordered.mapInArrow(write, "part long, url string, n_docs long, n_tokens long"), "token-manifest")
     return folder, [r for r in manifest.orderBy("part").collect() if r.n_docs]
 
