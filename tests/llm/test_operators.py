@@ -1,0 +1,323 @@
+"""The corpus operators against brute force, round trips and odd inputs."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from braidline.llm import byte_bpe, exact_dedup, jaccard, language, lattice_lm, neighbours, packing, token_files, tokens, toxicity, warc
+
+WORDS = "the of and to in that is was for with on as at by it from or an be this".split()
+DOCS = "doc_id long, text string, lang string, _id long, _slot int, id string"
+
+
+def docs(spark, rows):
+    """Documents with columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(k, t, "en", 1, 2, "x") for k, t in rows], DOCS)
+
+
+ODD = [(1, "A  b\tc"), (2, "A b c"), (3, None), (4, ""), (5, "é È\x0b x"), (6, "A b c"), (None, "A b c"), (None, "lone"), (7, "word " * 3000), (8, "x" * 6000), (8, "again, 8"), (9, " \n ")]
+
+
+def squeeze(x):
+    out = "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in x or "")
+    while "  " in out:
+        out = out.replace("  ", " ")
+    return out
+
+
+def test_exact_dedup(spark):
+    got = exact_dedup.exact_dedup(docs(spark, ODD), bits=4).collect()
+    groups = collections.defaultdict(list)
+    for k, t in ODD:
+        groups[squeeze(t)].append(k)
+    want = collections.Counter()
+    for k, t in ODD:
+        ids = [x for x in groups[squeeze(t)] if x is not None]
+        keep = min(ids) if ids else None
+        want[(k, keep, len(groups[squeeze(t)]), k is not None and k == keep, hashlib.sha256(squeeze(t).encode()).hexdigest())] += 1
+    assert collections.Counter(map(tuple, got)) == want
+    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+
+
+def brute_lattice(model, word):
+    text, out = lattice_lm.MARK + word, []
+
+    def go(i, lp):
+        if i == len(text):
+            out.append(lp + model.stop)
+            return
+        lp += model.go if i else 0
+        for j in range(i + 1, len(text) + 1):
+            w = (model.follow if i else model.begin).get(text[i:j])
+            if w is not None:
+                go(j, lp + w)
+        if i:
+            raw = text[i].encode()
+            go(i + 1, lp + sum(model.bytes[b] for b in raw) + model.go * (len(raw) - 1))
+
+    go(0, 0.0)
+    top = max(out)
+    return top + math.log(sum(math.exp(x - top) for x in out))
+
+
+@pytest.mark.parametrize("word", ["a", "the", "tion", "ñé", "xqzj", "日", "walking"])
+def test_lattice(word):
+    model = lattice_lm.lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    assert math.isclose(model.log_probability(word), brute_lattice(model, word), rel_tol=1e-9)
+    counts = {}
+    assert model.expected([word], counts) == 1
+    fitted = model.adapted(counts, 1)
+    assert fitted.log_probability(word) > model.log_probability(word)
+    assert math.isclose(sum(map(math.exp, fitted.begin.values())), 1, rel_tol=1e-9)
+
+
+def test_lattice_scores(spark):
+    rnd = random.Random(1)
+    rows = [(i, " ".join(rnd.choice(WORDS) for _ in range(40))) for i in range(60)] + [(100, None), (101, "NEVERseen " * 3), (None, "of")]
+    held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
+    got = lattice_lm.score_documents(docs(spark, rows), held, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    cut = {k: (t or "").lower().split() + [" "] for k, t in rows}
+    c = collections.Counter(w for k, ws in cut.items() if not (k is not None and k % 5 == 0) for w in ws)
+    n, v = sum(c.values()), len(c)
+    assert len(got) == len(rows)
+    for r in got:
+        ws = cut[r.doc_id]
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isfinite(r.score) and r.score < 0
+    assert lattice_lm.score_documents(docs(spark, []), held, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def odd_texts(n=400):
+    rnd, pool = random.Random(5), "aZ éß \t\n.,'s'd 12 ²Σς  　\x1c\x85 日本 <|endoftext|> 😀ı  -?!"
+    return ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 50))) for _ in range(n)] + ["x" * 5000, "ab" * 3000, "", None, "Hello  world\n\n I'll"]
+
+
+def test_byte_bpe(spark):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    rows = list(enumerate(odd_texts()))
+    got = {r.doc_id: r for r in byte_bpe.encode(docs(spark, rows), path, public_tokenizers.PATTERN).collect()}
+    for k, t in rows:
+        assert got[k].ids == np.array(own.encode_ordinary(t or ""), "<u4").tobytes()
+        assert got[k].decoded == (t or "").encode()
+    assert byte_bpe.digests(docs(spark, []), path, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_piece_encoder(name):
+    e = tokens.PieceEncoder(public_tokenizers.path(name))
+    texts = [t or "" for t in odd_texts()]
+    assert e.encode(texts) == [np.array(x.ids, e.dtype).tobytes() for x in e.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_toxicity_pairs():
+    rnd, rows = random.Random(2), []
+    for i in range(900):
+        words = rnd.sample(WORDS, 6)
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        words += ["insultx"] * a + ["groupy"] * b
+        rows.append((np.unique(np.array([h for w in words for h in toxicity.hashes(w)], "<u4")).tobytes(), int(a and b), " ".join(words)))
+    model = toxicity.fit([r[:2] for r in rows[:700]])
+    right = [(s >= 0.5) == bool(y) for s, (_, y, _) in zip(model.score([r[2] for r in rows[700:]]), rows[700:])]
+    assert sum(right) / len(right) > 0.95
+    assert all(0 <= s <= 1 for s in model.score([None, "", "x" * 10000]))
+    assert toxicity.fit([]).score(["a"]) [0] < 0.5
+
+
+def test_toxicity_frames(spark):
+    d = docs(spark, [(i, "bad apple" if i % 2 else "good pear") for i in range(60)] + [(None, "bad"), (70, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(d, labels, F.lit(True))
+    got = {r.doc_id: r.s for r in d.select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
+    assert got[1] > 0.5 > got[2] and 0 <= got[70] <= 1
+    assert toxicity.train(d.limit(0), labels.limit(0), F.lit(True)).bias < 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=40))
+def test_pack_values(values):
+    control, data = token_files.pack(np.array(values, "<u4"))
+    assert token_files.unpack(control, data, len(values)).tolist() == values
+
+
+def test_token_files(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(k, t) for k, t in enumerate(odd_texts(50))][::-1] + [(None, "null id"), (7, "again")]
+    folder, manifest = token_files.write_token_files(docs(spark, rows), path, end_id=2)
+    got = token_files.read_token_files(spark, folder, manifest).collect()
+    e = tokens.PieceEncoder(path)
+    want = collections.Counter((k, np.append(np.frombuffer(e.encode([t or ""])[0], e.dtype), 2).astype("<u4").tobytes()) for k, t in rows)
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += len(r.ids) // 4
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    folder, manifest = token_files.write_token_files(docs(spark, []), path, end_id=2)
+    assert token_files.read_token_files(spark, folder, manifest).count() == 0
+
+
+def test_warc(spark):
+    big = "<p>é" + "z" * 1500
+    rows = [(1, "u1", big), (2, "u\n2", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (9, "u", "y" * 70000)]
+    rows += [(100 + i, "u", f"{random.Random(i).random()} " * 200) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    manifest = warc.write_archives(pages)
+    for split in (200, 5000, 1 << 20):
+        got = {r.page_id: r for r in warc.read_archives(manifest, split_bytes=split).collect()}
+        assert len(got) == len(rows)
+        for k, _, html in rows:
+            raw = (html or "").encode()
+            assert (got[k].payload_bytes, got[k].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+            if got[k].record_type == "response":
+                assert bytes(got[k].payload) == raw
+        assert {k for k, r in got.items() if r.record_type == "revisit"} == {1, None} and got[1].refers_to == 2
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def brute_links(rows, num=80, den=100):
+    sets = {}
+    for k, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    up = {k: k for k in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    keys = sorted(k for k in sets if sets[k])
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {k: (len(sets[k]), find(k)) for k in sets}
+
+
+@pytest.mark.parametrize("shard", [3, 1000])
+def test_jaccard(spark, shard):
+    rnd, rows = random.Random(3), []
+    base = [[rnd.choice(WORDS) + str(rnd.randint(0, 30)) for _ in range(60)] for _ in range(6)]
+    for i in range(90):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(len(w))] = "edit" + str(rnd.randint(0, 9))
+        rows.append((i, (" \n" if i % 2 else " ").join(w).upper() if i % 3 else " ".join(w)))
+    rows += [(200, None), (201, ""), (202, "one two"), (203, "ONE  two"), (204, "five words are just enough"), (205, rows[0][1]), (206, "w " * 2000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows + [(None, "five words are just enough")]), shard_docs=shard).collect()}
+    assert got.pop(None) == (1, None)
+    assert got == brute_links(rows)
+    assert jaccard.jaccard_components(docs(spark, [])).count() == 0
+
+
+def test_searcher_against_brute():
+    rnd = random.Random(9)
+    sets = [np.array(sorted(rnd.sample(range(60), rnd.randint(1, 40))), "i8") for _ in range(80)]
+    index = jaccard.Searcher(sets, 6, 10)
+    for q in sets[:30]:
+        want = [i for i, s in enumerate(sets) if 10 * len(set(q) & set(s)) >= 6 * len(set(q) | set(s))]
+        assert sorted(index.search(q)) == want
+
+
+def test_packing(spark):
+    rnd = random.Random(4)
+    lengths = [rnd.randint(1, 4096) for _ in range(3000)] + [rnd.randint(1, 300) for _ in range(3000)]
+    bins = packing.improve(packing.best_fit(lengths, 4096), lengths, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 4096 for b in bins) and len(bins) <= 1.01 * -(-sum(lengths) // 4096)
+    # three bins that fill two once documents trade places
+    assert len(packing.improve([[0], [1], [2, 3]], [7, 5, 5, 3], 10)) == 2
+    rows = [(k, t) for k, t in enumerate(odd_texts(60))] + [(None, "null id"), (3, "again"), (500, "word " * 9000)]
+    out = packing.pack_documents(docs(spark, rows), public_tokenizers.path("word_bpe_49k.json"), capacity=512).collect()
+    places = collections.defaultdict(list)
+    for r in out:
+        places[r.sequence_id].append((r.offset, r.length))
+    for p in places.values():
+        at = 0
+        for offset, n in sorted(p):
+            assert offset == at
+            at += n
+        assert at <= 512
+    e = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids = np.append(np.frombuffer(e.encode(["word " * 9000])[0], e.dtype), 1).astype("<u4")
+    mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in out if r.doc_id == 500)
+    assert mine == [(i, 512 * i, len(c), zlib.crc32(c.tobytes())) for i, c in enumerate(np.split(ids, range(512, len(ids), 512)))]
+    assert packing.pack_documents(docs(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 16)).astype("f4")
+    x[100:160] = x[100]  # a common vector
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    rows += [(1000, None, 0), (1020, [0.0] * 16, 0), (1040, [float("nan")] * 16, 0), (1060, [None] * 16, 0), (1080, [1.0, 2.0], 0), (None, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(df, F.col("_id") % 20 == 0, block_rows=100).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 600, 20))
+    hits = 0
+    y = x.astype("f8")
+    for q, found in got.items():
+        s = y @ y[q]
+        s[q] = -np.inf
+        want = set(np.lexsort((np.arange(600), -s))[:20].tolist())
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 21))
+        assert all(abs(score - s[v]) < 1e-9 for _, v, score in found)
+        hits += len(want & {v for _, v, _ in found})
+    assert hits >= 0.9 * 20 * len(got)
+    few = neighbours.nearest(df.where("vec_id < 5"), F.col("_id") % 20 == 0).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
+    assert neighbours.nearest(df.limit(0), F.col("_id") % 20 == 0).count() == 0
+
+
+def brute_marginals(emit, step):
+    import itertools
+
+    t, k = emit.shape
+    total = np.zeros((t, k))
+    for path in itertools.product(range(k), repeat=t):
+        w = math.exp(sum(emit[i, p] for i, p in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:])))
+        for i, p in enumerate(path):
+            total[i, p] += w
+    return total / total.sum(1, keepdims=True)
+
+
+def test_forward_backward():
+    rng = np.random.default_rng(2)
+    emit, step = rng.normal(size=(3, 5, 3)), rng.normal(size=(3, 3))
+    m = language.forward_backward(emit, step, np.array([5, 3, 1]))[0]
+    for i, n in enumerate((5, 3, 1)):
+        assert np.allclose(m[i, :n], brute_marginals(emit[i, :n], step)) and not m[i, n:].any()
+
+
+def test_language(spark):
+    de, en = "der die das und nicht mit sich auch werden".split(), "the and not with self also become which".split()
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice(de if i % 2 else en) + "" for _ in range(30)), "de" if i % 2 else "en") for i in range(80)]
+    rows += [(90, None, "en"), (91, "12 34 !", None), (92, "der die das", None), (None, "und nicht", "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(d, F.lit(True), per_lang=64)
+    got = {r.doc_id: r for r in d.select("doc_id", language.predict(model, F.col("text")).alias("p")).select("doc_id", "p.*").collect()}
+    assert all(got[i].lang_pred == ("de" if i % 2 else "en") for i in range(80))
+    assert (got[90].lang_pred, got[91].lang_pred, got[92].lang_pred) == ("und", "und", "de")
+    assert all(0 <= r.score <= 1 for r in got.values())
+    mixed = model.predict([" ".join(de * 5 + en * 2)])[0]
+    assert mixed[0] == "de" and mixed[1] < 0.95
+    assert language.train(d.limit(0), F.lit(True)).predict(["a"]) == [("und", 0.0)]
