@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 GRAM_BITS, WORD_BITS, ORDERS = 17, 18, 4
 CHAIN = 512
-KEEP_WORDS = 300_000
+KEEP_WORDS = 150_000
 UNKNOWN = "und"
 SLOTS = 64
 
