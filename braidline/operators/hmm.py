@@ -20,6 +20,7 @@ class ProfileOptions:
     emission_inertia: float = 0.8
     pseudocount: float = 0.2
     length: str = "median"
+    flanked: bool = False
 
 
 class ProfileModel:
@@ -40,6 +41,10 @@ class ProfileModel:
         last = self.transitions[length]
         last[:, 0], last[:, 2] = 0.0, 0.0
         last[:, 1] = [1 / 3, 1 / 3, 1 / 3]  # what remains is the end
+        if options.flanked:
+            # symbols before and after the profile cost little, so that a part may align
+            self.transitions[0, :, 1], self.transitions[0, :, 0], self.transitions[0, :, 2] = 0.9, 0.05, 0.05
+            last[:, 1] = 0.9
         self.emit = np.full((length + 1, symbols), 1 / symbols)
         self.insert = np.full((length + 1, symbols), 1 / symbols)
 

@@ -82,3 +82,37 @@ def coverage(found: DataFrame, truth: DataFrame) -> DataFrame:
     sums = first.withColumns({"share": share, "again": again}).groupBy("pattern", "gt").agg(F.sum(F.when(F.col("again"), F.col("share")).otherwise(0.0)).alias("total"))
     sizes = truth.groupBy("gt").agg(F.count("*").alias("segs"))
     return sums.join(sizes, "gt").select("pattern", "gt", (F.col("total") / F.col("segs")).alias("coverage"))
+
+
+def grid_error(onsets, offset: float, unit: float) -> float:
+    """Distances from onsets to the grid, and from grid points to the nearest onset."""
+    import numpy as np
+
+    x = np.sort(np.asarray(onsets, float))
+    grid = np.arange(offset, x[-1] + unit / 2, unit)
+    near = lambda a, b: np.abs(a[:, None] - b[None]).min(1).sum() if len(a) and len(b) else 0.0
+    return float(near(x, grid) + near(grid, x))
+
+
+def fit_grid(onsets, *, unit: float | None = None, width: int = 5, steps: int = 10, until: float = 1e-4) -> tuple[float, float]:
+    """Offset and unit of the regular grid closest to onsets: a beam over a lattice of
+    both that narrows around its best points."""
+    import numpy as np
+
+    x = np.sort(np.asarray(onsets, float))
+    if len(x) < 2:
+        return (float(x[0]) if len(x) else 0.0), 1.0
+    unit = unit or float(np.median(np.diff(x))) or 1.0
+    beam, span = [(grid_error(x, x[0], unit), float(x[0]), unit)], unit / 2
+    while span > until:
+        found = {}
+        for _, o, u in beam:
+            for a in np.linspace(-span, span, steps + 1):
+                for b in np.linspace(-span / len(x), span / len(x), steps + 1):
+                    if u + b > unit / 4:
+                        found[(o + a, u + b)] = None
+        scored = sorted((grid_error(x, o, u), o, u) for o, u in found)
+        beam = (scored + beam)[:width] if scored[0][0] > beam[0][0] else scored[:width]
+        span /= 4
+    _, offset, unit = beam[0]
+    return float(offset), float(unit)

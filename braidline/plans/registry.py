@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, graphs, models
+from . import core, extras, graphs, models
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (core, graphs, models):
+for part in (core, graphs, models, extras):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)

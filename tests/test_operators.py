@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from braidline.functions import theory
-from braidline.operators import align, classify, experiment, hmm, interval, patterns, search, structure
+from braidline.operators import align, arrays, classify, experiment, hmm, interval, patterns, search, structure
 from braidline.sources import formats
 
 
@@ -142,3 +142,26 @@ def test_formats(spark, tmp_path):
     assert got[(0, 1)] is None and got[(1, 2)] == 3
     (tmp_path / "songs.map").write_text(json.dumps({"s": {"r": [{"filename": "f1"}, {"filename": "f2"}]}}))
     assert formats.song_map(spark, str(tmp_path / "songs.map")).count() == 2
+
+
+def test_array_helpers(spark):
+    a = F.array(*map(F.lit, [1, 2, 3]))
+    sets = one(spark, arrays.powerset(a))[0]
+    assert sorted(sets) == sorted([[], [1], [2], [3], [1, 2], [1, 3], [2, 3], [1, 2, 3]])
+    b = F.array(*map(F.lit, [1, 2]))
+    assert one(spark, arrays.equal_sets(a, b), arrays.equal_sets(a, b, one_sided=True), arrays.proper_subset(b, a)) == (False, True, True)
+    m, n = F.array(*map(F.lit, [1, 1, 2])), F.array(*map(F.lit, [1, 1, 1]))
+    assert one(spark, arrays.multiset_common(m, n), arrays.multiset_union(m, n)) == (2, 4)
+    assert one(spark, arrays.unique_name(F.lit("/a/b/c.wav"))) == ("b_c_wav",)
+    assert len(arrays.combinations({"a": [1, 2], "b": [3]})) == 2
+    part = spark.createDataFrame([(0, 1, 5), (1, 1, 2), (0, 2, 9), (1, 2, 3)], "slice long, version long, time long")
+    assert [r.slice for r in arrays.in_time_order(part).orderBy("place").collect()] == [1, 0]
+    events = spark.createDataFrame([(1, 0.2, 2.6)], "v long, start double, end double")
+    grid = spark.createDataFrame([(1, float(i), i) for i in range(5)], "v long, at double, place long")
+    assert arrays.to_grid(events, grid, "v").first().places == [0, 1]
+    assert arrays.to_grid(events, grid, "v", rounded=True).first().places == [0, 1, 2]
+
+
+def test_fit_grid():
+    offset, unit = interval.fit_grid([0.52, 1.01, 1.49, 2.0, 2.52, 3.0])
+    assert abs(unit - 0.5) < 0.02 and interval.grid_error([0.5, 1.0, 1.5], 0.5, 0.5) == 0
