@@ -5,7 +5,7 @@ whole documents on, each with its distinct pieces as byte arrays and every docum
 numbers of pieces. Spark then folds the merges over each distinct piece: the state
 holds the piece's ids and the rank of each neighbouring pair; a step replaces the
 leftmost pair of lowest rank and looks up the two new neighbours. Ranks come from a
-literal map, laid out so that a pair is at one of two places (a map column would be
+literal map, laid out so that nearly every look is a single one (a map column would be
 searched from end to end). Decoding concatenates the binary pieces of the ids. A last
 stage puts the documents together. Nothing is shuffled and no stage holds more than
 its block, so neither skewed sources nor lost executors matter.
@@ -25,9 +25,9 @@ from .tokens import WS, _BYTE_PLAIN, _PLAIN
 
 #: Below every rank: no such pair.
 NONE = 2**31 - 1
-_EDGE = 65_535
-#: The map's two tables have these many places; primes, so that keys spread.
-PRIMES = (230_003, 285_007)
+TABLES = ("first", "second", "bytes", "pairs", "tokens")
+#: Places of the map's tables; primes, so that pairs spread.
+PRIMES = (230_003, 70_001)
 #: A block of whole documents closes at so many characters.
 BLOCK_CHARS = 1_500_000
 #: Pieces a task keeps numbers for.
@@ -43,70 +43,77 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_tables(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
-    """Every mergeable pair of ids as ``pair << 17 | rank``, each in one of two places."""
-    tables = [[-1] * p for p in PRIMES]
+    """Every mergeable pair of ids as ``pair << 18 | rank << 1 | more``: in the first
+    table where its place is free, else in the second, at one of two places; ``more``
+    marks a first place that some pair of the second table would have had."""
+    first, second = [-2] * PRIMES[0], [-2] * (2 * PRIMES[1])
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             left, right = ranks.get(token[:i]), ranks.get(token[i:])
             if left is None or right is None:
                 continue
-            item, side = (left << 16 | right) << 17 | rank, 0
-            for _ in range(500):
-                at = (item >> 17) % PRIMES[side]
-                item, tables[side][at] = tables[side][at], item
+            pair = left << 16 | right
+            item, at = pair << 18 | rank << 1, pair % PRIMES[0]
+            if first[at] < 0:
+                first[at] = item
+                continue
+            first[at] |= 1
+            for n in range(500):
+                at = 2 * ((item >> 18) % PRIMES[1]) if n % 2 == 0 else 2 * (((item >> 18) + 7919 * (item >> 34)) % PRIMES[1]) + 1
+                item, second[at] = second[at], item
                 if item < 0:
                     break
-                side ^= 1
             else:
                 raise ValueError("no place for a pair; choose larger primes")
-    return tables[0], tables[1]
+    return first, second
 
 
 def literals(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """One row with the map's tables, the ids of bytes and the bytes of ids."""
+    """One row with the map's tables, the ids of bytes, the ranks of byte pairs and the
+    bytes of ids."""
     first, second = rank_tables(ranks)
     of_id = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         of_id[rank] = token
-    kinds = {"first": pa.int64(), "second": pa.int64(), "bytes": pa.int64(), "tokens": pa.binary()}
-    row = (first, second, [ranks[bytes([b])] for b in range(256)], of_id)
-    return spark.createDataFrame(pa.table({n: pa.array([x], pa.list_(t)) for (n, t), x in zip(kinds.items(), row)}))
+    pairs = [ranks.get(bytes((a, b)), NONE) for a in range(256) for b in range(256)]
+    row = (first, second, [ranks[bytes([b])] for b in range(256)], pairs, of_id)
+    kinds = [pa.int64()] * 4 + [pa.binary()]
+    return spark.createDataFrame(pa.table({n: pa.array([x], pa.list_(t)) for n, t, x in zip(TABLES, kinds, row)}))
 
 
 def _fold_sql() -> str:
     """The fold over each of ``words`` (byte values). Columns and intermediate values
     that a lambda uses often are bound to variables by folds over nothing."""
-    first, second, of_byte, tokens = "t1", "t2", "tb", "tt"
-
     def bind(value: str, name: str, body: str) -> str:
         return f"aggregate(array_repeat(0, 0), {value}, ({name}, _) -> {name}, {name} -> {body})"
 
     def rank(a: str, b: str) -> str:
-        at_second = bind(f"get({second}, cast(k % {PRIMES[1]} as int))", "y", f"IF(shiftright(y, 17) = k, y & 131071L, {NONE}L)")
-        at_first = bind(f"get({first}, cast(k % {PRIMES[0]} as int))", "x", f"IF(shiftright(x, 17) = k, x & 131071L, {at_second})")
+        found = lambda x: f"shiftright({x}, 1) & 131071L"
+        y, z = f"get(t_second, 2 * cast(k % {PRIMES[1]} as int))", f"get(t_second, 2 * cast((k + 7919 * shiftright(k, 16)) % {PRIMES[1]} as int) + 1)"
+        rare = bind(y, "y", f"IF(shiftright(y, 18) = k, {found('y')}, {bind(z, 'z', f'IF(shiftright(z, 18) = k, {found("z")}, {NONE}L)')})")
+        at_first = bind(f"get(t_first, cast(k % {PRIMES[0]} as int))", "x", f"IF(shiftright(x, 18) = k, {found('x')}, IF(x & 1 = 1, {rare}, {NONE}L))")
         return bind(f"{a} * 65536L + {b}", "k", at_first)
 
-    # an element is rank << 16 | id: the id, and the rank of its pair with the next one
-    start = f"concat(transform(w, b -> get({of_byte}, b)), array({_EDGE}L))"
-    paired = f"transform(i, (a, j) -> IF(j + 1 < size(i), {rank('a', 'get(i, j + 1)')}, {NONE}L) * 65536L + a)"
-    begin = bind(start, "i", paired)
-    # the state also has the leftmost lowest pair, as rank << 16 | place; settled pieces pass the other steps by
+    # an element is rank << 16 | id: the id, and the rank of its pair with the next one;
+    # the state also has the leftmost lowest such pair, as rank << 16 | place, so that
+    # settled pieces pass the other steps by
     def state(s: str) -> str:
         return f"struct({s} AS s, array_min(transform({s}, (v, j) -> v - (v & 65535L) + j)) AS l)"
 
-    begin = bind(begin, "s", state("s"))
+    start = f"transform(w, (b, j) -> IF(j + 1 < size(w), get(t_pairs, b * 256 + get(w, j + 1)), {NONE}L) * 65536L + get(t_bytes, b))"
+    begin = bind(start, "s", state("s"))
     right = f"{rank('m', '(get(t.s, q + 2) & 65535L)')} * 65536L + m"
     left = f"{rank('u', 'm')} * 65536L + u"
     merged = f"transform(filter(t.s, (v, j) -> j <> q + 1), (v, j) -> IF(j = q, {right}, IF(j + 1 = q, {bind('v & 65535L', 'u', left)}, v)))"
     merged = bind("shiftright(t.l, 16)", "m", bind("cast(t.l & 65535L as int)", "q", bind(merged, "s", state("s"))))
     step = f"IF(t.l >= {NONE << 16}L, t, {merged})"
-    folded = f"aggregate(slice(w, 2, size(w)), {begin}, (t, _) -> {step}, t -> transform(slice(t.s, 1, size(t.s) - 1), v -> cast(v & 65535L as int)))"
-    decoded = f"aggregate(ids, cast('' as binary), (d, i) -> concat(d, get({tokens}, i)))"
+    folded = f"aggregate(slice(w, 2, size(w)), {begin}, (t, _) -> {step}, t -> transform(t.s, v -> cast(v & 65535L as int)))"
+    decoded = "aggregate(ids, cast('' as binary), (d, i) -> concat(d, get(t_tokens, i)))"
     each = f"transform(words, w -> {bind(folded, 'ids', f'struct(ids, {decoded} AS decoded)')})"
     # concat makes an object array of a table, whose elements are far quicker to get
-    tables = (("first", first, "bigint"), ("second", second, "bigint"), ("bytes", of_byte, "bigint"), ("tokens", tokens, "binary"))
-    for column, name, kind in tables:
-        each = bind(f"concat({column}, cast(array() as array<{kind}>))", name, each)
+    for column in TABLES:
+        kind = "binary" if column == "tokens" else "bigint"
+        each = bind(f"concat({column}, cast(array() as array<{kind}>))", f"t_{column}", each)
     return each
 
 
@@ -193,7 +200,7 @@ def encode_blocks(docs: DataFrame, path: str, pattern: str, *, id_col: str = "do
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "fresh boolean, keys array<long>, docs array<binary>, words array<array<int>>, long_words array<struct<at:int,piece:binary>>"
     blocks = picked.mapInArrow(lambda batches: _blocks(batches, pattern), schema)
-    literal = [F.expr(f"(SELECT {c} FROM {view})").alias(c) for c in ("first", "second", "bytes", "tokens")]
+    literal = [F.expr(f"(SELECT {c} FROM {view})").alias(c) for c in TABLES]
     return blocks.select("*", *literal).select("fresh", "keys", "docs", "long_words", F.expr(_fold_sql()).alias("pieces"))
 
 
