@@ -180,3 +180,11 @@ def sequence_rating(cells: DataFrame, partition: DataFrame, keys: list[str], wid
     for name, power in PRESETS[preset].items():
         rating = rating * F.pow(F.col(name), F.lit(float(power)))
     return all_.withColumn("rating", F.coalesce(F.nanvl(rating, F.lit(0.0)), F.lit(0.0)))
+
+
+def ensure_valid(partition: DataFrame, keys: list[str], *, least: int = 2) -> DataFrame:
+    """One node a version and slice, no node behind a later one of an earlier slice, and
+    slices of at least ``least`` nodes, renumbered."""
+    p = one_per_version(partition, keys)
+    wrong = contradictions(p, keys).select(*keys, "version", "slice")
+    return drop_small(p.join(wrong, [*keys, "version", "slice"], "left_anti"), least, keys)

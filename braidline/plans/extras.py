@@ -106,3 +106,38 @@ def pattern_parts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     o = li.select((F.col("l_orderkey") % 10).alias("song"), (F.col("l_partkey") % 8).alias("pattern"), F.col("l_orderkey").alias("occ"), F.col("l_linenumber").alias("point"))
     return hierarchy.pattern_parts(o.distinct())
+
+
+@query(f"""WITH {SEQ}, p AS (SELECT collection, k // 10 AS slice, version, min(time) AS time FROM seq GROUP BY ALL), m AS (SELECT *, max(time) OVER (PARTITION BY collection, version ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p),
+o AS (SELECT * FROM m WHERE b IS NULL OR b <= time), n AS (SELECT *, count(*) OVER (PARTITION BY collection, slice) AS c FROM o), s AS (SELECT * FROM n WHERE c >= 2)
+SELECT collection, version, time, dense_rank() OVER (PARTITION BY collection ORDER BY slice) - 1 AS slice FROM s""")
+def valid_slices(spark, sf_dir):
+    from ..operators import partition
+
+    p = sequences(spark, sf_dir).select("collection", "version", "time", F.floor(F.col("k") / 10).cast("long").alias("slice"))
+    return partition.ensure_valid(p, ["collection"]).select("collection", "version", "time", "slice")
+
+
+@query("""WITH p AS (SELECT p_partkey, ['C','Db','D','Eb','E','F','F#','G','Ab','A','Bb','B'][p_partkey % 12 + 1] || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'm' END AS label FROM part)
+SELECT p_partkey, label, list_sort([CAST((x + p_partkey % 12) % 12 AS INTEGER) FOR x IN CASE WHEN p_partkey % 2 = 0 THEN [0, 4, 7] ELSE [0, 3, 7] END]) AS pcs FROM p""")
+def label_pcsets(spark, sf_dir):
+    from ..functions import theory
+
+    p = table(spark, sf_dir, "part")
+    label = F.concat(theory.pitch_name("p_partkey"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("m"))
+    p = p.select("p_partkey", label.alias("label"))
+    return p.withColumn("pcs", theory.label_to_pc_set("label"))
+
+
+@query()
+def version_pairs(spark, sf_dir):
+    from ..operators import align
+
+    return align.disjoint_pairs(sequences(spark, sf_dir).select("collection", "version").distinct(), "collection")
+
+
+@query(f"""WITH {SEQ}, g AS (SELECT symbol, lead(symbol) OVER (PARTITION BY version ORDER BY time) AS next FROM seq) SELECT symbol, next, count(*) AS n FROM g WHERE next IS NOT NULL GROUP BY ALL ORDER BY n DESC, symbol, next LIMIT 8""")
+def commonest_transitions(spark, sf_dir):
+    w = Window.partitionBy("version").orderBy("time")
+    g = sequences(spark, sf_dir).withColumn("next", F.lead("symbol").over(w)).where("next IS NOT NULL")
+    return g.groupBy("symbol", "next").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol", "next").limit(8)
