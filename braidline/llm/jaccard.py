@@ -39,6 +39,7 @@ from .tokens import chunks
 WORDS = 5
 MU = 0.0085  # DivideSkip's weight of a probe against a merge step
 KEY_BITS = 28
+SLOT_BITS = 20
 HEAVY = 24  # counts from which a token's documents are dealt out by salts
 _C1, _C2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _P, _Q = 0x100000001B3, 0x9E3779B97F4A7C15
@@ -346,6 +347,16 @@ def _sets_of(texts):
     return np.split(np.concatenate(keys).view("i8"), np.cumsum(np.concatenate(counts))[:-1])
 
 
+def _slot(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(1 << SLOT_BITS)).cast("int")
+
+
+def _slots(ids: DataFrame, column: str) -> DataFrame:
+    """The slots of ids: at most 2 ** SLOT_BITS rows, so small enough to send around. A
+    row whose slot is not among them surely has none of the ids."""
+    return ids.select(_slot(column).alias("slot")).distinct()
+
+
 def jaccard_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, shard_docs: int = 2_000
 ) -> DataFrame:
@@ -383,8 +394,13 @@ def jaccard_components(
             salt = np.where(weight[chosen] >= HEAVY, (node.view("u8") * np.uint64(_Q) >> np.uint64(58)).astype("i8") % salts + 1, 0)
             yield pa.record_batch([pa.array(v[chosen]), pa.array(node), pa.array(salt)], ["token", "node", "salt"])
 
+    # texts stay where they are unless their id's slot is one of a copy's
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    posted = picked.join(reps, "id").mapInArrow(postings, "token long, node long, salt long")
+    copies = _slots(signed.where(F.col("id").isNotNull() & (F.col("n") > 0)).join(reps, "id", "left_anti"), "id")
+    slotted = picked.where(F.col("id").isNotNull()).withColumn("slot", _slot("id"))
+    alone = slotted.join(F.broadcast(copies), "slot", "left_anti").select("id", "text")
+    checked = slotted.join(F.broadcast(copies), "slot", "left_semi").select("id", "text").join(reps.hint("merge"), "id", "left_semi")
+    posted = alone.unionByName(checked).mapInArrow(postings, "token long, node long, salt long")
     posted = posted.withColumn("first", F.min("node").over(Window.partitionBy("token", "salt")))
     met = materialise(posted.where((F.col("node") != F.col("first")) | (F.col("salt") > 0)).distinct(), "jaccard-met")
     # a frequent token's documents meet in salted groups, and their firsts once more
@@ -396,9 +412,9 @@ def jaccard_components(
     shards = F.ceil(F.col("members") / shard_docs).cast("int")
     placed = clusters.join(sizes, "component").withColumn("shards", shards)
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    members = materialise(
-        placed.join(picked.withColumnRenamed("id", "node"), "node").select("node", "component", "shards", "shard", "text"), "jaccard-members"
-    )
+    placed = materialise(placed.select("node", "component", "shards", "shard"), "jaccard-placed")
+    near = slotted.join(F.broadcast(_slots(placed, "node")), "slot", "left_semi").select(F.col("id").alias("node"), "text")
+    members = materialise(near.join(placed.hint("merge"), "node").select("node", "component", "shards", "shard", "text"), "jaccard-members")
 
     def local(group):
         nodes = group.column("node").to_pylist()
