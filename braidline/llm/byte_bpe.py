@@ -31,7 +31,7 @@ PRIMES = (230_003, 70_001)
 #: A block of whole documents closes at so many characters.
 BLOCK_CHARS = 1_500_000
 #: Pieces a task keeps numbers for.
-KEEP_PIECES = 750_000
+KEEP_PIECES = 400_000
 #: Longer pieces (no white space for kilobytes) would take the square of their length
 #: in a fold that copies its state; a heap takes them in the Python stage.
 FOLD_BYTES = 2_048
@@ -148,12 +148,13 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _blocks(batches, pattern: str):
     """Documents cut into pieces, a row a block. A piece is sent once: later blocks of
-    the task refer to its number, until KEEP_PIECES are known and numbers start afresh."""
+    the task refer to its number. At KEEP_PIECES known ones all but the first half, which
+    has the common ones, are forgotten; ``keep`` tells the receiver how many stay."""
     import numpy as np
     import regex
 
     exact = regex.compile(pattern)
-    keys, docs, number, new, size, fresh = [], [], {}, [], 0, True
+    keys, docs, number, new, size, keep = [], [], {}, [], 0, 0
 
     def row():
         words = [w.encode() for w in new]
@@ -164,13 +165,13 @@ def _blocks(batches, pattern: str):
         long_words = [(base + i, w) for i, w in enumerate(words) if len(w) > FOLD_BYTES]
         return pa.record_batch(
             [
-                pa.array([fresh]),
+                pa.array([keep], pa.int64()),
                 pa.array([keys], pa.list_(pa.int64())),
                 pa.array([docs], pa.list_(pa.binary())),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))),
                 pa.array([long_words], pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.binary())]))),
             ],
-            ["fresh", "keys", "docs", "words", "long_words"],
+            ["keep", "keys", "docs", "words", "long_words"],
         )
 
     for b in batches:
@@ -185,23 +186,23 @@ def _blocks(batches, pattern: str):
             size += len(text)
             if size >= BLOCK_CHARS:
                 yield row()
-                keys, docs, new, size, fresh = [], [], [], 0, False
                 if len(number) >= KEEP_PIECES:
-                    number, fresh = {}, True
+                    number = {p: i for p, i in number.items() if i < KEEP_PIECES // 2}
+                keys, docs, new, size, keep = [], [], [], 0, len(number)
     if keys:
         yield row()
 
 
 def encode_blocks(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fresh, keys, docs, long_words, pieces (ids and decoded bytes of each new piece)."""
+    """keep, keys, docs, long_words, pieces (ids and decoded bytes of each new piece)."""
     spark = docs.sparkSession
     view = "braidline_bpe_ranks"
     literals(spark, read_ranks(path)).createOrReplaceTempView(view)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "fresh boolean, keys array<long>, docs array<binary>, words array<array<int>>, long_words array<struct<at:int,piece:binary>>"
+    schema = "keep long, keys array<long>, docs array<binary>, words array<array<int>>, long_words array<struct<at:int,piece:binary>>"
     blocks = picked.mapInArrow(lambda batches: _blocks(batches, pattern), schema)
     literal = [F.expr(f"(SELECT {c} FROM {view})").alias(c) for c in TABLES]
-    return blocks.select("*", *literal).select("fresh", "keys", "docs", "long_words", F.expr(_fold_sql()).alias("pieces"))
+    return blocks.select("*", *literal).select("keep", "keys", "docs", "long_words", F.expr(_fold_sql()).alias("pieces"))
 
 
 def _documents(blocks: DataFrame, path: str, make, schema: str) -> DataFrame:
@@ -214,8 +215,8 @@ def _documents(blocks: DataFrame, path: str, make, schema: str) -> DataFrame:
         encoded, decoded = [], []
         for b in batches:
             for r in range(b.num_rows):
-                if b.column(0)[r].as_py():
-                    encoded, decoded = [], []
+                keep = b.column(0)[r].as_py()
+                del encoded[keep:], decoded[keep:]
                 found = b.column(4).slice(r, 1).flatten()
                 lists = found.field(0)
                 ids = np.asarray(lists.flatten()).astype("<u4").tobytes()
