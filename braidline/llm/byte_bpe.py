@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -154,11 +156,12 @@ def _blocks(batches, pattern: str):
     import regex
 
     exact = regex.compile(pattern)
-    keys, docs, number, new, size, keep = [], [], {}, [], 0, 0
+    keys, docs, size, keep = [], [], 0, 0
+    number = defaultdict(count().__next__)  # a new piece takes the next number
 
     def row():
-        words = [w.encode() for w in new]
-        base = len(number) - len(words)
+        words = [w.encode() for w in islice(number, keep, None)]
+        base = keep
         short = [w if len(w) <= FOLD_BYTES else b"" for w in words]
         flat = np.frombuffer(b"".join(short), "u1").astype("i4")
         ends = np.cumsum([0] + [len(w) for w in short]).astype("i4")
@@ -178,17 +181,15 @@ def _blocks(batches, pattern: str):
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             text = text or ""
             cut = _BYTE_PLAIN.findall(text) if _PLAIN.fullmatch(text) else exact.findall(text)
-            for p in set(cut).difference(number):
-                number[p] = len(number)
-                new.append(p)
             keys.append(key)
             docs.append(np.fromiter(map(number.__getitem__, cut), "<u4", len(cut)).tobytes())
             size += len(text)
             if size >= BLOCK_CHARS:
                 yield row()
                 if len(number) >= KEEP_PIECES:
-                    number = {p: i for p, i in number.items() if i < KEEP_PIECES // 2}
-                keys, docs, new, size, keep = [], [], [], 0, len(number)
+                    common = dict(islice(number.items(), KEEP_PIECES // 2))
+                    number = defaultdict(count(len(common)).__next__, common)
+                keys, docs, size, keep = [], [], 0, len(number)
     if keys:
         yield row()
 

@@ -21,9 +21,11 @@ WS = "\t-\r \x85\xa0  -     　"
 #: Letters whose case, composition and class are the same in every Unicode version.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĹ-ňŊ-ž"
 _PLAIN = re.compile(f"[\t\n\r -~{LETTERS}¡£§«»¿–—‘-”…€]*")
+# the commonest alternatives first; endings begin with an apostrophe, which only the
+# last alternatives could take instead
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-_BYTE_PLAIN = re.compile(f"{_ENDINGS}| ?[{LETTERS}]+| ?[0-9]+| ?[^{WS}{LETTERS}0-9]+|[{WS}]+(?![^{WS}])|[{WS}]+")
-_WORD_PLAIN = re.compile(f"{_ENDINGS}|[{LETTERS}]+|[0-9]|[^{WS}{LETTERS}0-9]+")
+_BYTE_PLAIN = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|{_ENDINGS}| ?[^{WS}{LETTERS}0-9]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+_WORD_PLAIN = re.compile(f"[{LETTERS}]+|[0-9]|{_ENDINGS}|[^{WS}{LETTERS}0-9]+")
 _BYTE_ANY = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 _WORD_ANY = re.compile(f"[^{WS}]+")
 
