@@ -24,6 +24,8 @@ word is one row a block, however common the word.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -177,7 +179,7 @@ def _blocks(batches, classes: int):
     import numpy as np
 
     def fresh():
-        return {END: 0}, [], [], [], 0, uuid.uuid4().hex
+        return defaultdict(count(1).__next__, {END: 0}), [], [], 0, uuid.uuid4().hex
 
     def rows():
         keys = np.concatenate(held) if held else np.zeros(0, "i8")
@@ -193,14 +195,12 @@ def _blocks(batches, classes: int):
         yield pa.record_batch([pa.array([block] * n)] + doc_rows, names)
 
     names = ["block", "doc_id", "held_out", "n_tokens", "at", "times", "number", "word"] + [f"c{z}" for z in range(classes)]
-    number, docs, held, _, size, block = fresh()
+    number, docs, held, size, block = fresh()
     for b in batches:
         texts = b.column(3).to_pylist()
         for lo, hi in chunks(texts):
             for key, out, z, text in zip(*(b.column(c).slice(lo, hi - lo).to_pylist() for c in range(3)), texts[lo:hi]):
                 words = (text or "").encode("utf-8", "replace").lower().split()
-                for w in set(words).difference(number):
-                    number[w] = len(number)
                 at = np.fromiter(map(number.__getitem__, words), "i8", len(words))
                 at = np.append(at, 0)
                 if not out:
@@ -210,7 +210,7 @@ def _blocks(batches, classes: int):
                 size += len(text or "")
                 if len(number) >= BLOCK_WORDS or size >= BLOCK_CHARS:
                     yield from rows()
-                    number, docs, held, _, size, block = fresh()
+                    number, docs, held, size, block = fresh()
             # counts so far, so that memory follows distinct words and not the text
             if len(held) > 1:
                 held = [np.concatenate(held)]
