@@ -190,35 +190,31 @@ class Order:
     """How late each token comes: 0 if it does not recur, else 1, else its count."""
 
     def __init__(self, rows, range_bits: int):
-        import zlib
-
         import numpy as np
 
-        size = 1 << (KEY_BITS - range_bits - 3)
-        self.bits = np.zeros(1 << (KEY_BITS - 3), "u1")
-        for r in rows:
-            self.bits[r.part * size : (r.part + 1) * size] = np.frombuffer(zlib.decompress(r.bits), "u1")
+        # the driver keeps the bitmap's pieces as they came; workers unpack them
+        self.range_bits, self.pieces, self.bits = range_bits, [(r.part, bytes(r.bits)) for r in rows], None
         heavy = np.array([x for r in rows for x in r.heavy], "u4")
         times = np.array([x for r in rows for x in r.times], "i4")
         order = np.argsort(heavy)
         self.heavy, self.times = heavy[order], times[order]
 
-    def __getstate__(self):
-        import zlib
-
-        return {"heavy": self.heavy, "times": self.times, "packed": zlib.compress(self.bits.tobytes(), 1)}
-
-    def __setstate__(self, state):
+    def unpack(self) -> None:
         import zlib
 
         import numpy as np
 
-        self.bits = np.frombuffer(zlib.decompress(state.pop("packed")), "u1")
-        self.__dict__.update(state)
+        size = 1 << (KEY_BITS - self.range_bits - 3)
+        self.bits = np.zeros(1 << (KEY_BITS - 3), "u1")
+        for part, bits in self.pieces:
+            self.bits[part * size : (part + 1) * size] = np.frombuffer(zlib.decompress(bits), "u1")
+        self.pieces = []
 
     def weights(self, tokens):
         import numpy as np
 
+        if self.bits is None:
+            self.unpack()
         keys = token_key(tokens)
         out = (self.bits[keys >> np.uint32(3)] >> (keys & np.uint32(7)).astype("u1") & 1).astype("i4")
         if len(self.heavy):
