@@ -180,7 +180,7 @@ def _blocks(batches, pattern: str):
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             text = text or ""
-            cut = _BYTE_PLAIN.findall(text) if _PLAIN.fullmatch(text) else exact.findall(text)
+            cut = _BYTE_PLAIN.findall(text) if text.isascii() or _PLAIN.fullmatch(text) else exact.findall(text)
             keys.append(key)
             docs.append(np.fromiter(map(number.__getitem__, cut), "<u4", len(cut)).tobytes())
             size += len(text)

@@ -52,7 +52,7 @@ class PieceEncoder:
         self.before: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
+        if text.isascii() or _PLAIN.fullmatch(text):
             return self.plain.findall(text.lower() if self.words else text)
         return self.any.findall(text)
 
