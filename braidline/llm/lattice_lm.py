@@ -297,10 +297,11 @@ def score_documents(
         order = np.argsort(np.asarray(words.column("number")))
         c = np.stack([np.asarray(words.column(x))[order] for x in cols], 1).astype("f8")
         total = c.sum(1)
-        general = (total + a * np.exp(np.asarray(words.column("spelled"))[order])) / (n + a)
-        tiny = 1e-300  # a word of hundreds of letters may underflow
         b = np.array(b_class, "f8")
-        by_class = np.log(np.maximum((c + b * general[:, None]) / (np.array(n_class) + b), tiny))
+        # in logs throughout, as a word of hundreds of letters would underflow
+        with np.errstate(divide="ignore"):
+            general = np.logaddexp(np.log(total), math.log(a) + np.asarray(words.column("spelled"))[order]) - math.log(n + a)
+            by_class = np.logaddexp(np.log(c), np.log(b) + general[:, None]) - np.log(np.array(n_class) + b)
         base = np.log10((total + 0.1) / floor)
         known = total > 0
         out = []
