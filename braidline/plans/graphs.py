@@ -74,6 +74,16 @@ def bidirectional_edges(spark, sf_dir):
     return Graph(nodes, e).bidirectional().select("src", "dst")
 
 
+@query("""WITH p AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40)
+SELECT a.src, a.dst FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src""")
+def bidirectional_edges_whole(spark, sf_dir):
+    """As bidirectional_edges, over every order line."""
+    e = table(spark, sf_dir, "lineitem").where("l_suppkey % 40 <> l_partkey % 40")
+    e = e.select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).distinct().withColumn("eid", F.concat_ws("-", "src", "dst"))
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return Graph(nodes, e).bidirectional().select("src", "dst")
+
+
 @query(f"""WITH {CUSTOMERS}, s AS (SELECT DISTINCT id FROM adj WHERE id IN ('s1', 's2', 's3')),
 one AS (SELECT s.id AS source, a.other AS id FROM s JOIN adj a USING (id)), two AS (SELECT source, a.other AS id FROM one JOIN adj a USING (id))
 SELECT DISTINCT source, id FROM (SELECT * FROM one UNION SELECT * FROM two) WHERE source <> id""")
