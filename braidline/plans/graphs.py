@@ -106,6 +106,13 @@ def connected_components(spark, sf_dir):
     return Graph(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e).components()
 
 
+@query(f"WITH {SEQ} SELECT version || '.' || time AS id, min(version || '.' || time) OVER (PARTITION BY collection, time, symbol) AS component FROM seq")
+def connected_components_whole(spark, sf_dir):
+    """As connected_components, over every node and edge. Edges join all equal symbols at
+    a position of a collection, so the SQL needs no recursion."""
+    return segment_graph(spark, sf_dir).components()
+
+
 @query(f"""WITH RECURSIVE {CUSTOMERS}, r(id, d) AS (SELECT 's1', 0 UNION SELECT a.other, r.d + 1 FROM r JOIN adj a ON a.id = r.id WHERE r.d < 8)
 SELECT 's1' AS source, id, min(d) AS distance FROM r GROUP BY id""")
 def bfs_distance(spark, sf_dir):
@@ -151,14 +158,12 @@ def bridges(spark, sf_dir):
 
 @query()
 def maximal_cliques(spark, sf_dir):
-    g = segment_graph(spark, sf_dir)
-    return graph_local.maximal_cliques(Graph(g.nodes, g.edges.where("floor(k1 / 10) = floor(k2 / 10)")))
+    return graph_local.maximal_cliques(segment_graph(spark, sf_dir))
 
 
 @query()
 def graph_cover(spark, sf_dir):
-    g = segment_graph(spark, sf_dir)
-    return graph_local.graph_cover(Graph(g.nodes, g.edges.where("floor(k1 / 10) = floor(k2 / 10)")))
+    return graph_local.graph_cover(segment_graph(spark, sf_dir))
 
 
 @query()

@@ -1,5 +1,7 @@
 """Queries over whole tables, against brute force on small fixtures."""
 
+from datetime import datetime
+
 from braidline.plans import registry
 
 
@@ -21,3 +23,17 @@ def test_bidirectional_edges_whole(spark, tmp_path):
     want = sorted((a, b) for a, b in pairs if (b, a) in pairs)
     assert want == [(1, 2), (2, 1), (3, 4), (4, 3)]
     assert run("bidirectional_edges_whole", spark, sf) == want
+
+
+def test_components_cliques_cover_whole(spark, tmp_path):
+    # collections 5 and 0; k of different tens
+    events = [(i, datetime(2024, 1, 1, 0, i), u, kind, 1.0, f'{{"k": {k}}}') for i, (u, kind, k) in enumerate([(5, "a", 1), (15, "a", 55), (25, "a", 92), (35, "b", 3), (10, "a", 7), (20, "a", 77)])]
+    sf = put(spark, tmp_path, events=(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
+    nodes = {(u % 10, f"{u}.0", kind) for _, _, u, kind, _, _ in events}
+    groups = {}
+    for c, n, kind in nodes:
+        groups.setdefault((c, kind), []).append(n)
+    assert run("connected_components_whole", spark, sf) == sorted((n, min(g)) for g in groups.values() for n in g)
+    linked = sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    assert [m for m, in run("maximal_cliques", spark, sf)] == linked == [["10.0", "20.0"], ["15.0", "25.0", "5.0"]]
+    assert sorted(m for _, m in run("graph_cover", spark, sf)) == linked
