@@ -139,6 +139,28 @@ def transitive_successors(spark, sf_dir):
     return _divisors(spark, sf_dir).closure()
 
 
+def _all_divisors(spark, sf_dir) -> Graph:
+    """Every part key, an edge from each proper divisor among them; 0 divides nothing."""
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    top = n.agg(F.max("id").alias("top"))
+    e = n.where("id > 0").crossJoin(F.broadcast(top)).where("id * 2 <= top")
+    e = e.select(F.col("id").alias("src"), F.explode(F.expr("transform(sequence(2L, top div id), m -> m * id)")).alias("dst"))
+    return Graph.of(n, e.withColumn("eid", F.concat_ws("-", "src", "dst")))
+
+
+@query("""WITH p AS (SELECT p_partkey AS n FROM part), e AS (SELECT a.n AS src, b.n AS dst FROM p a JOIN p b ON b.n % nullif(a.n, 0) = 0 AND b.n > a.n)
+SELECT src, dst FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y JOIN e z ON y.dst = z.src WHERE y.src = x.src AND z.dst = x.dst)""")
+def transitive_reduction_whole(spark, sf_dir):
+    """As transitive_reduction, over every part."""
+    return _all_divisors(spark, sf_dir).transitive_reduction()
+
+
+@query("""WITH p AS (SELECT p_partkey AS n FROM part) SELECT a.n AS src, b.n AS dst FROM p a JOIN p b ON b.n % nullif(a.n, 0) = 0 AND b.n > a.n""")
+def transitive_successors_whole(spark, sf_dir):
+    """As transitive_successors, over every part."""
+    return _all_divisors(spark, sf_dir).closure()
+
+
 @query(f"""WITH {CUSTOMERS}, m AS (SELECT CASE WHEN src IN ('s1','s2','s3') THEN 's1' ELSE src END AS src, CASE WHEN dst IN ('s1','s2','s3') THEN 's1' ELSE dst END AS dst FROM ce) SELECT DISTINCT src, dst FROM m WHERE src <> dst""")
 def contracted_edges(spark, sf_dir):
     g = customers(spark, sf_dir)

@@ -37,3 +37,11 @@ def test_components_cliques_cover_whole(spark, tmp_path):
     linked = sorted(sorted(g) for g in groups.values() if len(g) > 1)
     assert [m for m, in run("maximal_cliques", spark, sf)] == linked == [["10.0", "20.0"], ["15.0", "25.0", "5.0"]]
     assert sorted(m for _, m in run("graph_cover", spark, sf)) == linked
+
+
+def test_divisors_whole(spark, tmp_path):
+    keys = [0, 1, 2, 3, 4, 6, 12, 59, 61, 90, 118, 120, 180, 360]
+    sf = put(spark, tmp_path, part=([(k,) for k in keys], "p_partkey long"))
+    pairs = {(a, b) for a in keys for b in keys if 0 < a < b and b % a == 0}
+    assert run("transitive_successors_whole", spark, sf) == sorted(pairs)
+    assert run("transitive_reduction_whole", spark, sf) == sorted((a, b) for a, b in pairs if not any((a, m) in pairs and (m, b) in pairs for m in keys))
