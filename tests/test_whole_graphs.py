@@ -45,3 +45,20 @@ def test_divisors_whole(spark, tmp_path):
     pairs = {(a, b) for a in keys for b in keys if 0 < a < b and b % a == 0}
     assert run("transitive_successors_whole", spark, sf) == sorted(pairs)
     assert run("transitive_reduction_whole", spark, sf) == sorted((a, b) for a, b in pairs if not any((a, m) in pairs and (m, b) in pairs for m in keys))
+
+
+def test_order_lines_whole(spark, tmp_path):
+    # a path c1 s1 c2 s2 ... of 12 customers, of lines that the filters drop
+    lines = [(c, s, c % 2 + 2, "N", 5.0) for c in range(1, 13) for s in (c - 1, c) if s]
+    sf = put(
+        spark, tmp_path,
+        lineitem=(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_quantity double"),
+        orders=([(c, c, "5-LOW") for c in range(1, 13)], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        customer=([(c,) for c in range(1, 13)], "c_custkey long"), supplier=([(c,) for c in range(1, 13)], "s_suppkey long"),
+    )
+    path = [x for i in range(1, 13) for x in (f"c{i}", f"s{i}")]
+    assert run("bfs_distance_whole", spark, sf) == sorted(("s1", x, abs(i - 1)) for i, x in enumerate(path))
+    assert run("bridges", spark, sf) == sorted(tuple(sorted(e)) for e in zip(path, path[1:]))
+    assert registry.QUERIES["spanning_forest"](spark, sf).count() == 24
+    songs = {r.song for r in registry.QUERIES["pattern_cover"](spark, sf).collect()}
+    assert songs == set(range(1, 13))
