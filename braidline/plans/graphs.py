@@ -313,7 +313,7 @@ g AS (SELECT collection, j - lag(j) OVER (PARTITION BY collection, i ORDER BY j)
 p AS (SELECT *, c / sum(c) OVER (PARTITION BY collection) AS p FROM h), e AS (SELECT collection, 1 - sum(p * ln(p)) AS gap_entropy, sum(gap * p) AS gap_size FROM p GROUP BY 1),
 f AS (SELECT collection, i * 10 + j AS spot, n FROM cells), l AS (SELECT *, lag(n) OVER w AS pn, lag(spot) OVER w AS pa FROM f WINDOW w AS (PARTITION BY collection ORDER BY spot)),
 a AS (SELECT collection, 1 + sum(CASE WHEN spot - pa = 1 THEN least(n, pn) ELSE 0 END) / sum(n) AS adjacents_min FROM l GROUP BY 1)
-SELECT collection, node_count, round(compactness, 6) AS compactness, round(node_count * compactness / gap_entropy / gap_size * adjacents_min, 4) AS rating FROM base JOIN e USING (collection) JOIN a USING (collection)""")
+SELECT collection, node_count, round(compactness, 6) AS compactness, round(coalesce(node_count * compactness / gap_entropy / gap_size * adjacents_min, 0), 4) AS rating FROM base LEFT JOIN e USING (collection) LEFT JOIN a USING (collection)""")
 def sequence_rating(spark, sf_dir):
     p = slices(spark, sf_dir)
     e = segment_edges(sequences(spark, sf_dir))
