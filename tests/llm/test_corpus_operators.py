@@ -99,7 +99,8 @@ def test_lattice_scores(spark):
 
 def odd_texts(n=400):
     rnd, pool = random.Random(5), "aZ éß \t\n.,'s'd 12 ²Σς  　\x1c\x85 日本 <|endoftext|> 😀ı  -?!"
-    return ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 50))) for _ in range(n)] + ["x" * 5000, "ab" * 3000, "", None, "Hello  world\n\n I'll"]
+    return ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 50))) for _ in range(n)] + ["x" * 5000, "ab" * 3000, "", None, "Hello  world\n\n I'll"] + [
+        "a\n \nb", "a \n \n b", " a", "a ", "\n a b", "a b\n c", "it's 'so' it 's", "a\x1cb\x1f c", "\x85 a \x85 b", "x \t y", "end \n"]
 
 
 def test_byte_bpe(spark):
