@@ -4,7 +4,8 @@ A Python stage cuts texts into pieces by the tokenizer's pattern and sends block
 whole documents on, each with its distinct pieces as byte arrays and every document as
 numbers of pieces. Spark then folds the merges over each distinct piece: the state
 holds the piece's ids and the rank of each neighbouring pair; a step replaces the
-leftmost pair of lowest rank and looks up the two new neighbours. Ranks come from a
+leftmost pair of lowest rank and looks up the two new neighbours. Long pieces hold the
+same state in segments, so that a step copies little of it. Ranks come from a
 literal map, laid out so that nearly every look is a single one (a map column would be
 searched from end to end). Decoding concatenates the binary pieces of the ids. A last
 stage puts the documents together. Nothing is shuffled and no stage holds more than
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from .tokens import WS, _BYTE_PLAIN, _PLAIN
 
-#: Below every rank: no such pair.
-NONE = 2**31 - 1
+#: Above every rank: no such pair.
+NONE = (1 << 17) - 1
 TABLES = ("first", "second", "bytes", "pairs", "tokens")
 #: Places of the map's tables; primes, so that pairs spread.
 PRIMES = (230_003, 70_001)
@@ -34,9 +35,9 @@ PRIMES = (230_003, 70_001)
 BLOCK_CHARS = 1_500_000
 #: Pieces a task keeps numbers for.
 KEEP_PIECES = 400_000
-#: Longer pieces (no white space for kilobytes) would take the square of their length
-#: in a fold that copies its state; a heap takes them in the Python stage.
-FOLD_BYTES = 2_048
+#: A fold copies its state at every step, so the state of longer pieces is cut into
+#: segments.
+LONG_BYTES = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,72 +84,91 @@ def literals(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     return spark.createDataFrame(pa.table({n: pa.array([x], pa.list_(t)) for n, t, x in zip(TABLES, kinds, row)}))
 
 
-def _fold_sql() -> str:
-    """The fold over each of ``words`` (byte values). Columns and intermediate values
-    that a lambda uses often are bound to variables by folds over nothing."""
-    def bind(value: str, name: str, body: str) -> str:
-        return f"aggregate(array_repeat(0, 0), {value}, ({name}, _) -> {name}, {name} -> {body})"
-
-    def rank(a: str, b: str) -> str:
-        found = lambda x: f"shiftright({x}, 1) & 131071L"
-        y, z = f"get(t_second, 2 * cast(k % {PRIMES[1]} as int))", f"get(t_second, 2 * cast((k + 7919 * shiftright(k, 16)) % {PRIMES[1]} as int) + 1)"
-        rare = bind(y, "y", f"IF(shiftright(y, 18) = k, {found('y')}, {bind(z, 'z', f'IF(shiftright(z, 18) = k, {found("z")}, {NONE}L)')})")
-        at_first = bind(f"get(t_first, cast(k % {PRIMES[0]} as int))", "x", f"IF(shiftright(x, 18) = k, {found('x')}, IF(x & 1 = 1, {rare}, {NONE}L))")
-        return bind(f"{a} * 65536L + {b}", "k", at_first)
-
-    # an element is rank << 16 | id: the id, and the rank of its pair with the next one;
-    # the state also has the leftmost lowest such pair, as rank << 16 | place, so that
-    # settled pieces pass the other steps by
-    def state(s: str) -> str:
-        return f"struct({s} AS s, array_min(transform({s}, (v, j) -> v - (v & 65535L) + j)) AS l)"
-
-    start = f"transform(w, (b, j) -> IF(j + 1 < size(w), get(t_pairs, b * 256 + get(w, j + 1)), {NONE}L) * 65536L + get(t_bytes, b))"
-    begin = bind(start, "s", state("s"))
-    right = f"{rank('m', '(get(t.s, q + 2) & 65535L)')} * 65536L + m"
-    left = f"{rank('u', 'm')} * 65536L + u"
-    merged = f"transform(filter(t.s, (v, j) -> j <> q + 1), (v, j) -> IF(j = q, {right}, IF(j + 1 = q, {bind('v & 65535L', 'u', left)}, v)))"
-    merged = bind("shiftright(t.l, 16)", "m", bind("cast(t.l & 65535L as int)", "q", bind(merged, "s", state("s"))))
-    step = f"IF(t.l >= {NONE << 16}L, t, {merged})"
-    folded = f"aggregate(slice(w, 2, size(w)), {begin}, (t, _) -> {step}, t -> transform(t.s, v -> cast(v & 65535L as int)))"
-    decoded = "aggregate(ids, cast('' as binary), (d, i) -> concat(d, get(t_tokens, i)))"
-    each = f"transform(words, w -> {bind(folded, 'ids', f'struct(ids, {decoded} AS decoded)')})"
-    # concat makes an object array of a table, whose elements are far quicker to get
+def _bind(value: str, name: str, body: str) -> str:
+    """``body`` with a variable, by a fold over nothing."""
+    return f"aggregate(array_repeat(0, 0), {value}, ({name}, _) -> {name}, {name} -> {body})"
+
+
+def _rank(a: str, b: str) -> str:
+    """The rank of a pair of ids; NONE also where one of them is null."""
+    found = lambda x: f"shiftright({x}, 1) & {NONE}L"
+    y, z = f"get(t_second, 2 * cast(k % {PRIMES[1]} as int))", f"get(t_second, 2 * cast((k + 7919 * shiftright(k, 16)) % {PRIMES[1]} as int) + 1)"
+    rare = _bind(y, "y", f"IF(shiftright(y, 18) = k, {found('y')}, {_bind(z, 'z', f'IF(shiftright(z, 18) = k, {found("z")}, {NONE}L)')})")
+    at_first = _bind(f"get(t_first, cast(k % {PRIMES[0]} as int))", "x", f"IF(shiftright(x, 18) = k, {found('x')}, IF(x & 1 = 1, {rare}, {NONE}L))")
+    return _bind(f"{a} * 65536L + {b}", "k", at_first)
+
+
+#: An element is rank << 40 | place << 16 | id: the id, the byte at which it starts, and
+#: the rank of its pair with the next one, so that the least element is the leftmost pair
+#: of lowest rank and is found without looking inside.
+_PLACE = (1 << 40) - (1 << 16)
+_SETTLED = f"{NONE << 40}L"
+_NOTHING = "cast(array() as array<bigint>)"
+_START = f"transform(w, (b, j) -> IF(j + 1 < size(w), get(t_pairs, b * 256 + get(w, j + 1)), {NONE}L) * {1 << 40}L + j * 65536L + get(t_bytes, b))"
+
+
+def _merge(s: str, l: str) -> str:
+    """Elements ``s`` after the pair that begins with element ``l`` has become one."""
+    right = f"{_rank('m', f'(get({s}, q + 1) & 65535L)')} * {1 << 40}L + ({l} & {_PLACE}L) + m"
+    left = _bind(f"get({s}, q - 2)", "u", f"{_rank('(u & 65535L)', 'm')} * {1 << 40}L + (u & {(1 << 40) - 1}L)")
+    inside = f"concat(slice({s}, 1, q - 2), array({left}, {right}), slice({s}, q + 2, size({s})))"
+    merged = f"IF(q > 1, {inside}, concat(array({right}), slice({s}, 3, size({s}))))"
+    return _bind(f"shiftright({l}, 40)", "m", _bind(f"cast(array_position({s}, {l}) as int)", "q", merged))
+
+
+def _flat_fold() -> str:
+    """ids of the byte values ``w``; settled pieces pass the other steps by."""
+    state = lambda s: _bind(s, "s", "struct(s AS s, array_min(s) AS l)")
+    step = f"IF(t.l >= {_SETTLED}, t, {state(_merge('t.s', 't.l'))})"
+    return f"aggregate(slice(w, 2, size(w)), {state(_START)}, (t, _) -> {step}, t -> transform(t.s, v -> cast(v & 65535L as int)))"
+
+
+def _segment_fold() -> str:
+    """The same for long pieces: the elements lie in segments of about the square root of
+    their number, each with its least element, and a step rewrites only the segment of
+    the pair and its neighbours. None is ever empty, so that two behind it hold what
+    stands next to the pair. Gives the segments of ids."""
+    segment = lambda s: _bind(s, "s", "struct(s AS s, array_min(s) AS l)")
+    least = _bind("transform(g, x -> x.l)", "ls", _bind("array_min(ls)", "l", "struct(g AS g, l AS l, cast(array_position(ls, l) as int) AS p)"))
+    state = lambda g: _bind(g, "g", least)
+    width = "greatest(16, cast(sqrt(size(w)) as int))"
+    begin = _bind(_START, "f", _bind(width, "n", f"transform(sequence(0, (size(f) - 1) div n), i -> {segment('slice(f, cast(i * n + 1 as int), n)')})"))
+    window = f"struct(coalesce(get(t.g, t.p - 2).s, {_NOTHING}) AS a, get(t.g, t.p - 1).s AS b, coalesce(get(t.g, t.p).s, {_NOTHING}) AS c, coalesce(get(t.g, t.p + 1).s, {_NOTHING}) AS d)"
+    sizes = "struct(size(o.a) AS a, size(o.b) - IF(inner, 1, 0) AS b, size(o.c) - IF(inner, 0, 1) AS c, size(o.d) AS d)"
+    cuts = [("1", "z.a"), ("z.a + 1", "z.b"), ("z.a + z.b + 1", "z.c"), ("z.a + z.b + z.c + 1", "z.d")]
+    pieces = "filter(array({}), x -> size(x) > 0)".format(", ".join(f"slice(r, {i}, {n})" for i, n in cuts))
+    again = f"concat(slice(t.g, 1, greatest(0, t.p - 2)), transform({pieces}, e -> {segment('e')}), slice(t.g, t.p + 3, size(t.g)))"
+    joined = _bind("concat(o.a, o.b, o.c, o.d)", "e", _merge("e", "t.l"))
+    again = _bind(window, "o", _bind("array_position(o.b, t.l) < size(o.b)", "inner", _bind(sizes, "z", _bind(joined, "r", again))))
+    step = f"IF(t.l >= {_SETTLED}, t, {state(again)})"
+    return f"aggregate(slice(w, 2, size(w)), {state(begin)}, (t, _) -> {step}, t -> transform(t.g, x -> transform(x.s, v -> cast(v & 65535L as int))))"
+
+
+def _with_tables(expression: str) -> str:
+    """Columns that a lambda uses often are bound to variables; concat makes an object
+    array of a table, whose elements are far quicker to get."""
     for column in TABLES:
         kind = "binary" if column == "tokens" else "bigint"
-        each = bind(f"concat({column}, cast(array() as array<{kind}>))", f"t_{column}", each)
-    return each
-
-
-def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges by a heap of pairs, for pieces over FOLD_BYTES."""
-    import heapq
-
-    n = len(piece)
-    end, back = list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = [True] * n
-    heap = []
-
-    def push(i):
-        j = end[i]
-        if j < n and (r := ranks.get(piece[i : end[j]])) is not None:
-            heapq.heappush(heap, (r, i, j, end[j]))
-
-    for i in range(n - 1):
-        push(i)
-    while heap:
-        _, i, j, k = heapq.heappop(heap)
-        if not alive[i] or end[i] != j or not alive[j] or end[j] != k:
-            continue
-        alive[j], end[i] = False, k
-        if k < n:
-            back[k] = i
-        push(i)
-        if back[i] >= 0:
-            push(back[i])
-    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
-
-
-def _blocks(batches, pattern: str):
+        expression = _bind(f"concat({column}, cast(array() as array<{kind}>))", f"t_{column}", expression)
+    return expression
+
+
+_DECODE = "aggregate(ids, cast('' as binary), (d, i) -> concat(d, get(t_tokens, i)))"
+
+
+def _short_sql() -> str:
+    """ids and decoded bytes of each of ``words``."""
+    return _with_tables(f"transform(words, w -> {_bind(_flat_fold(), 'ids', f'struct(ids, {_DECODE} AS decoded)')})")
+
+
+def _long_sql() -> str:
+    """Place, ids and decoded bytes of each of ``long_words``, decoded a segment each first."""
+    decoded = f"aggregate(transform(segments, ids -> {_DECODE}), cast('' as binary), (d, x) -> concat(d, x))"
+    each = _bind(_segment_fold(), "segments", f"struct(v.at AS at, flatten(segments) AS ids, {decoded} AS decoded)")
+    return _with_tables(f"transform(long_words, v -> {_bind('v.piece', 'w', each)})")
+
+
+def _blocks(batches, pattern: str, long_bytes: int):
     """Documents cut into pieces, a row a block. A piece is sent once: later blocks of
     the task refer to its number. At KEEP_PIECES known ones all but the first half, which
     has the common ones, are forgotten; ``keep`` tells the receiver how many stay."""
@@ -161,18 +181,17 @@ def _blocks(batches, pattern: str):
 
     def row():
         words = [w.encode() for w in islice(number, keep, None)]
-        base = keep
-        short = [w if len(w) <= FOLD_BYTES else b"" for w in words]
+        short = [w if len(w) <= long_bytes else b"" for w in words]
         flat = np.frombuffer(b"".join(short), "u1").astype("i4")
         ends = np.cumsum([0] + [len(w) for w in short]).astype("i4")
-        long_words = [(base + i, w) for i, w in enumerate(words) if len(w) > FOLD_BYTES]
+        long_words = [(keep + i, np.frombuffer(w, "u1").astype("i4")) for i, w in enumerate(words) if len(w) > long_bytes]
         return pa.record_batch(
             [
                 pa.array([keep], pa.int64()),
                 pa.array([keys], pa.list_(pa.int64())),
                 pa.array([docs], pa.list_(pa.binary())),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))),
-                pa.array([long_words], pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.binary())]))),
+                pa.array([long_words], pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.list_(pa.int32()))]))),
             ],
             ["keep", "keys", "docs", "words", "long_words"],
         )
@@ -194,43 +213,39 @@ def _blocks(batches, pattern: str):
         yield row()
 
 
-def encode_blocks(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """keep, keys, docs, long_words, pieces (ids and decoded bytes of each new piece)."""
+def encode_blocks(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", long_bytes: int = LONG_BYTES) -> DataFrame:
+    """keep, keys, docs, pieces (ids and decoded bytes of each new piece) and long_pieces
+    (the same with the piece's number, for those whose place in ``pieces`` is empty)."""
     spark = docs.sparkSession
     view = "braidline_bpe_ranks"
     literals(spark, read_ranks(path)).createOrReplaceTempView(view)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "keep long, keys array<long>, docs array<binary>, words array<array<int>>, long_words array<struct<at:int,piece:binary>>"
-    blocks = picked.mapInArrow(lambda batches: _blocks(batches, pattern), schema)
+    schema = "keep long, keys array<long>, docs array<binary>, words array<array<int>>, long_words array<struct<at:int,piece:array<int>>>"
+    blocks = picked.mapInArrow(lambda batches: _blocks(batches, pattern, long_bytes), schema)
     literal = [F.expr(f"(SELECT {c} FROM {view})").alias(c) for c in TABLES]
-    return blocks.select("*", *literal).select("keep", "keys", "docs", "long_words", F.expr(_fold_sql()).alias("pieces"))
+    return blocks.select("*", *literal).select("keep", "keys", "docs", F.expr(_short_sql()).alias("pieces"), F.expr(_long_sql()).alias("long_pieces"))
 
 
-def _documents(blocks: DataFrame, path: str, make, schema: str) -> DataFrame:
+def _documents(blocks: DataFrame, make, schema: str) -> DataFrame:
     """Rows of ``make(keys, [(ids bytes, decoded bytes)])`` for each block."""
 
     def run(batches):
         import numpy as np
 
-        ranks = of_id = None
         encoded, decoded = [], []
         for b in batches:
             for r in range(b.num_rows):
                 keep = b.column(0)[r].as_py()
                 del encoded[keep:], decoded[keep:]
-                found = b.column(4).slice(r, 1).flatten()
+                found = b.column(3).slice(r, 1).flatten()
                 lists = found.field(0)
                 ids = np.asarray(lists.flatten()).astype("<u4").tobytes()
                 ends = ((np.asarray(lists.offsets).astype("i8") - lists.offsets[0].as_py()) * 4).tolist()
                 encoded += [ids[i:j] for i, j in zip(ends[:-1], ends[1:])]
                 decoded += found.field(1).to_pylist()
-                for x in b.column(3)[r].as_py():
-                    if ranks is None:
-                        ranks = read_ranks(path)
-                        of_id = {v: k for k, v in ranks.items()}
-                    long_ids = heap_merge(x["piece"], ranks)
-                    encoded[x["at"]] = np.array(long_ids, "<u4").tobytes()
-                    decoded[x["at"]] = b"".join(map(of_id.__getitem__, long_ids))
+                for x in b.column(4)[r].as_py():
+                    encoded[x["at"]] = np.array(x["ids"], "<u4").tobytes()
+                    decoded[x["at"]] = x["decoded"]
                 out = []
                 for doc in b.column(2)[r].as_py():
                     at = np.frombuffer(doc, "<u4").tolist()
@@ -250,11 +265,12 @@ def encode(docs: DataFrame, path: str, pattern: str, **cols) -> DataFrame:
             ["doc_id", "ids", "decoded"],
         )
 
-    return _documents(encode_blocks(docs, path, pattern, **cols), path, make, "doc_id long, ids binary, decoded binary")
+    return _documents(encode_blocks(docs, path, pattern, **cols), make, "doc_id long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, **cols) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256. Null texts count as empty (the digests
+    of nothing), repeated rows and null ids give a row each, an empty table none."""
 
     def make(keys, found):
         sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -264,4 +280,4 @@ def digests(docs: DataFrame, path: str, pattern: str, **cols) -> DataFrame:
         )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _documents(encode_blocks(docs, path, pattern, **cols), path, make, schema)
+    return _documents(encode_blocks(docs, path, pattern, **cols), make, schema)

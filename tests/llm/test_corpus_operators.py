@@ -103,19 +103,35 @@ def odd_texts(n=400):
         "a\n \nb", "a \n \n b", " a", "a ", "\n a b", "a b\n c", "it's 'so' it 's", "a\x1cb\x1f c", "\x85 a \x85 b", "x \t y", "end \n"]
 
 
-def test_byte_bpe(spark):
+@pytest.mark.parametrize("long_bytes", [1, 6, 512])
+def test_byte_bpe(spark, long_bytes):
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
-    rows = list(enumerate(odd_texts()))
-    got = {r.doc_id: r for r in byte_bpe.encode(docs(spark, rows), path, public_tokenizers.PATTERN).collect()}
+    letters = random.Random(7)
+    texts = odd_texts(60 if long_bytes < 512 else 400) + ["aa" * 400 + "a", "".join(letters.choice("thein ")[0].strip() or "e" for _ in range(3000))]
+    rows = list(enumerate(texts)) + [(3, texts[3])]
+    got = collections.defaultdict(set)
+    for r in byte_bpe.encode(docs(spark, rows), path, public_tokenizers.PATTERN, long_bytes=long_bytes).collect():
+        got[r.doc_id].add((bytes(r.ids), bytes(r.decoded)))
     for k, t in rows:
-        assert got[k].ids == np.array(own.encode_ordinary(t or ""), "<u4").tobytes()
-        assert got[k].decoded == (t or "").encode()
+        assert got[k] == {(np.array(own.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode())}
     assert byte_bpe.digests(docs(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_very_long_piece(spark):
+    """One piece of 40,000 letters folds like any other."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("etaoinshrdlu") for _ in range(40_000))
+    got = byte_bpe.encode(docs(spark, [(1, text)]), path, public_tokenizers.PATTERN).first()
+    assert bytes(got.ids) == np.array(own.encode_ordinary(text), "<u4").tobytes() and bytes(got.decoded) == text.encode()
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piece_encoder(name):
     e = tokens.PieceEncoder(public_tokenizers.path(name))
