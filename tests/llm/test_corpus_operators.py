@@ -48,6 +48,28 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_sorted_runs(spark):
+    """Runs are sorted, whole and merged round by round in the plan that is executed."""
+    rnd = random.Random(3)
+    rows = [(i, f"text {rnd.randint(0, 300)}") for i in range(2000)]
+    base = spark.createDataFrame(rows, "_id long, text string").repartition(16)
+    base = base.select("_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("check"), F.spark_partition_id().alias("slot"))
+    base = exact_dedup.materialise(base, "test-runs")
+    final, first = exact_dedup.tree_merge(base, bits=4, step=2, run_rows=500)
+    groups = collections.defaultdict(list)
+    for k, t in rows:
+        groups[hashlib.sha256(t.encode()).digest()].append(k)
+    for r in first.collect():
+        assert [x.digest for x in r.run] == sorted({bytes(x.digest) for x in r.run})
+    got = [x for r in sorted(final.collect(), key=lambda r: r.range) for x in r.run]
+    assert [(bytes(x.digest), x.keep_id, x.n) for x in got] == [(d, min(k), len(k)) for d, k in sorted(groups.items())]
+    assert first.count() > final.count() == 4
+    # the physical plan's text leaves an aggregate's results out; the optimised one has them
+    plan = final._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("sort_array(flatten(collect_list(run") == 2
+    assert plan.executedPlan().toString().count("partial_collect_list(run") >= 2
+
+
 def brute_lattice(model, word):
     text, out = lattice_lm.MARK + word, []
 
