@@ -1,7 +1,9 @@
 """Documents to packed training sequences, in five stages over whole tables.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and gives
-the columns of ``documents`` again, but for the last, which gives packed pieces.
+the columns of ``documents`` again, but for the last, which gives packed pieces. Stages
+decide by row: rows that share a doc_id, or have none, are documents of their own. Columns
+of any name pass through. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -17,39 +19,67 @@ from braidline.llm.common import materialise, table
 LEAST_LANGUAGE_SHARE = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is not among ``ids``; rows without an id stay."""
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, longer by as many marks as it takes to clash with no column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number a row, written, so that the numbers last whatever happens to
+    executors."""
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _order(row: str):
+    """What orders rows by doc_id, those without one last, ties by row number."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts scored toxic (0.5 and more) go; fitted on the labelled rows of ``docs``."""
+    """Texts scored toxic (0.5 and more) go; fitted on the labelled rows of ``docs``. Null
+    and empty texts score as the machine's bias, and stay unless most labels are toxic;
+    repeated rows fare alike, and long texts are scored whole."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return docs.where(toxicity.score(model, F.col("text")) < 0.5)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or of no one language, go."""
-    model = language.train(docs, F.lit(True))
-    found = docs.withColumn("_found", language.predict(model, F.col("text")))
-    kept = (F.col("_found.lang_pred") != language.UNKNOWN) & (F.col("_found.score") >= LEAST_LANGUAGE_SHARE)
-    return found.where(kept).select(*docs.columns)
+    """Texts without a letter (null and empty ones too), or of no one language, go;
+    repeated rows fare alike, and long texts are labelled whole."""
+    model, name = language.train(docs, F.lit(True)), _fresh(docs, "_found")
+    found = docs.withColumn(name, language.predict(model, F.col("text")))
+    kept = (F.col(f"{name}.lang_pred") != language.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_LANGUAGE_SHARE)
+    return found.where(kept).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space, the smallest id stays."""
-    found = exact_dedup.exact_dedup(docs)
-    return _without(docs, found.where("NOT kept AND keep_id IS NOT NULL").select("doc_id"))
+    """Of rows whose texts are equal but for white space, that with the smallest id stays
+    (one without an id if none has one; of several with that id, one). Null texts count as
+    empty, so one row stands for all empty ones."""
+    row = _fresh(docs, "_row")
+    rows = _numbered(docs, row)
+    found = exact_dedup.exact_dedup(rows.select(_order(row).alias("key"), "text"), id_col="key")
+    return rows.join(found.where("NOT kept").select(F.col("key.row").alias(row)), row, "left_anti").drop(row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, 0.8), the smallest id stays."""
-    found = jaccard.jaccard_components(docs)
-    return _without(docs, found.where("component_id <> doc_id").select("doc_id").distinct())
+    """Of each component of near copies (five-word shingles, 0.8), the row with the
+    smallest id stays, chosen as among copies. Rows without words are near to nothing and
+    stay."""
+    row = _fresh(docs, "_row")
+    rows = _numbered(docs, row)
+    found = materialise(jaccard.jaccard_components(rows.select(row, "text"), id_col=row), "pipeline-components")
+    stay = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(_order(row)).alias("key"))
+    gone = found.select(row).join(stay.select(F.col("key.row").alias(row)), row, "left_anti")
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place."""
+    """Token pieces with their sequence and place. Null and empty texts are one end token;
+    rows that share an id each give their own pieces; long texts are cut, never dropped."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

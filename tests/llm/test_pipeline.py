@@ -47,3 +47,39 @@ def test_empty(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def texts(seed, n=80):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice(WORDS) for _ in range(n))
+
+
+def test_rows_decide(spark, folder):
+    """Repeated and null ids, equal rows, clashing columns and long texts."""
+    a, b, c, long = texts(1), texts(2), texts(3), texts(4, 30_000)
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, c), (None, a), (None, texts(5)), (None, texts(5)), (11, None), (12, ""), (13, long), (14, long + " tail")]
+    schema = "doc_id long, text string, lang string, _found string, _row int, _ROW_ int, component_id long, keep_id long, kept boolean, n long"
+    docs = spark.createDataFrame([(k, t, "en", "f", 1, 2, 3, 4, False, i) for i, (k, t) in enumerate(rows)], schema)
+    left = pipeline.drop_copies(spark, docs, folder)
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in left.collect())
+    assert got == sorted([(3, a), (7, b), (9, c), (-1, texts(5)), (11, ""), (13, long), (14, long + " tail")])
+    near = pipeline.drop_near_copies(spark, left, folder)
+    assert near.columns == docs.columns
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in near.collect())
+    assert got == sorted([(3, a), (7, b), (9, c), (-1, texts(5)), (11, ""), (13, long)])
+    found = pipeline.drop_unknown_language(spark, near, folder)
+    assert found.columns == docs.columns and found.schema["_found"].dataType.simpleString() == "string"
+    assert {r._found for r in found.collect()} == {"f"} and found.where("text IS NULL").count() == 0
+    assert pipeline.drop_toxic(spark, docs, folder).columns == docs.columns
+    packed = pipeline.pack(spark, near, folder)
+    assert {r.doc_id for r in packed.collect()} == {3, 7, 9, None, 11, 13}
+
+
+def test_near_copies_under_one_id(spark, folder):
+    """Rows that share an id are documents of their own; the smallest id of a group stays."""
+    a, b = texts(21), texts(22)
+    rows = [(5, a), (5, b), (2, a + " x"), (None, b + " x"), (8, a + " y")]
+    docs = spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string")
+    got = sorted(map(tuple, pipeline.drop_near_copies(spark, docs, folder).collect()))
+    assert got == sorted([(2, a + " x"), (5, b)])
