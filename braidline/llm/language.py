@@ -5,11 +5,16 @@ n-grams of one to four bytes with marks at both ends (so its affixes are among t
 and the word itself (the lexicon); each feature has a weight a language, hashed into a
 table. Transitions between the labels of neighbouring words are learned too, from
 training sequences that join stretches of documents in different languages. Prediction
-runs forward-backward over every word of the whole text, in chains of at most
-``CHAIN`` words, and adds the words' marginals up; the language of the largest sum is
-predicted, with its share as the score.
+runs forward-backward over every word of the whole text and adds the words' marginals up;
+the language of the largest sum is predicted, with its share as the score.
 
-The fit uses a bounded sample of rows (``per_lang`` a language, by hash of the id).
+A long text is worked on in stretches of ``CHAIN`` words, all at once: each stretch first
+gives the matrix by which it carries messages from end to end, the matrices' products
+give the messages at all borders, and with these each stretch's marginals are those of
+the whole chain.
+
+The fit uses a bounded sample of rows (``per_lang`` a language, by hash of the row; of a
+text of over ``max_chars`` characters, a stretch from a place that its hash picks).
 """
 
 from __future__ import annotations
@@ -53,9 +58,11 @@ def word_features(words: list[bytes]):
     return keys[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
-def forward_backward(emit, step, lengths):
+def forward_backward(emit, step, lengths, enter=None, after=None):
     """Marginals of chains: ``emit`` (chains, words, labels) are log scores, ``step``
-    the labels' transition log scores; also expected transitions and log partition."""
+    the labels' transition log scores; also what expected transitions need. A chain that
+    is a stretch of a longer one has the message that comes in (``enter``, past the
+    transition) and the one from behind its last word (``after``)."""
     import numpy as np
 
     n, t, k = emit.shape
@@ -64,7 +71,8 @@ def forward_backward(emit, step, lengths):
     move = np.exp(step)
     alive = np.arange(t)[None, :] < lengths[:, None]
     ahead, scale = np.empty_like(e), np.ones((n, t), e.dtype)
-    a = e[:, 0] / k
+    behind = np.ones((n, k), e.dtype) if after is None else after
+    a = e[:, 0] / k if enter is None else e[:, 0] * enter
     for i in range(t):
         if i:
             a = (a @ move) * e[:, i]
@@ -72,16 +80,36 @@ def forward_backward(emit, step, lengths):
         a = a / s[:, None]
         ahead[:, i], scale[:, i] = a, s
     back = np.empty_like(e)
-    b = np.ones((n, k), e.dtype)
+    b = behind.copy()
     for i in range(t - 1, -1, -1):
         if i < t - 1:
             b = ((e[:, i + 1] * b) @ move.T) / scale[:, i + 1, None]
-            b[~alive[:, i + 1]] = 1
+            last = ~alive[:, i + 1]
+            b[last] = behind[last]
         back[:, i] = b
-    marginal = ahead * back * alive[:, :, None]
+    marginal = ahead * back
+    if after is not None:
+        marginal /= marginal.sum(2, keepdims=True)
+    marginal *= alive[:, :, None]
     return marginal, ahead, back, e, scale, move, alive
 
 
+def carried(emit, step, lengths, first):
+    """The matrix by which each stretch carries a message from before it to its last word,
+    up to a factor; a ``first`` stretch has no transition into it."""
+    import numpy as np
+
+    n, t, k = emit.shape
+    e = np.exp(emit - emit.max(2, keepdims=True))
+    move = np.exp(step)
+    out = np.broadcast_to(np.eye(k, dtype=e.dtype), (n, k, k)).copy()
+    for i in range(t):
+        new = (out @ move if i else np.where(first[:, None, None], out, out @ move)) * e[:, i, None, :]
+        new /= new.sum((1, 2), keepdims=True)
+        out = np.where((i < lengths)[:, None, None], new, out)
+    return out
+
+
 class Chain:
     def __init__(self, labels: list[str], weights, step):
         self.labels, self.weights, self.step = labels, weights, step
@@ -117,25 +145,55 @@ class Chain:
         out = [np.fromiter(map(kept.__getitem__, x), "i4", len(x)) for x in cut]
         return [x[x >= 0] for x in out]
 
-    def predict(self, texts) -> list[tuple[str, float]]:
+    def _batches(self, stretches, found, times: int):
+        """Stretches of like lengths, longest first, with the numbers of their words."""
         import numpy as np
 
-        if not self.labels:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        found = self._numbers(texts)
-        total = np.zeros((len(texts), len(self.labels)))
-        chains = sorted(((min(CHAIN, len(x) - i), d, i) for d, x in enumerate(found) for i in range(0, len(x), CHAIN)), reverse=True)
+        left = sorted(stretches, reverse=True)
         at = 0
-        while at < len(chains):
-            t = chains[at][0]
-            some = chains[at : at + max(1, 400_000 // t)]
+        while at < len(left):
+            t = left[at][0]
+            some = left[at : at + max(1, 400_000 // (t * times))]
             at += len(some)
             rows = np.zeros((len(some), t), "i4")
             for r, (n, d, i) in enumerate(some):
                 rows[r, :n] = found[d][i : i + n]
-            lengths = np.array([x[0] for x in some])
-            marginal = forward_backward(self.table[rows], self.step, lengths)[0]
-            np.add.at(total, [x[1] for x in some], marginal.sum(1))
+            yield some, rows, np.array([s[0] for s in some])
+
+    def predict(self, texts) -> list[tuple[str, float]]:
+        import numpy as np
+
+        if not self.labels:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        found = self._numbers(texts)
+        total = np.zeros((len(texts), len(self.labels)))
+        k = len(self.labels)
+        # length, text, first word, and for stretches of long texts the messages at both ends
+        stretches = [(min(CHAIN, len(x) - i), d, i) for d, x in enumerate(found) for i in range(0, len(x), CHAIN)]
+        long = [s for s in stretches if len(found[s[1]]) > CHAIN]
+        matrices = {}
+        for some, rows, lengths in self._batches(long, found, k):
+            first = np.array([i == 0 for _, _, i in some])
+            for (_, d, i), m in zip(some, carried(self.table[rows], self.step, lengths, first)):
+                matrices[d, i] = m
+        enter, after = {}, {}
+        for d in {d for _, d, _ in long}:
+            places = range(0, len(found[d]), CHAIN)
+            a = np.ones(k)
+            for i in places:
+                enter[d, i] = a / a.sum() if i == 0 else a @ np.exp(self.step)
+                a = a @ matrices[d, i]
+                a /= a.sum()
+            b = np.ones(k)
+            for i in reversed(places):
+                after[d, i] = b
+                b = matrices[d, i] @ b
+                b /= b.sum()
+        ones = np.ones(k)
+        for some, rows, lengths in self._batches(stretches, found, 1):
+            ends = [np.stack([m.get(s[1:], ones) for s in some]) for m in (enter, after)]
+            marginal = forward_backward(self.table[rows], self.step, lengths, *ends)[0]
+            np.add.at(total, [s[1] for s in some], marginal.sum(1))
         best = total.argmax(1)
         share = total / np.maximum(total.sum(1, keepdims=True), 1e-300)
         return [(self.labels[j], float(share[i, j])) if len(found[i]) else (UNKNOWN, 0.0) for i, j in enumerate(best.tolist())]
@@ -195,27 +253,26 @@ def fit(samples: list[tuple[str, str]], *, sequences: int = 5000, span: int = 32
     return Chain(labels, weights, step)
 
 
-def train(docs: DataFrame, usable: Column, *, per_lang: int = 800, max_langs: int = 32, max_chars: int = 50_000, id_col="doc_id", text_col="text", lang_col="lang", **options) -> Chain:
-    """Fit on at most ``per_lang`` rows of each of the ``max_langs`` commonest languages
-    among rows with an id, a language and at most ``max_chars`` characters."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), F.length(text_col).alias("_n"), F.col(id_col).alias(id_col))
-    rows = rows.where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & (F.col("_n") > 0) & (F.col("_n") <= max_chars) & usable)
+def train(docs: DataFrame, usable: Column, *, per_lang: int = 800, max_chars: int = 8_000, id_col="doc_id", text_col="text", lang_col="lang", **options) -> Chain:
+    """Fit on about ``per_lang`` rows of each language among rows with an id, a language
+    and a text for which ``usable`` (on ``id_col``) holds: a bound for the driver, whatever
+    the table's size. Repeated rows count each, but one row's copies fill no more than one
+    of ``SLOTS`` shares of its language. Of longer texts, ``max_chars`` characters from a
+    place that the row's hash picks."""
+    text, n = F.col(text_col), F.length(text_col)
+    hashed = F.xxhash64(F.col(id_col).cast("long"), text)
+    begin = F.when(n > max_chars, F.pmod(hashed, n - max_chars + 1)).otherwise(0) + 1
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (n > 0) & usable)
+    rows = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), text.substr(begin.cast("int"), F.lit(max_chars)).alias("_text"), hashed.alias("_h"))
     # a language's rows are dealt to SLOTS groups, each of which gives its share
-    hashed = F.xxhash64("_id")
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_lang", F.pmod(hashed, F.lit(SLOTS))).orderBy(hashed, "_id")))
-    chosen = ranked.where(F.col("_r") <= -(-per_lang // SLOTS)).select("_id", "_lang").collect()
-    sizes = {}
-    for r in chosen:
-        sizes[r._lang] = sizes.get(r._lang, 0) + 1
-    langs = set(sorted(sizes, key=lambda x: (-sizes[x], x))[:max_langs])
-    picked = docs.sparkSession.createDataFrame([(r._id,) for r in chosen if r._lang in langs], "_id long").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
-    got = texts.where(F.col("_text").isNotNull() & F.col("_lang").isin(sorted(langs)) & (F.length("_text") <= max_chars)).collect() if langs else []
-    return fit([(r._lang, r._text) for r in sorted(got, key=lambda r: (r._id, r._lang, r._text))], **options)
+    order = Window.partitionBy("_lang", F.pmod("_h", F.lit(SLOTS))).orderBy("_h", "_id")
+    chosen = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= -(-per_lang // SLOTS)).select("_lang", "_text", "_id").collect()
+    return fit([(r._lang, r._text) for r in sorted(chosen, key=lambda r: (r._id, r._lang, r._text))], **options)
 
 
 def predict(model: Chain, text: Column) -> Column:
-    """struct(lang_pred, score); ``und`` and 0 where there is no letter."""
+    """struct(lang_pred, score); ``und`` and 0 where there is no letter (null and empty texts
+    too). Ties go to the language that sorts first; rows with equal texts fare alike."""
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts):

@@ -346,6 +346,43 @@ def test_forward_backward():
         assert np.allclose(m[i, :n], brute_marginals(emit[i, :n], step)) and not m[i, n:].any()
 
 
+def test_stretches_are_one_chain():
+    """A long text's shares are those of one chain, however it is cut."""
+    rng, rnd = np.random.default_rng(4), random.Random(4)
+    model = language.Chain(["a", "b", "c"], rng.normal(0, 0.4, ((1 << language.GRAM_BITS) + (1 << language.WORD_BITS), 3)).astype("f4"), np.array([[3.0, 0, -1], [-1, 2.5, 0], [0, -2, 3]], "f4"))
+    pool = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choice(pool) for _ in range(n)) for n in (3, 511, 512, 513, 1024, 1500, 4000)] + ["", None]
+    before = language.CHAIN
+    found = {}
+    for chain in (before, 64, 10_000):
+        language.CHAIN = chain
+        try:
+            found[chain] = model.predict(texts)
+        finally:
+            language.CHAIN = before
+    numbers = model._numbers(texts[:7])
+    for x, got in zip(numbers, found[before]):
+        m = language.forward_backward(model.table[x][None].astype("f8"), model.step, np.array([len(x)]))[0][0].sum(0)
+        assert got[0] == model.labels[int(m.argmax())] and abs(got[1] - m.max() / m.sum()) < 1e-4
+    for chain in found:
+        assert [x for x, _ in found[chain]] == [x for x, _ in found[before]]
+        assert np.allclose([y for _, y in found[chain]], [y for _, y in found[before]], atol=1e-4)
+
+
+def test_language_many_and_odd(spark):
+    """More than 32 languages, each learned; empty and long texts, ties, repeats, clashes."""
+    names = [f"l{i:02d}" for i in range(36)]
+    word = lambda i, j: f"{chr(97 + i // 6) * 3}{chr(103 + i % 6) * 3}{chr(110 + j)}"
+    rows = [(100 * i + j, " ".join(word(i, (j + x) % 8) for x in range(12)), n) for i, n in enumerate(names) for j in range(12)]
+    rows += [(9000, "", "l00"), (9001, rows[0][1], "l00"), (9001, rows[0][1], "l00"), (9002, " ".join([rows[0][1]] * 2000), "l00"), (None, rows[0][1], None)]
+    d = spark.createDataFrame([(k, t, n, "x", 1) for k, t, n in rows], "doc_id long, text string, lang string, _lang string, _h int")
+    model = language.train(d, F.lit(True), sequences=1500, max_chars=500)
+    assert model.labels == names
+    got = [(r.doc_id, r.lang, r.p.lang_pred) for r in d.select("doc_id", "lang", language.predict(model, F.col("text")).alias("p")).collect()]
+    assert len(got) == len(rows) and sum(l == p for k, l, p in got if k != 9000) > 0.97 * len(rows)
+    assert [p for k, _, p in got if k in (9001, 9002)] == ["l00"] * 3 and [p for k, _, p in got if k == 9000] == ["und"]
+
+
 def test_language(spark):
     de, en = "der die das und nicht mit sich auch werden".split(), "the and not with self also become which".split()
     rnd = random.Random(6)
