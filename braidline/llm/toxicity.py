@@ -6,9 +6,12 @@ the inner product of their factors; the pair part is computed in time linear in
 terms. Pairs learn what single weights miss, such as an insult next to a group name.
 
 The fit uses a bounded sample of labelled rows (``max_rows``, by hash of the id, spread
-over the whole table). A term carries weight only where its log-likelihood ratio with
-the label exceeds twice the log of the number of terms, what chance alone would reach
-about once. Scoring covers every row and the whole text.
+over the whole table). A feature takes part if it tells the labels apart beyond chance,
+alone or in a pair: alone, if its log-likelihood ratio with the label exceeds twice the
+log of the number of features; in a pair of terms, if each of the two tells the labels
+apart among the texts that have the other, by twice the log of the number of pairs. So
+terms that are neutral alone take part if they tell together. Scoring covers every row
+and the whole text.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +33,9 @@ def terms(text: str | None) -> set[str]:
 
 
 def hashes(term: str) -> list[int]:
-    """The term's hash and those of its stems."""
+    """The term's hash, which is odd, and those of its stems, which are even."""
     stems = {f"{term[:n]}-" for n in STEMS if len(term) >= n}
-    return [zlib.crc32(x.encode("utf-8", "replace")) for x in (term, *sorted(stems))]
+    return [zlib.crc32(term.encode("utf-8", "replace")) | 1, *(zlib.crc32(x.encode("utf-8", "replace")) & ~1 for x in sorted(stems))]
 
 
 class Machine:
@@ -73,29 +76,92 @@ class Machine:
         return out
 
 
-def informative(rows, y, min_docs: int, max_terms: int):
-    """Hashes of the terms that tell the labels apart beyond chance, in order."""
+def deviance(k, n, rest_k, rest_n):
+    """Twice the log-likelihood ratio of two groups (k of n, rest_k of rest_n) having
+    rates of their own against one rate for both; arrays."""
+    import numpy as np
+
+    p = (k + rest_k) / np.maximum(n + rest_n, 1)
+
+    def part(k, n):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = np.where(k > 0, k * np.log(k / (n * p)), 0.0)
+            miss = np.where(n > k, (n - k) * np.log((n - k) / (n * (1 - p))), 0.0)
+        return hit + miss
+
+    return 2 * (part(k, n) + part(rest_k, rest_n))
+
+
+def informative(rows, y, min_docs: int):
+    """Hashes of the features that tell the labels apart beyond chance, in order."""
     import numpy as np
 
     every, inverse = np.unique(np.concatenate([h for h, _ in rows]), return_inverse=True)
     toxic = np.repeat(y, [len(h) for h, _ in rows])
     n = np.bincount(inverse, minlength=len(every)).astype("f8")
-    a = np.bincount(inverse, toxic, minlength=len(every))
-    p = y.mean()
-
-    def part(k, expected):
-        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
-
-    rest, rest_n = y.sum() - a, len(y) - n
-    ratio = 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(rest, rest_n * p) + part(rest_n - rest, rest_n * (1 - p)))
+    k = np.bincount(inverse, toxic, minlength=len(every))
+    ratio = deviance(k, n, y.sum() - k, len(y) - n)
     ratio[n < min_docs] = 0
-    keep = np.flatnonzero(ratio >= 2 * np.log(max(2, len(every))))
-    if len(keep) > max_terms:
-        keep = keep[np.argsort(-ratio[keep], kind="stable")[:max_terms]]
-    return every[np.sort(keep)]
+    return every[ratio >= 2 * np.log(max(2, len(every)))]
+
 
+def telling_pairs(rows, y, min_docs: int, row_terms: int, pairs_at_once: int = 2_000_000):
+    """Hashes of the terms of pairs of which each member tells the labels apart among the
+    texts that have the other. All pairs of terms with ``min_docs`` texts are counted
+    exactly, in rounds; a row of over ``row_terms`` such terms gives those whose hashes
+    mixed with the row's number are smallest, another choice for each row."""
+    import numpy as np
 
-def fit(rows, *, rank: int = 4, min_docs: int = 3, max_terms: int = 16_384, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7):
+    term_rows = [h[h & 1 == 1] for h, _ in rows]
+    every, n = np.unique(np.concatenate(term_rows), return_counts=True)
+    terms = every[n >= min_docs]
+    if len(terms) < 2:
+        return terms[:0]
+    at = []
+    for r, h in enumerate(term_rows):
+        i = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+        i = i[terms[i] == h]
+        if len(i) > row_terms:
+            mixed = (terms[i].astype("u8") + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15)
+            i = np.sort(i[np.argsort(mixed ^ (mixed >> np.uint64(29)))[:row_terms]])
+        at.append(i)
+    flat, label = np.concatenate(at), np.repeat(y, [len(i) for i in at])
+    n = np.bincount(flat, minlength=len(terms)).astype("f8")
+    k = np.bincount(flat, label, minlength=len(terms))
+    least = 2 * np.log(len(terms) * (len(terms) - 1) / 2)
+    # a row's pairs in order of their first member, so that a range of first members, a
+    # round, is a stretch of them
+    ahead = np.bincount(flat, np.concatenate([np.arange(len(i))[::-1] for i in at]), minlength=len(terms)).astype("i8")
+    round_of = (np.cumsum(ahead) - ahead) // pairs_at_once
+    shapes: dict = {}
+    found = []
+    for turn in np.unique(round_of):
+        low, high = np.searchsorted(round_of, [turn, turn + 1])
+        keys, hits = [], []
+        for i, v in zip(at, y):
+            m = len(i)
+            p, q = np.searchsorted(i, [low, high])
+            if p == q:
+                continue
+            if m not in shapes:
+                shapes[m] = [x.astype("u2") for x in np.triu_indices(m, 1)]
+            mine = slice(p * (2 * m - p - 1) // 2, q * (2 * m - q - 1) // 2)
+            a, b = (i[x[mine]] for x in shapes[m])
+            keys.append(a * len(terms) + b)
+            hits.append(np.full(len(a), v))
+        if not keys:
+            continue
+        pair, inverse, both = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        hit = np.bincount(inverse, np.concatenate(hits), minlength=len(pair))
+        some = both >= min_docs
+        pair, both, hit = pair[some], both[some].astype("f8"), hit[some]
+        a, b = pair // len(terms), pair % len(terms)
+        tells = np.minimum(deviance(hit, both, k[a] - hit, n[a] - both), deviance(hit, both, k[b] - hit, n[b] - both)) >= least
+        found += [a[tells], b[tells]]
+    return terms[np.unique(np.concatenate(found))] if found else terms[:0]
+
+
+def fit(rows, *, rank: int = 4, min_docs: int = 3, pair_docs: int = 10, row_terms: int = 256, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7):
     """A Machine from (hashes, label) rows; adaptive gradient steps on log loss."""
     import numpy as np
 
@@ -103,7 +169,7 @@ def fit(rows, *, rank: int = 4, min_docs: int = 3, max_terms: int = 16_384, epoc
     if not rows:
         return Machine(np.zeros(0, "u4"), np.zeros(0, "f4"), np.zeros((0, rank), "f4"), -30.0)
     y = np.array([v for _, v in rows], "f4")
-    hashes = informative(rows, y, min_docs, max_terms)
+    hashes = np.union1d(informative(rows, y, min_docs), telling_pairs(rows, y, pair_docs, row_terms)).astype("u4")
     p = min(max(y.mean(), 1e-4), 1 - 1e-4)
     rng = np.random.default_rng(seed)
     bias, w = float(np.log(p / (1 - p))), np.zeros(len(hashes), "f4")
@@ -153,7 +219,7 @@ def fit(rows, *, rank: int = 4, min_docs: int = 3, max_terms: int = 16_384, epoc
 def train(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int = 8_000, id_col="doc_id", text_col="text", label_col="toxic", **options) -> Machine:
     """Fit on at most ``max_rows`` labelled rows for which ``usable`` (on ``id_col``)
     holds. Null labels or ids are left out; an id labelled twice counts as toxic if any
-    label says so; an id that occurs twice trains twice."""
+    label says so; of rows that share an id, the one whose text's hash is smallest trains."""
     chosen = (
         labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_label"))
         .where(F.col("_label").isNotNull() & F.col(id_col).isNotNull() & usable)
@@ -170,13 +236,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int =
 
         return text.map(lambda x: np.unique(np.array([h for t in terms(x) for h in hashes(t)], "<u4")).tobytes())
 
-    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = picked.join(F.broadcast(chosen), "_id").select("_id", hashed("_text").alias("h"), "_label").collect()
-    return fit([(r.h, r._label) for r in sorted(rows, key=lambda r: (r._id, r.h))], **options)
+    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    # of rows that share an id one, so that no more rows reach the driver than were chosen
+    one = Window.partitionBy("_id").orderBy(F.xxhash64("_text"))
+    rows = picked.withColumn("_r", F.row_number().over(one)).where("_r = 1").select("_id", hashed("_text").alias("h"), "_label").collect()
+    return fit([(r.h, r._label) for r in sorted(rows, key=lambda r: r._id)], **options)
 
 
 def score(model: Machine, text: Column) -> Column:
-    """The score of a text, 0 to 1; null counts as empty, which scores as the bias."""
+    """The score of a text, 0 to 1; null counts as empty, which scores as the bias. Rows
+    with equal texts score alike, and an empty table gives no rows."""
 
     @F.pandas_udf(T.DoubleType())
     def scored(texts):

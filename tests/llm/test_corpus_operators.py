@@ -175,6 +175,49 @@ def test_toxicity_pairs():
     assert toxicity.fit([]).score(["a"]) [0] < 0.5
 
 
+def term_rows(texts):
+    return [np.unique(np.array([h for t in toxicity.terms(x) for h in toxicity.hashes(t)], "<u4")).tobytes() for x in texts]
+
+
+def test_toxicity_exclusive_or():
+    """Two terms that are neutral alone tell together."""
+    rnd, texts, y = random.Random(2), [], []
+    for _ in range(2500):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        texts.append(" ".join(rnd.sample(WORDS, 6) + ["insultx"] * a + ["groupy"] * b))
+        y.append(int(a != b))
+    model = toxicity.fit(list(zip(term_rows(texts), y))[:2000])
+    assert not len(toxicity.informative([(np.frombuffer(h, "<u4"), v) for h, v in zip(term_rows(texts), y)], np.array(y, "f4"), 3))
+    got = [s >= 0.5 for s in model.score(texts[2000:])]
+    assert np.mean(np.array(got) == (np.array(y[2000:]) == 1)) > 0.97
+
+
+def test_toxicity_score_is_the_pair_sum():
+    """The score against weights and factors summed pair by pair."""
+    rng = np.random.default_rng(3)
+    h = np.unique(np.array([x for w in WORDS for x in toxicity.hashes(w)], "u4"))
+    m = toxicity.Machine(h, rng.normal(0, 0.3, len(h)).astype("f4"), rng.normal(0, 0.3, (len(h), 4)).astype("f4"), -0.2)
+    for text in ("", None, "the of The", "that with this IS an", " ".join(WORDS)):
+        at = [i for i, x in enumerate(h.tolist()) if x in {k for t in toxicity.terms(text) for k in toxicity.hashes(t)}]
+        margin = m.bias + sum(float(m.weights[i]) for i in at)
+        margin += sum(float(m.factors[i].astype("f8") @ m.factors[j].astype("f8")) for n, i in enumerate(at) for j in at[:n])
+        assert abs(m.score([text])[0] - 1 / (1 + math.exp(-margin))) < 1e-6
+
+
+def test_pair_screen_rounds():
+    """The pairs found do not hang on how many are counted at once."""
+    rnd = random.Random(5)
+    texts, y = [], []
+    for _ in range(600):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        texts.append(" ".join(rnd.sample(WORDS, 8) + ["left"] * a + ["right"] * b))
+        y.append(int(a and b) if rnd.random() < 0.9 else 0)
+    rows, y = [(np.frombuffer(h, "<u4"), v) for h, v in zip(term_rows(texts), y)], np.array(y, "f4")
+    one = toxicity.telling_pairs(rows, y, 10, 256)
+    assert {toxicity.hashes("left")[0], toxicity.hashes("right")[0]} <= set(one.tolist())
+    assert toxicity.telling_pairs(rows, y, 10, 256, pairs_at_once=500).tolist() == one.tolist()
+
+
 def test_toxicity_frames(spark):
     d = docs(spark, [(i, "bad apple" if i % 2 else "good pear") for i in range(60)] + [(None, "bad"), (70, None)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
@@ -182,6 +225,11 @@ def test_toxicity_frames(spark):
     got = {r.doc_id: r.s for r in d.select("doc_id", toxicity.score(model, F.col("text")).alias("s")).collect()}
     assert got[1] > 0.5 > got[2] and 0 <= got[70] <= 1
     assert toxicity.train(d.limit(0), labels.limit(0), F.lit(True)).bias < 0
+    # repeated ids train once, whatever their number; long texts and clashing names do no harm
+    again = docs(spark, [(5, f"bad apple {i}") for i in range(50)] + [(i, "bad apple" if i % 2 else "good pear") for i in range(6, 60)] + [(2, "word " * 20_000)])
+    twice = toxicity.train(again, labels.unionByName(labels), F.lit(True))
+    got = [r.s for r in again.select(toxicity.score(twice, F.col("text")).alias("s")).collect()]
+    assert len(got) == 105 and all(0 <= s <= 1 for s in got) and got[0] > 0.5
 
 
 @settings(max_examples=60, deadline=None)
