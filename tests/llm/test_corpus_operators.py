@@ -321,14 +321,76 @@ def test_searcher_against_brute():
         assert sorted(index.search(q)) == want
 
 
-def test_packing(spark):
+def fewest_bins(lengths, capacity):
+    """The optimum, by trying every bin for every item."""
+    best = len(lengths)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= lengths[i] and rooms[j] not in rooms[:j]:
+                go(i + 1, rooms[:j] + [rooms[j] - lengths[i]] + rooms[j + 1 :])
+        go(i + 1, rooms + [capacity - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_against_optimum():
+    rnd, exact = random.Random(4), 0
+    for _ in range(150):
+        lengths = [rnd.randint(1, 30) for _ in range(rnd.randint(1, 9))]
+        bins = packing.Search(packing.arrival_fill(lengths, 30), lengths, 30).run()
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= 30 for b in bins)
+        best = fewest_bins(lengths, 30)
+        assert best <= len(bins) <= best + 1
+        exact += len(bins) == best
+    assert exact >= 140
+
+
+def test_packing_steps():
+    """The search packs: from arrival order down to the floor, by each kind of step."""
     rnd = random.Random(4)
-    lengths = [rnd.randint(1, 4096) for _ in range(3000)] + [rnd.randint(1, 300) for _ in range(3000)]
-    bins = packing.improve(packing.best_fit(lengths, 4096), lengths, 4096)
+    lengths = [rnd.randint(1, 4096) for _ in range(1500)] + [rnd.randint(1, 300) for _ in range(1500)]
+    rnd.shuffle(lengths)
+    start = packing.arrival_fill(lengths, 4096)
+    search = packing.Search(start, lengths, 4096)
+    before = sum(int(f) ** 2 for f in search.fill)
+    bins = search.run()
     assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
-    assert all(sum(lengths[i] for i in b) <= 4096 for b in bins) and len(bins) <= 1.01 * -(-sum(lengths) // 4096)
-    # three bins that fill two once documents trade places
-    assert len(packing.improve([[0], [1], [2, 3]], [7, 5, 5, 3], 10)) == 2
+    assert all(sum(lengths[i] for i in b) <= 4096 for b in bins) and sum(int(f) ** 2 for f in search.fill) > before
+    assert len(start) > 1.2 * len(bins) and len(bins) <= 1.03 * -(-sum(lengths) // 4096)
+    assert search.steps["move"] > 100 and search.steps["one for one"] > 100 and search.steps["two for one"] > 10
+    # lengths as documents have them: the floor itself is reached
+    lengths = [min(4096, int(rnd.lognormvariate(6, 1.2)) + 1) for _ in range(4096)]
+    start = packing.arrival_fill(lengths, 4096)
+    assert len(packing.Search(start, lengths, 4096).run()) == -(-sum(lengths) // 4096) < 0.9 * len(start)
+    # only trading one for two, or two for one, puts tokens into the fuller bin here
+    for bins, lengths in (([[0], [1, 2, 3]], [7, 3, 3, 2]), ([[0, 1], [2, 3]], [3, 3, 5, 3])):
+        two = packing.Search(bins, lengths, 9)
+        assert two._step(0) and two.steps == {"two for one": 1}
+
+
+def test_packing_rounds(spark):
+    """The groups' rests meet, so that the whole table comes near its floor."""
+    rnd = random.Random(6)
+    rows = [(i, 0, rnd.randint(1, 300)) for i in range(20_000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    out = packing.pack(pieces, capacity=1000, group_items=250).collect()
+    fill = collections.Counter()
+    for r in out:
+        fill[r.sequence_id] += r.length
+    assert sorted((r.doc_id, r.length) for r in out) == sorted((a, c) for a, _, c in rows) and max(fill.values()) <= 1000
+    assert len(fill) <= 1.002 * sum(c for _, _, c in rows) / 1000 + 1  # 80 groups, two rounds
+
+
+def test_packing(spark):
     rows = [(k, t) for k, t in enumerate(odd_texts(60))] + [(None, "null id"), (3, "again"), (500, "word " * 9000)]
     out = packing.pack_documents(docs(spark, rows), public_tokenizers.path("word_bpe_49k.json"), capacity=512).collect()
     places = collections.defaultdict(list)
