@@ -70,36 +70,70 @@ def test_sorted_runs(spark):
     assert plan.executedPlan().toString().count("partial_collect_list(run") >= 2
 
 
-def brute_lattice(model, word):
-    text, out = lattice_lm.MARK + word, []
+def segmentations(model, word):
+    """(log probability, uses) of every path through a word's lattice; a use is a piece's
+    number and whether it begins the word, or a byte."""
+    text, out, number = lattice_lm.MARK + word, [], {p: i for i, p in enumerate(model.pieces)}
 
-    def go(i, lp):
+    def go(i, lp, uses):
         if i == len(text):
-            out.append(lp + model.stop)
+            out.append((lp + model.stop, uses))
             return
         lp += model.go if i else 0
         for j in range(i + 1, len(text) + 1):
-            w = (model.follow if i else model.begin).get(text[i:j])
-            if w is not None:
-                go(j, lp + w)
+            k = number.get(text[i:j])
+            w = -math.inf if k is None else float((model.follow if i else model.begin)[k])
+            if w > -math.inf:
+                go(j, lp + w, [*uses, (k, not i)])
         if i:
             raw = text[i].encode()
-            go(i + 1, lp + sum(model.bytes[b] for b in raw) + model.go * (len(raw) - 1))
+            go(i + 1, lp + sum(float(model.bytes[b]) for b in raw) + model.go * (len(raw) - 1), [*uses, *((b, None) for b in raw)])
+
+    go(0, 0.0, [])
+    return out
 
-    go(0, 0.0)
+
+def brute_lattice(model, word):
+    out = [lp for lp, _ in segmentations(model, word)]
     top = max(out)
     return top + math.log(sum(math.exp(x - top) for x in out))
 
 
-@pytest.mark.parametrize("word", ["a", "the", "tion", "ñé", "xqzj", "日", "walking"])
-def test_lattice(word):
+def test_lattice():
+    words = ["a", "the", "tion", "ñé", "xqzj", "日", "walking", "a", "▁a", "thethe", "é"]
     model = lattice_lm.lattice(public_tokenizers.path("piece_bpe_32k.model"))
-    assert math.isclose(model.log_probability(word), brute_lattice(model, word), rel_tol=1e-9)
-    counts = {}
-    assert model.expected([word], counts) == 1
-    fitted = model.adapted(counts, 1)
-    assert fitted.log_probability(word) > model.log_probability(word)
-    assert math.isclose(sum(map(math.exp, fitted.begin.values())), 1, rel_tol=1e-9)
+    assert np.allclose(model.log_probabilities(words), [brute_lattice(model, w) for w in words], rtol=1e-9)
+    times = [3, 1, 2, 1, 5, 1, 1, 2, 1, 1, 4]
+    want = [np.zeros(len(model.pieces)), np.zeros(len(model.pieces)), np.zeros(256)]
+    for w, n in zip(words, times):
+        whole = brute_lattice(model, w)
+        for lp, uses in segmentations(model, w):
+            for k, begins in uses:
+                want[2 if begins is None else 0 if begins else 1][k] += n * math.exp(lp - whole)
+    got = model.expected(words, times)
+    assert all(np.allclose(x, y, atol=1e-9) for x, y in zip(got, want))
+    fitted = model.adapted(*got, sum(times))
+    assert (fitted.log_probabilities(words) @ times) > (model.log_probabilities(words) @ times)
+    assert math.isclose(np.exp(fitted.begin).sum(), 1, rel_tol=1e-9)
+    assert math.isclose(np.exp(fitted.follow).sum() + np.exp(fitted.bytes).sum(), 1, rel_tol=1e-9)
+
+
+def test_document_score_by_segmentation(spark):
+    """A document's score against all segmentations of its words under a lattice trained here."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "the cat sat"), (2, "The walking cat"), (3, "a cat a mat"), (10, "unseen words ñ the"), (10, "the"), (20, None), (30, "  \n")]
+    got = collections.defaultdict(set)
+    for r in lattice_lm.score_documents(docs(spark, rows), F.col("doc_id") % 10 == 0, path, rounds=2).collect():
+        got[r.doc_id].add(round(r.score, 9))
+    cut = {(k, t): (t or "").lower().split() for k, t in rows}
+    train = collections.Counter(w for (k, _), ws in cut.items() if k % 10 for w in ws)
+    model = prior = lattice_lm.Lattice(path)
+    for _ in range(2):
+        model = prior.adapted(*model.expected(list(train), list(train.values())), sum(train.values()))
+    rate = (3 + 1) / (sum(train.values()) + 3 + 2)
+    for (k, t), ws in cut.items():
+        want = sum(brute_lattice(model, w) + math.log(1 - rate) for w in ws) + math.log(rate)
+        assert any(abs(want / math.log(10) - x) < 1e-6 for x in got[k])
 
 
 def test_lattice_scores(spark):
@@ -115,7 +149,7 @@ def test_lattice_scores(spark):
         ws = cut[r.doc_id]
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isfinite(r.score) and r.score < 0
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isfinite(r.score) and r.score < 0 and r.counted_score < 0
     assert lattice_lm.score_documents(docs(spark, []), held, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
