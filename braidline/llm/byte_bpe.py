@@ -8,19 +8,22 @@ leftmost pair of lowest rank and looks up the two new neighbours. Long pieces ho
 same state in segments, so that a step copies little of it. Ranks come from a
 literal map, laid out so that nearly every look is a single one (a map column would be
 searched from end to end). Decoding concatenates the binary pieces of the ids. A last
-stage puts the documents together. Nothing is shuffled and no stage holds more than
-its block, so neither skewed sources nor lost executors matter.
+stage puts the documents together. No text is shuffled and no stage holds more than its
+block, so neither skewed sources nor lost executors matter.
+
+Pieces that recur in a bounded sample of rows are folded once beforehand and sent around,
+as most tasks would fold them anew; which they are changes the work and no result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import count, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +36,12 @@ TABLES = ("first", "second", "bytes", "pairs", "tokens")
 PRIMES = (230_003, 70_001)
 #: A block of whole documents closes at so many characters.
 BLOCK_CHARS = 1_500_000
-#: Pieces a task keeps numbers for.
-KEEP_PIECES = 400_000
+#: Pieces a task keeps numbers for, besides the common ones.
+KEEP_PIECES = 250_000
+#: Rows sampled for the common pieces, and how many of these there are at most.
+SAMPLE_ROWS, MOST_COMMON = 16_000, 400_000
+#: Pieces folded in one row.
+FOLD_PIECES = 4_000
 #: A fold copies its state at every step, so the state of longer pieces is cut into
 #: segments.
 LONG_BYTES = 512
@@ -168,16 +175,25 @@ def _long_sql() -> str:
     return _with_tables(f"transform(long_words, v -> {_bind('v.piece', 'w', each)})")
 
 
-def _blocks(batches, pattern: str, long_bytes: int):
-    """Documents cut into pieces, a row a block. A piece is sent once: later blocks of
-    the task refer to its number. At KEEP_PIECES known ones all but the first half, which
-    has the common ones, are forgotten; ``keep`` tells the receiver how many stay."""
-    import numpy as np
+def _cutter(pattern: str):
+    """A function from texts to pieces; most texts are cut by an equal, simpler pattern."""
     import regex
 
     exact = regex.compile(pattern)
-    keys, docs, size, keep = [], [], 0, 0
-    number = defaultdict(count().__next__)  # a new piece takes the next number
+    return lambda text: (_BYTE_PLAIN if text.isascii() or _PLAIN.fullmatch(text) else exact).findall(text)
+
+
+def _blocks(batches, pattern: str, long_bytes: int, common: list[str]):
+    """Documents cut into pieces, a row a block. Common pieces have the first numbers. A
+    new piece is sent once: later blocks of the task refer to its number. At KEEP_PIECES
+    known ones all but the first half, which has the frequent ones, are forgotten;
+    ``keep`` tells the receiver how many stay."""
+    import numpy as np
+
+    cutter = _cutter(pattern)
+    keys, docs, size, keep = [], [], 0, len(common)
+    # a new piece takes the next number
+    number = defaultdict(count(keep).__next__, zip(common, range(keep)))
 
     def row():
         words = [w.encode() for w in islice(number, keep, None)]
@@ -199,50 +215,90 @@ def _blocks(batches, pattern: str, long_bytes: int):
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             text = text or ""
-            cut = _BYTE_PLAIN.findall(text) if text.isascii() or _PLAIN.fullmatch(text) else exact.findall(text)
+            cut = cutter(text)
             keys.append(key)
             docs.append(np.fromiter(map(number.__getitem__, cut), "<u4", len(cut)).tobytes())
             size += len(text)
             if size >= BLOCK_CHARS:
                 yield row()
-                if len(number) >= KEEP_PIECES:
-                    common = dict(islice(number.items(), KEEP_PIECES // 2))
-                    number = defaultdict(count(len(common)).__next__, common)
+                if len(number) >= len(common) + KEEP_PIECES:
+                    kept = dict(islice(number.items(), len(common) + KEEP_PIECES // 2))
+                    number = defaultdict(count(len(kept)).__next__, kept)
                 keys, docs, size, keep = [], [], 0, len(number)
     if keys:
         yield row()
 
 
-def encode_blocks(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", long_bytes: int = LONG_BYTES) -> DataFrame:
-    """keep, keys, docs, pieces (ids and decoded bytes of each new piece) and long_pieces
-    (the same with the piece's number, for those whose place in ``pieces`` is empty)."""
+def _common(picked: DataFrame, tables: list[Column], pattern: str):
+    """Pieces that recur in the sample, their ids and their decoded bytes. The sample's
+    rows bound what is counted, and MOST_COMMON what reaches the driver."""
+    n = picked.count()
+    sample = picked.select("text").sample(min(1.0, SAMPLE_ROWS / max(1, n)), seed=7)
+
+    def counted(batches):
+        cutter, seen = _cutter(pattern), Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                seen.update(p for p in cutter(text or "") if len(p) <= 32)
+        yield pa.record_batch([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+
+    def grouped(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, FOLD_PIECES):
+                words = [w.encode() for w in b.column(0).slice(i, FOLD_PIECES).to_pylist()]
+                yield pa.record_batch([pa.array([[list(w) for w in words]], pa.list_(pa.list_(pa.int32())))], ["words"])
+
+    often = sample.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
+    often = often.select("piece").limit(MOST_COMMON).mapInArrow(grouped, "words array<array<int>>")
+    found = often.select("words", *tables).select(F.expr(_short_sql()).alias("pieces")).toArrow()
+    ids, decoded = [], []
+    for chunk in found.column("pieces").chunks:
+        more = _folded(chunk.flatten())
+        ids += more[0]
+        decoded += more[1]
+    return [d.decode() for d in decoded], ids, decoded
+
+
+def _folded(pieces):
+    """Ids (unsigned 32-bit) and decoded bytes of an array of folded pieces."""
+    import numpy as np
+
+    lists = pieces.field("ids")
+    ids = np.asarray(lists.flatten()).astype("<u4").tobytes()
+    ends = ((np.asarray(lists.offsets).astype("i8") - lists.offsets[0].as_py()) * 4).tolist()
+    return [ids[i:j] for i, j in zip(ends[:-1], ends[1:])], pieces.field("decoded").to_pylist()
+
+
+def encode_blocks(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", long_bytes: int = LONG_BYTES):
+    """Blocks (keep, keys, docs, pieces: ids and decoded bytes of each new piece, and
+    long_pieces: the same with the piece's number, for those whose place in ``pieces`` is
+    empty), and a broadcast of the common pieces' ids and decoded bytes."""
     spark = docs.sparkSession
     view = "braidline_bpe_ranks"
     literals(spark, read_ranks(path)).createOrReplaceTempView(view)
+    tables = [F.expr(f"(SELECT {c} FROM {view})").alias(c) for c in TABLES]
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    names, *encoded = _common(picked, tables, pattern)
+    names, encoded = (spark.sparkContext.broadcast(x) for x in (names, encoded))
     schema = "keep long, keys array<long>, docs array<binary>, words array<array<int>>, long_words array<struct<at:int,piece:array<int>>>"
-    blocks = picked.mapInArrow(lambda batches: _blocks(batches, pattern, long_bytes), schema)
-    literal = [F.expr(f"(SELECT {c} FROM {view})").alias(c) for c in TABLES]
-    return blocks.select("*", *literal).select("keep", "keys", "docs", F.expr(_short_sql()).alias("pieces"), F.expr(_long_sql()).alias("long_pieces"))
+    blocks = picked.mapInArrow(lambda batches: _blocks(batches, pattern, long_bytes, names.value), schema)
+    return blocks.select("*", *tables).select("keep", "keys", "docs", F.expr(_short_sql()).alias("pieces"), F.expr(_long_sql()).alias("long_pieces")), encoded
 
 
-def _documents(blocks: DataFrame, make, schema: str) -> DataFrame:
+def _documents(blocks: DataFrame, common, make, schema: str) -> DataFrame:
     """Rows of ``make(keys, [(ids bytes, decoded bytes)])`` for each block."""
 
     def run(batches):
         import numpy as np
 
-        encoded, decoded = [], []
+        encoded, decoded = map(list, common.value)
         for b in batches:
             for r in range(b.num_rows):
                 keep = b.column(0)[r].as_py()
                 del encoded[keep:], decoded[keep:]
-                found = b.column(3).slice(r, 1).flatten()
-                lists = found.field(0)
-                ids = np.asarray(lists.flatten()).astype("<u4").tobytes()
-                ends = ((np.asarray(lists.offsets).astype("i8") - lists.offsets[0].as_py()) * 4).tolist()
-                encoded += [ids[i:j] for i, j in zip(ends[:-1], ends[1:])]
-                decoded += found.field(1).to_pylist()
+                more = _folded(b.column(3).slice(r, 1).flatten())
+                encoded += more[0]
+                decoded += more[1]
                 for x in b.column(4)[r].as_py():
                     encoded[x["at"]] = np.array(x["ids"], "<u4").tobytes()
                     decoded[x["at"]] = x["decoded"]
@@ -265,7 +321,7 @@ def encode(docs: DataFrame, path: str, pattern: str, **cols) -> DataFrame:
             ["doc_id", "ids", "decoded"],
         )
 
-    return _documents(encode_blocks(docs, path, pattern, **cols), make, "doc_id long, ids binary, decoded binary")
+    return _documents(*encode_blocks(docs, path, pattern, **cols), make, "doc_id long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, **cols) -> DataFrame:
@@ -280,4 +336,4 @@ def digests(docs: DataFrame, path: str, pattern: str, **cols) -> DataFrame:
         )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _documents(encode_blocks(docs, path, pattern, **cols), make, schema)
+    return _documents(*encode_blocks(docs, path, pattern, **cols), make, schema)
