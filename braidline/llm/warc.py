@@ -29,6 +29,7 @@ CRLF = b"\r\n"
 ID_URN = "urn:braidline:record:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = 1 << 18
+SALTS = 16
 
 
 def one_line(x) -> str:
@@ -73,12 +74,22 @@ def headers(block: bytes) -> tuple[dict[str, str], int]:
 
 def write_archives(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html", min_bytes: int = 1000) -> DataFrame:
     """Write all rows; returns the manifest (url, size, records), which names only files
-    of tasks that ended well. Null html counts as empty, null url as an empty one."""
+    of tasks that ended well. Null html counts as empty, null url as an empty one; rows
+    that share an id, or have none, are a record each; an empty table gives no files.
+    Payloads are equal if two digests and the length are.
+
+    Rows meet by payload only if it has ``min_bytes`` bytes, and then in ``SALTS`` places,
+    so that neither empty pages nor a page that a third of all rows hold meet in one task."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("uri"), payload.alias("payload"))
-    rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    again = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.max("key").alias("kept"), F.count("*").alias("n"))
-    marked = rows.join(again.where("n > 1").drop("n"), ["digest", "n_bytes"], "left")
+    rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload"), "check": F.xxhash64("payload")})
+    same = ["digest", "n_bytes", "check"]
+    again = rows.where(F.col("n_bytes") >= min_bytes).groupBy(*same).agg(F.max("key").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a short payload's salt is one that no copy has, and spreads
+    row = F.monotonically_increasing_id()
+    salt = F.when(F.col("n_bytes") >= min_bytes, F.pmod(row, F.lit(SALTS))).otherwise(-1 - row)
+    marked = rows.withColumn("salt", salt).join(again.withColumn("salt", F.col("salt").cast("long")), [*same, "salt"], "left")
     refers = F.when(F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("key")), F.col("kept"))
     marked = marked.select("key", "uri", "payload", "n_bytes", "digest", refers.alias("refers_to"))
     folder = fresh_path(pages.sparkSession, "warc")
@@ -152,7 +163,8 @@ class _Members:
 
 def read_archives(manifest: DataFrame, *, split_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and (unless
-    left out) payload of every record; a revisit's payload is null."""
+    left out) payload of every record; a revisit's payload is null. A record without an id
+    reads back without one, repeated ones a row each, and no files as no rows."""
     ranges = manifest.select("url", "size", F.explode(F.expr(f"sequence(0, greatest(size - 1, 0), {split_bytes})")).alias("start"))
     n = max(1, ranges.count())
     ranges = ranges.repartition(min(n, 20_000))
