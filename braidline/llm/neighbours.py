@@ -119,7 +119,7 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 2, width: int = 6,
-    target: float = 0.96, sample_rows: int = 4096, block_rows: int = 4096,
+    target: float = 0.94, sample_rows: int = 4096, block_rows: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row for which
     ``is_query`` (on ``_id``) holds, all candidates if there are fewer.
@@ -207,7 +207,7 @@ def nearest(
             some = np.argpartition(-score, most - 1, axis=1)[:, :most]
             i = np.repeat(np.arange(len(score)), most)
             j = some.ravel()
-            ok = np.isfinite(score[i, j])
+            ok = score[i, j] > -np.inf
             i, j = i[ok], j[ok]
             exact = np.einsum("ij,ij->i", q[lo + i], v[j])
             order = np.lexsort((cid[j], -exact, i))
