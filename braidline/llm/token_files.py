@@ -143,8 +143,10 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 2, id_col: st
             def flush():
                 values = rank_of[np.frombuffer(b"".join(x for _, x in ids), dtype)]
                 control, data = pack(values)
-                out.write(struct.pack(HEAD, len(ids), 0, len(values), len(control), len(data)))
-                out.write(np.array([-(1 << 63) if k is None else k for k, _ in ids], "<i8").tobytes())
+                # null ids sort first, so their number tells which they are
+                nulls = sum(k is None for k, _ in ids)
+                out.write(struct.pack(HEAD, len(ids), nulls, len(values), len(control), len(data)))
+                out.write(np.array([k or 0 for k, _ in ids], "<i8").tobytes())
                 out.write(np.array([len(x) // size for _, x in ids], "<u4").tobytes())
                 out.write(control)
                 out.write(data)
@@ -162,13 +164,16 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int = 2, id_col: st
         row = [[part], [url], [n_docs], [n_tokens]]
         yield pa.record_batch([pa.array(x) for x in row], ["part", "url", "n_docs", "n_tokens"])
 
-    ordered = tokens.where("counts IS NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # a number a row parts the rows of one id, however many there are
+    ordered = tokens.where("counts IS NULL").select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
     manifest = materialise(ordered.mapInArrow(write, "part long, url string, n_docs long, n_tokens long"), "token-manifest")
     return folder, [r for r in manifest.orderBy("part").collect() if r.n_docs]
 
 
 def read_token_files(spark, folder: str, manifest) -> DataFrame:
-    """doc_id, start, ids (binary, unsigned 32-bit) of every document in the files."""
+    """doc_id, start, ids (binary, unsigned 32-bit) of every document in the files: a row
+    each for repeated and null ids, the end alone for empty texts, no row for no files."""
     files, start = [], 0
     for r in manifest:
         files.append((r.url, start))
@@ -188,7 +193,7 @@ def read_token_files(spark, folder: str, manifest) -> DataFrame:
                     if f.read(len(MAGIC)) != MAGIC:
                         raise ValueError(f"not a token file: {url}")
                     while head := f.read(struct.calcsize(HEAD)):
-                        n_docs, _, n, n_control, n_data = struct.unpack(HEAD, head)
+                        n_docs, nulls, n, n_control, n_data = struct.unpack(HEAD, head)
                         keys = np.frombuffer(f.read(8 * n_docs), "<i8")
                         sizes = np.frombuffer(f.read(4 * n_docs), "<u4").astype("i8")
                         ids = by_rank[unpack(f.read(n_control), f.read(n_data), n)].tobytes()
@@ -196,7 +201,7 @@ def read_token_files(spark, folder: str, manifest) -> DataFrame:
                         begins = ends - sizes
                         yield pa.record_batch(
                             [
-                                pa.array(keys, mask=keys == -(1 << 63)),
+                                pa.array(keys, mask=np.arange(n_docs) < nulls),
                                 pa.array(begins + start),
                                 pa.array([ids[4 * i : 4 * j] for i, j in zip(begins.tolist(), ends.tolist())], pa.binary()),
                             ],
@@ -211,7 +216,7 @@ def read_token_files(spark, folder: str, manifest) -> DataFrame:
 
 
 def token_digests(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of documents read back."""
+    """doc_id, start, n_tokens, ids_crc32 of documents read back, row by row."""
     return read.select(
         "doc_id",
         "start",

@@ -275,7 +275,7 @@ def test_pack_values(values):
 
 def test_token_files(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(k, t) for k, t in enumerate(odd_texts(50))][::-1] + [(None, "null id"), (7, "again")]
+    rows = [(k, t) for k, t in enumerate(odd_texts(50))][::-1] + [(None, "null id"), (7, "again"), (-(1 << 63), "least id"), (None, "")] + [(9, "hot id")] * 40
     folder, manifest = token_files.write_token_files(docs(spark, rows), path, end_id=2)
     got = token_files.read_token_files(spark, folder, manifest).collect()
     e = tokens.PieceEncoder(path)
@@ -286,7 +286,7 @@ def test_token_files(spark):
         assert r.start == at
         at += len(r.ids) // 4
     ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
-    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    assert ids[:2] == [None, None] and ids[2] == -(1 << 63) and ids[2:] == sorted(ids[2:])
     folder, manifest = token_files.write_token_files(docs(spark, []), path, end_id=2)
     assert token_files.read_token_files(spark, folder, manifest).count() == 0
 
@@ -307,6 +307,12 @@ def test_warc(spark):
                 assert bytes(got[k].payload) == raw
         assert {k for k, r in got.items() if r.record_type == "revisit"} == {1, None} and got[1].refers_to == 2
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    # repeated ids, many empty pages, many equal long ones, clashing names
+    rows = [(1, "u", "")] * 50 + [(2, "u", big)] * 3 + [(3, "u", big + "x"), (4, None, big), (None, "u", None)]
+    odd = spark.createDataFrame([(*r, 1, "d", 2) for r in rows], "page_id long, url string, html string, salt int, digest string, kept int").repartition(4)
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(odd)).collect())
+    n = len(big.encode())
+    assert got == {(1, 0, "response", None): 50, (2, n, "revisit", 4): 3, (3, n + 1, "response", None): 1, (4, n, "response", None): 1, (None, 0, "response", None): 1}
 
 
 def brute_links(rows, num=80, den=100):
@@ -465,6 +471,9 @@ def test_neighbours(spark):
         assert all(abs(score - s[v]) < 1e-9 for _, v, score in found)
         hits += len(want & {v for _, v, _ in found})
     assert hits >= 0.9 * 20 * len(got)
+    # an id with several vectors is a row each, and equal vectors tie by id
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert {r.vec_id for r in neighbours.nearest(twice, F.col("_id") % 20 == 0).collect()} == {1, 2}
     few = neighbours.nearest(df.where("vec_id < 5"), F.col("_id") % 20 == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
     assert neighbours.nearest(df.limit(0), F.col("_id") % 20 == 0).count() == 0
@@ -541,3 +550,37 @@ def test_language(spark):
     mixed = model.predict([" ".join(de * 5 + en * 2)])[0]
     assert mixed[0] == "de" and mixed[1] < 0.95
     assert language.train(d.limit(0), F.lit(True)).predict(["a"]) == [("und", 0.0)]
+
+
+def test_queries_on_a_small_folder(spark, tmp_path):
+    """Folds, columns and SQL of the registered queries themselves."""
+    import duckdb
+
+    from braidline.llm import queries
+
+    rnd = random.Random(12)
+    text = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randint(0, 9)) for _ in range(n))
+    rows = [(i, text(30), "en" if i % 2 else "de") for i in range(60)] + [(60, None, "en"), (61, "", None), (62, text(2), "de")]
+    rows += [(70, rows[3][1].replace(" ", " \t"), "en"), (71, rows[4][1] + " tail", "de")]
+    spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, "u", text(400 if i % 2 else 3)) for i in range(20)] + [(20, "u", "z" * 2000), (21, None, "z" * 2000), (22, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    base = np.random.default_rng(1).normal(size=(60, 8))
+    spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(base)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {name: [r.asDict() for r in q(spark, str(tmp_path)).collect()] for name, q in queries.QUERIES.items()}
+    crc = lambda k: zlib.crc32(str(k).encode())
+    for name, fold in (("op2_lattice_lm", lambda k: crc(k) % 10 == 0), ("op4_toxicity", lambda k: crc(k) % 5 == 0), ("op10_language_id", lambda k: crc(k) % 4 == 2)):
+        assert {r["doc_id"]: r["held_out"] for r in got[name]} == {k: fold(k) for k, _, _ in rows}
+    assert all(r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got["op4_toxicity"])
+    for name in ("op1_exact_dedup", "op3_byte_bpe", "op6_jaccard_join", "op8_token_files"):
+        assert sorted(r["doc_id"] for r in got[name]) == sorted(k for k, _, _ in rows)
+    links = brute_links([(k, t) for k, t, _ in rows])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got["op6_jaccard_join"]} == links and links[70][1] == 3
+    assert len(got["op9_multiprobe_ann"]) == 3 * 20 and {r["doc_id"] for r in got["op7_best_fit_packing"]} == {k for k, _, _ in rows}
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name, sql in queries.ORACLES.items():
+        want = db.execute(sql).fetchall()
+        columns = [d[0] for d in db.description]
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in columns)) for r in got[name])
