@@ -15,6 +15,12 @@ def _by_component(graph: Graph, run, schema: str) -> DataFrame:
     return e.groupBy("component").applyInPandas(run, schema)
 
 
+def _alone(graph: Graph) -> DataFrame:
+    """id of the nodes that no edge joins to another."""
+    ends = graph.edges.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return graph.nodes.select("id").distinct().join(ends, "id", "left_anti")
+
+
 def _neighbours(pdf) -> dict:
     near: dict = {}
     for a, b in zip(pdf.src, pdf.dst):
@@ -88,7 +94,7 @@ def maximal_cliques(graph: Graph) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"members": cliques_of(_neighbours(pdf))})
 
-    return _by_component(graph, run, "members array<string>")
+    return _by_component(graph, run, "members array<string>").unionByName(_alone(graph).select(F.array("id").alias("members")))
 
 
 def forest_of(near: dict) -> list[tuple]:
@@ -112,7 +118,35 @@ def spanning_forest(graph: Graph) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest_of(_neighbours(pdf)), columns=["parent", "id", "depth"])
 
-    return _by_component(graph, run, "parent string, id string, depth int")
+    roots = _alone(graph).select(F.lit(None).cast("string").alias("parent"), "id", F.lit(0).alias("depth"))
+    return _by_component(graph, run, "parent string, id string, depth int").unionByName(roots)
+
+
+def preorder_of(children: dict, root) -> list:
+    """Nodes below ``root``, each before its children, these in order."""
+    out, stack = [], [root]
+    while stack:
+        v = stack.pop()
+        out.append(v)
+        stack += sorted(children.get(v, ()), reverse=True)
+    return out
+
+
+def preorder(graph: Graph) -> DataFrame:
+    """root, id, place in a forest of directed edges; a node whose component is no tree
+    (a node with two parents, or a cycle) is left out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        below, nodes = {}, set(pdf.src) | set(pdf.dst)
+        for a, b in zip(pdf.src, pdf.dst):
+            below.setdefault(a, []).append(b)
+        roots = sorted(nodes - set(pdf.dst))
+        tree = len(roots) == 1 and len(pdf) == len(nodes) - 1
+        rows = [(roots[0], v, i) for i, v in enumerate(preorder_of(below, roots[0]))] if tree else []
+        return pd.DataFrame(rows, columns=["root", "id", "place"])
+
+    alone = _alone(graph).select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("place"))
+    return _by_component(graph, run, "root string, id string, place long").unionByName(alone)
 
 
 def cover_of(near: dict) -> list[tuple]:
@@ -131,7 +165,8 @@ def graph_cover(graph: Graph) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(cover_of(_neighbours(pdf)), columns=["center", "members"])
 
-    return _by_component(graph, run, "center string, members array<string>")
+    alone = _alone(graph).select(F.col("id").alias("center"), F.array("id").alias("members"))
+    return _by_component(graph, run, "center string, members array<string>").unionByName(alone)
 
 
 def chains_of(near: dict) -> list[list]:

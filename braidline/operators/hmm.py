@@ -52,7 +52,7 @@ class ProfileModel:
         import numpy as np
 
         with np.errstate(divide="ignore"):
-            return np.log(self.transitions), np.log(self.emit), np.log(self.insert), np.log(1 - self.transitions[self.n].sum(1) + 1e-300)
+            return np.log(self.transitions), np.log(self.emit), np.log(self.insert), np.log(np.maximum(1 - self.transitions[self.n].sum(1), 0))
 
     def viterbi(self, seq) -> tuple[list[int | None], float]:
         """Match position (1-based) or None of each symbol, and the log probability.
@@ -95,23 +95,75 @@ class ProfileModel:
             state = before
         return out, float(max(final))
 
-    def fit(self, seqs) -> "ProfileModel":
-        """Training on the best paths, with pseudocounts and inertia towards what was."""
+    def expected(self, seqs):
+        """Log likelihood, and expected counts of transitions (position, from, to; ``to`` 3
+        is the end) and of matched and inserted symbols: forward and backward in log
+        space, all sequences at once."""
         import numpy as np
 
-        o = self.options
-        for _ in range(o.iterations):
-            emit, ins = np.full(self.emit.shape, o.pseudocount), np.full(self.insert.shape, o.pseudocount)
-            for seq in seqs:
-                at = 0
-                for x, k in zip(seq, self.viterbi(seq)[0]):
-                    if k is None:
-                        ins[at, x] += 1
-                    else:
-                        emit[k, x] += 1
-                        at = k
-            for name, counts in (("emit", emit), ("insert", ins)):
-                new = counts / counts.sum(1, keepdims=True)
+        t, e, ins, end = self._log()
+        n, lengths, add, low = self.n, np.array([len(s) for s in seqs]), np.logaddexp, -1e30
+        top = int(lengths.max())
+        x = np.zeros((top + 2, len(seqs)), int)
+        for v, s in enumerate(seqs):
+            x[1 : len(s) + 1, v] = s
+        # state (match, insert, delete), symbols read, sequence, position
+        f = np.full((3, top + 1, len(seqs), n + 1), low)
+        f[0, 0, :, 0] = 0.0
+        for r in range(top + 1):
+            if r:
+                p = f[:, r - 1]
+                f[1, r] = add(add(p[0] + t[:, 0, 1], p[1] + t[:, 1, 1]), p[2] + t[:, 2, 1]) + ins[:, x[r]].T
+                f[0, r, :, 1:] = add(add(p[0, :, :-1] + t[:-1, 0, 0], p[1, :, :-1] + t[:-1, 1, 0]), p[2, :, :-1] + t[:-1, 2, 0]) + e[1:, x[r]].T
+            for k in range(1, n + 1):
+                f[2, r, :, k] = add(add(f[0, r, :, k - 1] + t[k - 1, 0, 2], f[1, r, :, k - 1] + t[k - 1, 1, 2]), f[2, r, :, k - 1] + t[k - 1, 2, 2])
+        at_end = f[:, lengths, np.arange(len(seqs)), n] + end[:, None]
+        total = add(add(at_end[0], at_end[1]), at_end[2])
+        moves, emit, inserted = np.zeros((n + 1, 3, 4)), np.zeros(self.emit.shape), np.zeros(self.insert.shape)
+        moves[n, :, 3] = np.exp(at_end - total).sum(1)
+        later = np.full((3, len(seqs), n + 1), low)
+        for r in range(top, -1, -1):
+            now, more = np.full((3, len(seqs), n + 1), low), (r < lengths)[:, None]
+            to_match = np.full((len(seqs), n + 1), low)
+            to_match[:, :-1] = np.where(more, e[1:, x[r + 1]].T + later[0, :, 1:], low)
+            to_insert = np.where(more, ins[:, x[r + 1]].T + later[1], low)
+            for s in range(3):
+                now[s] = add(t[:, s, 0] + to_match, t[:, s, 1] + to_insert)
+                now[s, r == lengths, n] = add(now[s, r == lengths, n], end[s])
+            for k in range(n - 1, -1, -1):
+                for s in (2, 0, 1):
+                    now[s, :, k] = add(now[s, :, k], t[k, s, 2] + now[2, :, k + 1])
+            alive = (r <= lengths)[:, None]
+            for s in range(3):
+                here = np.where(alive, f[s, r] - total[:, None], low)
+                moves[:, s, 0] += np.exp(here + t[:, s, 0] + to_match).sum(0)
+                moves[:, s, 1] += np.exp(here + t[:, s, 1] + to_insert).sum(0)
+                moves[:-1, s, 2] += np.exp(here[:, :-1] + t[:-1, s, 2] + now[2, :, 1:]).sum(0)
+                if r and s < 2:
+                    share = np.where(alive, np.exp(here + now[s]), 0.0)
+                    np.add.at((emit, inserted)[s].T, x[r], share)
+            later = now
+        return float(total.sum()), moves, emit, inserted
+
+    def fit(self, seqs, *, at_once: int = 64) -> "ProfileModel":
+        """Expectation maximisation of transitions and emissions, with pseudocounts and
+        inertia towards what was. Empty sequences teach nothing."""
+        import numpy as np
+
+        o, seqs = self.options, [s for s in seqs if len(s)]
+        for _ in range(o.iterations if seqs else 0):
+            parts = [self.expected(seqs[i : i + at_once]) for i in range(0, len(seqs), at_once)]
+            moves, emit, inserted = (sum(p[i] for p in parts) for i in (1, 2, 3))
+            old = np.concatenate([self.transitions, 1 - self.transitions.sum(2, keepdims=True)], 2)
+            old[np.abs(old) < 1e-12] = 0.0
+            moves = moves + o.pseudocount * (old > 0)
+            sums = moves.sum(2, keepdims=True)
+            new = np.where(sums > 0, moves / np.where(sums > 0, sums, 1), old)
+            self.transitions = (o.edge_inertia * old + (1 - o.edge_inertia) * new)[:, :, :3]
+            for name, counts in (("emit", emit), ("insert", inserted)):
+                counts = counts + o.pseudocount
+                sums = counts.sum(1, keepdims=True)
+                new = np.where(sums > 0, counts / np.where(sums > 0, sums, 1), 1 / self.symbols)
                 setattr(self, name, o.emission_inertia * getattr(self, name) + (1 - o.emission_inertia) * new)
         return self
 

@@ -23,7 +23,12 @@ def overlap_argmax(segments: DataFrame, labels: DataFrame, key: str, *, width: f
     met = s.withColumn("_b", _buckets(F.col("s0"), F.col("s1"), width)).join(l.withColumn("_b", _buckets(F.col("l0"), F.col("l1"), width)), [key, "_b"])
     over = F.least("s1", "l1") - F.greatest("s0", "l0")
     met = met.withColumn("overlap", over).where("overlap > 0")
-    return met.groupBy(key, "i").agg(F.max_by("label", F.struct("overlap", -F.col("idx"))).alias("label"), F.max("overlap").alias("overlap"))
+    best = met.groupBy(key, "i").agg(F.max_by("label", F.struct("overlap", -F.col("idx"))).alias("label"), F.max("overlap").alias("overlap"))
+    rest = s.join(best.select(key, "i"), [key, "i"], "left_anti").select(key, "i", F.col("s0").alias("_at"))
+    before = as_of(rest, l.select(key, F.col("l0").alias("_at"), "label"), key, "_at", "label")
+    first = l.groupBy(key).agg(F.min_by("label", F.struct("l0", "idx")).alias("_first"))
+    near = before.join(first, key, "left").select(key, "i", F.coalesce("label", "_first").alias("label"), F.lit(0.0).alias("overlap"))
+    return best.unionByName(near)
 
 
 def group_events(segments: DataFrame, events: DataFrame, key: str, *, width: float) -> DataFrame:
@@ -84,6 +89,14 @@ def coverage(found: DataFrame, truth: DataFrame) -> DataFrame:
     return sums.join(sizes, "gt").select("pattern", "gt", (F.col("total") / F.col("segs")).alias("coverage"))
 
 
+def evaluate(covered: DataFrame, truth: DataFrame, found: DataFrame) -> DataFrame:
+    """best (the mean over true patterns of the largest coverage) and means (of all
+    coverages); patterns that do not meet cover nothing."""
+    n = truth.agg(F.countDistinct("gt").alias("g")).crossJoin(found.agg(F.countDistinct("pattern").alias("p")))
+    per = covered.groupBy("gt").agg(F.max("coverage").alias("m"), F.sum("coverage").alias("s")).agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
+    return per.crossJoin(n).select((F.coalesce("m", F.lit(0.0)) / F.col("g")).alias("best"), (F.coalesce("s", F.lit(0.0)) / (F.col("g") * F.col("p"))).alias("means"))
+
+
 def grid_error(onsets, offset: float, unit: float) -> float:
     """Distances from onsets to the grid, and from grid points to the nearest onset."""
     import numpy as np

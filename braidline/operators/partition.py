@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
+from .components import connected_components
+
 
 def connection_matrix(edges: DataFrame, partition: DataFrame, *, doubled_diagonal: bool = False) -> DataFrame:
     """i, j, n: edges between slices, both ways round; inside a slice each counts once
@@ -137,12 +140,15 @@ def adjacent_sums(cells: DataFrame, keys: list[str], width: int) -> DataFrame:
     )
 
 
-def lone_diagonals(cells: DataFrame) -> DataFrame:
-    """i, j: a non-zero cell and its diagonal successor, with nothing beside the first."""
-    c = cells.where("n > 0").select("i", "j")
-    d = c.join(c.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j")), ["i", "j"], "left_semi")
-    beside = c.select("i", (F.col("j") + 1).alias("j")).unionByName(c.select("i", (F.col("j") - 1).alias("j")))
-    return d.join(beside, ["i", "j"], "left_anti")
+def lone_diagonals(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, i, j: a non-zero cell and its diagonal successor, with nothing beside the
+    first."""
+    keys = keys or []
+    c = cells.where("n > 0").select(*keys, "i", "j")
+    on = [*keys, "i", "j"]
+    d = c.join(c.select(*keys, (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j")), on, "left_semi")
+    beside = c.select(*keys, "i", (F.col("j") + 1).alias("j")).unionByName(c.select(*keys, "i", (F.col("j") - 1).alias("j")))
+    return d.join(beside, on, "left_anti")
 
 
 def mask(cells: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -158,28 +164,44 @@ def top_links(cells: DataFrame, n: int = 1, least_distance: int = 0) -> DataFram
     return c.withColumns({"_a": rank("i"), "_b": rank("j")}).where((F.col("_a") <= n) & (F.col("_b") <= n)).drop("_a", "_b")
 
 
-#: Exponents of the factors of a rating.
+FACTORS = ("node_count", "compactness", "self_connectedness", "connectedness", "non_empty", "gap_entropy", "gap_size", "adjacents_min", "adjacents_max", "diagonals")
+
+#: The published exponents of the factors of a rating.
 PRESETS = {
-    "msa": {"node_count": 1, "compactness": 1, "gap_entropy": -1, "gap_size": -1, "adjacents_min": 1},
-    "basic": {"node_count": 1, "compactness": 1},
+    "good": {"node_count": 0.5, "compactness": 0.2, "gap_entropy": -0.2, "adjacents_min": -0.2},
+    "best": {"node_count": 1, "compactness": 0.1, "gap_entropy": -0.35, "adjacents_min": -0.35, "diagonals": 0.5},
+    "test": {"node_count": 1, "compactness": 0.2, "gap_entropy": -0.35, "adjacents_min": -0.35, "diagonals": 0.5},
+    "msa": {"node_count": 1, "compactness": 1, "gap_entropy": -1, "adjacents_min": -1, "diagonals": 1},
 }
 
 
 def sequence_rating(cells: DataFrame, partition: DataFrame, keys: list[str], width: int, preset: str = "msa") -> DataFrame:
-    """keys, node_count, compactness, gap_entropy, gap_size, adjacents_min, rating. The
-    rating is the product of the preset's factors to their powers; an undefined one is 0."""
+    """keys, the ten FACTORS, rating: the product of the preset's factors to their powers,
+    0 where one of them is undefined."""
     sizes = partition.groupBy(*keys, "slice").agg(F.count("*").alias("n"))
-    base = sizes.groupBy(*keys).agg(F.sum("n").alias("node_count"), (F.avg("n") / (1 + F.coalesce(F.stddev_samp("n"), F.lit(0.0)))).alias("compactness"))
+    base = sizes.groupBy(*keys).agg(
+        F.sum("n").alias("node_count"), (F.avg("n") / (1 + F.coalesce(F.stddev_samp("n"), F.lit(0.0)))).alias("compactness"), F.count("*").alias("_slices")
+    )
+    filled = cells.where("n > 0")
+    links = filled.groupBy(*keys).agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("n")).otherwise(0)).alias("_own"), F.avg("n").alias("connectedness"), F.count("*").alias("_bins"))
     w = Window.partitionBy(*keys, "i").orderBy("j")
-    gaps = cells.where("n > 0").withColumn("gap", F.col("j") - F.lag("j").over(w)).where(F.col("gap").isNotNull())
+    gaps = filled.withColumn("gap", F.col("j") - F.lag("j").over(w)).where(F.col("gap").isNotNull())
     hist = gaps.groupBy(*keys, "gap").agg(F.count("*").alias("c")).withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(*keys)))
-    entropy = hist.groupBy(*keys).agg((1 - F.sum(F.col("p") * F.ln("p"))).alias("gap_entropy"), F.sum(F.col("gap") * F.col("p")).alias("gap_size"))
-    near = adjacent_sums(cells, keys, width).select(*keys, (1 + F.col("mins")).alias("adjacents_min"))
-    all_ = base.join(entropy, keys, "left").join(near, keys, "left")
+    entropy = hist.groupBy(*keys).agg((1 - F.sum(F.col("p") * F.ln("p"))).alias("gap_entropy"), (F.sum(F.col("gap") * F.col("p")) / F.max("gap")).alias("gap_size"))
+    near = adjacent_sums(cells, keys, width).select(*keys, (1 + F.col("mins")).alias("adjacents_min"), (1 + F.col("maxs")).alias("adjacents_max"))
+    lone = lone_diagonals(cells, keys).groupBy(*keys).agg(F.count("*").alias("_lone"))
+    all_ = base.join(links, keys, "left").join(entropy, keys, "left").join(near, keys, "left").join(lone, keys, "left")
+    all_ = all_.withColumns(
+        {
+            "self_connectedness": F.col("_own") / F.col("_slices"),
+            "non_empty": F.col("_bins") / (F.col("_slices") * F.col("_slices")),
+            "diagonals": 1 + F.coalesce("_lone", F.lit(0)) / (F.coalesce("_bins", F.lit(0)) + 1),
+        }
+    )
     rating = F.lit(1.0)
     for name, power in PRESETS[preset].items():
         rating = rating * F.pow(F.col(name), F.lit(float(power)))
-    return all_.withColumn("rating", F.coalesce(F.nanvl(rating, F.lit(0.0)), F.lit(0.0)))
+    return all_.select(*keys, *FACTORS, F.coalesce(F.nanvl(rating, F.lit(0.0)), F.lit(0.0)).alias("rating"))
 
 
 def ensure_valid(partition: DataFrame, keys: list[str], *, least: int = 2) -> DataFrame:
@@ -188,3 +210,97 @@ def ensure_valid(partition: DataFrame, keys: list[str], *, least: int = 2) -> Da
     p = one_per_version(partition, keys)
     wrong = contradictions(p, keys).select(*keys, "version", "slice")
     return drop_small(p.join(wrong, [*keys, "version", "slice"], "left_anti"), least, keys)
+
+
+def _inner_links(edges: DataFrame, partition: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, slice, a, b: links between different nodes of a slice, both ways round."""
+    p = partition.select(*keys, "slice", "node_id")
+    one = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    met = both.join(p.withColumnRenamed("node_id", "a"), "a")
+    return met.join(p.withColumnRenamed("node_id", "b"), [*keys, "slice", "b"], "left_semi").select(*keys, "slice", "a", "b")
+
+
+def linked_nodes(edges: DataFrame, partition: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes with a link inside their slice."""
+    linked = _inner_links(edges, partition, keys).select(*keys, "slice", F.col("a").alias("node_id")).distinct()
+    return partition.join(linked, [*keys, "slice", "node_id"], "left_semi")
+
+
+def largest_components(edges: DataFrame, partition: DataFrame, keys: list[str]) -> DataFrame:
+    """Each slice's largest component, ties to the one with the smallest node."""
+    spot = lambda c: F.concat_ws("@", *keys, "slice", c)
+    links = _inner_links(edges, partition, keys).select(spot("a").alias("src"), spot("b").alias("dst"))
+    of = connected_components(links)
+    p = partition.withColumn("_at", spot("node_id")).join(of, F.col("_at") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "_at")).drop("component", "node", "_at")
+    sizes = p.groupBy(*keys, "slice", "_c").agg(F.count("*").alias("_n"), F.min("node_id").alias("_first"))
+    w = Window.partitionBy(*keys, "slice").orderBy(F.desc("_n"), "_first")
+    top = sizes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, "slice", "_c")
+    return p.join(top, [*keys, "slice", "_c"], "left_semi").drop("_c")
+
+
+def out_of_order(partition: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, version, slice of both sides of contradictions: a version's earliest node of
+    a slice that some slice before is later than, and the first such slice."""
+    first = partition.groupBy(*keys, "version", "slice").agg(F.min("time").alias("time"))
+    rows = first.groupBy(*keys, "version").agg(F.array_sort(F.collect_list(F.struct("slice", "time"))).alias("s"))
+    sides = F.expr("flatten(transform(s, (n, i) -> transform(slice(filter(slice(s, 1, i), t -> t.time > n.time), 1, 1), t -> array(t.slice, n.slice))))")
+    return rows.select(*keys, "version", F.explode(F.array_distinct(F.flatten(sides))).alias("slice"))
+
+
+CONSTRAINTS = ("connected", "component", "affinity", "versions", "uniqueness", "order")
+
+
+def constrain(edges: DataFrame, partition: DataFrame, keys: list[str], *, constraints=CONSTRAINTS, size_factor: float | None = None) -> DataFrame:
+    """The slices (keys, slice, node_id, version, time) that keep the constraints, taken in
+    the order of CONSTRAINTS: links inside the slice, its largest component, no better
+    linked slice, a node a version, a slice a node, times in order (both sides of a
+    contradiction go); then slices of at least the largest's size over ``size_factor``."""
+    # each step reads the one before more than once
+    edges, p = materialise(edges.select("src", "dst"), "constrain"), materialise(partition, "constrain")
+    if "connected" in constraints:
+        p = materialise(linked_nodes(edges, p, keys), "constrain")
+    if "component" in constraints:
+        p = materialise(largest_components(edges, p, keys), "constrain")
+    if "affinity" in constraints:
+        p = materialise(p.join(affinity_outliers(edges, p).select("node_id", "slice"), ["node_id", "slice"], "left_anti"), "constrain")
+    if "versions" in constraints:
+        p = one_per_version(p, keys)
+    if "uniqueness" in constraints:
+        p = unique_slices(p)
+    if "order" in constraints:
+        p = materialise(p, "constrain")
+        p = materialise(p.join(out_of_order(p, keys), [*keys, "version", "slice"], "left_anti"), "constrain")
+    if size_factor:
+        n = p.groupBy(*keys, "slice").agg(F.count("*").alias("_n"))
+        top = F.max("_n").over(Window.partitionBy(*keys))
+        p = p.join(n.withColumn("_m", top).where(F.col("_n") >= F.col("_m") / size_factor), [*keys, "slice"], "left_semi")
+    return renumber(p, keys)
+
+
+def place_node(partition: DataFrame, nodes: DataFrame, index: int) -> DataFrame:
+    """``nodes`` (as the partition, without slice) put into slice ``index``, but for those
+    that are placed already."""
+    new = nodes.join(partition.select("node_id"), "node_id", "left_anti").withColumn("slice", F.lit(index).cast("long"))
+    return partition.unionByName(new, allowMissingColumns=True)
+
+
+def take_nodes(partition: DataFrame, nodes: DataFrame, index: int | None = None) -> DataFrame:
+    """Without ``nodes``, or without them in slice ``index``."""
+    gone = nodes.select("node_id")
+    if index is None:
+        return partition.join(gone, "node_id", "left_anti")
+    return partition.join(gone.withColumn("slice", F.lit(index).cast("long")), ["node_id", "slice"], "left_anti")
+
+
+def move_nodes(partition: DataFrame, nodes: DataFrame, to: int) -> DataFrame:
+    """``nodes`` moved from wherever they are to slice ``to``."""
+    gone = nodes.select("node_id", F.lit(True).alias("_g")).distinct()
+    moved = F.when(F.col("_g"), F.lit(to).cast("long")).otherwise(F.col("slice"))
+    return partition.join(gone, "node_id", "left").withColumn("slice", moved).drop("_g").distinct()
+
+
+def slice_sizes(partition: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, slices, nodes, largest."""
+    n = partition.groupBy(*keys, "slice").agg(F.count("*").alias("n"))
+    return n.groupBy(*keys).agg(F.count("*").alias("slices"), F.sum("n").alias("nodes"), F.max("n").alias("largest"))

@@ -177,8 +177,9 @@ def _intervals(seq):
 
 @query(f"""WITH {SEQ}, {_SEGMENTS},
 o AS (SELECT s.version, s.i, l.label, l.idx, least(s1, l1) - greatest(s0, l0) AS o FROM seg s JOIN lab l ON s.version = l.version AND l.l0 < s.s1 AND l.l1 > s.s0),
-r AS (SELECT *, row_number() OVER (PARTITION BY version, i ORDER BY o DESC, idx) AS r FROM o)
-SELECT version, i, label, round(o, 3) AS overlap FROM r WHERE r = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY version, i ORDER BY o DESC, idx) AS r FROM o),
+near AS (SELECT s.version, s.i, coalesce((SELECT l.label FROM lab l WHERE l.version = s.version AND l.l0 <= s.s0 ORDER BY l.l0 DESC, l.idx DESC LIMIT 1), (SELECT l.label FROM lab l WHERE l.version = s.version ORDER BY l.l0, l.idx LIMIT 1)) AS label FROM seg s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.version = s.version AND o.i = s.i))
+SELECT version, i, label, round(o, 3) AS overlap FROM r WHERE r = 1 UNION ALL SELECT version, i, label, 0 FROM near""")
 def interval_overlap_argmax(spark, sf_dir):
     seq = sequences(spark, sf_dir)
     out = interval.overlap_argmax(_days(seq), _intervals(seq), "version", width=86400.0)

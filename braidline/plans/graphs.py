@@ -11,7 +11,6 @@ from ..operators import align, graph_local, partition, patterns
 from ..operators import sequence as sequence_ops
 from ..operators.graph import Graph
 from ..sources.views import EDGES, SEQ, segment_edges, sequences, table
-from .core import query as _core_query  # noqa: F401
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -310,10 +309,14 @@ def mutual_top_links(spark, sf_dir):
 @query(f"""WITH {_PART}, cells AS (SELECT a.collection, a.slice AS i, b.slice AS j, count(*) AS n FROM edges e JOIN part_k a ON a.node_id = e.src JOIN part_k b ON b.node_id = e.dst GROUP BY ALL),
 s AS (SELECT collection, slice, count(*) AS n FROM part_k GROUP BY ALL), base AS (SELECT collection, sum(n)::BIGINT AS node_count, avg(n) / (1 + coalesce(stddev_samp(n), 0)) AS compactness FROM s GROUP BY 1),
 g AS (SELECT collection, j - lag(j) OVER (PARTITION BY collection, i ORDER BY j) AS gap FROM cells), h AS (SELECT collection, gap, count(*) AS c FROM g WHERE gap IS NOT NULL GROUP BY ALL),
-p AS (SELECT *, c / sum(c) OVER (PARTITION BY collection) AS p FROM h), e AS (SELECT collection, 1 - sum(p * ln(p)) AS gap_entropy, sum(gap * p) AS gap_size FROM p GROUP BY 1),
+p AS (SELECT *, c / sum(c) OVER (PARTITION BY collection) AS p FROM h), e AS (SELECT collection, 1 - sum(p * ln(p)) AS gap_entropy, sum(gap * p) / max(gap) AS gap_size FROM p GROUP BY 1),
 f AS (SELECT collection, i * 10 + j AS spot, n FROM cells), l AS (SELECT *, lag(n) OVER w AS pn, lag(spot) OVER w AS pa FROM f WINDOW w AS (PARTITION BY collection ORDER BY spot)),
-a AS (SELECT collection, 1 + sum(CASE WHEN spot - pa = 1 THEN least(n, pn) ELSE 0 END) / sum(n) AS adjacents_min FROM l GROUP BY 1)
-SELECT collection, node_count, round(compactness, 6) AS compactness, round(coalesce(node_count * compactness / gap_entropy / gap_size * adjacents_min, 0), 4) AS rating FROM base LEFT JOIN e USING (collection) LEFT JOIN a USING (collection)""")
+a AS (SELECT collection, 1 + sum(CASE WHEN spot - pa = 1 THEN least(n, pn) ELSE 0 END) / sum(n) AS adjacents_min, 1 + sum(CASE WHEN spot - pa = 1 THEN greatest(n, pn) ELSE 0 END) / sum(n) AS adjacents_max FROM l GROUP BY 1),
+ld AS (SELECT collection, count(*) AS lone FROM cells x WHERE EXISTS (SELECT 1 FROM cells y WHERE y.collection = x.collection AND y.i = x.i + 1 AND y.j = x.j + 1) AND NOT EXISTS (SELECT 1 FROM cells y WHERE y.collection = x.collection AND y.i = x.i AND abs(y.j - x.j) = 1) GROUP BY 1),
+b AS (SELECT collection, sum(CASE WHEN i = j THEN n ELSE 0 END) AS own, avg(n) AS connectedness, count(*) AS bins FROM cells GROUP BY 1), z AS (SELECT collection, count(*) AS slices FROM s GROUP BY 1),
+r AS (SELECT *, 1 + coalesce(lone, 0) / (coalesce(bins, 0) + 1) AS diagonals FROM base LEFT JOIN z USING (collection) LEFT JOIN b USING (collection) LEFT JOIN e USING (collection) LEFT JOIN a USING (collection) LEFT JOIN ld USING (collection))
+SELECT collection, node_count, round(compactness, 6) AS compactness, round(own / slices, 6) AS self_connectedness, round(connectedness, 6) AS connectedness, round(bins / (slices * slices), 6) AS non_empty, round(gap_entropy, 6) AS gap_entropy, round(gap_size, 6) AS gap_size,
+ round(adjacents_min, 6) AS adjacents_min, round(adjacents_max, 6) AS adjacents_max, round(diagonals, 6) AS diagonals, round(coalesce(node_count * compactness / gap_entropy / adjacents_min * diagonals, 0), 4) AS rating FROM r""")
 def sequence_rating(spark, sf_dir):
     p = slices(spark, sf_dir)
     e = segment_edges(sequences(spark, sf_dir))
@@ -321,7 +324,7 @@ def sequence_rating(spark, sf_dir):
     b = p.select(F.col("node_id").alias("dst"), F.col("slice").alias("j"))
     c = e.select("src", "dst").join(a, "src").join(b, "dst").groupBy("collection", "i", "j").agg(F.count("*").alias("n"))
     out = partition.sequence_rating(c, p, ["collection"], 10)
-    return out.select("collection", "node_count", F.round("compactness", 6).alias("compactness"), F.round("rating", 4).alias("rating"))
+    return out.select("collection", "node_count", *[F.round(c, 6).alias(c) for c in partition.FACTORS[1:]], F.round("rating", 4).alias("rating"))
 
 
 _TOKENS = "tok AS (SELECT DISTINCT o_custkey AS pid, l_suppkey % 25 AS token FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')"

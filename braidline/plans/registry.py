@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, extras, graphs, models
+from . import core, extras, graphs, models, timelines
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (core, graphs, models, extras):
+for part in (core, graphs, models, extras, timelines):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)

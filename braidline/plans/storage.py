@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where a session (a local test)
-    names none."""
+    """spark.checkpoint.dir, or a temporary folder where a local session names none; on a
+    cluster, whose executors would not see it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="braidline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
