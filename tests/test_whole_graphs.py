@@ -34,9 +34,10 @@ def test_components_cliques_cover_whole(spark, tmp_path):
     for c, n, kind in nodes:
         groups.setdefault((c, kind), []).append(n)
     assert run("connected_components_whole", spark, sf) == sorted((n, min(g)) for g in groups.values() for n in g)
-    linked = sorted(sorted(g) for g in groups.values() if len(g) > 1)
-    assert [m for m, in run("maximal_cliques", spark, sf)] == linked == [["10.0", "20.0"], ["15.0", "25.0", "5.0"]]
-    assert sorted(m for _, m in run("graph_cover", spark, sf)) == linked
+    # a node without links is a clique and a group of its own
+    found = sorted(sorted(g) for g in groups.values())
+    assert [m for m, in run("maximal_cliques", spark, sf)] == found == [["10.0", "20.0"], ["15.0", "25.0", "5.0"], ["35.0"]]
+    assert sorted(m for _, m in run("graph_cover", spark, sf)) == found
 
 
 def test_divisors_whole(spark, tmp_path):
