@@ -105,16 +105,25 @@ def informative(rows, y, min_docs: int):
     return every[ratio >= 2 * np.log(max(2, len(every)))]
 
 
-def telling_pairs(rows, y, min_docs: int, row_terms: int, pairs_at_once: int = 2_000_000):
+def telling_pairs(rows, y, min_docs: int, row_terms: int, cells_at_once: int = 4_000_000):
     """Hashes of the terms of pairs of which each member tells the labels apart among the
-    texts that have the other. All pairs of terms with ``min_docs`` texts are counted
-    exactly, in rounds; a row of over ``row_terms`` such terms gives those whose hashes
-    mixed with the row's number are smallest, another choice for each row."""
+    texts that have the other. All pairs of terms with ``min_docs`` texts are tested: a
+    term whose labels hold too little entropy for any split of its texts to tell is in no
+    such pair, and the pairs of the rest are counted exactly, in rounds. A row of over
+    ``row_terms`` of the rest gives those whose hashes mixed with the row's number are
+    smallest, another choice for each row."""
     import numpy as np
 
     term_rows = [h[h & 1 == 1] for h, _ in rows]
-    every, n = np.unique(np.concatenate(term_rows), return_counts=True)
-    terms = every[n >= min_docs]
+    every, inverse = np.unique(np.concatenate(term_rows), return_inverse=True)
+    n = np.bincount(inverse, minlength=len(every))
+    k = np.bincount(inverse, np.repeat(y, [len(h) for h in term_rows]), minlength=len(every))
+    common = int((n >= min_docs).sum())
+    if common < 2:
+        return every[:0]
+    least = 2 * np.log(common * (common - 1) / 2)
+    # the deviance of a split into its toxic and its other texts, which no split exceeds
+    terms = every[(n >= min_docs) & (deviance(k, k, 0 * k, n - k) >= least)]
     if len(terms) < 2:
         return terms[:0]
     at = []
@@ -128,34 +137,33 @@ def telling_pairs(rows, y, min_docs: int, row_terms: int, pairs_at_once: int = 2
     flat, label = np.concatenate(at), np.repeat(y, [len(i) for i in at])
     n = np.bincount(flat, minlength=len(terms)).astype("f8")
     k = np.bincount(flat, label, minlength=len(terms))
-    least = 2 * np.log(len(terms) * (len(terms) - 1) / 2)
     # a row's pairs in order of their first member, so that a range of first members, a
-    # round, is a stretch of them
+    # round, is a stretch of them; a round's pairs and counters are bounded
     ahead = np.bincount(flat, np.concatenate([np.arange(len(i))[::-1] for i in at]), minlength=len(terms)).astype("i8")
-    round_of = (np.cumsum(ahead) - ahead) // pairs_at_once
+    cost = ahead + len(terms)
+    round_of = (np.cumsum(cost) - cost) // cells_at_once
     shapes: dict = {}
     found = []
     for turn in np.unique(round_of):
         low, high = np.searchsorted(round_of, [turn, turn + 1])
-        keys, hits = [], []
+        keys: tuple = ([], [])
         for i, v in zip(at, y):
             m = len(i)
             p, q = np.searchsorted(i, [low, high])
-            if p == q:
+            if p == q or p + 1 >= m:
                 continue
             if m not in shapes:
                 shapes[m] = [x.astype("u2") for x in np.triu_indices(m, 1)]
             mine = slice(p * (2 * m - p - 1) // 2, q * (2 * m - q - 1) // 2)
             a, b = (i[x[mine]] for x in shapes[m])
-            keys.append(a * len(terms) + b)
-            hits.append(np.full(len(a), v))
-        if not keys:
+            keys[int(v > 0)].append((a - low) * len(terms) + b)
+        if not keys[0] and not keys[1]:
             continue
-        pair, inverse, both = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        hit = np.bincount(inverse, np.concatenate(hits), minlength=len(pair))
-        some = both >= min_docs
-        pair, both, hit = pair[some], both[some].astype("f8"), hit[some]
-        a, b = pair // len(terms), pair % len(terms)
+        size = (high - low) * len(terms)
+        clean, hit = (np.bincount(np.concatenate(x), minlength=size) if x else np.zeros(size, "i8") for x in keys)
+        pair = np.flatnonzero(clean + hit >= min_docs)
+        both, hit = (clean[pair] + hit[pair]).astype("f8"), hit[pair].astype("f8")
+        a, b = pair // len(terms) + low, pair % len(terms)
         tells = np.minimum(deviance(hit, both, k[a] - hit, n[a] - both), deviance(hit, both, k[b] - hit, n[b] - both)) >= least
         found += [a[tells], b[tells]]
     return terms[np.unique(np.concatenate(found))] if found else terms[:0]
