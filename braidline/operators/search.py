@@ -23,16 +23,21 @@ def valid(slices: list[list], least: int = 2) -> list[list]:
     return out
 
 
-def rating(slices: list[list], near: dict) -> float:
+def rating(slices: list[list], near: dict, known: dict | None = None) -> float:
     """Placed nodes times compactness (mean size over 1 + deviation) times the share of
-    links that stay inside a slice."""
+    links that stay inside a slice. ``known`` keeps the links of slices met before."""
     import statistics
 
     if not slices:
         return 0.0
-    sizes = [len(s) for s in slices]
-    inside = sum(1 for s in slices for x in s for y in near.get(x, ()) if y in set(s))
-    links = sum(len(near.get(x, ())) for s in slices for x in s)
+    known = {} if known is None else known
+    sizes, inside, links = [len(s) for s in slices], 0, 0
+    for s in slices:
+        key = tuple(s)
+        if key not in known:
+            own = set(s)
+            known[key] = sum(len(near.get(x, own - own) & own) for x in s), sum(len(near.get(x, ())) for x in s)
+        inside, links = inside + known[key][0], links + known[key][1]
     spread = statistics.stdev(sizes) if len(sizes) > 1 else 0.0
     return sum(sizes) * statistics.mean(sizes) / (1 + spread) * (inside + 1) / (links + 1)
 
@@ -64,17 +69,17 @@ def moves(slices: list[list], near: dict) -> list[list[list]]:
     return out
 
 
-def beam(start: list[list], near: dict, *, width: int = 1, most: int = 60) -> tuple[list[list], float]:
-    """The best slices found; stops when no candidate rates higher than the beam."""
-    first = valid(start)
-    held = [(rating(first, near), first)]
-    for _ in range(most):
-        found = [(rating(s, near), s) for _, h in held for s in map(valid, moves(h, near))]
+def beam(start: list[list], near: dict, *, width: int = 1) -> tuple[list[list], float]:
+    """The best slices found; stops when no candidate rates higher than the beam. Ratings
+    only rise, so it does stop."""
+    first, known = valid(start), {}
+    held = [(rating(first, near, known), first)]
+    while True:
+        found = [(rating(s, near, known), s) for _, h in held for s in map(valid, moves(h, near))]
         best = sorted(held + found, key=lambda x: -x[0])[:width]
         if best[0][0] <= held[0][0] + 1e-12:
-            break
+            return held[0][1], held[0][0]
         held = best
-    return held[0][1], held[0][0]
 
 
 def seed(near: dict) -> list[list]:

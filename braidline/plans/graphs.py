@@ -37,16 +37,6 @@ def segment_graph(spark, sf_dir) -> Graph:
 def customers(spark, sf_dir) -> Graph:
     """Customers and suppliers as nodes, an edge an order line."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    e = li.join(o, li.l_orderkey == o.o_orderkey).where("l_linenumber = 1 AND o_orderpriority = '1-URGENT'")
-    e = e.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
-    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
-    nodes = nodes.unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")))
-    return Graph.of(nodes, e.withColumn("eid", F.concat_ws("-", "src", "dst")))
-
-
-def all_customers(spark, sf_dir) -> Graph:
-    """As customers, from every order line."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     e = li.join(o, li.l_orderkey == o.o_orderkey)
     e = e.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
     nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
@@ -54,7 +44,7 @@ def all_customers(spark, sf_dir) -> Graph:
     return Graph.of(nodes, e.withColumn("eid", F.concat_ws("-", "src", "dst")))
 
 
-CUSTOMERS = """ce AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderpriority = '1-URGENT'),
+CUSTOMERS = """ce AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 cn AS (SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier),
 adj AS (SELECT src AS id, dst AS other FROM ce UNION SELECT dst, src FROM ce)"""
 
@@ -76,19 +66,9 @@ def isolated_nodes(spark, sf_dir):
     return segment_graph(spark, sf_dir).isolated().select("id")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_quantity > 40 AND l_suppkey % 40 <> l_partkey % 40 AND l_orderkey % 7 = 0)
-SELECT a.src, a.dst FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src""")
-def bidirectional_edges(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_quantity > 40 AND l_suppkey % 40 <> l_partkey % 40 AND l_orderkey % 7 = 0")
-    e = e.select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).distinct().withColumn("eid", F.concat_ws("-", "src", "dst"))
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return Graph(nodes, e).bidirectional().select("src", "dst")
-
-
 @query("""WITH p AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40)
 SELECT a.src, a.dst FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src""")
-def bidirectional_edges_whole(spark, sf_dir):
-    """As bidirectional_edges, over every order line."""
+def bidirectional_edges(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").where("l_suppkey % 40 <> l_partkey % 40")
     e = e.select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).distinct().withColumn("eid", F.concat_ws("-", "src", "dst"))
     nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -98,66 +78,31 @@ def bidirectional_edges_whole(spark, sf_dir):
 @query(f"""WITH {CUSTOMERS}, s AS (SELECT DISTINCT id FROM adj WHERE id IN ('s1', 's2', 's3')),
 one AS (SELECT s.id AS source, a.other AS id FROM s JOIN adj a USING (id)), two AS (SELECT source, a.other AS id FROM one JOIN adj a USING (id))
 SELECT DISTINCT source, id FROM (SELECT * FROM one UNION SELECT * FROM two) WHERE source <> id""")
-def khop_adjacents(spark, sf_dir, graph=customers):
-    g = graph(spark, sf_dir)
+def khop_adjacents(spark, sf_dir):
+    g = customers(spark, sf_dir)
     return g.adjacents(g.nodes.where("id IN ('s1', 's2', 's3')"), 2)
 
 
 @query(f"""WITH {CUSTOMERS} SELECT DISTINCT a.src AS id, b.src AS other FROM ce a JOIN ce b USING (dst) UNION SELECT DISTINCT a.dst, b.dst FROM ce a JOIN ce b USING (src)""")
-def co_parents(spark, sf_dir, graph=customers):
-    return graph(spark, sf_dir).neighbours()
-
-
-@query(f"""WITH RECURSIVE {EDGES}, few AS (SELECT src, dst FROM edges WHERE k1 // 10 = k2 // 10 AND collection < 2), b AS (SELECT src AS a, dst AS b FROM few UNION SELECT dst, src FROM few),
-r(id, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON r.id = b.a WHERE r.root < b.b)
-SELECT id, min(least(root, id)) AS component FROM r GROUP BY id""")
-def connected_components(spark, sf_dir):
-    g = segment_graph(spark, sf_dir)
-    e = g.edges.where("floor(k1 / 10) = floor(k2 / 10) AND collection < 2")
-    return Graph(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e).components()
+def co_parents(spark, sf_dir):
+    return customers(spark, sf_dir).neighbours()
 
 
 @query(f"WITH {SEQ} SELECT version || '.' || time AS id, min(version || '.' || time) OVER (PARTITION BY collection, time, symbol) AS component FROM seq")
-def connected_components_whole(spark, sf_dir):
-    """As connected_components, over every node and edge. Edges join all equal symbols at
-    a position of a collection, so the SQL needs no recursion."""
+def connected_components(spark, sf_dir):
+    """Components of the whole segment graph. Edges join all equal symbols at a position of
+    a collection, so the SQL needs no recursion."""
     return segment_graph(spark, sf_dir).components()
 
 
-@query(f"""WITH RECURSIVE {CUSTOMERS}, r(id, d) AS (SELECT 's1', 0 UNION SELECT a.other, r.d + 1 FROM r JOIN adj a ON a.id = r.id WHERE r.d < 8)
-SELECT 's1' AS source, id, min(d) AS distance FROM r GROUP BY id""")
+@query()
 def bfs_distance(spark, sf_dir):
+    """Until no node is new."""
     g = customers(spark, sf_dir)
-    return g.distances(g.nodes.where("id = 's1'"), most=8)
-
-
-@query()
-def bfs_distance_whole(spark, sf_dir):
-    """As bfs_distance, over every order line and until no node is new."""
-    g = all_customers(spark, sf_dir)
     return g.distances(g.nodes.where("id = 's1'"), most=sys.maxsize)
 
 
-@query("""WITH p AS (SELECT p_partkey AS n FROM part WHERE p_partkey BETWEEN 1 AND 60), e AS (SELECT a.n AS src, b.n AS dst FROM p a JOIN p b ON b.n % a.n = 0 AND b.n > a.n)
-SELECT src, dst FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y JOIN e z ON y.dst = z.src WHERE y.src = x.src AND z.dst = x.dst)""")
-def transitive_reduction(spark, sf_dir):
-    return _divisors(spark, sf_dir).transitive_reduction()
-
-
 def _divisors(spark, sf_dir) -> Graph:
-    """Numbers 1 to 60, an edge from each proper divisor: found by its multiples."""
-    n = table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 60").select(F.col("p_partkey").alias("id"))
-    e = n.select(F.col("id").alias("src"), F.explode(F.expr("transform(sequence(2L, greatest(2L, 60 div id)), m -> m * id)")).alias("dst"))
-    e = e.where("dst <= 60").withColumn("eid", F.concat_ws("-", "src", "dst"))
-    return Graph.of(n, e)
-
-
-@query("""WITH p AS (SELECT p_partkey AS n FROM part WHERE p_partkey BETWEEN 1 AND 60) SELECT a.n AS src, b.n AS dst FROM p a JOIN p b ON b.n % a.n = 0 AND b.n > a.n""")
-def transitive_successors(spark, sf_dir):
-    return _divisors(spark, sf_dir).closure()
-
-
-def _all_divisors(spark, sf_dir) -> Graph:
     """Every part key, an edge from each proper divisor among them; 0 divides nothing."""
     n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     top = n.agg(F.max("id").alias("top"))
@@ -168,32 +113,30 @@ def _all_divisors(spark, sf_dir) -> Graph:
 
 @query("""WITH p AS (SELECT p_partkey AS n FROM part), e AS (SELECT a.n AS src, b.n AS dst FROM p a JOIN p b ON b.n % nullif(a.n, 0) = 0 AND b.n > a.n)
 SELECT src, dst FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y JOIN e z ON y.dst = z.src WHERE y.src = x.src AND z.dst = x.dst)""")
-def transitive_reduction_whole(spark, sf_dir):
-    """As transitive_reduction, over every part."""
-    return _all_divisors(spark, sf_dir).transitive_reduction()
+def transitive_reduction(spark, sf_dir):
+    return _divisors(spark, sf_dir).transitive_reduction()
 
 
 @query("""WITH p AS (SELECT p_partkey AS n FROM part) SELECT a.n AS src, b.n AS dst FROM p a JOIN p b ON b.n % nullif(a.n, 0) = 0 AND b.n > a.n""")
-def transitive_successors_whole(spark, sf_dir):
-    """As transitive_successors, over every part."""
-    return _all_divisors(spark, sf_dir).closure()
+def transitive_successors(spark, sf_dir):
+    return _divisors(spark, sf_dir).closure()
 
 
 @query(f"""WITH {CUSTOMERS}, m AS (SELECT CASE WHEN src IN ('s1','s2','s3') THEN 's1' ELSE src END AS src, CASE WHEN dst IN ('s1','s2','s3') THEN 's1' ELSE dst END AS dst FROM ce) SELECT DISTINCT src, dst FROM m WHERE src <> dst""")
-def contracted_edges(spark, sf_dir, graph=customers):
-    g = graph(spark, sf_dir)
+def contracted_edges(spark, sf_dir):
+    g = customers(spark, sf_dir)
     return g.contract(g.nodes.where("id IN ('s1', 's2', 's3')"), "s1")
 
 
 @query(f"""WITH {CUSTOMERS}, m AS (SELECT id AS center, id FROM cn UNION SELECT id, other FROM adj), i AS (SELECT m.center, count(*) AS n FROM ce JOIN m ON m.id = src JOIN m m2 ON m2.id = dst AND m2.center = m.center GROUP BY 1),
 g AS (SELECT center, list(id ORDER BY id) AS members FROM m GROUP BY center) SELECT min(g.center) AS center, members, coalesce(n, 0)::DOUBLE AS rating FROM g LEFT JOIN i USING (center) GROUP BY members, n""")
-def best_groups(spark, sf_dir, graph=customers):
-    return graph(spark, sf_dir).best_groups()
+def best_groups(spark, sf_dir):
+    return customers(spark, sf_dir).best_groups()
 
 
 @query()
 def bridges(spark, sf_dir):
-    return graph_local.bridges(all_customers(spark, sf_dir))
+    return graph_local.bridges(customers(spark, sf_dir))
 
 
 @query()
@@ -208,7 +151,7 @@ def graph_cover(spark, sf_dir):
 
 @query()
 def spanning_forest(spark, sf_dir):
-    return graph_local.spanning_forest(all_customers(spark, sf_dir))
+    return graph_local.spanning_forest(customers(spark, sf_dir))
 
 
 _PART = EDGES + ", part_k AS (SELECT collection, version, time, version || '.' || time AS node_id, k // 10 AS slice FROM seq)"
@@ -327,16 +270,10 @@ def sequence_rating(spark, sf_dir):
     return out.select("collection", "node_count", *[F.round(c, 6).alias(c) for c in partition.FACTORS[1:]], F.round("rating", 4).alias("rating"))
 
 
-_TOKENS = "tok AS (SELECT DISTINCT o_custkey AS pid, l_suppkey % 25 AS token FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')"
+_TOKENS = "tok AS (SELECT DISTINCT o_custkey AS pid, l_suppkey % 25 AS token FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def tokens(spark, sf_dir):
-    li, o = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'"), table(spark, sf_dir, "orders")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("pid"), (F.col("l_suppkey") % 25).alias("token")).distinct()
-
-
-def all_tokens(spark, sf_dir):
-    """As tokens, from every order line."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("pid"), (F.col("l_suppkey") % 25).alias("token")).distinct()
 
@@ -346,23 +283,23 @@ os AS (SELECT ov.*, x.n AS na, y.n AS nb FROM ov JOIN sz x ON x.pid = a JOIN sz
 
 
 @query(f"WITH {_OVER} SELECT a, b, round(common / (na + nb - common), 6) AS jaccard FROM os WHERE common >= 0.8 * (na + nb - common)")
-def pattern_jaccard_pairs(spark, sf_dir, items=tokens):
-    return patterns.jaccard_pairs(items(spark, sf_dir), "pid", "token", 0.8).withColumn("jaccard", F.round("jaccard", 6))
+def pattern_jaccard_pairs(spark, sf_dir):
+    return patterns.jaccard_pairs(tokens(spark, sf_dir), "pid", "token", 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(f"WITH {_OVER} SELECT a, b, round(2 * common / (na + nb), 6) AS dice FROM os WHERE 2 * common >= 0.9 * (na + nb)")
-def pattern_dice_pairs(spark, sf_dir, items=tokens):
-    return patterns.dice_pairs(items(spark, sf_dir), "pid", "token", 0.9).withColumn("dice", F.round("dice", 6))
+def pattern_dice_pairs(spark, sf_dir):
+    return patterns.dice_pairs(tokens(spark, sf_dir), "pid", "token", 0.9).withColumn("dice", F.round("dice", 6))
 
 
 @query(f"WITH {_OVER} SELECT a AS \"inner\", b AS \"outer\" FROM os WHERE common = na AND na < nb UNION ALL SELECT b, a FROM os WHERE common = nb AND nb < na")
-def pattern_subset_pairs(spark, sf_dir, items=tokens):
-    return patterns.subset_pairs(items(spark, sf_dir), "pid", "token")
+def pattern_subset_pairs(spark, sf_dir):
+    return patterns.subset_pairs(tokens(spark, sf_dir), "pid", "token")
 
 
 @query(f"WITH {_OVER} SELECT a, b, na + nb - 2 * common AS differ FROM os WHERE na + nb - 2 * common <= 1")
-def pattern_same_but_n(spark, sf_dir, items=tokens):
-    return patterns.same_but_n(items(spark, sf_dir), "pid", "token", 1)
+def pattern_same_but_n(spark, sf_dir):
+    return patterns.same_but_n(tokens(spark, sf_dir), "pid", "token", 1)
 
 
 @query(f"""WITH {SEQ}, w AS (SELECT version, time, [symbol, lead(symbol, 1) OVER w, lead(symbol, 2) OVER w] AS gram, lead(symbol, 2) OVER w AS l FROM seq WINDOW w AS (PARTITION BY version ORDER BY time))
@@ -396,8 +333,8 @@ def version_similarity(spark, sf_dir):
 
 
 @query(f"""WITH {CUSTOMERS}, d AS (SELECT id, count(*) AS n FROM adj GROUP BY 1) SELECT src AS version, sum(n)::BIGINT AS connectedness FROM ce JOIN d ON d.id = dst GROUP BY 1""")
-def version_connectedness(spark, sf_dir, graph=customers):
-    g = graph(spark, sf_dir)
+def version_connectedness(spark, sf_dir):
+    g = customers(spark, sf_dir)
     d = g.both_ways().groupBy("id").agg(F.count("*").alias("n"))
     return g.edges.join(d, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("version")).agg(F.sum("n").alias("connectedness"))
 
@@ -420,23 +357,18 @@ def pattern_sliding_pairs(spark, sf_dir):
     return patterns.sliding_pairs(s, "pid", "t", "l", 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("""WITH p AS (SELECT l_orderkey % 400 AS song, l_linenumber AS t, l_suppkey % 12 AS y FROM lineitem WHERE l_quantity > 45), q AS (SELECT DISTINCT * FROM p)
+@query("""WITH p AS (SELECT l_orderkey % 400 AS song, l_linenumber AS t, l_suppkey % 12 AS y FROM lineitem), q AS (SELECT DISTINCT * FROM p)
 SELECT a.song, b.t - a.t AS dt, b.y - a.y AS dy, count(*) AS n, min(a.t) AS first FROM q a JOIN q b ON a.song = b.song AND (b.t > a.t OR (b.t = a.t AND b.y > a.y)) GROUP BY ALL HAVING count(*) >= 2""")
-def sia_vectors(spark, sf_dir, points=None):
-    return align.difference_vectors((points or _points)(spark, sf_dir), "song")
-
-
-def _points(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
-    return p.select((F.col("l_orderkey") % 400).alias("song"), F.col("l_linenumber").alias("t"), (F.col("l_suppkey") % 12).alias("y")).distinct()
+def sia_vectors(spark, sf_dir):
+    return align.difference_vectors(_points(spark, sf_dir), "song")
 
 
 @query()
 def pattern_cover(spark, sf_dir):
-    return align.pattern_cover(_all_points(spark, sf_dir), "song")
+    return align.pattern_cover(_points(spark, sf_dir), "song")
 
 
-def _all_points(spark, sf_dir):
+def _points(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem")
     return p.select((F.col("l_orderkey") % 400).alias("song"), F.col("l_linenumber").alias("t"), (F.col("l_suppkey") % 12).alias("y")).distinct()
 
@@ -466,18 +398,3 @@ def align_graph_edges(spark, sf_dir):
 def self_similarity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     return align.cosine_pairs(e, "vec_id", "v", "label").withColumn("cosine", F.round("cosine", 6))
-
-
-def _add_whole(f, source, cut: str) -> None:
-    """Registers ``f`` over an unfiltered ``source``, its SQL likewise without ``cut``."""
-    name = f"{f.__name__}_whole"
-    QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, source)
-    assert cut in ORACLES[f.__name__]
-    ORACLES[name] = ORACLES[f.__name__].replace(cut, "")
-
-
-for _f in (khop_adjacents, co_parents, contracted_edges, best_groups, version_connectedness):
-    _add_whole(_f, all_customers, " WHERE l_linenumber = 1 AND o_orderpriority = '1-URGENT'")
-for _f in (pattern_jaccard_pairs, pattern_dice_pairs, pattern_subset_pairs, pattern_same_but_n):
-    _add_whole(_f, all_tokens, " WHERE l_returnflag = 'R'")
-_add_whole(sia_vectors, _all_points, " WHERE l_quantity > 45")

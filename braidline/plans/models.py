@@ -1,11 +1,11 @@
-"""Queries over classification, models, structure, search and sweeps."""
+"""Queries over classification, models, structure and sweeps."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import classify, experiment, hmm, partition, search, structure
+from ..operators import classify, experiment, hmm, partition, structure
 from ..sources.views import SEQ, segment_edges, sequences, table
 
 QUERIES: dict = {}
@@ -195,14 +195,6 @@ def annotated_labels(spark, sf_dir):
     return structure.annotate(seq, part, labels, ["one"], "symbol").select("version", "time", "label")
 
 
-@query()
-def beam_timeline(spark, sf_dir):
-    e = segment_edges(sequences(spark, sf_dir).where("time < 12"))
-    half = lambda c, i: F.split(c, "[.]")[i].cast("long")
-    e = e.select("collection", half("src", 0).alias("v1"), half("src", 1).alias("t1"), half("dst", 0).alias("v2"), half("dst", 1).alias("t2"))
-    return search.timelines(e, "collection", most=20)
-
-
 _GRID = {"iterations": [1, 2, 5], "length": ["median", "max"], "match": [0.9, 0.999]}
 
 

@@ -15,14 +15,14 @@ def run(name, spark, folder):
     return sorted(tuple(r) for r in registry.QUERIES[name](spark, folder).collect())
 
 
-def test_bidirectional_edges_whole(spark, tmp_path):
+def test_bidirectional_edges(spark, tmp_path):
     # the reverse of (1, 2) stands only in an order whose key 7 does not divide
     rows = [(7, 2, 1, 50.0), (8, 1, 2, 50.0), (14, 4, 3, 50.0), (21, 3, 4, 1.0), (7, 6, 5, 50.0)]
     sf = put(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double"))
     pairs = {(s, p) for _, p, s, _ in rows}
     want = sorted((a, b) for a, b in pairs if (b, a) in pairs)
     assert want == [(1, 2), (2, 1), (3, 4), (4, 3)]
-    assert run("bidirectional_edges_whole", spark, sf) == want
+    assert run("bidirectional_edges", spark, sf) == want
 
 
 def test_components_cliques_cover_whole(spark, tmp_path):
@@ -33,7 +33,7 @@ def test_components_cliques_cover_whole(spark, tmp_path):
     groups = {}
     for c, n, kind in nodes:
         groups.setdefault((c, kind), []).append(n)
-    assert run("connected_components_whole", spark, sf) == sorted((n, min(g)) for g in groups.values() for n in g)
+    assert run("connected_components", spark, sf) == sorted((n, min(g)) for g in groups.values() for n in g)
     # a node without links is a clique and a group of its own
     found = sorted(sorted(g) for g in groups.values())
     assert [m for m, in run("maximal_cliques", spark, sf)] == found == [["10.0", "20.0"], ["15.0", "25.0", "5.0"], ["35.0"]]
@@ -44,12 +44,12 @@ def test_divisors_whole(spark, tmp_path):
     keys = [0, 1, 2, 3, 4, 6, 12, 59, 61, 90, 118, 120, 180, 360]
     sf = put(spark, tmp_path, part=([(k,) for k in keys], "p_partkey long"))
     pairs = {(a, b) for a in keys for b in keys if 0 < a < b and b % a == 0}
-    assert run("transitive_successors_whole", spark, sf) == sorted(pairs)
-    assert run("transitive_reduction_whole", spark, sf) == sorted((a, b) for a, b in pairs if not any((a, m) in pairs and (m, b) in pairs for m in keys))
+    assert run("transitive_successors", spark, sf) == sorted(pairs)
+    assert run("transitive_reduction", spark, sf) == sorted((a, b) for a, b in pairs if not any((a, m) in pairs and (m, b) in pairs for m in keys))
 
 
 def test_order_lines_whole(spark, tmp_path):
-    # a path c1 s1 c2 s2 ... of 12 customers, of lines that the filters drop
+    # a path c1 s1 c2 s2 ... of 12 customers
     lines = [(c, s, c % 2 + 2, "N", 5.0) for c in range(1, 13) for s in (c - 1, c) if s]
     sf = put(
         spark, tmp_path,
@@ -58,7 +58,7 @@ def test_order_lines_whole(spark, tmp_path):
         customer=([(c,) for c in range(1, 13)], "c_custkey long"), supplier=([(c,) for c in range(1, 13)], "s_suppkey long"),
     )
     path = [x for i in range(1, 13) for x in (f"c{i}", f"s{i}")]
-    assert run("bfs_distance_whole", spark, sf) == sorted(("s1", x, abs(i - 1)) for i, x in enumerate(path))
+    assert run("bfs_distance", spark, sf) == sorted(("s1", x, abs(i - 1)) for i, x in enumerate(path))
     assert run("bridges", spark, sf) == sorted(tuple(sorted(e)) for e in zip(path, path[1:]))
     assert registry.QUERIES["spanning_forest"](spark, sf).count() == 24
     songs = {r.song for r in registry.QUERIES["pattern_cover"](spark, sf).collect()}
