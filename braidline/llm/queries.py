@@ -12,6 +12,8 @@ from . import language as _language
 from . import lattice_lm as _lattice_lm
 from . import neighbours as _neighbours
 from . import packing as _packing
+from . import recompression as _recompression
+from . import resampling as _resampling
 from . import token_files as _token_files
 from . import toxicity as _toxicity
 from . import warc as _warc
@@ -70,6 +72,14 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op11_resampling(spark, sf_dir):
+    return _resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_substring_dedup(spark, sf_dir):
+    return _recompression.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lattice_lm": op2_lattice_lm,
@@ -81,9 +91,13 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_multiprobe_ann": op9_multiprobe_ann,
     "op10_language_id": op10_language_id,
+    "op11_resampling": op11_resampling,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 ORACLES = {
     "op1_exact_dedup": _dedup.ORACLE,
     "op5_warc": _warc.ORACLE,
+    "op11_resampling": _resampling.ORACLE,
+    "op12_substring_dedup": _recompression.ORACLE,
 }

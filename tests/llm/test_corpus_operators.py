@@ -249,7 +249,7 @@ def test_pair_screen_rounds():
     rows, y = [(np.frombuffer(h, "<u4"), v) for h, v in zip(term_rows(texts), y)], np.array(y, "f4")
     one = toxicity.telling_pairs(rows, y, 10, 256)
     assert {toxicity.hashes("left")[0], toxicity.hashes("right")[0]} <= set(one.tolist())
-    assert toxicity.telling_pairs(rows, y, 10, 256, pairs_at_once=500).tolist() == one.tolist()
+    assert toxicity.telling_pairs(rows, y, 10, 256, cells_at_once=500).tolist() == one.tolist()
 
 
 def test_toxicity_frames(spark):
@@ -565,6 +565,7 @@ def test_queries_on_a_small_folder(spark, tmp_path):
     spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(i, "u", text(400 if i % 2 else 3)) for i in range(20)] + [(20, "u", "z" * 2000), (21, None, "z" * 2000), (22, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, text(12)) for i in range(5)] + [(5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     base = np.random.default_rng(1).normal(size=(60, 8))
     spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(base)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {name: [r.asDict() for r in q(spark, str(tmp_path)).collect()] for name, q in queries.QUERIES.items()}
@@ -578,7 +579,7 @@ def test_queries_on_a_small_folder(spark, tmp_path):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got["op6_jaccard_join"]} == links and links[70][1] == 3
     assert len(got["op9_multiprobe_ann"]) == 3 * 20 and {r["doc_id"] for r in got["op7_best_fit_packing"]} == {k for k, _, _ in rows}
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     for name, sql in queries.ORACLES.items():
         want = db.execute(sql).fetchall()
