@@ -25,3 +25,12 @@ def fold_of(id_col: str | Column, modulus: int) -> Column:
 def in_fold(id_col: str | Column, modulus: int, value: int) -> Column:
     """Whether the id falls in the held-out fold; a null id does not."""
     return F.coalesce(fold_of(id_col, modulus) == value, F.lit(False))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/braidline/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

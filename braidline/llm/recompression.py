@@ -11,16 +11,17 @@ from the passage alone.
 
 Two kinds of symbols go through a Spark round that counts each name over all documents:
 
-* of each window, one symbol of its interior: the least by hash among those left when
-  another round would leave none. Equal windows choose the same one, so a window whose
-  symbol occurs once is unique;
+* of each window, a symbol and the next one of its interior: the least two by hash among
+  those left when another round would leave none (or the only one left). Equal windows
+  choose the same, so a window whose choice occurs once is unique;
 * high-level symbols of at least a window's words, wherever a round made one that is twice
   as long as its parts' class (20 to 39 words, 40 to 79...), and the one left of a whole
   text. They are verified by length and a digest of their words. All windows within one
   that also starts earlier are repeats, at once.
 
-The windows left over (their symbol is shared, and no repeated high-level symbol covers
-them) are compared by two digests of their words, 96 bits together.
+The windows left over (their choice is shared, and no repeated high-level symbol covers
+them) are compared by two digests of their words, 96 bits together: first with those of
+their own text, then, one of each, with all others.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import discard, materialise
 
 #: White space that separates words, in UTF-8.
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -49,7 +50,7 @@ PIECE = 1 << 18
 #: Words parsed at once.
 AT_ONCE = 1 << 18
 #: Rounds in which windows look for their symbol: runs of words, then pairs.
-ANCHOR_ROUNDS = 6
+ANCHOR_ROUNDS = 5
 _M = (1 << 64) - 1
 
 
@@ -148,22 +149,24 @@ class Parse:
         return one.view("i8"), (two >> np.uint64(32)).astype("u4").view("i4")
 
     def _settle(self, who, lo, hi, name, start) -> None:
-        """The windows ``who`` take the least of their symbols lo to hi."""
+        """The windows ``who`` take the least two neighbours of their symbols lo to hi."""
         if not len(who):
             return
-        at, best = lo.copy(), _mix(name[lo])
-        for j in range(1, int((hi - lo).max())):
-            more = np.minimum(lo + j, hi - 1)
-            rank = _mix(name[more])
-            less = rank < best
-            at, best = np.where(less, more, at), np.where(less, rank, best)
-        self.anchor[who], self.anchor_at[who] = name[at], start[at]
+        two = hi - lo > 1
+        # one symbol and two neighbours are named apart
+        both = _mix(name * np.uint64(3) + _mix(np.append(name[1:], np.uint64(0))))
+        at, best = lo.copy(), np.where(two, both[lo], _mix(name[lo]))
+        for j in range(1, int((hi - lo).max()) - 1):
+            more = np.minimum(lo + j, np.maximum(hi - 2, lo))
+            less = two & (both[more] < best)
+            at, best = np.where(less, more, at), np.where(less, both[more], best)
+        self.anchor[who], self.anchor_at[who] = best, start[at]
 
     def _rounds(self) -> None:
         n, k = self.words.shape[1], self.window
         own, name, start = self.piece, self.words[0], np.arange(n)
         end_of = np.append(self.first[1:], n)
-        #: Where windows start, and the symbol each one chose: its name and first word.
+        #: Where windows start, and what each one chose: its name and first word.
         self.starts = np.flatnonzero(own[: max(n - k + 1, 0)] == own[k - 1 :]) if n >= k else np.zeros(0, "i8")
         self.anchor, self.anchor_at = np.zeros(len(self.starts), "u8"), np.zeros(len(self.starts), "i8")
         who, lo = np.arange(len(self.starts)), self.starts.copy()
@@ -220,18 +223,27 @@ class Parse:
         self.high, self.high_at, self.high_size = names[once], starts[once], sizes[once]
         self.high_check = _WORDS[1].digests(self.sums[1], self.high_at, self.high_at + self.high_size)
 
-    def symbols(self):
-        """Name, check, size, piece and first word of what is counted: windows' symbols
-        (check and size 0), each once, and high-level ones."""
+    def symbols(self, who: np.ndarray, base: np.ndarray):
+        """What is counted: name, check, size, number, row and first word in its text, one
+        for each name and row. Windows' choices have check and size 0. ``who``: the row of
+        each piece; ``base``: the place of its first word."""
         order = np.lexsort((self.anchor, self.anchor_at))
-        pair = np.stack([self.anchor_at, self.anchor.view("i8")])[:, order]
-        pair = pair[:, np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0))] if len(order) else pair
-        zero = np.zeros(pair.shape[1], "i8")
-        name = np.concatenate([pair[1], self.high.view("i8")])
+        at, name = self.anchor_at[order], self.anchor[order]
+        once = np.append(True, (at[1:] != at[:-1]) | (name[1:] != name[:-1])) if len(at) else order
+        at, name = at[once.astype(bool)], name[once.astype(bool)]
+        zero = np.zeros(len(at), "i8")
+        name = np.concatenate([name.view("i8"), self.high.view("i8")])
         check = np.concatenate([zero, self.high_check.view("i8")])
         size = np.concatenate([zero, self.high_size])
-        start = np.concatenate([pair[0], self.high_at])
-        return name, check, size, self.piece[start], start
+        start = np.concatenate([at, self.high_at])
+        piece = self.piece[start]
+        row, place = who[piece], start - self.first[piece] + base[piece]
+        order = np.lexsort((place, size, check, name, row))
+        label = np.stack([row, name, check, size])[:, order]
+        head = np.flatnonzero(np.append(True, (label[:, 1:] != label[:, :-1]).any(axis=0))) if len(order) else order
+        n = np.diff(np.append(head, len(order)))
+        row, name, check, size = label[:, head]
+        return name, check, size, n, row, place[order][head]
 
 
 def _texts(column) -> list[bytes]:
@@ -265,25 +277,46 @@ def _columns(batch, names, rows) -> list[pa.Array]:
 
 def symbols(docs: DataFrame, window: int) -> DataFrame:
     """``docs``: _id, _twin, _text. A row a counted symbol of a text: name, check, size,
-    and the place of its first word."""
+    how often it occurs there, and where first."""
 
     def parse(batches):
         for batch in batches:
             rows = ((i, word_hashes(x)) for i, x in enumerate(_texts(batch.column("_text"))))
             for found, who, base in _parses(rows, window):
-                name, check, size, piece, start = found.symbols()
-                at = start - found.first[piece] + base[piece]
-                yield pa.RecordBatch.from_arrays([*_columns(batch, ["_id", "_twin"], who[piece]), *map(pa.array, (name, check, size.astype("i4"), at))], ["_id", "_twin", "name", "check", "size", "at"])
+                name, check, size, n, row, at = found.symbols(who, base)
+                yield pa.RecordBatch.from_arrays([*_columns(batch, ["_id", "_twin"], row), *map(pa.array, (name, check, size.astype("i4"), n.astype("i4"), at))], ["_id", "_twin", "name", "check", "size", "n", "at"])
 
     out = T.StructType([docs.schema["_id"], docs.schema["_twin"]])
-    for c, kind in (("name", T.LongType()), ("check", T.LongType()), ("size", T.IntegerType()), ("at", T.LongType())):
+    for c, kind in (("name", T.LongType()), ("check", T.LongType()), ("size", T.IntegerType()), ("n", T.IntegerType()), ("at", T.LongType())):
         out = out.add(c, kind)
     return docs.select("_id", "_twin", "_text").mapInArrow(parse, out)
 
 
-def _place(id_col: Column, at: Column) -> Column:
-    """Orders places by document, those without an id last, and by word."""
-    return F.struct(id_col.isNull().alias("none"), id_col.alias("id"), at.alias("at"))
+def _later(id_col: str, least: str) -> Column:
+    """Whether a row comes after the first one: those without an id come last."""
+    return (F.col(id_col) > F.col(least)) | (F.col(id_col).isNull() & F.col(least).isNotNull())
+
+
+class _Own:
+    """The windows of one text after another: which ones are repeats within their text."""
+
+    def __init__(self):
+        self.row, self.keys = -1, np.zeros(0, [("one", "i8"), ("two", "i4")])
+
+    def again(self, row, one, two, at) -> np.ndarray:
+        keys = np.zeros(len(row), self.keys.dtype)
+        keys["one"], keys["two"] = one, two
+        order = np.lexsort((at, two, one, row))
+        same = (row[order][1:] == row[order][:-1]) & (keys[order][1:] == keys[order][:-1])
+        out = np.zeros(len(row), bool)
+        out[order[1:][same]] = True
+        if len(row):
+            goes_on = row == self.row  # a long text that the parse before began
+            out[goes_on] |= np.isin(keys[goes_on], self.keys)
+            last = keys[row == row[-1]]
+            self.keys = np.concatenate([self.keys, last]) if row[-1] == self.row else last
+            self.row = row[-1]
+        return out
 
 
 def _digest(words: list[bytes]) -> str:
@@ -297,7 +330,7 @@ _PARTS = "n_words long, sha string, text string, covered array<long>, at long, o
 
 def windows(marked: DataFrame, window: int) -> DataFrame:
     """``marked``: _id, _twin, _text, names (of shared symbols, sorted) and firsts (where
-    the first occurrence of each lies, if in this document, else -1)."""
+    each first occurs in this text, if none of smaller id has it, else -1)."""
 
     def shared(names, sought):
         at = np.minimum(np.searchsorted(names, sought), len(names) - 1)
@@ -308,6 +341,7 @@ def windows(marked: DataFrame, window: int) -> DataFrame:
             ids, text = batch.column("_id"), _texts(batch.column("_text"))
             lists = [batch.column(c).to_pylist() for c in ("names", "firsts")]
             covered: dict[int, list[int]] = {}
+            own = _Own()
             rows = ((i, word_hashes(text[i])) for i, x in enumerate(lists[0]) if x)
             for found, who, base in _parses(rows, window):
                 hit = np.zeros(len(found.starts), bool)
@@ -330,13 +364,17 @@ def windows(marked: DataFrame, window: int) -> DataFrame:
                 left = np.flatnonzero(hit & (np.cumsum(over)[found.starts] == 0))
                 one, two = found.window_digests(left)
                 piece = found.piece[found.starts[left]]
-                for p in np.unique(piece):
-                    covered.setdefault(who[p], [])
-                at = found.starts[left] - found.first[piece] + base[piece]
-                n = len(left)
+                row, at = who[piece], found.starts[left] - found.first[piece] + base[piece]
+                again = own.again(row, one, two, at)
+                for i in np.unique(row).tolist():
+                    covered.setdefault(i, [])
+                for i, x in zip(row[again].tolist(), at[again].tolist()):
+                    covered[i] += (x, x + window)
+                row, at, one, two = (v[~again] for v in (row, at, one, two))
+                n = len(row)
                 none = lambda kind: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [*_columns(batch, ["_id", "_twin"], who[piece]), none(pa.int64()), none(pa.string()), none(pa.string()), none(pa.list_(pa.int64())), *map(pa.array, (at, one, two))],
+                    [*_columns(batch, ["_id", "_twin"], row), none(pa.int64()), none(pa.string()), none(pa.string()), none(pa.list_(pa.int64())), *map(pa.array, (at, one, two))],
                     ["_id", "_twin", "n_words", "sha", "text", "covered", "at", "one", "two"],
                 )
             words = [None if i in covered else x.split() for i, x in enumerate(text)]
@@ -386,11 +424,11 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
     covers it whose words also start earlier: in a document of smaller id, or earlier in
     its own.
 
-    Null texts have no words; texts shorter than a window keep all. Rows that share an id
-    are one document: of equal windows in them those that start earliest stay. Rows without
-    an id come after all others, as one document. An empty table gives no rows. Long texts
-    are parsed in overlapping pieces, which changes no result. Other columns, of any name,
-    are ignored."""
+    Null texts have no words; texts shorter than a window keep all. Of rows that share an
+    id neither comes first, so they only lose what they repeat of smaller ids or of
+    themselves. Rows without an id come after all others and none of them before another.
+    An empty table gives no rows. Long texts are parsed in overlapping pieces, which
+    changes no result. Other columns, of any name, are ignored."""
     spark = docs.sparkSession
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, None)
@@ -400,17 +438,18 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
         base = base.withColumn("_twin", F.xxhash64("_text"))
         seen = materialise(symbols(base, window), "recompression-symbols")
         label = ["name", "check", "size"]
-        first = F.min(_place(F.col("_id"), F.col("at"))).alias("first")
-        shared = seen.groupBy(*label).agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
-        own = F.when(F.col("first.id").eqNullSafe(F.col("_id")), F.col("first.at")).otherwise(-1)
-        marks = seen.join(shared, label).groupBy("_id", "_twin").agg(F.sort_array(F.collect_set(F.struct("name", own.alias("own")))).alias("m"))
-        marks = materialise(marks.select(F.col("_id").alias("_k"), F.col("_twin").alias("_t"), F.col("m.name").alias("names"), F.col("m.own").alias("firsts")), "recompression-marks")
+        shared = seen.groupBy(*label).agg(F.min("_id").alias("least"), F.sum("n").alias("times")).where("times > 1").drop("times")
+        first = F.when(_later("_id", "least"), -1).otherwise(F.col("at"))
+        marks = seen.join(shared, label).groupBy("_id", "_twin").agg(F.sort_array(F.collect_set(F.struct("name", first.alias("first")))).alias("m"))
+        marks = materialise(marks.select(F.col("_id").alias("_k"), F.col("_twin").alias("_t"), F.col("m.name").alias("names"), F.col("m.first").alias("firsts")), "recompression-marks")
+        discard(seen)
         on = F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_twin") == F.col("_t"))
         parts = materialise(windows(base.join(marks, on, "left"), window), "recompression-windows")
+        discard(marks)
         left = parts.where("at IS NOT NULL").select("_id", "_twin", "at", "one", "two")
-        place = _place(F.col("_id"), F.col("at"))
-        twice = left.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("one", "two", "first")
-        again = left.join(twice, ["one", "two"]).where(place > F.col("first"))
+        twice = left.groupBy("one", "two").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.max(F.col("_id").isNull()).alias("none"))
+        twice = twice.where("least < most OR (none AND least IS NOT NULL)").select("one", "two", "least")
+        again = left.join(twice, ["one", "two"]).where(_later("_id", "least"))
         again = materialise(again.groupBy(F.col("_id").alias("_k"), F.col("_twin").alias("_t")).agg(F.collect_set("at").alias("starts")), "recompression-repeats")
     finally:
         spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)

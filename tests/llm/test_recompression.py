@@ -17,15 +17,20 @@ DOCS = "doc_id long, text string, lang string, _id long, name long, at int, text
 def plain(rows, k):
     """(id, n_words, n_removed, kept_sha256) of every row."""
     words = [(i, (t or "").encode().split()) for i, t in rows]
-    place = lambda i, s: (i is None, i or 0, s)
+    place = lambda i: (i is None, i or 0)
     first = {}
     for i, w in words:
         for s in range(len(w) - k + 1):
-            key = tuple(w[s : s + k])
-            first[key] = min(first.get(key, place(i, s)), place(i, s))
+            first.setdefault(tuple(w[s : s + k]), place(i))
+            first[tuple(w[s : s + k])] = min(first[tuple(w[s : s + k])], place(i))
     out = collections.Counter()
     for i, w in words:
-        gone = {x for s in range(len(w) - k + 1) if place(i, s) > first[tuple(w[s : s + k])] for x in range(s, s + k)}
+        gone, own = set(), set()
+        for s in range(len(w) - k + 1):
+            key = tuple(w[s : s + k])
+            if first[key] < place(i) or key in own:
+                gone.update(range(s, s + k))
+            own.add(key)
         kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
         out[(i, len(w), len(gone), hashlib.sha256(kept).hexdigest())] += 1
     return out
@@ -73,7 +78,6 @@ def test_odd_rows(spark):
 def test_pieces_and_stretches(spark, monkeypatch):
     """Neither where long texts are cut nor how many words are parsed at once tells."""
     rows = made_rows(7, 30) + [(2000, " ".join(t for _, t in made_rows(8, 30))), (2001, "q" * 700 + " " + "r" * 90)]
-    want = plain(rows, 20)
     hashes = recompression.word_hashes(rows[-1][1].encode()), recompression.word_hashes(rows[-2][1].encode())
     for name, value in (("STRETCH", 64), ("LONG_WORD", 60), ("PIECE", 100), ("AT_ONCE", 300)):
         monkeypatch.setattr(recompression, name, value)
@@ -81,15 +85,19 @@ def test_pieces_and_stretches(spark, monkeypatch):
     parses = lambda: sum(len(p.starts) for p, _, _ in recompression._parses([(0, recompression.word_hashes(rows[-2][1].encode()))], 20))
     assert parses() == hashes[1].shape[1] - 19
     # tasks see the patched values only where they run in this process, so parse here
-    found = collections.defaultdict(set)
-    for number, (k, t) in enumerate(rows):
-        for p, _, base in recompression._parses([(number, recompression.word_hashes((t or "").encode()))], 20):
-            one, two = p.window_digests(np.arange(len(p.starts)))
-            at = p.starts - p.first[p.piece[p.starts]] + base[p.piece[p.starts]]
-            for x in zip(one.tolist(), two.tolist(), p.anchor.tolist(), at.tolist()):
-                found[x[:2]].add((x[2], number, x[3]))
-    assert all(len({a for a, _, _ in g}) == 1 for g in found.values())  # equal windows choose one symbol
-    assert sum(want.values()) == len(rows)
+    found, own, again = collections.defaultdict(set), recompression._Own(), collections.Counter()
+    for p, who, base in recompression._parses(((i, recompression.word_hashes((t or "").encode())) for i, (_, t) in enumerate(rows)), 20):
+        one, two = p.window_digests(np.arange(len(p.starts)))
+        piece = p.piece[p.starts]
+        row, at = who[piece], p.starts - p.first[piece] + base[piece]
+        for x in zip(one.tolist(), two.tolist(), p.anchor.tolist()):
+            found[x[:2]].add(x[2])
+        again.update(row[own.again(row, one, two, at)].tolist())
+    assert all(len(g) == 1 for g in found.values())  # equal windows choose alike
+    for i, (_, t) in enumerate(rows):
+        w = (t or "").split()
+        inner = [tuple(w[s : s + 20]) for s in range(len(w) - 19)]
+        assert again[i] == len(inner) - len(set(inner))
 
 
 @settings(max_examples=60, deadline=None)
