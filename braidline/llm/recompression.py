@@ -223,10 +223,9 @@ class Parse:
         self.high, self.high_at, self.high_size = names[once], starts[once], sizes[once]
         self.high_check = _WORDS[1].digests(self.sums[1], self.high_at, self.high_at + self.high_size)
 
-    def symbols(self, who: np.ndarray, base: np.ndarray):
-        """What is counted: name, check, size, number, row and first word in its text, one
-        for each name and row. Windows' choices have check and size 0. ``who``: the row of
-        each piece; ``base``: the place of its first word."""
+    def symbols(self, who: np.ndarray):
+        """What is counted: name, check, size, number and row, one for each name and row.
+        Windows' choices have check and size 0. ``who``: the row of each piece."""
         order = np.lexsort((self.anchor, self.anchor_at))
         at, name = self.anchor_at[order], self.anchor[order]
         once = np.append(True, (at[1:] != at[:-1]) | (name[1:] != name[:-1])) if len(at) else order
@@ -235,15 +234,13 @@ class Parse:
         name = np.concatenate([name.view("i8"), self.high.view("i8")])
         check = np.concatenate([zero, self.high_check.view("i8")])
         size = np.concatenate([zero, self.high_size])
-        start = np.concatenate([at, self.high_at])
-        piece = self.piece[start]
-        row, place = who[piece], start - self.first[piece] + base[piece]
-        order = np.lexsort((place, size, check, name, row))
+        row = who[self.piece[np.concatenate([at, self.high_at])]]
+        order = np.lexsort((size, check, name, row))
         label = np.stack([row, name, check, size])[:, order]
         head = np.flatnonzero(np.append(True, (label[:, 1:] != label[:, :-1]).any(axis=0))) if len(order) else order
         n = np.diff(np.append(head, len(order)))
         row, name, check, size = label[:, head]
-        return name, check, size, n, row, place[order][head]
+        return name, check, size, n, row
 
 
 def _texts(column) -> list[bytes]:
@@ -276,20 +273,20 @@ def _columns(batch, names, rows) -> list[pa.Array]:
 
 
 def symbols(docs: DataFrame, window: int) -> DataFrame:
-    """``docs``: _id, _twin, _text. A row a counted symbol of a text: name, check, size,
-    how often it occurs there, and where first."""
+    """``docs``: _id and _text. A row a counted symbol of a text: name, check, size and how
+    often it occurs there."""
 
     def parse(batches):
         for batch in batches:
             rows = ((i, word_hashes(x)) for i, x in enumerate(_texts(batch.column("_text"))))
-            for found, who, base in _parses(rows, window):
-                name, check, size, n, row, at = found.symbols(who, base)
-                yield pa.RecordBatch.from_arrays([*_columns(batch, ["_id", "_twin"], row), *map(pa.array, (name, check, size.astype("i4"), n.astype("i4"), at))], ["_id", "_twin", "name", "check", "size", "n", "at"])
+            for found, who, _ in _parses(rows, window):
+                name, check, size, n, row = found.symbols(who)
+                yield pa.RecordBatch.from_arrays([*_columns(batch, ["_id"], row), *map(pa.array, (name, check, size.astype("i4"), n.astype("i4")))], ["_id", "name", "check", "size", "n"])
 
-    out = T.StructType([docs.schema["_id"], docs.schema["_twin"]])
-    for c, kind in (("name", T.LongType()), ("check", T.LongType()), ("size", T.IntegerType()), ("n", T.IntegerType()), ("at", T.LongType())):
+    out = T.StructType([docs.schema["_id"]])
+    for c, kind in (("name", T.LongType()), ("check", T.LongType()), ("size", T.IntegerType()), ("n", T.IntegerType())):
         out = out.add(c, kind)
-    return docs.select("_id", "_twin", "_text").mapInArrow(parse, out)
+    return docs.select("_id", "_text").mapInArrow(parse, out)
 
 
 def _later(id_col: str, least: str) -> Column:
@@ -329,8 +326,8 @@ _PARTS = "n_words long, sha string, text string, covered array<long>, at long, o
 
 
 def windows(marked: DataFrame, window: int) -> DataFrame:
-    """``marked``: _id, _twin, _text, names (of shared symbols, sorted) and firsts (where
-    each first occurs in this text, if none of smaller id has it, else -1)."""
+    """``marked``: _id, _twin, _text, names (of shared symbols, sorted) and earlier
+    (whether a smaller id has it)."""
 
     def shared(names, sought):
         at = np.minimum(np.searchsorted(names, sought), len(names) - 1)
@@ -339,9 +336,9 @@ def windows(marked: DataFrame, window: int) -> DataFrame:
     def parse(batches):
         for batch in batches:
             ids, text = batch.column("_id"), _texts(batch.column("_text"))
-            lists = [batch.column(c).to_pylist() for c in ("names", "firsts")]
+            lists = [batch.column(c).to_pylist() for c in ("names", "earlier")]
             covered: dict[int, list[int]] = {}
-            own = _Own()
+            own, last, its = _Own(), -1, np.zeros(0, "u8")
             rows = ((i, word_hashes(text[i])) for i, x in enumerate(lists[0]) if x)
             for found, who, base in _parses(rows, window):
                 hit = np.zeros(len(found.starts), bool)
@@ -350,11 +347,17 @@ def windows(marked: DataFrame, window: int) -> DataFrame:
                 high_ends = np.searchsorted(found.piece[found.high_at][by_piece], np.arange(len(who) + 1))
                 window_ends = np.searchsorted(found.piece[found.starts], np.arange(len(who) + 1))
                 for p, i in enumerate(who):
-                    names, firsts = np.array(lists[0][i], "i8"), np.array(lists[1][i], "i8")
-                    mine = by_piece[high_ends[p] : high_ends[p + 1]]
+                    names, earlier = np.array(lists[0][i], "i8"), np.array(lists[1][i], bool)
+                    mine = by_piece[high_ends[p] : high_ends[p + 1]]  # in order of place
                     at, is_shared = shared(names, found.high[mine].view("i8"))
                     place = found.high_at[mine] - found.first[p] + base[p]
-                    later = is_shared & (firsts[at] != place)
+                    new = np.zeros(len(mine), bool)
+                    new[np.unique(found.high[mine], return_index=True)[1]] = True
+                    if i == last:  # a further piece of a long text
+                        new &= ~np.isin(found.high[mine], its)
+                    its = np.concatenate([its, found.high[mine]]) if i == last else found.high[mine]
+                    last = i
+                    later = is_shared & (earlier[at] | ~new)
                     for s, n, x in zip(found.high_at[mine][later], found.high_size[mine][later], place[later]):
                         over[s] += 1
                         over[s + n - window + 1] -= 1
@@ -390,7 +393,7 @@ def windows(marked: DataFrame, window: int) -> DataFrame:
             )
 
     keys = ", ".join(f"{c} {marked.schema[c].dataType.simpleString()}" for c in ("_id", "_twin"))
-    return marked.select("_id", "_twin", "_text", "names", "firsts").mapInArrow(parse, f"{keys}, {_PARTS}")
+    return marked.select("_id", "_twin", "_text", "names", "earlier").mapInArrow(parse, f"{keys}, {_PARTS}")
 
 
 def _cut(found: DataFrame, window: int) -> DataFrame:
@@ -439,12 +442,10 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
         seen = materialise(symbols(base, window), "recompression-symbols")
         label = ["name", "check", "size"]
         shared = seen.groupBy(*label).agg(F.min("_id").alias("least"), F.sum("n").alias("times")).where("times > 1").drop("times")
-        first = F.when(_later("_id", "least"), -1).otherwise(F.col("at"))
-        marks = seen.join(shared, label).groupBy("_id", "_twin").agg(F.sort_array(F.collect_set(F.struct("name", first.alias("first")))).alias("m"))
-        marks = materialise(marks.select(F.col("_id").alias("_k"), F.col("_twin").alias("_t"), F.col("m.name").alias("names"), F.col("m.first").alias("firsts")), "recompression-marks")
+        marks = seen.join(shared, label).groupBy("_id").agg(F.sort_array(F.collect_set(F.struct("name", _later("_id", "least").alias("earlier")))).alias("m"))
+        marks = materialise(marks.select(F.col("_id").alias("_k"), F.col("m.name").alias("names"), F.col("m.earlier").alias("earlier")), "recompression-marks")
         discard(seen)
-        on = F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_twin") == F.col("_t"))
-        parts = materialise(windows(base.join(marks, on, "left"), window), "recompression-windows")
+        parts = materialise(windows(base.join(marks, F.col("_id").eqNullSafe(F.col("_k")), "left"), window), "recompression-windows")
         discard(marks)
         left = parts.where("at IS NOT NULL").select("_id", "_twin", "at", "one", "two")
         twice = left.groupBy("one", "two").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.max(F.col("_id").isNull()).alias("none"))
@@ -453,6 +454,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
         again = materialise(again.groupBy(F.col("_id").alias("_k"), F.col("_twin").alias("_t")).agg(F.collect_set("at").alias("starts")), "recompression-repeats")
     finally:
         spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)
+    on = F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_twin") == F.col("_t"))
     texts = parts.where("at IS NULL")
     kept = texts.where("text IS NULL").select("_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     cut = _cut(texts.where("text IS NOT NULL").select("_id", "_twin", "text", "covered").join(again, on, "left"), window)
