@@ -45,6 +45,11 @@ def mode_labels(seq: DataFrame, by: list[str], value: str = "symbol", order: str
     )
 
 
+def mode_of(value: str, n: str) -> Column:
+    """An aggregate: the value of the largest count, ties to the smallest value."""
+    return F.min(F.struct((-F.col(n)).alias("n"), F.col(value).alias("value")))["value"]
+
+
 def fill_gaps(values: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """Missing numbers between two known ones on the line between them; leading ones 0,
     trailing ones one more each."""

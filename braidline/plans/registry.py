@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, extras, graphs, models, timelines
+from . import core, extras, graphs, models, scheduled, timelines
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (core, graphs, models, extras, timelines):
+for part in (core, graphs, models, extras, timelines, scheduled):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
