@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, graph_local, growth, interval, partition, structure
+from ..operators import evaluation, graph_local, growth, interval, partition, structure, timeline
 from ..operators.graph import Graph
-from ..sources.views import segment_edges, sequences, table
+from ..sources.views import piece_edges, segment_edges, sequences, table
 from .core import ORACLES as CORE_ORACLES
 from .core import pattern_coverage as _pattern_coverage
 from .graphs import _PART, slices
@@ -118,3 +118,13 @@ def preorder(spark, sf_dir):
     e = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
     nodes = e.select(F.col("dst").alias("id")).unionByName(r.select(F.concat(F.lit("r"), "r_regionkey").alias("id")))
     return graph_local.preorder(Graph.of(nodes, e.withColumn("eid", F.concat_ws("-", "src", "dst"))))
+
+
+@query()
+def grown_timeline(spark, sf_dir):
+    return timeline.timelines(piece_edges(spark, sf_dir), "piece", method="grow")
+
+
+@query()
+def beam_timeline(spark, sf_dir):
+    return timeline.timelines(piece_edges(spark, sf_dir), "piece")

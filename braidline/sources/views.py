@@ -38,6 +38,19 @@ def node_id() -> F.Column:
     return F.concat_ws(".", "version", "time")
 
 
+#: Versions of a piece; pieces then grow in number with the table, not in size.
+PIECE_VERSIONS = 15
+
+
+def piece_edges(spark, sf_dir) -> DataFrame:
+    """piece, v1, t1, v2, t2: equal symbols of a piece's versions at positions that differ
+    by one at most, a pair once."""
+    seq = sequences(spark, sf_dir).select(F.expr(f"version div {PIECE_VERSIONS}").alias("piece"), "version", "time", "symbol")
+    a = seq.select("piece", "symbol", F.col("version").alias("v1"), F.col("time").alias("t1"), F.explode(F.array(F.col("time") - 1, F.col("time"), F.col("time") + 1)).alias("t2"))
+    b = seq.select("piece", "symbol", F.col("version").alias("v2"), F.col("time").alias("t2"))
+    return a.join(b, ["piece", "symbol", "t2"]).where("v1 < v2").select("piece", "v1", "t1", "v2", "t2")
+
+
 def segment_edges(seq: DataFrame) -> DataFrame:
     """Multigraph edges between equal symbols at equal positions of a collection."""
     a = seq.select("collection", "time", "symbol", F.col("version").alias("v1"), F.col("k").alias("k1"))
