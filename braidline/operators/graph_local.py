@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Graph
+from .graph_rounds import bridges, not_in_cycles, spanning_forest  # noqa: F401
 
 
 def _by_component(graph: Graph, run, schema: str) -> DataFrame:
@@ -57,22 +58,6 @@ def bridge_pairs(near: dict) -> list[tuple]:
     return out
 
 
-def bridges(graph: Graph) -> DataFrame:
-    """src, dst: edges in no cycle of the undirected simple graph."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(bridge_pairs(_neighbours(pdf)), columns=["src", "dst"])
-
-    return _by_component(graph, run, "src string, dst string")
-
-
-def not_in_cycles(graph: Graph) -> DataFrame:
-    """Nodes all of whose edges are bridges, and isolated ones."""
-    e = graph.edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    left = e.join(bridges(graph), ["src", "dst"], "left_anti")
-    return graph.nodes.select("id").join(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti")
-
-
 def cliques_of(near: dict) -> list[list]:
     """Maximal cliques, with pivots and an explicit stack."""
     out, stack = [], [((), set(near), set())]
@@ -98,30 +83,22 @@ def maximal_cliques(graph: Graph) -> DataFrame:
 
 
 def forest_of(near: dict) -> list[tuple]:
-    """parent, node, depth, order of a breadth first forest; roots have no parent."""
-    seen, out = set(), []
+    """parent, node, depth of a breadth first forest; roots have no parent, and others the
+    smallest one of the level above."""
+    seen, out = {}, []
     for root in sorted(near):
-        if root in seen:
-            continue
-        seen.add(root)
-        queue = [(None, root, 0)]
-        for parent, v, d in queue:
-            out.append((parent, v, d))
-            for w in sorted(near[v]):
-                if w not in seen:
-                    seen.add(w)
-                    queue.append((v, w, d + 1))
+        level = [] if root in seen else [(None, root)]
+        depth = 0
+        while level:
+            seen.update({v: depth for _, v in level})
+            out += [(p, v, depth) for p, v in level]
+            new = {w for _, v in level for w in near[v] if w not in seen}
+            own = {v for _, v in level}
+            level = [(min(near[w] & own), w) for w in sorted(new)]
+            depth += 1
     return out
 
 
-def spanning_forest(graph: Graph) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(forest_of(_neighbours(pdf)), columns=["parent", "id", "depth"])
-
-    roots = _alone(graph).select(F.lit(None).cast("string").alias("parent"), "id", F.lit(0).alias("depth"))
-    return _by_component(graph, run, "parent string, id string, depth int").unionByName(roots)
-
-
 def preorder_of(children: dict, root) -> list:
     """Nodes below ``root``, each before its children, these in order."""
     out, stack = [], [root]

@@ -7,10 +7,11 @@ import sys
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, graph_local, partition, patterns
+from ..operators import align, graph_local, graph_rounds, partition, patterns
 from ..operators import sequence as sequence_ops
 from ..operators.graph import Graph
 from ..sources.views import EDGES, SEQ, segment_edges, sequences, table
+from .storage import materialise
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -136,7 +137,44 @@ def best_groups(spark, sf_dir):
 
 @query()
 def bridges(spark, sf_dir):
-    return graph_local.bridges(customers(spark, sf_dir))
+    return graph_rounds.bridges(customers(spark, sf_dir))
+
+
+# A prime over half the largest key has no multiple but itself and hangs on 1 alone; every
+# other edge of the divisors' graph is in a triangle or square.
+@query("""WITH p AS (SELECT p_partkey AS n FROM part), e AS (SELECT a.n AS src, b.n AS dst FROM p a JOIN p b ON b.n % nullif(a.n, 0) = 0 AND b.n > a.n),
+d AS (SELECT n, count(*) AS degree FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e) GROUP BY n)
+SELECT src, dst FROM e JOIN d ON d.n = dst WHERE degree = 1""")
+def divisor_bridges(spark, sf_dir):
+    return graph_rounds.bridges(_divisors(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT p_partkey AS n FROM part), e AS (SELECT a.n AS src, b.n AS dst FROM p a JOIN p b ON b.n % nullif(a.n, 0) = 0 AND b.n > a.n),
+d AS (SELECT n, count(*) AS degree FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e) GROUP BY n)
+SELECT n AS id FROM p WHERE n NOT IN (SELECT n FROM d WHERE degree > 1)""")
+def divisors_not_in_cycles(spark, sf_dir):
+    return graph_rounds.not_in_cycles(_divisors(spark, sf_dir))
+
+
+def _prime_steps(spark, sf_dir) -> Graph:
+    """Part keys, each with its multiples by a prime: as deep as a key has prime factors."""
+    g = _divisors(spark, sf_dir)
+    return Graph(g.nodes, materialise(g.transitive_reduction(), "prime-steps"))
+
+
+@query()
+def ear_chains(spark, sf_dir):
+    return graph_rounds.ear_chains(_prime_steps(spark, sf_dir))
+
+
+# From 1 a key is reached in as many steps as it has prime factors, by the smallest of those
+# before it: itself over its largest prime factor. Keys are 1 to the largest, without gaps.
+@query("""WITH RECURSIVE f AS (SELECT p_partkey AS id, p_partkey AS rest, 2::BIGINT AS d, 0 AS depth, 1::BIGINT AS largest FROM part
+UNION ALL SELECT id, CASE WHEN d * d > rest THEN 1 WHEN rest % d = 0 THEN rest // d ELSE rest END, CASE WHEN rest % d = 0 OR d * d > rest THEN d ELSE d + 1 END,
+  depth + CASE WHEN d * d > rest OR rest % d = 0 THEN 1 ELSE 0 END, CASE WHEN d * d > rest THEN greatest(rest, largest) WHEN rest % d = 0 THEN greatest(d, largest) ELSE largest END FROM f WHERE rest > 1)
+SELECT CASE WHEN id > 1 THEN id // largest END AS parent, id, depth FROM f WHERE rest = 1""")
+def prime_forest(spark, sf_dir):
+    return graph_rounds.spanning_forest(_prime_steps(spark, sf_dir))
 
 
 @query()
@@ -151,7 +189,7 @@ def graph_cover(spark, sf_dir):
 
 @query()
 def spanning_forest(spark, sf_dir):
-    return graph_local.spanning_forest(customers(spark, sf_dir))
+    return graph_rounds.spanning_forest(customers(spark, sf_dir))
 
 
 _PART = EDGES + ", part_k AS (SELECT collection, version, time, version || '.' || time AS node_id, k // 10 AS slice FROM seq)"
