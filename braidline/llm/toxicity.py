@@ -105,13 +105,21 @@ def informative(rows, y, min_docs: int):
     return every[ratio >= 2 * np.log(max(2, len(every)))]
 
 
-def telling_pairs(rows, y, min_docs: int, row_terms: int, cells_at_once: int = 4_000_000):
+def _pairs(p: int, q: int, m: int):
+    """Places of the pairs of m terms whose first member is one of p to q."""
+    import numpy as np
+
+    n = m - 1 - np.arange(p, q)
+    first = np.repeat(np.arange(p, q), n)
+    return first, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first + 1
+
+
+def telling_pairs(rows, y, min_docs: int, cells_at_once: int = 4_000_000):
     """Hashes of the terms of pairs of which each member tells the labels apart among the
     texts that have the other. All pairs of terms with ``min_docs`` texts are tested: a
     term whose labels hold too little entropy for any split of its texts to tell is in no
-    such pair, and the pairs of the rest are counted exactly, in rounds. A row of over
-    ``row_terms`` of the rest gives those whose hashes mixed with the row's number are
-    smallest, another choice for each row."""
+    such pair, and the pairs of the rest are counted exactly, in rounds, whatever number of
+    terms a row has."""
     import numpy as np
 
     term_rows = [h[h & 1 == 1] for h, _ in rows]
@@ -127,13 +135,9 @@ def telling_pairs(rows, y, min_docs: int, row_terms: int, cells_at_once: int = 4
     if len(terms) < 2:
         return terms[:0]
     at = []
-    for r, h in enumerate(term_rows):
+    for h in term_rows:
         i = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-        i = i[terms[i] == h]
-        if len(i) > row_terms:
-            mixed = (terms[i].astype("u8") + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15)
-            i = np.sort(i[np.argsort(mixed ^ (mixed >> np.uint64(29)))[:row_terms]])
-        at.append(i)
+        at.append(i[terms[i] == h])
     flat, label = np.concatenate(at), np.repeat(y, [len(i) for i in at])
     n = np.bincount(flat, minlength=len(terms)).astype("f8")
     k = np.bincount(flat, label, minlength=len(terms))
@@ -152,10 +156,13 @@ def telling_pairs(rows, y, min_docs: int, row_terms: int, cells_at_once: int = 4
             p, q = np.searchsorted(i, [low, high])
             if p == q or p + 1 >= m:
                 continue
-            if m not in shapes:
-                shapes[m] = [x.astype("u2") for x in np.triu_indices(m, 1)]
-            mine = slice(p * (2 * m - p - 1) // 2, q * (2 * m - q - 1) // 2)
-            a, b = (i[x[mine]] for x in shapes[m])
+            if m > 256:
+                a, b = (i[x] for x in _pairs(p, q, m))
+            else:  # many rows are as long as others
+                if m not in shapes:
+                    shapes[m] = [x.astype("u2") for x in np.triu_indices(m, 1)]
+                mine = slice(p * (2 * m - p - 1) // 2, q * (2 * m - q - 1) // 2)
+                a, b = (i[x[mine]] for x in shapes[m])
             keys[int(v > 0)].append((a - low) * len(terms) + b)
         if not keys[0] and not keys[1]:
             continue
@@ -169,7 +176,7 @@ def telling_pairs(rows, y, min_docs: int, row_terms: int, cells_at_once: int = 4
     return terms[np.unique(np.concatenate(found))] if found else terms[:0]
 
 
-def fit(rows, *, rank: int = 4, min_docs: int = 3, pair_docs: int = 10, row_terms: int = 256, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7):
+def fit(rows, *, rank: int = 4, min_docs: int = 3, pair_docs: int = 10, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7):
     """A Machine from (hashes, label) rows; adaptive gradient steps on log loss."""
     import numpy as np
 
@@ -177,7 +184,7 @@ def fit(rows, *, rank: int = 4, min_docs: int = 3, pair_docs: int = 10, row_term
     if not rows:
         return Machine(np.zeros(0, "u4"), np.zeros(0, "f4"), np.zeros((0, rank), "f4"), -30.0)
     y = np.array([v for _, v in rows], "f4")
-    hashes = np.union1d(informative(rows, y, min_docs), telling_pairs(rows, y, pair_docs, row_terms)).astype("u4")
+    hashes = np.union1d(informative(rows, y, min_docs), telling_pairs(rows, y, pair_docs)).astype("u4")
     p = min(max(y.mean(), 1e-4), 1 - 1e-4)
     rng = np.random.default_rng(seed)
     bias, w = float(np.log(p / (1 - p))), np.zeros(len(hashes), "f4")

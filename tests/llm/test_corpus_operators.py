@@ -247,9 +247,25 @@ def test_pair_screen_rounds():
         texts.append(" ".join(rnd.sample(WORDS, 8) + ["left"] * a + ["right"] * b))
         y.append(int(a and b) if rnd.random() < 0.9 else 0)
     rows, y = [(np.frombuffer(h, "<u4"), v) for h, v in zip(term_rows(texts), y)], np.array(y, "f4")
-    one = toxicity.telling_pairs(rows, y, 10, 256)
+    one = toxicity.telling_pairs(rows, y, 10)
     assert {toxicity.hashes("left")[0], toxicity.hashes("right")[0]} <= set(one.tolist())
-    assert toxicity.telling_pairs(rows, y, 10, 256, cells_at_once=500).tolist() == one.tolist()
+    assert toxicity.telling_pairs(rows, y, 10, cells_at_once=500).tolist() == one.tolist()
+
+
+def test_pair_screen_of_long_rows():
+    """A pair is found in rows of some hundred candidate terms, all of which take part."""
+    rnd = random.Random(8)
+    texts, y = [], []
+    for i in range(400):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        rest = [f"filler{j}" for j in rnd.sample(range(700), 350)]
+        texts.append(" ".join(rest + ["left"] * a + ["right"] * b))
+        y.append(int(a and b))
+    rows, y = [(np.frombuffer(h, "<u4"), v) for h, v in zip(term_rows(texts), y)], np.array(y, "f4")
+    found = set(toxicity.telling_pairs(rows, y, 10).tolist())
+    assert {toxicity.hashes("left")[0], toxicity.hashes("right")[0]} <= found
+    for p, q, m in ((0, 4, 5), (1, 3, 6), (2, 2, 4)):
+        assert list(zip(*(v.tolist() for v in toxicity._pairs(p, q, m)))) == [(a, b) for a in range(p, q) for b in range(a + 1, m)]
 
 
 def test_toxicity_frames(spark):
