@@ -127,7 +127,10 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 def _class(size: np.ndarray, window: int) -> np.ndarray:
     """0 below a window's words, then one more for each doubling."""
-    return np.maximum(np.frexp(size / window)[1], 0)
+    out = np.zeros(len(size), "i8")
+    long = np.flatnonzero(size >= window)
+    out[long] = np.frexp(size[long] / window)[1]
+    return out
 
 
 class Parse:
@@ -205,7 +208,7 @@ class Parse:
             end = np.minimum(end, end_of[own]) if len(own) else end
             size = end - start
             # a part's class is at most that of the longest of its parts
-            part = np.maximum.reduceat(cls, keep) if len(keep) else cls
+            part = np.maximum.reduceat(cls, keep) if cls.any() else cls[keep]
             cls = _class(size, k)
             made = np.flatnonzero(cls > part)
             high.append((name[made], start[made], size[made]))
@@ -226,16 +229,19 @@ class Parse:
     def symbols(self, who: np.ndarray):
         """What is counted: name, check, size, number and row, one for each name and row.
         Windows' choices have check and size 0. ``who``: the row of each piece."""
-        order = np.lexsort((self.anchor, self.anchor_at))
-        at, name = self.anchor_at[order], self.anchor[order]
-        once = np.append(True, (at[1:] != at[:-1]) | (name[1:] != name[:-1])) if len(at) else order
-        at, name = at[once.astype(bool)], name[once.astype(bool)]
+        new = lambda at, name: np.append(True, (at[1:] != at[:-1]) | (name[1:] != name[:-1]))[: len(at)]
+        once = new(self.anchor_at, self.anchor)  # neighbours mostly choose alike
+        at, name = self.anchor_at[once], self.anchor[once]
+        order = np.lexsort((name, at))
+        at, name = at[order], name[order]
+        once = new(at, name)
+        at, name = at[once], name[once]
         zero = np.zeros(len(at), "i8")
         name = np.concatenate([name.view("i8"), self.high.view("i8")])
         check = np.concatenate([zero, self.high_check.view("i8")])
         size = np.concatenate([zero, self.high_size])
         row = who[self.piece[np.concatenate([at, self.high_at])]]
-        order = np.lexsort((size, check, name, row))
+        order = np.lexsort((name, row))
         label = np.stack([row, name, check, size])[:, order]
         head = np.flatnonzero(np.append(True, (label[:, 1:] != label[:, :-1]).any(axis=0))) if len(order) else order
         n = np.diff(np.append(head, len(order)))
