@@ -172,7 +172,7 @@ def ear_chains(spark, sf_dir):
 @query("""WITH RECURSIVE f AS (SELECT p_partkey AS id, p_partkey AS rest, 2::BIGINT AS d, 0 AS depth, 1::BIGINT AS largest FROM part
 UNION ALL SELECT id, CASE WHEN d * d > rest THEN 1 WHEN rest % d = 0 THEN rest // d ELSE rest END, CASE WHEN rest % d = 0 OR d * d > rest THEN d ELSE d + 1 END,
   depth + CASE WHEN d * d > rest OR rest % d = 0 THEN 1 ELSE 0 END, CASE WHEN d * d > rest THEN greatest(rest, largest) WHEN rest % d = 0 THEN greatest(d, largest) ELSE largest END FROM f WHERE rest > 1)
-SELECT CASE WHEN id > 1 THEN id // largest END AS parent, id, depth FROM f WHERE rest = 1""")
+SELECT CASE WHEN id > 1 THEN id // largest END AS parent, id, depth FROM f WHERE rest <= 1""")
 def prime_forest(spark, sf_dir):
     return graph_rounds.spanning_forest(_prime_steps(spark, sf_dir))
 

@@ -89,6 +89,35 @@ def ncd_matrix(spark, sf_dir):
     return o.select("a", "b", F.round(d, 6).alias("ncd"))
 
 
+def conversation_points(spark, sf_dir):
+    """piece, conv_id, t, y: a point a turn, y by its role and the scale of its length;
+    pieces of at most 15 conversations."""
+    turns = table(spark, sf_dir, "conversations").where("turn IS NOT NULL AND conv_id IS NOT NULL")
+    role = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    scale = F.floor(F.log2(F.length(F.coalesce("text", F.lit(""))) + F.lit(1.0)))
+    return turns.select(F.expr("conv_id div 15").alias("piece"), "conv_id", F.col("turn").alias("t"), (role * 64 + scale).cast("long").alias("y"))
+
+
+@query()
+def cover_distances(spark, sf_dir):
+    """Normalised compression distances with pattern covers for a compressor."""
+    from ..operators import align
+
+    return align.compression_distances(conversation_points(spark, sf_dir), "piece", "conv_id").withColumn("ncd", F.round("ncd", 6))
+
+
+@query()
+def cover_nearest_rate(spark, sf_dir):
+    """How often a conversation's nearest one by compression has as many turns."""
+    from ..operators import align
+
+    points = conversation_points(spark, sf_dir)
+    turns = points.groupBy("conv_id").agg(F.count("*").alias("turns"))
+    near = align.nearest_of_pairs(align.compression_distances(points, "piece", "conv_id"), "piece", "ncd")
+    found = near.join(turns.withColumnRenamed("conv_id", "id"), "id").join(turns.select(F.col("conv_id").alias("nearest"), F.col("turns").alias("its")), "nearest")
+    return found.groupBy("turns").agg(F.round(F.avg((F.col("turns") == F.col("its")).cast("double")), 6).alias("rate"), F.count("*").alias("n"))
+
+
 @query(f"""WITH {_EMB}, s AS (SELECT a, round(sum(d), 4) AS total, arg_min(b, d) AS nearest, arg_max(b, d) AS farthest FROM p GROUP BY a) SELECT a AS id, total, nearest, farthest FROM s""")
 def distance_outliers(spark, sf_dir):
     _, pairs = _embedding_pairs(spark, sf_dir)
