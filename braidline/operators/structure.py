@@ -11,8 +11,8 @@ def section_groups(cells: list[tuple[int, int, float]], *, threshold: float = 0.
     """Section types, each a list of runs of slices that correspond to one another.
 
     Masked cells that are among the largest of both their row and column link slices;
-    components of links that move on by one, slice for slice, make runs; runs of single
-    slices that follow one another are joined. No links make no sections."""
+    components of links that move on by one, slice for slice, make runs. Runs of single
+    slices are not joined. No links make no sections."""
     top = max((v for i, j, v in cells if i != j), default=0)
     kept = [(i, j, v) for i, j, v in cells if i != j and abs(i - j) > least_distance and v >= threshold * top and v > 0]
 

@@ -95,7 +95,7 @@ def fitted_grids(spark, sf_dir):
     seq = sequences(spark, sf_dir).where("symbol = 'purchase'")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        offset, unit = interval.fit_grid(((pdf.start - pdf.start.min()) / 86400).tolist(), width=3, steps=6, until=1e-2)
+        offset, unit = interval.fit_grid(((pdf.start - pdf.start.min()) / 86400).tolist())
         return pd.DataFrame([(pdf.version.iloc[0], round(offset, 4), round(unit, 4))], columns=["version", "offset", "unit"])
 
     return seq.select("version", "start").groupBy("version").applyInPandas(run, "version long, offset double, unit double")

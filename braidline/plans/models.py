@@ -80,7 +80,8 @@ def nearest_neighbor_rate(spark, sf_dir):
 b AS (SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS common FROM t x JOIN t y ON x.role = y.role AND x.text = y.text AND x.conv_id < y.conv_id GROUP BY ALL)
 SELECT a, b, round((p.c + q.c - common - least(p.c, q.c)) / greatest(p.c, q.c), 6) AS ncd FROM b JOIN c p ON p.conv_id = a JOIN c q ON q.conv_id = b""")
 def ncd_matrix(spark, sf_dir):
-    """Complexity is the number of distinct places of roles; pairs without a common one are 1."""
+    """Complexity is the number of distinct places of roles; only pairs with a common one are
+    listed (the others' distance is 1). ``cover_distances`` compresses by pattern covers."""
     from ..operators import patterns
 
     t = table(spark, sf_dir, "conversations").select("conv_id", F.struct("role", "turn").alias("token")).where("token.turn IS NOT NULL AND token.role IS NOT NULL")
@@ -186,7 +187,7 @@ def msa_stats(spark, sf_dir):
 
 
 def _timeline(spark, sf_dir):
-    """Slices of the conversations' alignment, small ones dropped, and their matrix."""
+    """Slices of the conversations' alignment, all of them, and their matrix."""
     from ..plans.storage import materialise
 
     chat = _chat(spark, sf_dir)
