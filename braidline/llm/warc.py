@@ -28,8 +28,9 @@ MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
 ID_URN = "urn:braidline:record:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-READ = 1 << 18
-SALTS = 16
+READ, FEED = 1 << 18, 1 << 13
+HOT_SHARES = 10_000
+SENT_ROWS = 500_000
 
 
 def one_line(x) -> str:
@@ -72,24 +73,32 @@ def headers(block: bytes) -> tuple[dict[str, str], int]:
     return fields, end + 4
 
 
-def write_archives(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html", min_bytes: int = 1000) -> DataFrame:
+def write_archives(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html", min_bytes: int = 1000, sent_rows: int = SENT_ROWS) -> DataFrame:
     """Write all rows; returns the manifest (url, size, records), which names only files
     of tasks that ended well. Null html counts as empty, null url as an empty one; rows
     that share an id, or have none, are a record each; an empty table gives no files.
     Payloads are equal if two digests and the length are.
 
-    Rows meet by payload only if it has ``min_bytes`` bytes, and then in ``SALTS`` places,
-    so that neither empty pages nor a page that a third of all rows hold meet in one task."""
+    Payloads of ``min_bytes`` bytes are counted by digest. What repeats, a short row a
+    payload, is sent to where the payloads lie if that is no more than ``SENT_ROWS`` rows.
+    Beyond, only what fills more than one of ``HOT_SHARES`` shares of the table is (so at
+    most that many rows), and the others meet by digest, no group larger than a share."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("uri"), payload.alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload"), "check": F.xxhash64("payload")})
     same = ["digest", "n_bytes", "check"]
-    again = rows.where(F.col("n_bytes") >= min_bytes).groupBy(*same).agg(F.max("key").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # a short payload's salt is one that no copy has, and spreads
-    row = F.monotonically_increasing_id()
-    salt = F.when(F.col("n_bytes") >= min_bytes, F.pmod(row, F.lit(SALTS))).otherwise(-1 - row)
-    marked = rows.withColumn("salt", salt).join(again.withColumn("salt", F.col("salt").cast("long")), [*same, "salt"], "left")
+    again = rows.where(F.col("n_bytes") >= min_bytes).groupBy(*same).agg(F.max("key").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    again = materialise(again, "warc-copies")
+    if again.count() <= sent_rows:
+        marked = rows.join(F.broadcast(again.drop("n")), same, "left")
+    else:
+        hot = F.col("n") > -(-pages.count() // HOT_SHARES)
+        marked = rows.join(F.broadcast(again.where(hot).select(*same, F.col("kept").alias("hot_kept"), F.lit(True).alias("hot"))), same, "left")
+        # rows that are marked already, or too short, carry a number that no group has, and spread
+        meets = (F.col("n_bytes") >= min_bytes) & F.col("hot").isNull()
+        marked = marked.withColumn("spread", F.when(meets, 0).otherwise(1 + F.monotonically_increasing_id()))
+        cold = again.where(~hot).drop("n").withColumn("spread", F.lit(0).cast("long"))
+        marked = marked.join(cold.hint("shuffle_hash"), [*same, "spread"], "left").withColumn("kept", F.coalesce("kept", "hot_kept"))
     refers = F.when(F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("key")), F.col("kept"))
     marked = marked.select("key", "uri", "payload", "n_bytes", "digest", refers.alias("refers_to"))
     folder = fresh_path(pages.sparkSession, "warc")
@@ -121,43 +130,70 @@ def write_archives(pages: DataFrame, *, id_col="page_id", url_col="url", html_co
 
 
 class _Members:
-    """Decoded members of a file from a place on."""
+    """Decoded members of a file from a place on, read forward through one buffer."""
 
     def __init__(self, f, size: int):
         self.f, self.size = f, size
-
-    def at(self, start: int, most: int) -> bytes:
-        self.f.seek(start)
-        return self.f.read(min(most, self.size - start))
-
-    def decode(self, start: int, most: int | None = None):
-        """Bytes of the member at ``start`` (at least ``most`` of them, if given, and
-        present) and the place after it; None if it is no gzip member."""
-        z, out, got, at = zlib.decompressobj(31), [], 0, start
+        self.low, self.held = 0, b""
+
+    def ahead(self, start: int, least: int = 1):
+        """Bytes from ``start`` on that the buffer holds: at least ``least``, if present."""
+        i = start - self.low
+        if not 0 <= i <= len(self.held):
+            self.f.seek(start)
+            self.low, self.held, i = start, b"", 0
+        if len(self.held) - i < least and self.low + len(self.held) < self.size:
+            self.held = self.held[i:] + self.f.read(READ)
+            self.low, i = start, 0
+        return memoryview(self.held)[i:]
+
+    def pieces(self, start: int):
+        """The decoded pieces of the member at ``start``, each with the place after it."""
+        z, at = zlib.decompressobj(31), start
+        while not z.eof and at < self.size:
+            chunk = self.ahead(at)[:FEED]
+            piece = z.decompress(chunk)
+            at += len(chunk) - len(z.unused_data)
+            yield piece, at
+
+    def decode(self, start: int):
+        """Bytes of the member at ``start`` and the place after it; None if it is no gzip
+        member."""
+        out, at = [], start
         try:
-            while not z.eof and at < self.size and (most is None or got < most):
-                chunk = self.at(at, READ)
-                piece = z.decompress(chunk)
+            for piece, at in self.pieces(start):
                 out.append(piece)
-                got += len(piece)
-                at += len(chunk) - len(z.unused_data)
         except zlib.error:
             return None
         return b"".join(out), at
 
+    def is_record(self, start: int) -> bool:
+        """Whether the bytes decode to a WARC header, however long."""
+        head = b""
+        try:
+            for piece, _ in self.pieces(start):
+                seen = max(0, len(head) - 3)
+                head += piece
+                if not head.startswith(b"WARC/1."[: len(head)]):
+                    return False
+                if head.find(CRLF * 2, seen) >= 0:
+                    return True
+        except zlib.error:
+            pass
+        return False
+
     def first(self, start: int, end: int) -> int | None:
         """The first member that starts in the range."""
         at = start
         while at < end:
-            window = self.at(at, min(READ, end - at) + len(MAGIC) - 1)
+            window = bytes(self.ahead(at, len(MAGIC))[: end - at + len(MAGIC) - 1])
             i = window.find(MAGIC)
             if i < 0:
                 at += max(1, len(window) - len(MAGIC) + 1)
-                continue
-            head = self.decode(at + i, 1 << 16)
-            if head and head[0].startswith(b"WARC/1.") and CRLF * 2 in head[0]:
+            elif self.is_record(at + i):
                 return at + i
-            at += i + 1
+            else:
+                at += i + 1
         return None
 
 

@@ -331,6 +331,61 @@ def test_warc(spark):
     assert got == {(1, 0, "response", None): 50, (2, n, "revisit", 4): 3, (3, n + 1, "response", None): 1, (4, n, "response", None): 1, (None, 0, "response", None): 1}
 
 
+def test_warc_large_copies(spark):
+    """The way for tables whose repeated payloads are too many to be sent whole."""
+    rows = [(i, "u", f"page {i % 7} " * 200) for i in range(60)] + [(100 + i, "u", f"pair {i // 2} " * 200) for i in range(8)] + [(200, "u", None), (201, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    both = [sorted(tuple(r) for r in warc.read_archives(warc.write_archives(pages, sent_rows=n), with_payload=False).collect()) for n in (0, 500_000)]
+    was = warc.HOT_SHARES
+    try:
+        warc.HOT_SHARES = 20  # groups of more than four rows are sent, pairs meet by digest
+        both.append(sorted(tuple(r) for r in warc.read_archives(warc.write_archives(pages, sent_rows=0), with_payload=False).collect()))
+    finally:
+        warc.HOT_SHARES = was
+    assert both[0] == both[1] == both[2]
+    assert {r[0]: r[5] for r in both[0]} == {i: (53 + (i - 53) % 7 if i < 53 else None) for i in range(60)} | {100 + i: (None if i % 2 else 101 + i) for i in range(8)} | {200: None, 201: None}
+
+
+class Counted:
+    """An open file that counts the bytes read of it."""
+
+    def __init__(self, data):
+        self.data, self.at, self.n = data, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, most):
+        got = self.data[self.at : self.at + most]
+        self.at += len(got)
+        self.n += len(got)
+        return got
+
+
+def test_warc_reads_forward():
+    """Bytes read: the file once, and a tail a range; headers of any length are found."""
+    rnd = random.Random(9)
+    sizes = [rnd.choice([10, 200, 5000]) for _ in range(6000)] + [700_000]
+    uris = ["u" * (400_000 if i == 3000 else 5) + rnd.randbytes(8).hex() for i in range(len(sizes))]
+    # headers that do not compress, so that one is longer than a read
+    uris[4500] = rnd.randbytes(300_000).hex()
+    members = [warc.gzip_member(warc.record("response", i, uris[i], "d", rnd.randbytes(n), n, "00" * 20)) for i, n in enumerate(sizes)]
+    data, starts = b"".join(members), np.cumsum([0] + [len(m) for m in members]).tolist()
+    split, found, read = 1 << 20, [], 0
+    for start in range(0, len(data), split):
+        f = Counted(data)
+        m = warc._Members(f, len(data))
+        end = min(start + split, len(data))
+        at = m.first(start, end)
+        while at is not None and at < end:
+            found.append(at)
+            at = m.decode(at)[1]
+        read += f.n
+    assert found == starts[:-1]
+    ranges = -(-len(data) // split)
+    assert read <= 1.2 * len(data) + ranges * 2 * warc.READ, (read, len(data))
+
+
 def brute_links(rows, num=80, den=100):
     sets = {}
     for k, t in rows:
@@ -495,6 +550,18 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_fit_reaches_its_target():
+    """No slot of up to twice the spread has enough visits for this target; wider ones do."""
+    x = np.random.default_rng(3).normal(size=(300, 32))
+    h = neighbours.fit(x, 300, float(np.sqrt((x * x).sum(1)).max()), k=20, tables=1, width=6, target=0.9999, queries=100)
+    s = x[:100] @ x.T
+    s[np.arange(100), np.arange(100)] = -np.inf
+    near = np.argsort(-s, 1)[:, :20]
+    codes = h.code(np.floor(h.place(h.lift(x, False), 0)).astype("i8"))
+    seen = h.visits(h.lift(x[:100], True), 0, h.probes)
+    assert h.slot > 2 and np.mean([codes[v] in set(seen[i]) for i in range(100) for v in near[i]]) >= 0.9999
+
+
 def brute_marginals(emit, step):
     import itertools
 
@@ -545,13 +612,25 @@ def test_language_many_and_odd(spark):
     rows = [(100 * i + j, " ".join(word(i, (j + x) % 8) for x in range(12)), n) for i, n in enumerate(names) for j in range(12)]
     rows += [(9000, "", "l00"), (9001, rows[0][1], "l00"), (9001, rows[0][1], "l00"), (9002, " ".join([rows[0][1]] * 2000), "l00"), (None, rows[0][1], None)]
     d = spark.createDataFrame([(k, t, n, "x", 1) for k, t, n in rows], "doc_id long, text string, lang string, _lang string, _h int")
-    model = language.train(d, F.lit(True), sequences=1500, max_chars=500)
+    model = language.train(d, F.lit(True), sequences=1500)
+    # so many rows in all that each language gives two: all are learned still
+    assert language.train(d, F.lit(True), sequences=50, most_rows=72).labels == names
     assert model.labels == names
     got = [(r.doc_id, r.lang, r.p.lang_pred) for r in d.select("doc_id", "lang", language.predict(model, F.col("text")).alias("p")).collect()]
     assert len(got) == len(rows) and sum(l == p for k, l, p in got if k != 9000) > 0.97 * len(rows)
     assert [p for k, _, p in got if k in (9001, 9002)] == ["l00"] * 3 and [p for k, _, p in got if k == 9000] == ["und"]
 
 
+def test_language_reads_whole_texts(spark):
+    """What tells languages apart lies at the end of long texts without letters before it."""
+    rows = [(i, "12 34 " * 15000 + ("der die das und nicht" if i % 2 else "the and not with self"), "de" if i % 2 else "en") for i in range(6)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), sequences=300)
+    assert [p for p, _ in model.predict(["und nicht die", "not with the"])] == ["de", "en"]
+    parts = language.stretches_of(" ".join(f"w{i}" for i in range(5000)), -7, 200, 32)
+    at = [int(p.split()[0][1:]) for p in parts]
+    assert len(parts) == 200 and all(len(p.split()) == 32 for p in parts) and min(at) < 500 and max(at) > 4400
+
+
 def test_language(spark):
     de, en = "der die das und nicht mit sich auch werden".split(), "the and not with self also become which".split()
     rnd = random.Random(6)
