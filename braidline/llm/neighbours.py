@@ -76,7 +76,8 @@ class Hashing:
 
 def fit(sample, total: int, largest: float, *, k: int, tables: int, width: int, target: float, queries: int = 200) -> Hashing:
     """Choose the slot's width and the number of visits on a sample (driver, bounded).
-    The sample's nearest k * sample / total stand for the table's nearest k."""
+    The sample's nearest k * sample / total stand for the table's nearest k. The choice
+    reaches ``target`` on the sample: wide slots end in buckets that hold all of it."""
     import numpy as np
 
     dim = sample.shape[1]
@@ -86,9 +87,10 @@ def fit(sample, total: int, largest: float, *, k: int, tables: int, width: int,
     scores = (q / np.sqrt((q * q).sum(1))[:, None]) @ sample.T
     scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
     top = np.argsort(-scores, axis=1, kind="stable")[:, :near]
-    best = None
-    # slots in units of the lifted vectors' own spread, so that near pairs often share one
-    for slot in (1.0, 1.5, 2.0):
+    best, slot = None, 1.0
+    # slots in units of the lifted vectors' own spread, so that near pairs often share one;
+    # wider ones follow until the visits there are reach the target
+    while slot <= 2.0 or best is None:
         h = Hashing(dim, tables, width, slot, largest)
         codes = [h.code(np.floor(h.place(h.lift(sample, False), t)).astype("i8")) for t in range(tables)]
         rank = np.full((len(q), len(sample)), h.probes)
@@ -99,10 +101,11 @@ def fit(sample, total: int, largest: float, *, k: int, tables: int, width: int,
                 rank[i] = np.minimum(rank[i], [at.get(c, h.probes) for c in codes[t].tolist()])
         wanted = np.sort(np.take_along_axis(rank, top, 1).ravel())
         probes = int(wanted[min(len(wanted) - 1, int(np.ceil(target * len(wanted))) - 1)]) + 1
-        share = float((rank < probes).mean()) + (probes > h.probes)
-        if best is None or share < best[0]:
-            h.probes = min(probes, h.probes)
+        share = float((rank < probes).mean())
+        if probes <= h.probes and (best is None or share < best[0]):
+            h.probes = probes
             best = (share, h)
+        slot += 0.5 if slot < 2.0 else slot
     return best[1]
 
 
