@@ -13,8 +13,9 @@ gives the matrix by which it carries messages from end to end, the matrices' pro
 give the messages at all borders, and with these each stretch's marginals are those of
 the whole chain.
 
-The fit uses a bounded sample of rows (``per_lang`` a language, by hash of the row; of a
-text of over ``max_chars`` characters, a stretch from a place that its hash picks).
+The fit uses a bounded sample of rows (``per_lang`` a language and about ``most_rows`` in
+all, by hash of the row). The training sequences join stretches of their texts; a row's
+stretches are drawn over its whole text where the text lies.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 GRAM_BITS, WORD_BITS, ORDERS = 17, 18, 4
 CHAIN = 512
 KEEP_WORDS = 150_000
@@ -199,8 +202,8 @@ class Chain:
         return [(self.labels[j], float(share[i, j])) if len(found[i]) else (UNKNOWN, 0.0) for i, j in enumerate(best.tolist())]
 
 
-def fit(samples: list[tuple[str, str]], *, sequences: int = 5000, span: int = 32, epochs: int = 3, rate: float = 0.3, decay: float = 1e-5, seed: int = 5) -> Chain:
-    """A Chain from (language, text) rows."""
+def fit(samples: list[tuple[str, list[str]]], *, sequences: int = 5000, span: int = 32, epochs: int = 3, rate: float = 0.3, decay: float = 1e-5, seed: int = 5) -> Chain:
+    """A Chain from (language, stretches of a text) rows."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
@@ -208,10 +211,9 @@ def fit(samples: list[tuple[str, str]], *, sequences: int = 5000, span: int = 32
     k = len(labels)
     weights, step = np.zeros(((1 << GRAM_BITS) + (1 << WORD_BITS), k), "f4"), np.zeros((k, k), "f4")
     words = {lang: [] for lang in labels}
-    for lang, text in samples:
-        got = [w.encode("utf-8", "replace") for w in text.lower().split() if any(map(str.isalpha, w))]
-        if got:
-            words[lang].append(got)
+    for lang, parts in samples:
+        if parts:
+            words[lang].append([[w.encode("utf-8", "replace") for w in part.split()] for part in parts])
     usable = [i for i, lang in enumerate(labels) if words[lang]]
     if not usable:
         return Chain(labels, weights, step)
@@ -221,6 +223,7 @@ def fit(samples: list[tuple[str, str]], *, sequences: int = 5000, span: int = 32
         while len(seq) < span:
             i = int(rng.choice(usable))
             doc = words[labels[i]][rng.integers(len(words[labels[i]]))]
+            doc = doc[rng.integers(len(doc))]
             n = int(rng.integers(4, span))
             at = int(rng.integers(0, max(1, len(doc) - n + 1)))
             seq += doc[at : at + n]
@@ -253,21 +256,52 @@ def fit(samples: list[tuple[str, str]], *, sequences: int = 5000, span: int = 32
     return Chain(labels, weights, step)
 
 
-def train(docs: DataFrame, usable: Column, *, per_lang: int = 800, max_chars: int = 8_000, id_col="doc_id", text_col="text", lang_col="lang", **options) -> Chain:
+def stretches_of(text: str, seed: int, most: int, words: int) -> list[str]:
+    """Up to ``most`` stretches of ``words`` words with a letter, lower case, their places
+    drawn over the whole text; a text of no more words is one stretch, one without any none."""
+    import numpy as np
+
+    found = [w for w in text.lower().split() if any(map(str.isalpha, w))]
+    if len(found) <= words:
+        return [" ".join(found)] if found else []
+    at = np.random.default_rng(seed % (1 << 63)).integers(0, len(found) - words + 1, most)
+    return [" ".join(found[i : i + words]) for i in at.tolist()]
+
+
+def train(
+    docs: DataFrame, usable: Column, *, per_lang: int = 800, most_rows: int = 80_000, stretches: int = 16, id_col="doc_id", text_col="text", lang_col="lang", **options
+) -> Chain:
     """Fit on about ``per_lang`` rows of each language among rows with an id, a language
     and a text for which ``usable`` (on ``id_col``) holds: a bound for the driver, whatever
-    the table's size. Repeated rows count each, but one row's copies fill no more than one
-    of ``SLOTS`` shares of its language. Of longer texts, ``max_chars`` characters from a
-    place that the row's hash picks."""
-    text, n = F.col(text_col), F.length(text_col)
-    hashed = F.xxhash64(F.col(id_col).cast("long"), text)
-    begin = F.when(n > max_chars, F.pmod(hashed, n - max_chars + 1)).otherwise(0) + 1
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (n > 0) & usable)
-    rows = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), text.substr(begin.cast("int"), F.lit(max_chars)).alias("_text"), hashed.alias("_h"))
-    # a language's rows are dealt to SLOTS groups, each of which gives its share
+    the table's size. Where languages are so many that these would be over ``most_rows``,
+    each gives an equal share, and one row at least, so that all are learned. Repeated rows
+    count each, but one row's copies fill no more than one of ``SLOTS`` shares of its
+    language. A row gives up to ``stretches`` stretches of its whole text."""
+    key = ["_id", "_lang", "_h"]
+    text, row = F.col(text_col), F.col(id_col).cast("long")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & usable)
+    rows = rows.select(row.alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(row, text).alias("_h"), text.alias("_text"))
+    # a language's rows are dealt to SLOTS groups, each of which gives its share; texts stay behind
     order = Window.partitionBy("_lang", F.pmod("_h", F.lit(SLOTS))).orderBy("_h", "_id")
-    chosen = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= -(-per_lang // SLOTS)).select("_lang", "_text", "_id").collect()
-    return fit([(r._lang, r._text) for r in sorted(chosen, key=lambda r: (r._id, r._lang, r._text))], **options)
+    picked = rows.select(*key).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= -(-per_lang // SLOTS))
+    picked = materialise(picked, "language-rows")
+    langs = picked.select("_lang").distinct().count()
+    if langs * per_lang > most_rows:
+        share = Window.partitionBy("_lang").orderBy("_r", "_h", "_id")
+        picked = picked.withColumn("_s", F.row_number().over(share)).where(F.col("_s") <= max(1, most_rows // langs))
+    times = picked.groupBy(*key).agg(F.count("*").alias("_n"))
+    # the side sent whole has at most a row for each of the rows above
+    texts = rows.join(F.broadcast(times), key).groupBy(*key, "_n").agg(F.first("_text").alias("_text"))
+    span = options.get("span", 32)
+
+    @F.pandas_udf("array<string>")
+    def drawn(texts, seeds):
+        import pandas as pd
+
+        return pd.Series([stretches_of(t, int(h), stretches, span) for t, h in zip(texts, seeds)], dtype=object)
+
+    chosen = texts.select(*key, "_n", drawn("_text", "_h").alias("_parts")).collect()
+    return fit([(r._lang, list(r._parts)) for r in sorted(chosen, key=lambda r: (r._id, r._lang, r._h)) for _ in range(r._n)], **options)
 
 
 def predict(model: Chain, text: Column) -> Column:
