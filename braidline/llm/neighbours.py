@@ -235,7 +235,10 @@ def nearest(
         while True:
             left = -(-left // 32)
             found = found.withColumn("_block", F.floor(F.col("_block") / 32).cast("int")).groupBy("_key", "_block")
-            found = found.agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_best")))), 1, k + 1).alias("_best"))
+            found = found.agg(F.sort_array(F.flatten(F.collect_list("_best"))).alias("_all"))
+            # what several blocks found lies side by side once sorted
+            alone = F.filter("_all", lambda x, i: (i == 0) | (x != F.get("_all", i - 1)))
+            found = found.select("_key", "_block", F.slice(alone, 1, k + 1).alias("_best"))
             if left <= 1:
                 return found.drop("_block")
 
