@@ -395,12 +395,44 @@ def pattern_sliding_pairs(spark, sf_dir):
     return patterns.sliding_pairs(s, "pid", "t", "l", 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("""WITH s AS (SELECT DISTINCT conv_id AS pid, turn AS t, role AS l FROM conversations), z AS (SELECT pid, count(*) AS n FROM s GROUP BY 1),
+n AS (SELECT a.pid AS a, b.pid AS b, b.t - a.t AS shift, count(*) AS c FROM s a JOIN s b ON a.l = b.l AND a.pid < b.pid GROUP BY ALL), j AS (SELECT n.a, n.b, shift, x.n + y.n - 2 * c AS differ FROM n JOIN z x ON x.pid = a JOIN z y ON y.pid = b),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY differ, shift) AS r FROM j WHERE differ <= 1) SELECT a, b, shift, differ FROM r WHERE r = 1""")
+def pattern_same_but_n_sliding(spark, sf_dir):
+    s = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pid"), F.col("turn").alias("t"), F.col("role").alias("l"))
+    return patterns.same_but_n_sliding(s, "pid", "t", "l", 1)
+
+
 @query("""WITH p AS (SELECT l_orderkey % 400 AS song, l_linenumber AS t, l_suppkey % 12 AS y FROM lineitem), q AS (SELECT DISTINCT * FROM p)
 SELECT a.song, b.t - a.t AS dt, b.y - a.y AS dy, count(*) AS n, min(a.t) AS first FROM q a JOIN q b ON a.song = b.song AND (b.t > a.t OR (b.t = a.t AND b.y > a.y)) GROUP BY ALL HAVING count(*) >= 2""")
 def sia_vectors(spark, sf_dir):
     return align.difference_vectors(_points(spark, sf_dir), "song")
 
 
+@query("""WITH p AS (SELECT DISTINCT l_orderkey // 8 AS song, ((l_orderkey % 8) * 8 + l_linenumber) * 4294967296 + l_suppkey % 12 AS c FROM lineitem),
+d AS (SELECT a.song, a.c, b.c - a.c AS w FROM p a JOIN p b USING (song)),
+m AS (SELECT song, w, list(c ORDER BY c) AS pat FROM d WHERE w > 0 GROUP BY ALL HAVING count(*) >= 2),
+u AS (SELECT song, min(pat) AS pat FROM (SELECT song, pat, [x - pat[1] FOR x IN pat] AS nf FROM m) GROUP BY song, nf),
+e AS (SELECT song, pat, unnest(pat) AS c FROM u),
+tr AS (SELECT song, pat, w FROM e JOIN d USING (song, c) GROUP BY ALL HAVING count(*) = len(pat)),
+n AS (SELECT song, pat, count(*) AS translators FROM tr GROUP BY ALL),
+v AS (SELECT song, pat, count(DISTINCT c + w) AS covered FROM e JOIN tr USING (song, pat) GROUP BY ALL)
+SELECT song, [[x // 4294967296, x % 4294967296] FOR x IN pat] AS pattern, len(pat) AS size, translators, covered, round(covered / (len(pat) + translators - 1), 6) AS ratio FROM n JOIN v USING (song, pat)""")
+def pattern_classes(spark, sf_dir):
+    return align.pattern_classes(_pieces(spark, sf_dir), "song").withColumn("ratio", F.round("ratio", 6))
+
+
+@query()
+def class_cover(spark, sf_dir):
+    return align.class_cover(_pieces(spark, sf_dir), "song")
+
+
+def _pieces(spark, sf_dir):
+    """Eight orders a piece, so that pieces grow in number with the table."""
+    p = table(spark, sf_dir, "lineitem")
+    return p.select(F.expr("l_orderkey div 8").alias("song"), (F.col("l_orderkey") % 8 * 8 + F.col("l_linenumber")).alias("t"), (F.col("l_suppkey") % 12).alias("y"))
+
+
 @query()
 def pattern_cover(spark, sf_dir):
     return align.pattern_cover(_points(spark, sf_dir), "song")
