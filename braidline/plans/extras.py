@@ -98,7 +98,9 @@ def fitted_grids(spark, sf_dir):
         offset, unit = interval.fit_grid(((pdf.start - pdf.start.min()) / 86400).tolist())
         return pd.DataFrame([(pdf.version.iloc[0], round(offset, 4), round(unit, 4))], columns=["version", "offset", "unit"])
 
-    return seq.select("version", "start").groupBy("version").applyInPandas(run, "version long, offset double, unit double")
+    # few bytes, long searches: spread by number of cores, not by bytes
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return seq.select("version", "start").repartition(tasks, "version").groupBy("version").applyInPandas(run, "version long, offset double, unit double")
 
 
 @query()
