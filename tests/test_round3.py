@@ -23,3 +23,63 @@ def test_grid_errors_are_the_single_ones():
 @data
 def test_fitted_grids_spread(spark):
     assert registry.QUERIES["fitted_grids"](spark, SF).rdd.getNumPartitions() > 4
+
+
+def crowd(spark, n=60, wide=9):
+    """Sets of which nearly all share tokens, so that they are compared by blocks."""
+    r = np.random.default_rng(5)
+    sets = {i: set(np.flatnonzero(r.random(wide) < 0.7).tolist()) for i in range(n)}
+    return {i: s for i, s in sets.items() if s}, spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "pid long, token long")
+
+
+def by_pairs(sets, value):
+    return sorted((a, b, v) for a in sets for b in sets if a < b and sets[a] & sets[b] and (v := value(sets[a], sets[b])) is not None)
+
+
+def test_crowded_sets_meet_by_blocks(spark, monkeypatch):
+    from braidline.operators import blocks, patterns
+
+    monkeypatch.setattr(blocks, "SETS", 16)  # several blocks
+    monkeypatch.setattr(patterns, "counted", None)  # and no list of pairs by token
+    sets, rows = crowd(spark)
+    got = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+    jaccard = lambda x, y: j if (j := round(len(x & y) / len(x | y), 6)) >= 0.7 else None
+    dice = lambda x, y: d if (d := round(2 * len(x & y) / (len(x) + len(y)), 6)) >= 0.8 else None
+    assert got(patterns.jaccard_pairs(rows, "pid", "token", 0.7)) == by_pairs(sets, jaccard)
+    assert got(patterns.dice_pairs(rows, "pid", "token", 0.8)) == by_pairs(sets, dice)
+    assert got(patterns.same_but_n(rows, "pid", "token", 2)) == by_pairs(sets, lambda x, y: len(x ^ y) if len(x ^ y) <= 2 else None)
+    assert got(patterns.subset_pairs(rows, "pid", "token")) == sorted((a, b) for a in sets for b in sets if sets[a] < sets[b])
+
+
+def test_version_similarity_counts_by_blocks(spark, monkeypatch):
+    from collections import Counter
+
+    from braidline.operators import blocks, patterns
+
+    monkeypatch.setattr(blocks, "SETS", 16)
+    members = [(p, v) for v in range(40) for p in range(6) if (v * 7 + p * 3) % 4] + [(0, 1), (0, 1), (5, 2)]
+    links = [(0, 1), (1, 2), (1, 2), (2, 2)]
+    want = Counter()
+    for p, v in members:
+        for q, w in members:
+            if v < w and p == q:
+                want[v, w] += 1
+            if v != w:
+                want[min(v, w), max(v, w)] += sum((p, q) == link for link in links)
+    got = patterns.version_similarity(spark.createDataFrame(members, "pid long, version long"), spark.createDataFrame(links, "p long, q long"))
+    assert {(r.a, r.b): r.n for r in got.collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_common_ends_by_blocks(spark, monkeypatch):
+    from braidline.operators import blocks
+    from braidline.operators.graph import Graph
+
+    monkeypatch.setattr(blocks, "SETS", 8)
+    edges = [(f"n{a}", f"n{b}") for a in range(30) for b in range(30) if (a * 5 + b * 3) % 4 == 0]
+    nodes = sorted({x for e in edges for x in e})
+    out, into = ({n: {e[1 - k] for e in edges if e[k] == n} for n in nodes} for k in (0, 1))
+    want = sorted((a, b) for a in nodes for b in nodes if out[a] & out[b] or into[a] & into[b])
+    g = Graph(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame([(f"{a}-{b}", a, b) for a, b in edges], "eid string, src string, dst string"))
+    found = g.neighbours()
+    assert sorted(map(tuple, found.collect())) == want
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
