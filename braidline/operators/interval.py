@@ -83,8 +83,9 @@ def coverage(found: DataFrame, truth: DataFrame) -> DataFrame:
     first = met.where(touch).groupBy("pattern", "gt", "seg", "s0", "s1").agg(F.min(F.struct("occ", "o0", "o1")).alias("o"))
     first = first.withColumn("offset", F.col("o.o0") - F.col("s0"))
     share = (F.least("s1", "o.o1") - F.greatest("s0", "o.o0") + 1) / (F.col("s1") - F.col("s0") + 1)
-    again = F.count("*").over(Window.partitionBy("pattern", "gt", "offset")) > 1
-    sums = first.withColumns({"share": share, "again": again}).groupBy("pattern", "gt").agg(F.sum(F.when(F.col("again"), F.col("share")).otherwise(0.0)).alias("total"))
+    # an offset's shares are summed and counted together, so that no row is exchanged for it
+    recurs = first.groupBy("pattern", "gt", "offset").agg(F.sum(share).alias("share"), F.count("*").alias("n"))
+    sums = recurs.groupBy("pattern", "gt").agg(F.sum(F.when(F.col("n") > 1, F.col("share")).otherwise(0.0)).alias("total"))
     sizes = truth.groupBy("gt").agg(F.count("*").alias("segs"))
     return sums.join(sizes, "gt").select("pattern", "gt", (F.col("total") / F.col("segs")).alias("coverage"))
 
