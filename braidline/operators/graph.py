@@ -138,13 +138,33 @@ class Graph:
         out = e.select(put("src", "_s"), put("dst", "_d")).distinct()
         return out if outgoing_only else out.where("src <> dst")
 
+    def _inside(self) -> DataFrame:
+        """center, internal: the edges between the members of each group: loops at members,
+        edges that touch the center, and those that close a triangle with it. Triangles are
+        found as paths along edges from nodes of fewer to nodes of more neighbours, so that
+        a node of many is the middle of few."""
+        w = self.edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
+        w = materialise(w, "groups")
+        ids = self.nodes.select("id")
+        loops, links = w.where("a = b").select("a", "n"), w.where("a <> b")
+        both = links.select("a", "b", "n").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+        degree = materialise(both.groupBy("a").agg(F.count("*").alias("k")), "groups")
+        ranked = links.join(degree.withColumnRenamed("k", "ka"), "a").join(degree.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b")
+        up = F.struct("ka", "a") < F.struct("kb", "b")
+        e = materialise(ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"), "n"), "groups")
+        path = e.select("u", "v", F.col("n").alias("uv")).join(e.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("n").alias("vw")), "v")
+        closed = path.join(e.select("u", F.col("v").alias("w"), F.col("n").alias("uw")), ["u", "w"])
+        across = closed.select(F.inline(F.array(*[F.struct(F.col(c).alias("a"), F.col(m).alias("n")) for c, m in (("u", "vw"), ("v", "uw"), ("w", "uv"))])))
+        near = both.join(loops.select(F.col("a").alias("b"), F.col("n").alias("l")), "b").select("a", F.col("l").alias("n"))
+        every = both.select("a", "n").unionByName(loops).unionByName(near).unionByName(across)
+        return every.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("internal")).join(ids, "id", "left_semi").withColumnRenamed("id", "center")
+
     def groups(self) -> DataFrame:
         """center, members, value, internal: each node with its neighbours."""
         near = self.both_ways().select(F.col("id").alias("center"), F.col("other").alias("id"))
         own = self.nodes.select(F.col("id").alias("center"), F.col("id"))
         member = own.unionByName(near).distinct()
-        inside = self.edges.select("eid", "src", "dst").join(member.select("center", F.col("id").alias("src")), "src").join(member.select("center", F.col("id").alias("dst")), ["center", "dst"])
-        n = inside.groupBy("center").agg(F.count("*").alias("internal"))
+        n = self._inside()
         g = member.groupBy("center").agg(F.array_sort(F.collect_set("id")).alias("members"), F.count("*").alias("value"))
         return g.join(n, "center", "left").withColumn("internal", F.coalesce("internal", F.lit(0)).cast("long"))
 

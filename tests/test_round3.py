@@ -156,3 +156,29 @@ def test_coverage_has_no_window_of_all_segments(spark):
     out = interval.coverage(found, truth)
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.pattern, round(r.coverage, 6)) for r in out.collect()) == [(0, round(5 * 2 / 3 / 9, 6)), (1, round(5 * 2 / 3 / 9, 6))]
+
+
+def test_groups_count_their_edges_by_triangles(spark):
+    from braidline.operators.graph import Graph
+
+    r = np.random.default_rng(13)
+    edges = [(str(i), f"n{a}", f"n{b}") for i, (a, b) in enumerate(r.integers(0, 12, (50, 2)).tolist())]
+    edges += [("x", "n1", "n2"), ("y", "n2", "n1"), ("z", "n3", "n3")]
+    g = Graph(spark.createDataFrame([(f"n{i}",) for i in range(13)], "id string"), spark.createDataFrame(edges, "eid string, src string, dst string"))
+    got = {x.center: (x.members, x.value, x.internal) for x in g.groups().collect()}
+    for n in (f"n{i}" for i in range(13)):
+        members = {n} | {b for _, a, b in edges if a == n} | {a for _, a, b in edges if b == n}
+        assert got[n] == (sorted(members), len(members), sum(a in members and b in members for _, a, b in edges))
+
+
+def test_classes_of_a_piece_meet_without_another_exchange(spark):
+    from braidline.operators import align
+
+    r = np.random.default_rng(17)
+    points = spark.createDataFrame([(k, int(t), int(y)) for k in range(6) for t, y in r.integers(0, 5, (9, 2))], "song long, t long, y long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = align._classes(points, "song", 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(song" in plan and "hashpartitioning(song#" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "pattern" in x]
