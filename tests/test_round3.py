@@ -182,3 +182,16 @@ def test_classes_of_a_piece_meet_without_another_exchange(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(song" in plan and "hashpartitioning(song#" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "pattern" in x]
+
+
+def test_optics_holds_no_pairs():
+    import tracemalloc
+
+    from braidline.operators import classify
+
+    x = np.random.default_rng(19).random((1500, 5))
+    tracemalloc.start()
+    found = classify.optics_order(x, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1500 and peak < 1500 * 1500 * 8
