@@ -114,3 +114,26 @@ def test_what_clears():
     assert timeline.blurs(t) == [(0, 0)] and timeline.strays(t) == []
     assert timeline.unlinked(t) == [(3, 1)] and timeline.outside(t) == [(3, 1)]
     assert t.fits((2, 5), t.order[1]) is False and t.fits((0, 3), t.order[1]) and not t.fits((0, 3), t.order[0])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_candidates_that_go_the_same_way_go_it_once(seed, monkeypatch):
+    """A round rates each candidate as ``tried`` does, but makes every group once."""
+    t = timeline.grow(graph(random.Random(seed), versions=8, length=20, chance=0.9))
+    for n in sorted(t.at)[::3]:
+        t.remove(n)
+    made, insert = [], timeline.insert_group
+    monkeypatch.setattr(timeline, "insert_group", lambda t, g: (made.append(g), insert(t, g)))
+    for kinds in (timeline.building, timeline.clearing):
+        found, before = timeline.ratings(t, kinds, 2.0), t.slices()
+        groups = len(made)
+        for change, value in zip(kinds(t), found, strict=True):
+            mark = len(t.log)
+            assert timeline.tried(t, change, 2.0) == value
+            t.back_to(mark)
+        assert t.slices() == before
+        if kinds is timeline.building:
+            mark, made[:] = len(t.log), []
+            timeline.add_groups(t)
+            t.back_to(mark)
+            assert len(made) == groups > 0
