@@ -58,6 +58,19 @@ class Classes:
         of the smallest."""
         return self.members(nodes).select(F.col("members")[0].alias("center"), "members")
 
+    def groups(self, nodes: DataFrame, keys: list[str], count: int) -> DataFrame:
+        """keys, rank (from 0) and the nodes' other columns of the ``count`` largest classes
+        with an edge of each of ``keys`` (among ``by``), ties to the one with the smallest
+        node. A class is the best group of each of its nodes, and taking it out isolates no
+        node of another: so these are the most linked groups, taken one after another."""
+        rows = nodes.where(self._whole())
+        first = F.min(F.struct(self.order, *[c for c in self.by if c not in keys])).alias("_first")
+        sizes = rows.groupBy(*self.by).agg(F.count("*").alias("_n"), first).where("_n > 1")
+        w = Window.partitionBy(*keys).orderBy(F.desc("_n"), "_first")
+        top = sizes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count)
+        top = top.select(*self.by, (F.col("rank") - 1).cast("long").alias("rank"))
+        return rows.join(F.broadcast(top), list(self.by)).select(*keys, "rank", *[c for c in nodes.columns if c not in keys])
+
     def edges(self, nodes: DataFrame, *more: str, where: str | None = None) -> DataFrame:
         """src, dst (and a's and b's columns ``more`` as c1, c2 for a test) of all pairs of
         nodes of a class. Nodes are to be filtered before they come here."""

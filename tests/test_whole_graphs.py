@@ -1,7 +1,10 @@
 """Queries over whole tables, against brute force on small fixtures."""
 
+import random
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from braidline.plans import registry
 
 
@@ -63,3 +66,23 @@ def test_order_lines_whole(spark, tmp_path):
     assert registry.QUERIES["spanning_forest"](spark, sf).count() == 24
     songs = {r.song for r in registry.QUERIES["pattern_cover"](spark, sf).collect()}
     assert songs == set(range(1, 13))
+
+
+def test_node_groups_by_class(spark, tmp_path, monkeypatch):
+    """The groups of the general search, without its edges: a class of n nodes has n * n / 2."""
+    from braidline.operators import growth
+    from braidline.plans import timelines
+    from braidline.sources import views
+
+    rnd = random.Random(4)
+    people = [None, *range(60)]
+    events = [(i, datetime(2024, 1, 1, 0, 0, i // 60, i % 60), rnd.choice(people), rnd.choice(["a", "b", "c", None]), 1.0, '{"k": 1}') for i in range(700)]
+    sf = put(spark, tmp_path, events=(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
+    half = lambda c, i: F.split(c, "[.]")[i].cast("long")
+    e = views.segment_edges(views.sequences(spark, sf))
+    e = e.select("collection", half("src", 0).alias("v1"), half("src", 1).alias("t1"), half("dst", 0).alias("v2"), half("dst", 1).alias("t2"))
+    want = sorted(tuple(r) for r in growth.node_groups(e, "collection", count=10).collect())
+    monkeypatch.setattr(views, "segment_edges", None)
+    assert len({r[:2] for r in want}) > 50
+    assert run("node_groups", spark, sf) == want
+    assert "Pandas" not in timelines.node_groups(spark, sf)._jdf.queryExecution().toString()
