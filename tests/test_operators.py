@@ -101,6 +101,23 @@ def test_dbscan(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: -1}
 
 
+def test_dbscan_without_pairs(spark, monkeypatch):
+    """Parts that meet give what all pairs of a key give: copies, borders, rows without a
+    distance; the query lists no pairs."""
+    rnd = random.Random(8)
+    spot = lambda: [round(rnd.uniform(0, 6), 1), round(rnd.uniform(0, 6), 1)]
+    rows = [(i, i % 3, spot()) for i in range(0, 300)]
+    rows += [(300 + i, v[1], v[2]) for i, v in enumerate(rows[:40])] + [(400, 0, None), (401, 1, [1.0, None]), (402, 1, [math.nan, 1.0]), (403, 1, [math.nan, 1.0]), (404, None, [1.0, 1.0]), (405, 2, [1.0])]
+    v = spark.createDataFrame(rows, "id long, label long, v array<double>")
+    a, b = (v.select("label", F.col("id").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
+    pairs = a.join(b, "label").where("a <> b").select("a", "b", classify.distance("va", "vb").alias("d"))
+    monkeypatch.setattr(classify, "ROWS", 16)
+    for eps, least in ((0.45, 4), (0.6, 6), (0.3, 1)):
+        want = sorted(tuple(r) for r in classify.dbscan(v.select("id"), pairs, eps, least).collect())
+        assert len({c for _, c in want}) > 5
+        assert sorted(tuple(r) for r in classify.dbscan_points(v, "label", eps, least).collect()) == want
+
+
 def test_sliding_and_prefix(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 5, "a"), (2, 6, "b"), (3, 0, "c")], "p long, t long, l string")
     assert [(r.a, r.b, r["shift"], r.jaccard) for r in patterns.sliding_pairs(rows, "p", "t", "l", 0.8).collect()] == [(1, 2, 5, 1.0)]
