@@ -101,6 +101,29 @@ def test_dbscan(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: -1}
 
 
+def test_cosine_pairs_by_blocks(spark, monkeypatch):
+    """Every pair of a group, from parts that meet; odd vectors have no cosine."""
+    rnd = random.Random(5)
+    rows = [(i, i % 2, [rnd.uniform(-1, 1) for _ in range(5)]) for i in range(90)]
+    rows += [(90, 0, None), (91, 0, [1.0, None, 1.0, 1.0, 1.0]), (92, 1, [1.0, 2.0]), (93, None, [1.0] * 5), (None, 0, [1.0] * 5), (94, 0, [0.0] * 5)]
+    monkeypatch.setattr(align, "ROWS", 8)
+    found = align.cosine_pairs(spark.createDataFrame(rows, "id long, g int, v array<double>"), "id", "v", "g")
+    assert "Join" not in found._jdf.queryExecution().analyzed().toString().split("FlatMapGroups")[0]  # pairs are made in the tasks
+    got = {(r.g, r.a, r.b): r.cosine for r in found.collect()}
+    sound = {i: v for i, _, v in rows if v and None not in v}
+    want = {(g, a, b) for a, g, _ in rows for b, h, _ in rows if g == h and g is not None and a is not None and b is not None and a < b}
+    assert set(got) == want
+    for (_, a, b), c in got.items():
+        x, y = sound.get(a), sound.get(b)
+        if x is None or y is None or len(x) != len(y):
+            assert c is None
+        elif not any(x) or not any(y):
+            assert math.isnan(c)
+        else:
+            dot = sum(p * q for p, q in zip(x, y)) / math.sqrt(sum(p * p for p in x)) / math.sqrt(sum(p * p for p in y))
+            assert abs(c - dot) <= 5.1e-7 and c == round(c, 6)
+
+
 def test_dbscan_without_pairs(spark, monkeypatch):
     """Parts that meet give what all pairs of a key give: copies, borders, rows without a
     distance; the query lists no pairs."""
