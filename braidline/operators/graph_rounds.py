@@ -26,10 +26,16 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
 
 
+def _simple(graph: Graph) -> Graph:
+    """The graph with its ``simple_edges``, written once: all rounds read them."""
+    return Graph(materialise(graph.nodes.select("id"), "forest-nodes"), materialise(simple_edges(graph), "forest-edges"))
+
+
 def _levels(graph: Graph) -> list[DataFrame]:
-    """parent, id, depth of each level: roots are the smallest nodes of the components, and
-    a node's parent is the smallest of the level above it has an edge to."""
-    step = materialise(_both(simple_edges(graph)), "forest-steps")
+    """parent, id, depth of each level of a ``_simple`` graph: roots are the smallest nodes
+    of the components, and a node's parent is the smallest of the level above it has an edge
+    to."""
+    step = _both(graph.edges)
     roots = graph.components().where("id = component").select("id")
     front = materialise(roots.select(F.lit(None).cast(graph.nodes.schema["id"].dataType).alias("parent"), "id", F.lit(0).alias("depth")), "forest")
     out = [front]
@@ -45,7 +51,7 @@ def _levels(graph: Graph) -> list[DataFrame]:
 
 def spanning_forest(graph: Graph) -> DataFrame:
     """parent, id, depth of a breadth first forest; roots have no parent."""
-    return reduce(DataFrame.unionByName, _levels(graph))
+    return reduce(DataFrame.unionByName, _levels(_simple(graph)))
 
 
 def _meeting_depths(edges: DataFrame, forest: DataFrame) -> DataFrame:
@@ -73,10 +79,11 @@ def _covers(graph: Graph) -> tuple[DataFrame, DataFrame]:
     it and reaches highest, ties to the smallest (null: none, so a bridge); and the edges
     outside. An edge with an end below ``id`` leads out of the part below ``id`` just if its
     ends meet higher up, so the least of all below tells."""
+    graph = _simple(graph)
     levels = _levels(graph)
     forest = materialise(reduce(DataFrame.unionByName, levels), "forest")
     tree = forest.where("parent IS NOT NULL").select(F.least("parent", "id").alias("src"), F.greatest("parent", "id").alias("dst"))
-    outside = materialise(simple_edges(graph).join(tree, ["src", "dst"], "left_anti"), "outside")
+    outside = materialise(graph.edges.join(tree, ["src", "dst"], "left_anti"), "outside")
     reach = F.struct("meet", F.col("src").alias("by_src"), F.col("dst").alias("by_dst")).alias("reach")
     met = _meeting_depths(outside, forest)
     own = materialise(met.select(F.explode(F.array("src", "dst")).alias("id"), reach).groupBy("id").agg(F.min("reach").alias("reach")), "reach")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from braidline.operators import graph_local, graph_rounds
 from braidline.operators.graph import Graph
 
@@ -69,3 +71,24 @@ def test_no_edges(spark):
     assert graph_rounds.bridges(g).count() == graph_rounds.ear_chains(g).count() == 0
     assert sorted(map(tuple, graph_rounds.spanning_forest(g).collect()), key=repr) == [(None, "a", 0), (None, "b", 0)]
     assert graph_rounds.not_in_cycles(g).count() == 2
+
+
+def test_edges_are_made_once(spark):
+    """Rounds read the edges where they were written, and do not make them anew."""
+    made = spark.sparkContext.accumulator(0)
+
+    def edges(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    ends = [(1, 2), (2, 3), (3, 4), (4, 5), (3, 5), (6, 7)]
+    e = spark.createDataFrame(ends, "src long, dst long").coalesce(1).mapInArrow(edges, "src long, dst long")
+    g = Graph(spark.range(1, 8), e.withColumn("eid", F.concat_ws("-", "src", "dst")))
+    for run in (lambda: graph_rounds.bridges(g), lambda: graph_rounds.spanning_forest(g)):
+        before = made.value
+        run().collect()
+        assert made.value - before == len(ends)
+    before = made.value
+    assert {r.id: r.distance for r in g.distances(spark.range(1, 2)).collect()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 3}
+    assert made.value - before == 2 * len(ends)  # once in either direction
