@@ -124,6 +124,22 @@ def test_cosine_pairs_by_blocks(spark, monkeypatch):
             assert abs(c - dot) <= 5.1e-7 and c == round(c, 6)
 
 
+def test_overlaps_claimed_without_frames(spark):
+    """Longest patterns claim rows and columns first, no frame is made of a pair; scores are
+    those of the recurrence, cell by cell."""
+    cells = [(1, p, q, x, y) for p, path in enumerate([[(0, 0), (1, 1)], [(1, 0), (2, 1), (3, 2)], [(4, 4), (5, 2)]]) for q, (x, y) in enumerate(path)]
+    found = align.without_overlaps(spark.createDataFrame(cells, "pair_id long, pattern int, pos int, t1 long, t2 long"))
+    assert sorted((r.pattern, r.pos) for r in found.collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+    rnd = random.Random(2)
+    for n, m in ((1, 1), (1, 5), (6, 1), (7, 4), (3, 9), (0, 3)):
+        a, b = (["xyz"[rnd.randrange(3)] for _ in range(k)] for k in (n, m))
+        h = [[0.0] * (m + 1) for _ in range(n + 1)]
+        for i, j in itertools.product(range(1, n + 1), range(1, m + 1)):
+            h[i][j] = max(0, h[i - 1][j - 1] + (1.0 if a[i - 1] == b[j - 1] else -1.0), max(h[i - 1][j], h[i][j - 1]) - 0.7)
+        assert align.score_matrix(a, b).tolist() == h
+
+
 def test_dbscan_without_pairs(spark, monkeypatch):
     """Parts that meet give what all pairs of a key give: copies, borders, rows without a
     distance; the query lists no pairs."""
