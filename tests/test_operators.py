@@ -132,7 +132,7 @@ def test_overlaps_claimed_without_frames(spark):
     assert sorted((r.pattern, r.pos) for r in found.collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
     assert "Pandas" not in found._jdf.queryExecution().toString()
     rnd = random.Random(2)
-    for n, m in ((1, 1), (1, 5), (6, 1), (7, 4), (3, 9), (0, 3)):
+    for n, m in ((1, 1), (1, 5), (6, 1), (7, 4), (3, 9), (0, 3), (3, 0)):
         a, b = (["xyz"[rnd.randrange(3)] for _ in range(k)] for k in (n, m))
         h = [[0.0] * (m + 1) for _ in range(n + 1)]
         for i, j in itertools.product(range(1, n + 1), range(1, m + 1)):
