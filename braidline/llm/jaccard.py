@@ -343,14 +343,14 @@ def _sets_of(texts):
     return np.split(np.concatenate(keys).view("i8"), np.cumsum(np.concatenate(counts))[:-1])
 
 
-def _slot(column: str):
+def slot_of(column: str):
     return F.pmod(F.xxhash64(column), F.lit(1 << SLOT_BITS)).cast("int")
 
 
-def _slots(ids: DataFrame, column: str) -> DataFrame:
+def slots_of(ids: DataFrame, column: str) -> DataFrame:
     """The slots of ids: at most 2 ** SLOT_BITS rows, so small enough to send around. A
     row whose slot is not among them surely has none of the ids."""
-    return ids.select(_slot(column).alias("slot")).distinct()
+    return ids.select(slot_of(column).alias("slot")).distinct()
 
 
 def jaccard_components(
@@ -392,8 +392,8 @@ def jaccard_components(
 
     # texts stay where they are unless their id's slot is one of a copy's
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    copies = _slots(signed.where(F.col("id").isNotNull() & (F.col("n") > 0)).join(reps, "id", "left_anti"), "id")
-    slotted = picked.where(F.col("id").isNotNull()).withColumn("slot", _slot("id"))
+    copies = slots_of(signed.where(F.col("id").isNotNull() & (F.col("n") > 0)).join(reps, "id", "left_anti"), "id")
+    slotted = picked.where(F.col("id").isNotNull()).withColumn("slot", slot_of("id"))
     alone = slotted.join(F.broadcast(copies), "slot", "left_anti").select("id", "text")
     checked = slotted.join(F.broadcast(copies), "slot", "left_semi").select("id", "text").join(reps.hint("merge"), "id", "left_semi")
     posted = alone.unionByName(checked).mapInArrow(postings, "token long, node long, salt long")
@@ -409,7 +409,7 @@ def jaccard_components(
     placed = clusters.join(sizes, "component").withColumn("shards", shards)
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     placed = materialise(placed.select("node", "component", "shards", "shard"), "jaccard-placed")
-    near = slotted.join(F.broadcast(_slots(placed, "node")), "slot", "left_semi").select(F.col("id").alias("node"), "text")
+    near = slotted.join(F.broadcast(slots_of(placed, "node")), "slot", "left_semi").select(F.col("id").alias("node"), "text")
     members = materialise(near.join(placed.hint("merge"), "node").select("node", "component", "shards", "shard", "text"), "jaccard-members")
 
     def local(group):

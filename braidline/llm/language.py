@@ -213,7 +213,7 @@ def fit(samples: list[tuple[str, list[str]]], *, sequences: int = 5000, span: in
     words = {lang: [] for lang in labels}
     for lang, parts in samples:
         if parts:
-            words[lang].append([[w.encode("utf-8", "replace") for w in part.split()] for part in parts])
+            words[lang].append(parts)  # as text: most are never drawn, and their words would fill the driver
     usable = [i for i, lang in enumerate(labels) if words[lang]]
     if not usable:
         return Chain(labels, weights, step)
@@ -223,7 +223,7 @@ def fit(samples: list[tuple[str, list[str]]], *, sequences: int = 5000, span: in
         while len(seq) < span:
             i = int(rng.choice(usable))
             doc = words[labels[i]][rng.integers(len(words[labels[i]]))]
-            doc = doc[rng.integers(len(doc))]
+            doc = [w.encode("utf-8", "replace") for w in doc[rng.integers(len(doc))].split()]
             n = int(rng.integers(4, span))
             at = int(rng.integers(0, max(1, len(doc) - n + 1)))
             seq += doc[at : at + n]

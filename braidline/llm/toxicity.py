@@ -92,14 +92,26 @@ def deviance(k, n, rest_k, rest_n):
     return 2 * (part(k, n) + part(rest_k, rest_n))
 
 
+def _counts(rows, y):
+    """The different hashes of all rows, in order, with how many rows and how many toxic
+    rows have each; no list is as long as all rows together but that which is sorted."""
+    import numpy as np
+
+    every, n = np.unique(np.concatenate(rows), return_counts=True)
+    k = np.zeros(len(every), "i8")
+    hit = [h for h, v in zip(rows, y) if v > 0]
+    if hit:
+        some, times = np.unique(np.concatenate(hit), return_counts=True)
+        k[np.searchsorted(every, some)] = times
+    return every, n, k
+
+
 def informative(rows, y, min_docs: int):
     """Hashes of the features that tell the labels apart beyond chance, in order."""
     import numpy as np
 
-    every, inverse = np.unique(np.concatenate([h for h, _ in rows]), return_inverse=True)
-    toxic = np.repeat(y, [len(h) for h, _ in rows])
-    n = np.bincount(inverse, minlength=len(every)).astype("f8")
-    k = np.bincount(inverse, toxic, minlength=len(every))
+    every, n, k = _counts([h for h, _ in rows], y)
+    n, k = n.astype("f8"), k.astype("f8")
     ratio = deviance(k, n, y.sum() - k, len(y) - n)
     ratio[n < min_docs] = 0
     return every[ratio >= 2 * np.log(max(2, len(every)))]
@@ -123,9 +135,8 @@ def telling_pairs(rows, y, min_docs: int, cells_at_once: int = 4_000_000):
     import numpy as np
 
     term_rows = [h[h & 1 == 1] for h, _ in rows]
-    every, inverse = np.unique(np.concatenate(term_rows), return_inverse=True)
-    n = np.bincount(inverse, minlength=len(every))
-    k = np.bincount(inverse, np.repeat(y, [len(h) for h in term_rows]), minlength=len(every))
+    every, n, k = _counts(term_rows, y)
+    k = k.astype("f8")
     common = int((n >= min_docs).sum())
     if common < 2:
         return every[:0]
@@ -163,7 +174,7 @@ def telling_pairs(rows, y, min_docs: int, cells_at_once: int = 4_000_000):
                     shapes[m] = [x.astype("u2") for x in np.triu_indices(m, 1)]
                 mine = slice(p * (2 * m - p - 1) // 2, q * (2 * m - q - 1) // 2)
                 a, b = (i[x[mine]] for x in shapes[m])
-            keys[int(v > 0)].append((a - low) * len(terms) + b)
+            keys[int(v > 0)].append(((a - low) * len(terms) + b).astype("i4"))
         if not keys[0] and not keys[1]:
             continue
         size = (high - low) * len(terms)

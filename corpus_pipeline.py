@@ -38,6 +38,17 @@ def _order(row: str):
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
 
 
+def _without(rows: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """``rows`` but those whose number is in ``gone``. Only rows whose slot (of 2 ** 20) is
+    one of ``gone`` are exchanged, with their texts; the others stay in their tasks."""
+    slot = _fresh(rows, "_slot")
+    slots = F.broadcast(jaccard.slots_of(gone, row).withColumnRenamed("slot", slot))
+    slotted = rows.withColumn(slot, jaccard.slot_of(row))
+    alone = slotted.join(slots, slot, "left_anti").drop(slot)
+    checked = slotted.join(slots, slot, "left_semi").drop(slot)
+    return alone.unionByName(checked.join(gone.hint("merge"), row, "left_anti"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts scored toxic (0.5 and more) go; fitted on the labelled rows of ``docs``. Null
     and empty texts score as the machine's bias, and stay unless most labels are toxic;
@@ -62,7 +73,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = _fresh(docs, "_row")
     rows = _numbered(docs, row)
     found = exact_dedup.exact_dedup(rows.select(_order(row).alias("key"), "text"), id_col="key")
-    return rows.join(found.where("NOT kept").select(F.col("key.row").alias(row)), row, "left_anti").drop(row)
+    gone = materialise(found.where("NOT kept").select(F.col("key.row").alias(row)), "pipeline-gone")
+    return _without(rows, gone, row).drop(row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +85,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = _numbered(docs, row)
     found = materialise(jaccard.jaccard_components(rows.select(row, "text"), id_col=row), "pipeline-components")
     stay = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(_order(row)).alias("key"))
-    gone = found.select(row).join(stay.select(F.col("key.row").alias(row)), row, "left_anti")
-    return rows.join(gone, row, "left_anti").drop(row)
+    gone = materialise(found.select(row).join(stay.select(F.col("key.row").alias(row)), row, "left_anti"), "pipeline-gone")
+    return _without(rows, gone, row).drop(row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
