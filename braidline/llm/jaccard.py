@@ -5,9 +5,12 @@ form a class, of which only the smallest id goes on. Two sets with a Jaccard sim
 of ``num``/``den`` or more share a token among the first n - ceil(n * num / den) + 1 of
 each, in any one order of all tokens; tokens that recur come last in that order, the
 commoner the later, so that documents which merely share a passage do not meet. What
-recurs is counted over all documents: stretches of the table send their tokens in
-blobs, one a range of token keys, and a bitmap of fixed size over the keys (28 bits)
-tells recurring ones; keys that clash only change the order, never a link. Documents that share such a
+recurs is counted exactly, over all different sets: stretches of the table send their
+tokens as keys of some 34 bits and more (it grows with the table) in blobs, one a range
+of keys, and each range tells each stretch which of its keys recur. A stretch then posts
+its documents' first keys; those that do not recur meet nothing and are not posted, so a
+document of whose shingles a fifth are its own posts none. Keys that clash only add
+candidates, never a link. Documents that share such a
 token are in one candidate cluster (components over one edge a document and token, to
 the token's smallest document); most are in none.
 
@@ -33,12 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialise
+from .common import discard, materialise
 from .tokens import chunks
 
 WORDS = 5
 MU = 0.0085  # DivideSkip's weight of a probe against a merge step
-KEY_BITS = 28
+KEY_BITS = 18  # bits of a key beyond those of the number of documents
 SLOT_BITS = 20
 HEAVY = 24  # counts from which a token's documents are dealt out by salts
 _C1, _C2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -114,113 +117,160 @@ def _read(batches):
             yield b.column(0).slice(i, j - i), texts[i:j]
 
 
-def token_key(tokens):
+def packed(x) -> bytes:
+    """Whole numbers as bytes, by place, as few places as the largest needs; high bytes
+    that are alike then lie side by side."""
     import numpy as np
 
-    return (tokens.view("u8") >> np.uint64(64 - KEY_BITS)).astype("u4")
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + x.view("u1").reshape(len(x), 8)[:, :width].T.tobytes()
 
 
-def _signatures(batches, range_bits: int):
-    """A row a document (id, set size, 128-bit set hash), and for each stretch of the
-    table a row a range of token keys: the keys of its different sets, those that recur
-    in it twice, in order and as differences."""
+def unpacked(b: bytes):
     import numpy as np
 
-    held, seen, size = [], set(), 0
-    names = ["id", "n", "h1", "h2", "part", "blob"]
-
-    def keys_seen():
-        keys, n = np.unique(token_key(np.concatenate(held)), return_counts=True)
-        keys = np.repeat(keys, np.minimum(n, 2))
-        cuts = np.searchsorted(keys, np.arange(1 << range_bits, dtype="u8") << np.uint64(KEY_BITS - range_bits))
-        parts, blobs = [], []
-        for part, some in enumerate(np.split(keys, cuts[1:])):
-            if len(some):
-                parts.append(part)
-                blobs.append(np.diff(some, prepend=np.uint32(part << (KEY_BITS - range_bits))).astype("<u4").tobytes())
-        none = pa.nulls(len(parts), pa.int64())
-        return pa.record_batch([none, none, none, none, pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names)
+    width = b[0]
+    raw = np.frombuffer(b, "u1", offset=1).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), "u1")
+    out[:, :width] = raw.T
+    return out.view("<i8").ravel()
+
+
+def _signatures(batches):
+    """A row a document: id, set size, 128-bit set hash."""
+    import numpy as np
 
     for ids, texts in _read(batches):
         keys, counts = shingle_sets(texts)
-        ends = np.cumsum(counts)
-        begin = ends - counts
+        begin = np.cumsum(counts) - counts
         sums = np.zeros((2, len(counts)), "u8")
         some = counts > 0
         if some.any():
             sums[0, some] = np.add.reduceat(_mix(keys + np.uint64(_C1)), begin[some])
             sums[1, some] = np.add.reduceat(_mix(keys ^ np.uint64(_C2)), begin[some])
-        n = len(counts)
-        yield pa.record_batch([ids, pa.array(counts), pa.array(sums[0].view("i8")), pa.array(sums[1].view("i8")), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
-        for i, h in enumerate(sums[0].tolist()):
-            if counts[i] and h not in seen:
-                seen.add(h)
-                held.append(keys[begin[i] : ends[i]])
-                size += counts[i]
-        if size > 2_000_000:
-            yield keys_seen()
-            held, seen, size = [], set(), 0
-    if held:
-        yield keys_seen()
-
-
-def _recurring(range_bits: int, most_heavy: int):
-    """For each range: its piece of the bitmap, and its keys of HEAVY and more counts."""
+        yield pa.record_batch([ids, pa.array(counts), pa.array(sums[0].view("i8")), pa.array(sums[1].view("i8"))], ["id", "n", "h1", "h2"])
 
-    def run(key, rows):
-        import zlib
 
-        import numpy as np
+#: Rows of stretches: ``counts`` are how often a key is in the stretch, or its weight.
+_STRETCH = "stretch long, part long, keys binary, owners binary, counts binary, ids array<long>, sizes array<long>"
+_TOKENS, _MANY = 2_000_000, (1 << 16) - 1
 
-        part = key[0].as_py()
-        base = part << (KEY_BITS - range_bits)
-        keys = np.concatenate([np.cumsum(np.frombuffer(x, "<u4"), dtype="u4") + np.uint32(base) for x in rows.column("blob").to_pylist()])
-        keys, n = np.unique(keys, return_counts=True)
-        bits = np.zeros(1 << (KEY_BITS - range_bits), bool)
-        bits[keys[n > 1] - np.uint32(base)] = True
-        heavy = n >= HEAVY
-        order = np.argsort(-n[heavy], kind="stable")[:most_heavy]
-        lists = [np.ascontiguousarray(x[heavy][order]).astype("i8") for x in (keys, n)]
-        return pa.table({"part": [part], "bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], "heavy": pa.array([lists[0].tolist()], pa.list_(pa.int64())), "times": pa.array([lists[1].tolist()], pa.list_(pa.int64()))})
 
-    return run
+def _stretch_rows(ids, keys, sizes, key_bits: int, range_bits: int):
+    """A stretch's rows: for each range its keys, in order and as differences, each once,
+    with the document it is of (by place) or _MANY; and, as part -1, the documents, and the
+    keys that several hold with their holders, which no range need see."""
+    import uuid
+
+    import numpy as np
 
+    keys = (keys.view("u8") >> np.uint64(64 - key_bits)).astype("i8")
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    once, begin, times = np.unique(keys, return_index=True, return_counts=True)
+    many = times > 1
+    held = np.repeat(many, times)
+    of = np.where(many, _MANY, owner[begin]) if len(once) else owner
+    cuts = np.searchsorted(once, np.arange((1 << range_bits) + 1) << (key_bits - range_bits))
+    name = uuid.uuid4().int >> 65
+    rows = [(name, -1, packed(np.diff(keys[held], prepend=0)), packed(owner[held]), None, list(ids), sizes.tolist())]
+    for part in np.flatnonzero(np.diff(cuts)).tolist():
+        s = slice(cuts[part], cuts[part + 1])
+        rows.append((name, part, packed(np.diff(once[s], prepend=part << (key_bits - range_bits))), packed(of[s]), packed(times[s]), None, None))
+    names = [x.split()[0] for x in _STRETCH.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def _stretches(batches, key_bits: int, range_bits: int):
+    """All documents' keys, dealt out by ranges, a stretch of the table at a time."""
+    import numpy as np
 
-class Order:
-    """How late each token comes: 0 if it does not recur, else 1, else its count."""
+    ids, keys, sizes = [], [], []
+    size = rows = 0
+    for some, texts in _read(batches):
+        for at in range(0, len(texts), _MANY):
+            k, n = shingle_sets(texts[at : at + _MANY])
+            if ids and (size + len(k) > _TOKENS or rows + len(n) > _MANY):
+                yield _stretch_rows(np.concatenate(ids).tolist(), np.concatenate(keys), np.concatenate(sizes), key_bits, range_bits)
+                ids, keys, sizes = [], [], []
+                size = rows = 0
+            ids.append(np.asarray(some.slice(at, len(n))))
+            keys.append(k)
+            sizes.append(n)
+            size, rows = size + len(k), rows + len(n)
+    if ids:
+        yield _stretch_rows(np.concatenate(ids).tolist(), np.concatenate(keys), np.concatenate(sizes), key_bits, range_bits)
+
+
+def _recurring(key_bits: int, range_bits: int):
+    """Of a range, to each stretch those of its keys that recur in all, with a weight: 1, or
+    their count from HEAVY on. Of keys that several of a stretch hold, only heavy ones."""
 
-    def __init__(self, rows, range_bits: int):
+    def run(key, rows):
         import numpy as np
 
-        # the driver keeps the bitmap's pieces as they came; workers unpack them
-        self.range_bits, self.pieces, self.bits = range_bits, [(r.part, bytes(r.bits)) for r in rows], None
-        heavy = np.array([x for r in rows for x in r.heavy], "u4")
-        times = np.array([x for r in rows for x in r.times], "i4")
-        order = np.argsort(heavy)
-        self.heavy, self.times = heavy[order], times[order]
+        part = key[0].as_py()
+        base = part << (key_bits - range_bits)
+        keys = [np.cumsum(unpacked(x)) + base for x in rows.column("keys").to_pylist()]
+        owners = [unpacked(x) for x in rows.column("owners").to_pylist()]
+        ends = np.cumsum([len(x) for x in keys])
+        _, at, = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.zeros(at.max() + 1, "i8")
+        np.add.at(n, at, np.concatenate([unpacked(x) for x in rows.column("counts").to_pylist()]))
+        out = []
+        for name, k, o, i, j in zip(rows.column("stretch").to_pylist(), keys, owners, ends - [len(x) for x in keys], ends):
+            times = n[at[i:j]]
+            told = np.where(o == _MANY, times >= HEAVY, times > 1)
+            if told.any():
+                out.append((name, part, packed(np.diff(k[told], prepend=base)), packed(o[told]), packed(np.where(times[told] < HEAVY, 1, times[told]))))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        none = pa.nulls(len(out), pa.list_(pa.int64()))
+        return pa.table([*(pa.array(c, k) for c, k in zip(columns, kinds)), none, none], [x.split()[0] for x in _STRETCH.split(", ")])
 
-    def unpack(self) -> None:
-        import zlib
+    return run
 
-        import numpy as np
 
-        size = 1 << (KEY_BITS - self.range_bits - 3)
-        self.bits = np.zeros(1 << (KEY_BITS - 3), "u1")
-        for part, bits in self.pieces:
-            self.bits[part * size : (part + 1) * size] = np.frombuffer(zlib.decompress(bits), "u1")
-        self.pieces = []
+def _posted(key_bits: int, range_bits: int, num: int, den: int, salts: int):
+    """Of a stretch, each document's keys among the first that partners must share, but for
+    those that do not recur, which come before all others and meet nothing."""
 
-    def weights(self, tokens):
+    def run(t):
         import numpy as np
 
-        if self.bits is None:
-            self.unpack()
-        keys = token_key(tokens)
-        out = (self.bits[keys >> np.uint32(3)] >> (keys & np.uint32(7)).astype("u1") & 1).astype("i4")
-        if len(self.heavy):
-            at = np.minimum(np.searchsorted(self.heavy, keys), len(self.heavy) - 1)
-            out = np.where(self.heavy[at] == keys, self.times[at], out)
-        return out
+        keys, owners, weights = [], [], []
+        own = t.filter(pa.array([p < 0 for p in t.column("part").to_pylist()])).to_pylist()[0]
+        for r in t.select(["part", "keys", "owners", "counts"]).to_pylist():
+            if r["part"] >= 0:
+                keys.append(np.cumsum(unpacked(r["keys"])) + (r["part"] << (key_bits - range_bits)))
+                owners.append(unpacked(r["owners"]))
+                weights.append(unpacked(r["counts"]))
+        none = np.zeros(0, "i8")
+        keys, owners, weights = (np.concatenate([none, *x]) for x in (keys, owners, weights))
+        held = owners == _MANY
+        heavy, times = keys[held], weights[held]
+        order = np.argsort(heavy)
+        heavy, times = heavy[order], times[order]
+        shared, holders = np.cumsum(unpacked(own["keys"])), unpacked(own["owners"])
+        their = np.ones(len(shared), "i8")
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, shared), len(heavy) - 1)
+            their = np.where(heavy[at] == shared, times[at], their)
+        keys, owners, weights = (np.concatenate(x) for x in ((keys[~held], shared), (owners[~held], holders), (weights[~held], their)))
+        order = np.lexsort((keys, weights, owners))
+        keys, owners, weights = keys[order], owners[order], weights[order]
+        sizes = np.array(own["sizes"], "i8")
+        recur = np.bincount(owners, minlength=len(sizes))
+        rank = np.arange(len(keys)) - np.repeat(np.cumsum(recur) - recur, recur)
+        keep = rank < (recur - required(sizes, num, den) + 1)[owners]
+        node = np.array(own["ids"], "i8")[owners[keep]]
+        salt = np.where(weights[keep] >= HEAVY, (node.view("u8") * np.uint64(_Q) >> np.uint64(58)).astype("i8") % salts + 1, 0)
+        return pa.table({"token": keys[keep], "node": node, "salt": salt})
+
+    return run
 
 
 def required(n, num: int, den: int):
@@ -362,33 +412,12 @@ def jaccard_components(
     null component. Rows that share an id are one document. Empty tables give no rows;
     other columns are ignored."""
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    range_bits = min(16, max(6, (docs.count() // 1000).bit_length()))
-    both = picked.mapInArrow(lambda b: _signatures(b, range_bits), "id long, n long, h1 long, h2 long, part long, blob binary")
-    both = materialise(both, "jaccard-sets")
-    signed = both.where(F.col("part").isNull()).select("id", "n", "h1", "h2")
+    signed = materialise(picked.mapInArrow(_signatures, "id long, n long, h1 long, h2 long"), "jaccard-sets")
+    rows = signed.count()
+    range_bits = min(16, max(6, (rows // 1000).bit_length()))
+    key_bits = min(56, max(34, rows.bit_length() + KEY_BITS))
     classes = signed.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     classes = materialise(classes, "jaccard-classes")
-    # bounded: a bitmap of 2 ** KEY_BITS bits, and 2 ** 18 keys at most
-    ranges = both.where(F.col("part").isNotNull()).select("part", "blob").groupBy("part")
-    ranges = ranges.applyInArrow(_recurring(range_bits, max(1, (1 << 18) >> range_bits)), "part long, bits binary, heavy array<long>, times array<long>")
-    order_of = Order(ranges.collect(), range_bits)
-    salts = 64
-
-    def postings(batches):
-        import numpy as np
-
-        for ids, texts in _read(batches):
-            keys, counts = shingle_sets(texts)
-            v = keys.view("i8")
-            weight = order_of.weights(v)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((v, weight, owner))
-            rank = np.arange(len(v)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keep = rank < np.repeat(counts - required(counts, num, den) + 1, counts)
-            chosen = order[keep]
-            node = np.asarray(ids)[owner[chosen]]
-            salt = np.where(weight[chosen] >= HEAVY, (node.view("u8") * np.uint64(_Q) >> np.uint64(58)).astype("i8") % salts + 1, 0)
-            yield pa.record_batch([pa.array(v[chosen]), pa.array(node), pa.array(salt)], ["token", "node", "salt"])
 
     # texts stay where they are unless their id's slot is one of a copy's
     reps = classes.select(F.col("rep").alias("id")).distinct()
@@ -396,9 +425,14 @@ def jaccard_components(
     slotted = picked.where(F.col("id").isNotNull()).withColumn("slot", slot_of("id"))
     alone = slotted.join(F.broadcast(copies), "slot", "left_anti").select("id", "text")
     checked = slotted.join(F.broadcast(copies), "slot", "left_semi").select("id", "text").join(reps.hint("merge"), "id", "left_semi")
-    posted = alone.unionByName(checked).mapInArrow(postings, "token long, node long, salt long")
+    stretches = alone.unionByName(checked).mapInArrow(lambda b: _stretches(b, key_bits, range_bits), _STRETCH)
+    stretches = materialise(stretches, "jaccard-stretches")
+    told = stretches.where("part >= 0").groupBy("part").applyInArrow(_recurring(key_bits, range_bits), _STRETCH)
+    told = told.unionByName(stretches.where("part < 0")).groupBy("stretch")
+    posted = told.applyInArrow(_posted(key_bits, range_bits, num, den, 64), "token long, node long, salt long")
     posted = posted.withColumn("first", F.min("node").over(Window.partitionBy("token", "salt")))
     met = materialise(posted.where((F.col("node") != F.col("first")) | (F.col("salt") > 0)).distinct(), "jaccard-met")
+    discard(stretches)
     # a frequent token's documents meet in salted groups, and their firsts once more
     firsts = met.where("salt > 0").groupBy("token", "first").agg(F.lit(1))
     firsts = firsts.withColumn("least", F.min("first").over(Window.partitionBy("token"))).select(F.col("first").alias("src"), F.col("least").alias("dst"))
