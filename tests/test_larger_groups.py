@@ -34,3 +34,23 @@ def test_ward_counts_equal_points_once():
         names = {k: i for i, k in enumerate(dict.fromkeys(up))}
         assert classify.ward_labels(x, 3) == [names[k] for k in up]
     assert len(set(classify.ward_labels(np.zeros((9, 2)), 3))) == 3
+
+
+@pytest.mark.parametrize("broad", [0, 256])
+def test_mds_is_that_of_the_distances(spark, monkeypatch, broad):
+    monkeypatch.setattr(classify, "BROAD", broad)
+    r = np.random.default_rng(3)
+    groups = {g: r.random((n, 4)) * [3, 2, 1, 0.5] for g, n in ((1, 40), (2, 7), (3, 1))}
+    rows = [(g, 100 * g + i, p.tolist()) for g, v in groups.items() for i, p in enumerate(v)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "label long, id long, v array<double>")
+    got = {t.id: (t.x, t.y) for t in classify.mds_points(df, "label").collect()}
+    for g, v in groups.items():
+        want = classify.classical_mds(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)))
+        assert np.allclose([got[100 * g + i] for i in range(len(v))], want, atol=1e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no data")
+def test_mds_takes_no_distances(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(classify, "grouped_points", lambda *a: taken.append(a))
+    assert registry.QUERIES["mds_embedding"](spark, SF).count() > 0 and not taken
