@@ -54,3 +54,20 @@ def test_mds_takes_no_distances(spark, monkeypatch):
     taken = []
     monkeypatch.setattr(classify, "grouped_points", lambda *a: taken.append(a))
     assert registry.QUERIES["mds_embedding"](spark, SF).count() > 0 and not taken
+
+
+def test_common_neighbours_meet_as_bits(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SETS", 16)
+    monkeypatch.setattr(blocks, "TOKENS", 8)
+    monkeypatch.setattr(blocks, "LEAVING", 50)
+    r = np.random.default_rng(4)
+    e = {(f"c{i}", f"s{j}") for i in range(70) for j in range(30) if r.random() < 0.15}
+    edges = spark.createDataFrame(sorted(e), "src string, dst string").withColumn("eid", F.concat("src", "dst"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    to, back = {}, {}
+    for a, b in e:
+        to.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+    want = sorted((a, b) for m in (to, back) for a in m for b in m if m[a] & m[b])
+    monkeypatch.setattr(blocks, "block_pairs", None)  # no products
+    assert sorted(map(tuple, Graph(nodes, edges).neighbours().collect())) == want
