@@ -71,3 +71,11 @@ def test_common_neighbours_meet_as_bits(spark, monkeypatch):
     want = sorted((a, b) for m in (to, back) for a in m for b in m if m[a] & m[b])
     monkeypatch.setattr(blocks, "block_pairs", None)  # no products
     assert sorted(map(tuple, Graph(nodes, edges).neighbours().collect())) == want
+
+
+def test_ncd_counts_equal_sets_once(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "overlaps", None)  # no list of pairs by token
+    rows = spark.range(60).select(F.col("id").alias("conv_id"), F.explode(F.sequence(F.lit(0), 2 + F.col("id") % 3)).alias("token"))
+    got = {(r.a, r.b): r.ncd for r in patterns.ncd_pairs(rows, "conv_id", "token", digits=6).collect()}
+    size = lambda k: 3 + k % 3
+    assert got == {(a, b): round(1 - min(size(a), size(b)) / max(size(a), size(b)), 6) for a in range(60) for b in range(a + 1, 60)}
