@@ -79,3 +79,12 @@ def test_ncd_counts_equal_sets_once(spark, monkeypatch):
     got = {(r.a, r.b): r.ncd for r in patterns.ncd_pairs(rows, "conv_id", "token", digits=6).collect()}
     size = lambda k: 3 + k % 3
     assert got == {(a, b): round(1 - min(size(a), size(b)) / max(size(a), size(b)), 6) for a in range(60) for b in range(a + 1, 60)}
+
+
+def test_vectors_are_sent_once_to_a_small_group(spark, monkeypatch):
+    """And as floats, if they are: 6,000 of a group went three times, as doubles."""
+    sent, whole = [], align.meeting_parts
+    monkeypatch.setattr(align, "meeting_parts", lambda v, *a: sent.append((v.agg(F.max("parts")).first()[0], v.schema["v"].dataType.simpleString())) or whole(v, *a))
+    v = spark.range(6000).select("id", F.lit(1).alias("label"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("v"))
+    align.cosine_pairs(v, "id", "v", "label")
+    assert sent == [(1, "array<float>")]
