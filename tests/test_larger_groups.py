@@ -88,3 +88,9 @@ def test_vectors_are_sent_once_to_a_small_group(spark, monkeypatch):
     v = spark.range(6000).select("id", F.lit(1).alias("label"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("v"))
     align.cosine_pairs(v, "id", "v", "label")
     assert sent == [(1, "array<float>")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no data")
+def test_nearest_neighbor_rate_asks_for_every_vector(spark):
+    n = registry.QUERIES["nearest_neighbor_rate"](spark, SF).agg(F.sum("n")).first()[0]
+    assert n == spark.read.parquet(f"{SF}/embeddings.parquet").count()
